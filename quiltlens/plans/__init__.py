@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = [
-    "inventory", "links",
+    "inventory", "links", "audit",
 ]
 
 
