@@ -84,7 +84,7 @@ def landmark_findings(html: Column) -> Column:
 
 def input_findings(html: Column) -> Column:
     """Text-like inputs with no label element around or for them, no aria label and no title."""
-    fors = F.transform(M.all_matches(html, r"(?is)<label\b[^>]*>"), lambda el: M.attr(el, "for"))
+    fors = F.col("_fors")
     bare = M.all_matches(F.regexp_replace(html, r"(?is)<label\b.*?</label\s*>", " "), r"(?is)<(?:input|textarea)\b[^>]*>")
     kind = lambda el: F.when(M.tag_name(el) == "textarea", "text").when(M.attr(el, "type") == "", "text").otherwise(F.lower(M.attr(el, "type")))
     named = lambda el: (
@@ -138,7 +138,9 @@ PAGE_CHECKS = {
 def page_findings(corpus: DataFrame, checks: list[str] | None = None) -> DataFrame:
     """Findings of the chosen page-local checks: ``(site, page_id, check, kind, detail)``."""
     # staged so that the visible markup and the shared parts of the checks are computed once per row
-    seen = corpus.select("site", "page_id", M.visible(F.col("html")).alias("html"))
+    seen = corpus.select("site", "page_id", M.visible(F.col("html")).alias("html")).select(
+        "*", F.transform(M.all_matches(F.col("html"), r"(?is)<label\b[^>]*>"), lambda el: M.attr(el, "for")).alias("_fors")
+    )
     picked = [PAGE_CHECKS[c](F.col("html")) for c in (checks or PAGE_CHECKS)]
     return (
         seen.select("site", "page_id", F.concat(*picked).alias("fs"))

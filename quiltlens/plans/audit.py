@@ -17,7 +17,7 @@ SELECT page_id, url, replace(replace(replace(replace(html,
   '<article>', CASE WHEN page_id % 3 = 0 THEN '<main id="main-content">' WHEN page_id % 3 = 1 THEN '<main>' ELSE '' END ||
     '<section id="team"' || CASE WHEN page_id % 2 = 0 THEN ' class="features"' ELSE '' END || '><div class="grid">' ||
     CASE WHEN page_id % 5 = 0 THEN '<div class="card a"><h3>One</h3><p>x</p></div><div class="card b"><h3>Two</h3><p class="text-center text-lg">y</p></div>'
-         WHEN page_id % 5 = 1 THEN '<ul><li class="post"><article><h4>P</h4></article></li><li class="post"><article><h4>Q</h4></article></li></ul>'
+         WHEN page_id % 5 = 1 THEN '<ul><li class="post"><article><h4>P</h4></article ></li><li class="post"><article><h4>Q</h4></article ></li></ul>'
          WHEN page_id % 5 = 2 THEN '<div><h2>Alpha</h2><p>a</p></div><div><h2 style="text-align: right" class="text-2xl text-4xl">Beta</h2><img src="/i/check.svg"></div>'
          WHEN page_id % 5 = 3 THEN '<a class="tile">t</a><a class="quote">q</a>' ELSE '<div class="card">only</div>' END || '</div>' ||
     CASE WHEN page_id % 6 = 0 THEN '<label for="m">Mail</label><input id="m" type="email"><textarea></textarea>' WHEN page_id % 6 = 1 THEN '<label>Q <input type="search"></label><input name="q"><input type="hidden">' ELSE '' END ||
