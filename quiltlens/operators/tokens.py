@@ -18,6 +18,11 @@ CLAIMED = 4
 TRANSPARENT = r"(?i)^\s*(transparent|none|rgba\(\s*0\s*,\s*0\s*,\s*0\s*,\s*0\s*\))\s*$"
 
 
+def _once(value: Column) -> Column:
+    """A one-row generator: later filters read the finished column instead of repeating its expression."""
+    return F.explode(F.array(value))
+
+
 def unpivot_styles(nodes: DataFrame) -> DataFrame:
     """``nodes(site, board, node_id, name, style MAP)`` → one row per node and property."""
     return nodes.select("site", "board", "node_id", "name", F.explode("style").alias("prop", "value"))
@@ -80,7 +85,7 @@ def merge_near_colors(counts: DataFrame, threshold: int = NEAR) -> DataFrame:
     grid join, and distinct colours per grid cell are bounded by the colour cube.
     """
     colours = materialize(
-        counts.withColumn("c", C.parse(F.col("value"))).filter("c IS NOT NULL").select("site", "value", "uses", "c"), "colours"
+        counts.withColumn("c", _once(C.parse(F.col("value")))).filter("c IS NOT NULL").select("site", "value", "uses", "c"), "colours"
     )
     cell = lambda ch: F.floor(F.col(f"c.{ch}") / threshold).cast("int")
     spread = F.array(*[F.lit(i) for i in (-1, 0, 1)])
@@ -126,7 +131,7 @@ def _role(kind: str, c) -> Column:
 def color_roles(merged: DataFrame, k: int, prefix: str = "--color", kind: str = "surface") -> DataFrame:
     """Name the top ``k`` colours per site by luminance and saturation; repeats get ``-2``, ``-3``; opaque ones first."""
     top = top_k(merged, ["site"], [F.desc("uses"), "value"], k)
-    parsed = top.withColumn("c", C.parse(F.col("value")))
+    parsed = top.withColumn("c", _once(C.parse(F.col("value"))))
     named = parsed.withColumn("role", _role(kind, F.col("c"))).withColumn("_alpha", (F.col("c.al") < 255).cast("int"))
     n = F.row_number().over(W.partitionBy("site", "role").orderBy("_alpha", "rank"))
     return named.withColumn("_n", n).select(
@@ -150,12 +155,12 @@ ROLE_TARGETS = [
 def semantic_roles(pool: DataFrame, brand: DataFrame) -> DataFrame:
     """``pool(site, kind fill|text, value, uses)`` colours no brand token claims, nearest to each fixed target."""
     claimed = brand.groupBy("site").agg(F.collect_list(C.parse(F.col("value"))).alias("brand"), F.max(F.when(F.col("name") == "--color-surface", F.col("value"))).alias("surface"))
-    rows = pool.withColumn("c", C.parse(F.col("value"))).filter("c IS NOT NULL").join(claimed, "site", "left")
+    rows = pool.withColumn("c", _once(C.parse(F.col("value")))).filter("c IS NOT NULL").join(claimed, "site", "left")
     opaque = F.col("c.al") == 255
     near = lambda t: F.when(opaque, (t["al"] == 255) & (C.rgb_distance(t, F.col("c")) <= CLAIMED)).otherwise(C.distance(t, F.col("c")) <= CLAIMED)
     free = rows.filter(~F.coalesce(F.exists("brand", near), F.lit(False)))
     spark = pool.sparkSession
-    targets = spark.createDataFrame([(o, n, p, t) for o, n, p, ts in ROLE_TARGETS for t in ts], "role_ord int, role string, pool string, target string").withColumn("t", C.parse(F.col("target")))
+    targets = spark.createDataFrame([(o, n, p, t) for o, n, p, ts in ROLE_TARGETS for t in ts], "role_ord int, role string, pool string, target string").withColumn("t", _once(C.parse(F.col("target"))))
     # the target table is a constant of under forty rows
     hits = free.join(F.broadcast(targets), (F.col("pool") == "any") | (F.col("pool") == F.col("kind"))).withColumn("d", C.rgb_distance(F.col("c"), F.col("t")))
     hits = hits.filter(F.col("d") <= NEAR)
@@ -295,9 +300,8 @@ def resolve_vars(tokens: DataFrame) -> DataFrame:
 
 def normal_value(type_: Column, value: Column) -> Column:
     """Comparable form: colours as hex with alpha, lengths as px numbers, families by base name."""
-    c = C.parse(value)
-    colour = F.format_string("#%02X%02X%02X%02X", c["r"], c["g"], c["b"], c["al"])
-    return F.when(type_ == "color", F.when(c.isNotNull(), colour)).when(type_ == "fontFamily", F.lower(base_family(value))).when(
+    colour = C.let(C.parse(value), lambda c: F.when(c.isNotNull(), F.format_string("#%02X%02X%02X%02X", c["r"], c["g"], c["b"], c["al"])))
+    return F.when(type_ == "color", colour).when(type_ == "fontFamily", F.lower(base_family(value))).when(
         type_.isin("fontSize", "spacing", "radius"), _px(value).cast("string")
     ).otherwise(F.lower(F.trim(value)))
 
@@ -308,10 +312,10 @@ def bind_tokens(styles: DataFrame, tokens: DataFrame) -> DataFrame:
     ``change`` rows name the token (most used, then first name); ``leftover`` rows say why none fits;
     ``skip`` rows are already bound or transparent.
     """
-    s = styles.withColumn("key", normal_value(F.col("type"), F.col("value")))
+    s = styles.withColumn("key", _once(normal_value(F.col("type"), F.col("value"))))
     bound = F.col("value").rlike(r"(?i)^\s*var\(")
     clear = (F.col("type") == "color") & F.col("value").rlike(TRANSPARENT)
-    t = tokens.withColumn("key", normal_value(F.col("type"), F.col("value"))).filter("key IS NOT NULL").groupBy("site", "type", "key").agg(F.min_by("name", F.struct(-F.col("uses"), F.col("name"))).alias("token"))
+    t = tokens.withColumn("key", _once(normal_value(F.col("type"), F.col("value")))).filter("key IS NOT NULL").groupBy("site", "type", "key").agg(F.min_by("name", F.struct(-F.col("uses"), F.col("name"))).alias("token"))
     known = tokens.select("site", "type").distinct().withColumn("_typed", F.lit(True))
     joined = s.join(t, ["site", "type", "key"], "left").join(known, ["site", "type"], "left")
     status = F.when(bound | clear, "skip").when(F.col("token").isNotNull(), "change").otherwise("leftover")
@@ -354,8 +358,8 @@ def token_upsert_plan(desired: DataFrame, existing: DataFrame, replace: bool = F
 
 def paint_witness(captures: DataFrame, nodes: DataFrame) -> DataFrame:
     """Saturated captured fills, one colour per node or a conflict, laid over painted nodes only."""
-    c = C.parse(F.col("value"))
-    strong = captures.filter(c.isNotNull() & (C.saturation(c) >= 0.35))
+    c = F.col("c")
+    strong = captures.withColumn("c", _once(C.parse(F.col("value")))).filter(c.isNotNull() & (C.saturation(c) >= 0.35))
     seen = strong.groupBy("site", "node_id").agg(F.min(F.upper("value")).alias("_lo"), F.max(F.upper("value")).alias("_hi"))
     joined = nodes.filter("fill IS NOT NULL").join(seen, ["site", "node_id"])
     return joined.select(

@@ -156,7 +156,7 @@ def _(spark, d):
 
 DUCK_VIEWS["sizes"] = """
 WITH sc AS (SELECT * FROM (VALUES ('xs',12),('sm',14),('base',16),('lg',18),('xl',20),('2xl',24),('3xl',30),('4xl',36),('5xl',48),('6xl',60),('7xl',72),('8xl',96),('9xl',128)) t(step, px)),
-c AS (SELECT site, CAST(rtrim(value, 'px') AS BIGINT) AS px, uses FROM {counts} WHERE kind = 'size')
+c AS (SELECT site, TRY_CAST(rtrim(value, 'px') AS BIGINT) AS px, uses FROM {counts} WHERE kind = 'size')
 SELECT site, 'fontSize' AS type, '--text-' || step AS name, CAST(px AS VARCHAR) || 'px' AS value, CAST(0 AS BIGINT) AS uses, 'default' AS source FROM (SELECT DISTINCT site FROM c) s, sc
 UNION ALL SELECT site, 'fontSize', '--text-' || px, px || 'px', uses, 'mined' FROM c WHERE px BETWEEN 10 AND 240 AND px NOT IN (SELECT px FROM sc)"""
 
@@ -261,7 +261,7 @@ def _(spark, d):
 
 
 @query("token_upsert_plan", """
-WITH w AS (SELECT site, name, min(value) AS value FROM {var_tokens} WHERE length(name) < 5 GROUP BY ALL), e AS (SELECT site, name, value FROM {var_tokens} WHERE name LIKE '%1%' UNION ALL SELECT site, name, 'old' FROM {var_tokens} WHERE name LIKE '%1%')
+WITH w AS (SELECT site, name, min(value) AS value FROM {var_tokens} GROUP BY ALL), e AS (SELECT site, name, value FROM {var_tokens} WHERE name LIKE '%1%' UNION ALL SELECT site, name, 'old' FROM {var_tokens} WHERE name LIKE '%1%')
 SELECT site, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.site = w.site AND e.name = w.name) THEN 'update' ELSE 'create' END AS action, name, value FROM w""")
 def _(spark, d):
     t = view(spark, d, "var_tokens")
@@ -288,9 +288,9 @@ def _(spark, d):
 
 
 define_view("css_files", r"""
-SELECT 'site-' || CAST(CAST(floor(p_partkey / 32) AS BIGINT) AS STRING) AS site, p_partkey AS pos,
-  '/* c: #000; */ :root{ --token-a' || CAST(p_size % 5 AS STRING) || ': ' || printf('#%02x%02x%02x', p_partkey % 6 * 40, p_partkey % 4 * 60, p_partkey % 2 * 200) || '; --gap-x: ' || CAST(p_size AS STRING) || 'px; --font-a: Inter; --n: 2 } .a{ color: #ABC; font-family: ' ||
-  CASE p_partkey % 3 WHEN 0 THEN 'Inter, sans-serif' WHEN 1 THEN 'Georgia' ELSE 'Lora' END || '; padding: ' || CAST(p_size % 4 AS STRING) || 'px; border-radius: ' || CAST(p_size % 3 AS STRING) || 'px; box-shadow: none }' AS css FROM {part}
+SELECT 'site-' || CAST(CAST(floor(p_partkey / 32) AS BIGINT) AS STRING) AS site, p_partkey AS pos, replace(replace(
+  '/* c: #000; */ :root« --token-a' || CAST(p_size % 5 AS STRING) || ': ' || printf('#%02x%02x%02x', p_partkey % 6 * 40, p_partkey % 4 * 60, p_partkey % 2 * 200) || '; --gap-x: ' || CAST(p_size AS STRING) || 'px; --font-a: Inter; --n: 2 » .a« color: #ABC; font-family: ' ||
+  CASE p_partkey % 3 WHEN 0 THEN 'Inter, sans-serif' WHEN 1 THEN 'Georgia' ELSE 'Lora' END || '; padding: ' || CAST(p_size % 4 AS STRING) || 'px; border-radius: ' || CAST(p_size % 3 AS STRING) || 'px; box-shadow: none »', '«', chr(123)), '»', chr(125)) AS css FROM {part}
 """)
 
 
@@ -316,8 +316,8 @@ def _(spark, d):
 @query("folder_tokens", r"""
 WITH r AS (SELECT site, 'color' AS kind, lower(v) AS value, pos, i FROM (SELECT site, pos, unnest(xs) AS v, unnest(range(0, len(xs))) AS i FROM (SELECT site, pos, regexp_extract_all(css, '#[0-9a-fA-F]{3,8}\b') AS xs FROM {css_files}) a) b
   UNION ALL SELECT site, 'family', lower(trim(regexp_extract(css, 'font-family\s*:\s*([^;}{]+)', 1))), pos, 0 FROM {css_files}),
-f AS (SELECT site, kind, value, min((pos, i)) AS at FROM r GROUP BY ALL)
-SELECT site, kind, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY at) AS rank FROM f) t WHERE rank <= CASE WHEN kind = 'color' THEN 6 ELSE 2 END""")
+f AS (SELECT site, kind, value, min((pos, i)) AS at_ FROM r GROUP BY ALL)
+SELECT site, kind, value, rank FROM (SELECT *, row_number() OVER (PARTITION BY site, kind ORDER BY at_) AS rank FROM f) t WHERE rank <= CASE WHEN kind = 'color' THEN 6 ELSE 2 END""")
 def _(spark, d):
     return H.folder_tokens(view(spark, d, "css_files"), 6, 2)
 
