@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quiltlens.functions import markup as M
 
 # Attributes a rewrite may change without changing the content.
-FREE_ATTRS = ["alt", "role", "lang", "title", "tabindex", "for", "id"]
+FREE_ATTRS = ["alt", "role", "lang", "title", "tabindex", "for"]
 
 
 def _locked_tag(token: Column) -> Column:

@@ -16,7 +16,7 @@ SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN replace(html, '<html lang="e
 
 def _sig(src: str) -> str:
     tag = "regexp_extract(x, '(?s)^<[^>]*>', 0)"
-    attrs = rf"""list_sort(list_filter(list_transform(regexp_extract_all({tag}, '(?s)\s[a-zA-Z_:][a-zA-Z0-9_.:-]*\s*=\s*(?:"[^"]*"|''[^'']*'')'), lambda a: lower(trim(regexp_extract(a, '(?s)^\s*([^=\s]+)', 1))) || '=' || regexp_extract(a, '(?s)=\s*["''](.*)["'']$', 1)), lambda p: split_part(p, '=', 1) NOT IN ('alt','role','lang','title','tabindex','for','id') AND p NOT LIKE 'aria-%'))"""
+    attrs = rf"""list_sort(list_filter(list_transform(regexp_extract_all({tag}, '(?s)\s[a-zA-Z_:][a-zA-Z0-9_.:-]*\s*=\s*(?:"[^"]*"|''[^'']*'')'), lambda a: lower(trim(regexp_extract(a, '(?s)^\s*([^=\s]+)', 1))) || '=' || regexp_extract(a, '(?s)=\s*["''](.*)["'']$', 1)), lambda p: split_part(p, '=', 1) NOT IN ('alt','role','lang','title','tabindex','for') AND p NOT LIKE 'aria-%'))"""
     text = r"trim(regexp_replace(regexp_replace(x, '(?s)^<[^>]*>', ''), '\s+', ' ', 'g'))"
     return rf"""SELECT site, page_id, path, sha256(array_to_string(list_transform(t, lambda x: '<' || lower(regexp_extract(x, '^<(/?[a-zA-Z][a-zA-Z0-9-]*)', 1)) || CASE WHEN len({attrs}) > 0 THEN ' ' || array_to_string({attrs}, ' ') ELSE '' END || '>' || CASE WHEN {text} <> '' THEN chr(10) || {text} ELSE '' END), chr(10))) AS signature
 FROM (SELECT k.site, k.page_id, k.path, regexp_extract_all(regexp_replace(html, '(?s)<!.*?>', '', 'g'), '(?s)<[/a-zA-Z][^>]*>[^<]*') AS t FROM {src} p JOIN {{corpus_keys}} k USING (page_id)) a"""
