@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = [
-    "inventory", "links", "audit", "similarity", "tokens", "telemetry", "geometry", "checks", "components", "assets",
+    "inventory", "links", "audit", "similarity", "tokens", "telemetry", "geometry", "checks", "components", "assets", "sources",
 ]
 
 
