@@ -50,7 +50,7 @@ def heading_levels(html: Column) -> Column:
 
 
 def heading_findings(html: Column) -> Column:
-    levels = heading_levels(html)
+    levels = F.col("_levels")
     ones = F.size(F.filter(levels, lambda v: v == 1))
     pairs = F.arrays_zip(levels.alias("a"), F.slice(levels, 2, 1000000).alias("b"))
     skipped = F.exists(pairs, lambda p: F.coalesce(p["b"] > p["a"] + 1, F.lit(False)))
@@ -62,10 +62,8 @@ def heading_findings(html: Column) -> Column:
 
 
 def landmark_findings(html: Column) -> Column:
-    body = F.regexp_replace(html, FOOTER, " ")
-    navs = M.all_matches(body, NAV_TAG)
-    outside = M.all_matches(F.regexp_replace(F.regexp_replace(body, HEADER, " "), MAIN, " "), NAV_TAG)
-    stray = F.filter(outside, lambda n: ~n.rlike(MOBILE_NAV))
+    body, navs = F.col("_body"), F.col("_navs")
+    stray = F.filter(F.col("_outside"), lambda n: ~n.rlike(MOBILE_NAV))
     has_header, has_main, has_footer = html.rlike(r"(?i)<header\b"), html.rlike(r"(?i)<main\b"), html.rlike(r"(?i)<footer\b")
     main_id = M.attr(F.regexp_extract(html, r"(?is)<main\b[^>]*>", 0), "id")
     text = F.lower(M.text_of(body))
@@ -111,12 +109,11 @@ def section_tag_findings(html: Column, section_attr: str = "data-section") -> Co
 
 
 def footer_findings(html: Column) -> Column:
-    foot = F.regexp_extract(html, FOOTER, 0)
+    foot = F.col("_foot")
     unlinked = M.all_matches(F.regexp_replace(foot, M.LINK, " "), r"(?is)<(?:img|svg)\b[^>]*>")
     icons = F.filter(unlinked, lambda el: el.rlike(SOCIAL))
-    inputs = M.all_matches(foot, r"(?is)<input\b[^>]*>")
+    inputs, buttons = F.col("_inputs"), F.col("_buttons")
     email = F.exists(inputs, lambda el: (F.lower(M.attr(el, "type")) == "email") | F.lower(M.attr(el, "placeholder")).contains("email"))
-    buttons = M.all_matches(foot, r"(?is)<button\b[^>]*>.*?</button\s*>")
     submit = F.exists(
         F.concat(inputs, buttons), lambda el: (F.lower(M.attr(el, "type")) == "submit") | F.lower(F.trim(M.attr(el, "value"))).isin(*SUBMIT_LABELS)
     ) | F.exists(buttons, lambda el: F.lower(M.text_of(el)).isin(*SUBMIT_LABELS))
@@ -138,8 +135,14 @@ PAGE_CHECKS = {
 def page_findings(corpus: DataFrame, checks: list[str] | None = None) -> DataFrame:
     """Findings of the chosen page-local checks: ``(site, page_id, check, kind, detail)``."""
     # staged so that the visible markup and the shared parts of the checks are computed once per row
-    seen = corpus.select("site", "page_id", M.visible(F.col("html")).alias("html")).select(
-        "*", F.transform(M.all_matches(F.col("html"), r"(?is)<label\b[^>]*>"), lambda el: M.attr(el, "for")).alias("_fors")
+    html = F.col("html")
+    seen = corpus.select("site", "page_id", M.visible(html).alias("html")).select(
+        "*", F.transform(M.all_matches(html, r"(?is)<label\b[^>]*>"), lambda el: M.attr(el, "for")).alias("_fors"),
+        heading_levels(html).alias("_levels"), F.regexp_extract(html, FOOTER, 0).alias("_foot"), F.regexp_replace(html, FOOTER, " ").alias("_body"),
+    ).select(
+        "*", M.all_matches(F.col("_body"), NAV_TAG).alias("_navs"),
+        M.all_matches(F.regexp_replace(F.regexp_replace("_body", HEADER, " "), MAIN, " "), NAV_TAG).alias("_outside"),
+        M.all_matches(F.col("_foot"), r"(?is)<input\b[^>]*>").alias("_inputs"), M.all_matches(F.col("_foot"), r"(?is)<button\b[^>]*>.*?</button\s*>").alias("_buttons"),
     )
     picked = [PAGE_CHECKS[c](F.col("html")) for c in (checks or PAGE_CHECKS)]
     return (
