@@ -57,8 +57,8 @@ def test_running_values_equal_plain_windows_even_when_one_key_fills_all_chunks(s
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     df.createOrReplaceTempView("t_running")
-    want = spark.sql("""SELECT k, o, lag(v) OVER w a, max(v) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) c, last(v, true) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) d,
-        first(v, true) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) e, row_number() OVER w f, lead(v) OVER w g FROM t_running WINDOW w AS (PARTITION BY k ORDER BY o)""")
+    want = spark.sql("""SELECT k, o, lag(v) OVER w a, max(v) OVER (PARTITION BY k ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) c, last(v, true) OVER (PARTITION BY k ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) d,
+        first(v, true) OVER (PARTITION BY k ORDER BY o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) e, row_number() OVER w f, lead(v) OVER w g FROM t_running WINDOW w AS (PARTITION BY k ORDER BY o)""")
     assert got == rows(want.na.fill(-1), "k", "o", "a", "c", "d", "e", "f", "g")
 
 
