@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiltlens.llm import content_sort, feistel, url_templates
+from quiltlens.llm import content_sort, feistel, ftrl, token_orc, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -125,3 +126,16 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.content_sort_dedup(table(spark, sf_dir, "documents"), keep="max")
+
+
+@query("op9_ftrl_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = ftrl.fit_quality(docs, labels)
+    scored = ftrl.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", ftrl.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_token_orc")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
