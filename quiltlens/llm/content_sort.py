@@ -10,14 +10,16 @@ from quiltlens.llm.rows import partitions
 from quiltlens.session import materialize
 
 SALTS = 64
+LEAD = 48
 
 
 def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None,
                        keep: str = "min", salts: int = SALTS) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
-    Sampled splitters range-partition the normalised text (byte order); the partitions are sorted externally, so
-    equal texts are adjacent, and the window compares whole neighbouring texts. A text with more rows than a
+    Sampled splitters range-partition the normalised text by its first characters and, where those agree, by a
+    fingerprint, so that the sample the driver sees has short keys; the partitions are sorted externally by these and
+    the whole text, so equal texts are adjacent, and the window compares whole neighbouring texts. A text with more rows than a
     quarter of a partition's fair share is hot: its rows are first spread over ``salts`` sub-ranges, which are
     adjacent ranges too; their heads (at most ``salts`` per hot text, and at most four hot texts per partition) are
     compared as whole texts afterwards. Only narrow columns leave the sort.
@@ -34,12 +36,12 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fair = max(1, base.count() // (4 * n))
     hot = base.groupBy("print").count().filter(F.col("count") > fair).select("print", F.lit(True).alias("hot"))  # fewer than 4 n rows
     salted = base.join(F.broadcast(hot), "print", "left").select(
-        "id", "body", F.coalesce("hot", F.lit(False)).alias("hot"),
+        "id", "body", F.substring("body", 1, LEAD).alias("lead"), "print", F.coalesce("hot", F.lit(False)).alias("hot"),
         F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0).cast("int").alias("salt"))
     best = {"min": F.min, "max": F.max}[keep]
     first = F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last()
-    same = Window.partitionBy("body", "salt")
-    runs = salted.repartitionByRange(n, "body", "salt").select(
+    same = Window.partitionBy("lead", "print", "body", "salt")
+    runs = salted.repartitionByRange(n, "lead", "print", "salt").select(
         "id", "body", "hot", best("id").over(same).alias("head"), F.count("*").over(same).alias("run"), F.row_number().over(same.orderBy(first)).alias("at"))
     runs = materialize(runs.select(
         "id", "hot", "head", "run", "at", F.sha2("body", 256).alias("text_sha256"), F.when(F.col("hot") & (F.col("at") == 1), F.col("body")).alias("hot_body")), "content-sort")
