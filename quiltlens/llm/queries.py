@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiltlens.llm import content_sort, feistel, ftrl, token_orc, url_templates
+from quiltlens.llm import content_sort, feistel, ftrl, lsh_forest, token_orc, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -139,3 +139,24 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_orc")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op2_lsh_forest", r"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END AS s
+  FROM words),
+items AS (SELECT doc_id, unnest(s) AS item FROM sets),
+common AS (SELECT item, list(doc_id) AS docs FROM items GROUP BY item HAVING count(*) > 1),
+half AS (SELECT unnest(docs) AS a, docs FROM common),
+pairs AS (SELECT a, b, count(*) AS n FROM (SELECT a, unnest(docs) AS b FROM half) WHERE a < b GROUP BY a, b),
+links AS (
+  SELECT a, b FROM pairs p JOIN sets x ON x.doc_id = p.a JOIN sets y ON y.doc_id = p.b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+walk AS (WITH RECURSIVE r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, sym.b FROM r JOIN sym ON r.b = sym.a) SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN walk ON doc_id = a""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
