@@ -136,20 +136,22 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS) -> np.n
     return out
 
 
-def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "score", bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: str = "score", bits: int = BITS, without: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with a score from 0 to 1 as column ``name``: a sparse dot product of each whole text with the weights.
 
-    A null or empty text has the score of the bias. Only words of the text are read. An existing column ``name`` is replaced.
+    A null or empty text has the score of the bias. Only words of the text are read. An existing column ``name`` is
+    replaced; columns in ``without`` are left out of the result.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2**bits + 2 numbers
     rest = [c for c in docs.columns if c != name]
-    schema = docs.select(rest).schema.add("_body", "binary").add(name, "double")
+    shown = [c for c in rest if c not in without]
+    schema = docs.select(shown).schema.add(name, "double")
 
     def dot(batches):
         w = held.value
         for batch in batches:
-            texts, scores = [t or b"" for t in batch["_body"]], np.empty(len(batch))
+            texts, scores = [t.encode() if t else b"" for t in batch[text_col]], np.empty(len(batch))
             for a, b in slices(texts):
                 slots, n_words = features(texts[a:b], bits)
                 sums = np.zeros(b - a)
@@ -158,10 +160,9 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", name: st
                     starts = (np.cumsum(n_words) - n_words)[full]
                     sums[full] = np.add.reduceat(w[slots].sum(axis=0, dtype=np.float64), starts) * SCALE / n_words[full]
                 scores[a:b] = 1 / (1 + np.exp(-np.clip(sums + w[-1], -35, 35)))
-            yield batch.assign(**{name: scores, "_body": None})
+            yield batch[shown].assign(**{name: scores})
 
-    body = F.col(text_col).cast("binary")
-    return docs.select(*[docs[c] for c in rest]).withColumn("_body", body).mapInPandas(dot, schema).drop("_body")
+    return docs.select(rest).mapInPandas(dot, schema)
 
 
 def held_out(id_col: str):

@@ -194,7 +194,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``id_col, n_shingles, component_id, kept``.
+    """One row per document: ``id_col, n_shingles, component_id, kept, text_mark`` (a 64-bit hash of the text).
 
     Documents with equal shingle sets are one class and linked. Classes meet as longest-common-prefix neighbours in 16
     sorted orders of their 48 minima; a region of one order that holds more than 256 classes goes one hash deeper, as
@@ -203,8 +203,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, id_col:
     costs a few pairs a member. A pair at the threshold of 0.85 shares no region of three hashes with probability
     (1 - 0.85^3)^16 < 1e-6, at depth 8 0.6 percent. Links are exact: 100 * intersection >= percent * union.
 
-    ``component_id`` is the smallest id reachable; null ids never name a component that has another, and of rows that
-    share id and component one is kept. Empty or null texts have no shingles and stay alone. Other columns are ignored.
+    ``component_id`` is the smallest id reachable; null ids never name a component that has another; kept says
+    that the id is the component's. Empty or null texts have no shingles and stay alone. Other columns are ignored.
     """
     base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").cast("binary").alias("body")).withColumn("mark", F.xxhash64("body"))
     described = materialize(_describe(base, k), "minhash")
@@ -224,9 +224,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, id_col:
     lowest = lowest.join(lowest.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("print", "component_id")
     own = described.filter("n > 0").groupBy("print").agg(F.min("id").alias("own_id"))
     named = own.join(lowest, "print", "left").select("print", F.coalesce("component_id", "own_id").alias("component_id"))
-    full = described.filter("n > 0").select("id", "n", "print").join(named, "print").select("id", "n", "component_id")
-    every = full.unionByName(described.filter("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = described.filter("n > 0").select("id", "mark", "n", "print").join(named, "print").select("id", "mark", "n", "component_id")
+    every = full.unionByName(described.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id")))
+    return every.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+                        F.col("mark").alias("text_mark"))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each near-duplicate group (0.8 or more); rows that repeat id and text count as one."""
+    found = materialize(near_duplicates(docs, percent, id_col=id_col, text_col=text_col), "near")
+    gone = found.filter(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("text_mark").alias("_mark")).distinct()
+    marked = docs.withColumn("_own_mark", F.xxhash64(F.col(text_col).cast("string").cast("binary")))
+    left = marked.join(gone, marked[id_col].eqNullSafe(gone["_id"]) & (marked["_own_mark"] == gone["_mark"]), "left_anti")
+    if not found.groupBy(id_col, "text_mark").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates([id_col, "_own_mark"])
+    return left.drop("_own_mark")
 
 
 def _crowded(classes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiltlens.llm import content_sort, feistel, ftrl, lsh_forest, token_orc, url_templates
+from quiltlens.llm import content_sort, feistel, ftrl, latent, lsh_forest, pfair, token_orc, url_templates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -132,7 +132,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     weights = ftrl.fit_quality(docs, labels)
-    scored = ftrl.score(docs.select("doc_id", "text"), weights)
+    scored = ftrl.score(docs.select("doc_id", "text"), weights, without=("text",))
     return scored.select("doc_id", ftrl.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -159,4 +159,21 @@ sym AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 walk AS (WITH RECURSIVE r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, sym.b FROM r JOIN sym ON r.b = sym.a) SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT doc_id, len(s) AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN walk ON doc_id = a""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents")).drop("text_mark")
+
+
+@query("op3_latent_leaks")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_pfair_mix")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").alias("n_bytes"))
+    return pfair.pfair_mix(docs, tie_cols=["n_bytes"])
+
+
+@query("op7_warc_derive")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.response_records(table(spark, sf_dir, "pages")))
+    return made.select(*[c for c in made.columns if c != "record"], F.sha2("record", 256).alias("record_sha256"))

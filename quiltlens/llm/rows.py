@@ -27,12 +27,12 @@ def dense_rows(df: DataFrame, order: list[str], group: list[str] | None = None,
     )
     sizes = marked.groupBy(*group, "_part").agg(F.min("_at").alias("_lo"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*group, "_part", "_lo", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    on = marked["_part"] == sizes["_part"]
-    for g in group:
-        on = on & marked[g].eqNullSafe(sizes[g])
-    joined = marked.join(sizes, on)
-    return joined.select(*[marked[c] for c in df.columns], (marked["_at"] - sizes["_lo"] + sizes["_before"]).alias(name))
+    own = {g: f"_group{i}" for i, g in enumerate(group)}
+    sizes = sizes.select(*[F.col(g).alias(k) for g, k in own.items()], F.col("_part").alias("_of"), "_lo", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    on = F.col("_part") == F.col("_of")
+    for g, k in own.items():
+        on = on & F.col(g).eqNullSafe(F.col(k))
+    return marked.join(sizes, on).select(*df.columns, (F.col("_at") - F.col("_lo") + F.col("_before")).alias(name))
 
 
 def slices(texts: list, budget: int = 2_000_000):
