@@ -15,17 +15,29 @@ from quiltlens.llm.rows import partitions
 from quiltlens.session import materialize, shared_dir
 
 END_ID = 2
-CACHE = 300_000
+CACHE = 900_000
 STRIDE = 1000
 _AROUND = re.compile(r"\s \s|  ")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies spell each byte as a visible letter: itself if printable, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+SPACE = chr(BYTE_LETTERS[32])
+
+
 class ChunkEncoder(dict):
     """Encodes texts with a byte-level BPE tokenizer whose words carry the space before them.
 
     Such a tokenizer never merges across the start of " word", so a text may be cut there; every distinct piece is
-    encoded once by the library and remembered. Texts with runs of white space around a space, or with a special
-    token's spelling, go to the library whole. Memory is bounded: the pieces are forgotten when there are too many.
+    encoded once by the library and remembered. A piece of letters is one pre-token, which the library's model takes
+    directly. Texts with runs of white space around a space, or with a special token's spelling, go to the library
+    whole. Memory is bounded: the pieces are forgotten when there are too many.
     """
 
     def __init__(self, path: str):
@@ -35,14 +47,32 @@ class ChunkEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        kind = self.tokenizer.pre_tokenizer
+        self.direct = type(kind).__name__ == "ByteLevel" and not kind.add_prefix_space and self.tokenizer.normalizer is None
+        self.marks = {m: self._whole(m) for m in (".", ",", "\n")}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, text: str, space: str) -> bytes:
+        """Ids of ``space + text``: letters with at most one full stop or comma after them need no pre-tokenizer."""
+        body = text[:-1] if text[-1:] in (".", ",") else text
+        if not (self.direct and body.isalpha()):
+            return self._whole(space + text)
+        spelled = (SPACE if space else "") + body if body.isascii() else (space + body).encode().decode("latin-1").translate(BYTE_LETTERS)
+        tokens = self.tokenizer.model.tokenize(spelled)
+        ids = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return ids + self.marks[text[-1]] if len(body) < len(text) else ids
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = ids = self._whole(" " + word)
+        before, line_end, after = word.partition("\n")
+        if line_end and before and after and not any(c.isspace() for c in before + after):
+            ids = self[before] + self.marks["\n"] + self._piece(after, "")
+        else:
+            ids = self._piece(word, " ")
+        self[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
