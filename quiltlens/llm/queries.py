@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quiltlens.llm import content_sort, feistel, ftrl, latent, lsh_forest, pfair, token_orc, url_templates, warc
+from quiltlens.llm import content_sort, feistel, fm_index, ftrl, latent, lsh_forest, pfair, token_orc, url_templates, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -177,3 +177,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.response_records(table(spark, sf_dir, "pages")))
     return made.select(*[c for c in made.columns if c != "record"], F.sha2("record", 256).alias("record_sha256"))
+
+
+@query("op6_fm_substring", r"""
+WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13),
+texts AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS t FROM windows),
+first AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY t) AS d FROM texts),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM first WHERE d < doc_id),
+lists AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM words),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM pos ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT words.doc_id AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM words LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
