@@ -43,11 +43,17 @@ def permute(x: int, a: int, b: int, key: int) -> int:
 
 
 def longest_walk(n: int, key: int) -> int:
-    """How many extra passes any row needs: the longest chain through the fewer than sqrt(n) + 1 values outside."""
+    """How many extra passes any row needs: the longest chain through the fewer than sqrt(n) + 1 values outside.
+
+    A chain that a row enters loses a value with each pass; what no longer shrinks are cycles that no row enters.
+    """
     a, b = sides(n)
     outside, steps = list(range(n, a * b)), 0
     while outside:
-        outside, steps = [y for x in outside if (y := permute(x, a, b, key)) >= n], steps + 1
+        moved = [y for x in outside if (y := permute(x, a, b, key)) >= n]
+        if len(moved) == len(outside):
+            break
+        outside, steps = moved, steps + 1
     return steps
 
 
