@@ -76,7 +76,7 @@ def resolve(href: Column, base: Column) -> Column:
         .when(bare.startswith("/"), F.concat(site, bare))
         .when(bare == "", F.concat(site, raw_path(base)))
         .when(bare.startswith("?"), F.concat(site, raw_path(base), bare))
-        .when(bare.startswith("../"), F.concat(site, up, F.substring(bare, 4, 100000)))
-        .when(bare.startswith("./"), F.concat(site, folder, F.substring(bare, 3, 100000)))
+        .when(bare.startswith("../"), F.concat(site, up, F.substr(bare, F.lit(4))))
+        .when(bare.startswith("./"), F.concat(site, folder, F.substr(bare, F.lit(3))))
         .otherwise(F.concat(site, folder, bare))
     )

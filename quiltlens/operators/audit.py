@@ -52,7 +52,7 @@ def heading_levels(html: Column) -> Column:
 def heading_findings(html: Column) -> Column:
     levels = F.col("_levels")
     ones = F.size(F.filter(levels, lambda v: v == 1))
-    pairs = F.arrays_zip(levels.alias("a"), F.slice(levels, 2, 1000000).alias("b"))
+    pairs = F.arrays_zip(levels.alias("a"), F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))).alias("b"))
     skipped = F.exists(pairs, lambda p: F.coalesce(p["b"] > p["a"] + 1, F.lit(False)))
     return _stack(
         F.when(ones == 0, finding("heading", "0 h1")),

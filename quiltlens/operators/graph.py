@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from quiltlens.session import materialize
 
-MAX_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` → ``(node, root)`` with the smallest node of each component as root.
@@ -21,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     marks = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
@@ -35,4 +33,3 @@ def components(edges: DataFrame) -> DataFrame:
             roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
             return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         marks = (now["n"], now["h"])
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

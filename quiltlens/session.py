@@ -29,10 +29,12 @@ def local_session(cores: str = "8", app: str = "quiltlens") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where it names none."""
+    """The shared folder the cluster names; a temporary one only where it names none and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     if key not in _FALLBACK:
         _FALLBACK[key] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
