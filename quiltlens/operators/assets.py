@@ -12,8 +12,12 @@ RESIZE_KEYS = ["scale-down-to", "w", "width", "h", "height", "q", "quality", "fi
 IMAGE_END = r"(?i)\.(png|jpe?g|gif|webp|avif|svg)$"
 RASTER_END = r"(?i)\.(png|jpe?g|gif|webp|avif)$"
 FONT_END = r"(?i)\.(woff2?|ttf|otf|eot)$"
-GENERIC_FAMILY = "(?i)^(sans-serif|serif|monospace|cursive|fantasy|system-ui|ui-sans-serif|ui-serif|ui-monospace|inherit|initial)$"
-WEIGHT_WORDS = [("thin", 100), ("extralight", 200), ("light", 300), ("medium", 500), ("semibold", 600), ("extrabold", 800), ("bold", 700), ("black", 900)]
+GENERIC_FAMILY = r"(?i)^\s*(system-ui|sans-serif|serif|monospace|ui-sans-serif|ui-serif|ui-monospace|emoji|cursive|fantasy|-apple-system|blinkmacsystemfont)\s*$"
+LATIN_RANGE = r"(?i)U\+0*0+-0*00FF|U\+0*0+-0*007F|U\+0000-10FFFF"
+WEIGHT_WORDS = {
+    "thin": 100, "extralight": 200, "ultralight": 200, "light": 300, "regular": 400, "normal": 400, "book": 400, "medium": 500,
+    "semibold": 600, "demibold": 600, "bold": 700, "extrabold": 800, "ultrabold": 800, "black": 900, "heavy": 900,
+}
 
 
 def original_url(url: Column) -> Column:
@@ -118,11 +122,9 @@ def font_faces(css: DataFrame) -> DataFrame:
 
 
 def latin_faces(faces: DataFrame) -> DataFrame:
-    """Within family, weight and style keep Latin ranges when any range is given; then drop repeats of the full identity."""
-    key = ["site", "page", "family", "weight", "style"]
-    ranged = faces.groupBy(*key).agg(F.bool_or(F.col("unicode_range") != "").alias("_ranged"))
-    kept = faces.join(ranged, key).filter(~F.col("_ranged") | F.upper("unicode_range").rlike(r"U\+0000"))
-    return dedupe_first(kept.drop("_ranged"), [*key, "unicode_range", "url"], ["pos", "i"])
+    """Faces with a Latin range or none, first of each full identity; families are the same without case."""
+    kept = faces.filter((F.trim("unicode_range") == "") | F.col("unicode_range").rlike(LATIN_RANGE)).withColumn("_family", F.lower("family"))
+    return dedupe_first(kept, ["site", "page", "_family", "weight", "style", "unicode_range", "url"], ["pos", "i"]).drop("_family")
 
 
 def collect_plan_summary(pages: DataFrame, faces: DataFrame, kept: DataFrame, images: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def font_roster(library: DataFrame, css: DataFrame, files: DataFrame) -> DataFra
     one = dedupe_first(rows, ["site", "key"], ["src", "pos"])
     name = F.lower("file")
     weight = F.coalesce(F.regexp_extract("file", r"[-_](\d00)\b", 1).try_cast("int"))
-    for word, value in WEIGHT_WORDS:
+    for word, value in sorted(WEIGHT_WORDS.items(), key=lambda x: -len(x[0])):  # longer words hold shorter ones
         weight = F.coalesce(weight, F.when(name.contains(word), value))
     w = files.select("site", F.lower(F.trim("family")).alias("key"), F.coalesce(weight, F.lit(400)).cast("bigint").alias("weight")).distinct()
     return one.join(w, ["site", "key"], "left").select("site", "family", F.when(F.col("src") == 0, "library").otherwise("css").alias("origin"), "weight")
@@ -161,7 +163,7 @@ def font_face_check(built: DataFrame, source: DataFrame, files: DataFrame) -> Da
     kinds = F.array_compact(F.array(
         F.when(F.col("_file").isNull(), "missing file"), F.when(F.col("_sha").isNull(), "descriptor mismatch"),
         F.when(F.col("_file").isNotNull() & F.col("_bytes").isNull(), "byte mismatch"),
-        F.when((F.col("unicode_range") != "") & ~F.upper("unicode_range").rlike(r"U\+0000"), "non-latin subset"),
+        F.when((F.col("unicode_range") != "") & ~F.col("unicode_range").rlike(LATIN_RANGE), "non-latin subset"),
     ))
     return j.select("site", "family", "weight", "style", "file", F.explode(kinds).alias("kind"))
 

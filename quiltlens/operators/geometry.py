@@ -1,31 +1,48 @@
 """Geometry checks over node tables.
 
-``nodes(site, board, node_id, parent_id, ord, component, name, x, y, w, h, position, style_key, text, filled, children)``.
+``nodes(site, board, node_id, parent_id, ord, component, name, x, y, w, h, position, style_key, text, filled, children,
+stroke, insets)``: stroke is the widest border in px, insets how many of top, right, bottom and left are zero.
 A parent may hold very many children, so sibling order goes through chunked running values
 and sibling overlap through a grid join, never through all pairs of a parent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quiltlens.operators.inventory import dedupe_first
 from quiltlens.operators.ordered import running
 
 SLACK = 2.0
 CELL = 256
+COVER = 4  # px by which a full-bleed node may miss its parent
+# Names and heights that mark a navigation bar.
+NAVBAR_NAME = r"(?i)^(header|nav|navbar|site-chrome|chrome)\b|^(00|0a)[- ·]|pc-0[0a]([-.]|$)"
+NAVBAR_PART, NOT_NAVBAR = r"(?i)\b(logo|menu|burger|hamburger)\b", r"(?i)\b(hero|section)\b"
+BAR_HEIGHT, BAR_TOP, VIEWPORT_HEIGHT = 220, 160, 900
+
+
+def _loose() -> Column:
+    """Placed outside the flow; a node without a stated position is in it."""
+    return F.coalesce(F.col("position").isin("absolute", "fixed"), F.lit(False))
+
+
+def _covers() -> Column:
+    return (F.abs(F.col("w") - F.col("pw")) <= COVER) & (F.abs(F.col("h") - F.col("ph")) <= COVER)
 
 
 def node_defects(nodes: DataFrame) -> DataFrame:
-    """Zero size, hidden variant, empty frame, empty image slot, thin absolute decoration."""
-    p = nodes.select("site", F.col("node_id").alias("parent_id"), F.col("w").alias("pw"))
+    """Zero size, hidden variant, empty frame or named section over 40 px, empty image slot, loose empty stroke of 1 to 2 px."""
+    p = nodes.select("site", F.col("node_id").alias("parent_id"), F.col("w").alias("pw"), F.col("h").alias("ph"))
     n = nodes.join(p, ["site", "parent_id"], "left")
     kinds = F.array_compact(F.array(
         F.when((F.col("w") <= 0) | (F.col("h") <= 0), "zero size"),
         F.when((F.col("w") > 0) & (F.col("w") <= 2) & (F.col("h") > 800), "hidden variant"),
-        F.when((F.col("component") == "Frame") & (F.col("children") == 0) & ~F.col("filled") & (F.col("w") > 0) & (F.col("h") > 0), "empty frame"),
+        F.when((F.col("component") == "Frame") & (F.col("children") == 0) & ~F.col("filled") & (F.col("w") > 40) & (F.col("h") > 40),
+               F.when(F.col("name").rlike(r"^\d{2}\s*·"), "empty named section").otherwise("empty frame")),
         F.when((F.col("component") == "Rectangle") & ~F.col("filled") & F.lower("name").rlike("image|photo|img"), "empty image slot"),
-        F.when((F.col("position") == "absolute") & (F.col("h") <= 2) & (F.col("h") > 0) & (F.col("w") < 0.5 * F.coalesce("pw", "w")), "thin decoration"),
+        F.when(_loose() & (F.col("children") == 0) & (F.col("component") != "Text") & (F.col("stroke") > 0) & (F.col("stroke") <= 2) & (F.col("w") > 8) & (F.col("h") > 8)
+               & ((F.col("insets") >= 3) | F.coalesce(_covers(), F.lit(False))), "loose decoration"),
     ))
     return n.select("site", "board", "node_id", F.explode(kinds).alias("kind"))
 
@@ -46,7 +63,7 @@ def sibling_overlap(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     Nodes meet only in the grid cells they share, and a pair counts only in the cell that
     holds the corner where the two begin to overlap.
     """
-    flow = nodes.filter("position <> 'absolute' AND w > 0 AND h > 0")
+    flow = nodes.filter(~_loose() & (F.col("w") > 0) & (F.col("h") > 0))
     cells = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell))
     placed = flow.select("site", "board", "parent_id", "node_id", *"xywh", F.explode(cells("x", "w")).alias("cx")).withColumn("cy", F.explode(cells("y", "h")))
     a, b = placed.alias("a"), placed.alias("b")
@@ -59,11 +76,11 @@ def sibling_overlap(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     return a.join(b, cond & first).select("a.site", "a.board", F.col("a.node_id").alias("a"), F.col("b.node_id").alias("b"), wide.alias("wide"), tall.alias("tall"))
 
 
-def vertical_gaps(nodes: DataFrame, limit: float = 120) -> DataFrame:
-    """Gap to the previous in-flow sibling above the limit."""
-    flow = nodes.filter("position <> 'absolute'").select("site", "board", "parent_id", "y", "node_id", "h")
+def vertical_gaps(nodes: DataFrame, limit: float = 240) -> DataFrame:
+    """Gap to the previous in-flow sibling above the limit, to the nearest px."""
+    flow = nodes.filter(~_loose() & F.col("w").isNotNull() & F.col("h").isNotNull()).select("site", "board", "parent_id", "y", "node_id", "h")
     rows = running(flow, ["site", "parent_id"], ["y", "node_id"], {"before": ("lag", F.col("y") + F.col("h")), "prev": ("lag", F.col("node_id"))}, "gaps")
-    gap = F.col("y") - F.col("before")
+    gap = F.floor(F.col("y") - F.col("before") + 0.5).cast("double")
     return rows.filter(gap > limit).select("site", "board", "parent_id", "prev", "node_id", gap.alias("gap"))
 
 
@@ -83,12 +100,12 @@ def placement(sections: DataFrame, top: float = 80) -> DataFrame:
 
 
 def overlay_order(nodes: DataFrame) -> DataFrame:
-    """Full-bleed absolute siblings placed after the first text sibling, with the place after the last image they should take."""
+    """Filled, childless full-bleed siblings outside the flow placed after the first text sibling, with the place after the last image they should take."""
     facts = nodes.groupBy("site", "parent_id").agg(
         F.min(F.when(F.col("component") == "Text", F.col("ord"))).alias("first_text"), F.max(F.when(F.col("component") == "Image", F.col("ord"))).alias("last_image")
     )
     p = nodes.select("site", F.col("node_id").alias("parent_id"), F.col("w").alias("pw"), F.col("h").alias("ph"))
-    over = nodes.filter("position = 'absolute' AND component NOT IN ('Text', 'Image')").join(p, ["site", "parent_id"]).filter("w >= 0.95 * pw AND h >= 0.95 * ph")
+    over = nodes.filter(_loose() & ~F.col("component").isin("Text", "Image") & F.col("filled") & (F.col("children") == 0)).join(p, ["site", "parent_id"]).filter(_covers())
     return over.join(facts, ["site", "parent_id"]).filter("ord > first_text").select(
         "site", "board", "node_id", "ord", "first_text", F.coalesce(F.col("last_image") + 1, F.lit(0)).cast("bigint").alias("target")
     )
@@ -107,11 +124,14 @@ def split_headings(nodes: DataFrame, reach: float = 1.6) -> DataFrame:
     ).filter("parts >= 2").drop("island")
 
 
-def chrome_bars(nodes: DataFrame, boards: DataFrame) -> DataFrame:
-    """Wide, short bars near the top, and boards without any."""
+def chrome_bars(nodes: DataFrame, boards: DataFrame, viewport_height: int = VIEWPORT_HEIGHT) -> DataFrame:
+    """Bars near the top, as wide as four fifths of the board, 32 px to 28 percent of the viewport high; and boards where no node looks like a navigation bar."""
     b = boards.select("site", "board", F.col("w").alias("bw"))
-    bars = nodes.join(b, ["site", "board"]).filter("w >= 0.8 * bw AND h BETWEEN 24 AND 160 AND y <= 120")
-    lost = b.join(bars.select("site", "board").distinct(), ["site", "board"], "left_anti")
+    tallest = min(BAR_HEIGHT, int(viewport_height * 0.28 + 0.5))
+    bars = nodes.join(b, ["site", "board"]).filter((F.col("w") >= 0.8 * F.col("bw")) & F.col("h").between(32, tallest) & (F.col("y") <= BAR_TOP))
+    name = F.coalesce("name", F.lit(""))
+    navbar = name.rlike(NAVBAR_NAME) | ((F.col("h") > 0) & (F.col("h") <= BAR_HEIGHT) & name.rlike(NAVBAR_PART) & ~name.rlike(NOT_NAVBAR))
+    lost = b.join(nodes.filter(navbar).select("site", "board").distinct(), ["site", "board"], "left_anti")
     return bars.select("site", "board", "node_id", F.lit("bar").alias("kind")).unionByName(lost.select("site", "board", F.lit(None).cast("bigint").alias("node_id"), F.lit("no navbar").alias("kind")))
 
 
@@ -130,7 +150,7 @@ def missing_elements(capture: DataFrame, canvas: DataFrame) -> DataFrame:
 
 
 # Severity per finding kind.
-SEVERITY = {"zero size": "low", "hidden variant": "high", "empty frame": "medium", "empty image slot": "high", "thin decoration": "low",
+SEVERITY = {"zero size": "low", "hidden variant": "high", "empty frame": "low", "empty named section": "high", "empty image slot": "high", "loose decoration": "high",
             "missing chrome": "high", "missing section": "high", "empty section": "high", "hidden stack": "medium", "dead text": "medium", "hollow section": "high", "blank source": "low"}
 
 

@@ -103,21 +103,24 @@ def manifest_digest(files: DataFrame) -> DataFrame:
 def finding_validity(findings: DataFrame, snapshot: DataFrame, current: DataFrame) -> DataFrame:
     """Why a finding does not count: missing fields, wrong phase, unknown or stale input digest, thin evidence.
 
-    ``findings(run_id, phase, key, finding_phase, severity, evidence, digest, words_seen, patch_scoped)``;
-    digests come from ``manifest_digest`` at planning time and now.
+    ``findings(run_id, phase, key, agent, finding_phase, severity, source, evidence, suggestion, digest, words_seen, patch_scoped)``;
+    a finding is called stale only if nothing is wrong with its own fields; digests come from ``manifest_digest`` at planning time and now.
     """
     s, c = snapshot.select("run_id", "phase", F.col("digest").alias("_s")), current.select("run_id", "phase", F.col("digest").alias("_c"))
     j = findings.join(s, ["run_id", "phase"], "left").join(c, ["run_id", "phase"], "left")
     blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
-    reasons = F.array_compact(F.array(
-        F.when(blank("severity") | blank("evidence") | blank("key"), "missing field"),
-        F.when(F.col("finding_phase") != F.col("phase"), "wrong phase"),
-        F.when(F.col("_s").isNull() | (F.col("digest") != F.col("_s")), "not from this snapshot"),
-        F.when(F.col("_s").isNotNull() & F.coalesce(F.col("_s") != F.col("_c"), F.lit(True)), "stale"),
+    any_blank = blank("key") | blank("severity") | blank("source") | blank("evidence") | blank("suggestion")
+    errors = F.array_compact(F.array(
+        F.when(any_blank, "missing field"),
+        F.when(~F.col("finding_phase").eqNullSafe(F.col("phase")), "wrong phase"), F.when(blank("agent") | F.col("agent").rlike(r"[/\\]"), "bad agent"),
+        F.when(F.col("_s").isNull() | ~F.col("digest").eqNullSafe(F.col("_s")), "not from this snapshot"),
+    ))
+    more = F.array_compact(F.array(
+        F.when((F.size(errors) == 0) & ~F.col("_s").eqNullSafe(F.col("_c")), "stale"),
         F.when((F.col("phase") == "review") & (F.col("words_seen") < 12), "thin evidence"),
         F.when((F.col("phase") == "polish") & ~F.col("patch_scoped"), "patch not scoped"),
     ))
-    return j.select("run_id", "phase", "key", F.explode(reasons).alias("reason"))
+    return j.select("run_id", "phase", "key", F.explode(F.concat(errors, more)).alias("reason"))
 
 
 def band_review_state(bands: DataFrame, reviews: DataFrame, max_reopen: int = 1) -> DataFrame:

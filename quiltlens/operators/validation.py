@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-# Allowed difference per profile and check type.
+# Allowed difference per profile and check type (sections in percent, text and spacing in px, colours in CIE76).
 PROFILES = {
-    "lenient": {"section": 0.10, "text": 0.08, "spacing": 12.0, "color": 10.0}, "portable": {"section": 0.06, "text": 0.05, "spacing": 8.0, "color": 6.0},
-    "strict": {"section": 0.03, "text": 0.03, "spacing": 4.0, "color": 3.0}, "ultra": {"section": 0.01, "text": 0.01, "spacing": 2.0, "color": 1.5},
+    "lenient": {"section": 2.5, "text": 3.0, "spacing": 2.0, "color": 4.0}, "portable": {"section": 1.0, "text": 2.0, "spacing": 1.0, "color": 2.5},
+    "strict": {"section": 0.5, "text": 1.0, "spacing": 1.0, "color": 1.5}, "ultra": {"section": 0.25, "text": 0.5, "spacing": 0.5, "color": 1.0},
 }
+# Statuses that close an issue.
+CLOSED = ["fixed", "accepted_by_user", "renderer_only_drift"]
 
 
 def match_shots(shots: DataFrame, sections: DataFrame) -> DataFrame:
@@ -23,23 +25,39 @@ def match_shots(shots: DataFrame, sections: DataFrame) -> DataFrame:
     return hits.groupBy("site", "section").agg(F.min(F.struct("rule", "shot")).alias("b")).select("site", "section", F.col("b.shot").alias("shot"), F.col("b.rule").cast("bigint").alias("rule"))
 
 
-def shot_verdicts(shots: DataFrame) -> DataFrame:
-    verdict = (
-        F.when((F.col("built_white") > 0.985) & (F.col("source_white") < 0.9), "empty frame")
-        .when(F.abs(F.col("built_white") - F.col("source_white")) > 0.25, "white ratio differs").when(F.abs("shift") > 80, "board displaced")
+def _hole() -> Column:
+    """A section without children against a source with content, or a white shot against a filled source."""
+    return (
+        F.when((F.coalesce("children", F.lit(1)) == 0) & (F.col("source_white") < 0.75), "empty frame")
+        .when((F.col("built_white") > 0.82) & (F.col("source_white") < 0.55), "white ratio differs")
     )
-    return shots.withColumn("verdict", verdict).filter("verdict IS NOT NULL")
+
+
+def shot_verdicts(shots: DataFrame) -> DataFrame:
+    """``shots(scope, source_white, built_white, children, ...)``; whole boards have looser limits than sections."""
+    board = F.when((F.col("built_white") > 0.72) & (F.col("source_white") < 0.50), "board displaced")
+    return shots.withColumn("verdict", F.when(F.col("scope") == "board", board).otherwise(_hole())).filter("verdict IS NOT NULL")
 
 
 def seed_verdicts(shots: DataFrame, cap: float = 2000) -> DataFrame:
-    """First rule that hits: colour wash, spill, shift, system font, layout ratio (capped shots never fail on layout)."""
-    gap = F.greatest(*[F.abs(F.col(f"built_{c}") - F.col(f"source_{c}")) for c in "rgb"])
-    ratio = F.col("built_h") / F.col("source_h")
+    """First rule that hits: colour wash, spill, shift, system font, layout shift.
+
+    An unreadable palette (null saturation) counts as a shift. A built shot exactly ``cap`` px high, narrowed, and of the
+    source's aspect within 3 percent was scaled down as a whole, so its height ratio says nothing.
+    """
+    gap = sum((F.abs(F.col(f"built_{c}") - F.col(f"source_{c}")) for c in "gb"), F.abs(F.col("built_r") - F.col("source_r")))
+    aspect = F.col("source_w") / F.col("source_h")
+    capped = F.coalesce(
+        (F.col("built_h") == cap) & (F.col("source_h") > 0) & (F.col("built_w") > 0) & (F.col("built_w") < 0.85 * F.col("source_w"))
+        & (F.abs(F.col("built_w") / F.col("built_h") - aspect) / aspect < 0.03), F.lit(False))
+    ratio = F.when((F.col("source_h") > 0) & (F.col("built_h") > 0), F.col("built_h") / F.col("source_h"))
     verdict = F.coalesce(
-        F.when((F.col("source_sat") >= 0.2) & (F.col("built_sat") < 0.5 * F.col("source_sat")), "colour wash"),
-        F.when((F.col("coverage") > 0.5) & (F.col("source_coverage") < 0.25), "colour spill"),
-        F.when(gap > 48, "colour shift"), F.when(F.col("system_font"), "system font"),
-        F.when((F.col("source_h") < cap) & (F.col("built_h") < cap) & ((ratio < 0.75) | (ratio > 1.35)), "layout ratio"),
+        F.when(F.col("source_sat").isNull() | F.col("built_sat").isNull(), "colour shift"),
+        F.when((F.col("source_sat") >= 0.28) & (F.col("built_sat") < F.greatest(F.lit(0.12), 0.45 * F.col("source_sat"))), "colour wash"),
+        F.when((F.col("source_sat") < 0.16) & (F.col("built_sat") >= 0.28) & (F.coalesce("coverage", F.lit(0.0)) >= 0.18)
+               & (F.coalesce("coverage", F.lit(0.0)) >= F.coalesce("source_coverage", F.lit(0.0)) + 0.12), "colour spill"),
+        F.when((F.col("source_sat") >= 0.28) & (gap > 90), "colour shift"), F.when(F.col("system_font"), "system font"),
+        F.when(_hole().isNotNull() | (~capped & ((ratio < 0.5) | (ratio > 2.5))), "layout shift"),
     )
     return shots.select("site", "band", verdict.alias("verdict")).filter("verdict IS NOT NULL")
 
@@ -47,12 +65,12 @@ def seed_verdicts(shots: DataFrame, cap: float = 2000) -> DataFrame:
 def threshold_checks(measures: DataFrame) -> DataFrame:
     """``measures(run_id, site, id, profile, check_type, expected, actual, lab1, lab2)`` → value, threshold, pass.
 
-    Colours use the CIE76 distance of measured Lab triples, others the (relative) difference.
+    Colours use the CIE76 distance of measured Lab triples, sections the difference in percent, text and spacing the difference.
     """
     limits = F.create_map(*[x for p, t in PROFILES.items() for k, v in t.items() for x in (F.lit(f"{p}/{k}"), F.lit(v))])
     delta = F.sqrt(sum((F.pow(F.col(f"lab1.{c}") - F.col(f"lab2.{c}"), 2) for c in ("a", "b")), F.pow(F.col("lab1.l") - F.col("lab2.l"), 2)))
     diff = F.abs(F.col("actual") - F.col("expected"))
-    value = F.when(F.col("check_type") == "color", delta).when(F.col("check_type") == "spacing", diff).otherwise(F.when(F.col("expected") != 0, diff / F.nullif(F.col("expected"), F.lit(0.0))).otherwise(diff))
+    value = F.when(F.col("check_type") == "color", delta).when(F.col("check_type") == "section", F.coalesce(100 * diff / F.nullif(F.abs("expected"), F.lit(0.0)), diff)).otherwise(diff)
     return measures.withColumn("value", value).withColumn("threshold", limits[F.concat_ws("/", "profile", "check_type")]).withColumn("pass", F.col("value") <= F.col("threshold")).drop("lab1", "lab2", "expected", "actual")
 
 
@@ -71,11 +89,14 @@ def failure_delta(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def issue_delta(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """``(run_id, issue, status)`` twice → new / resolved / regressed / unchanged by open and closed classes."""
-    closed = lambda c: c.isin("fixed", "resolved", "wontfix")
+    """``(run_id, issue, status)`` twice → new / resolved / regressed / unchanged / other.
+
+    New is every issue that was not there before, whatever its status; other are those that are gone, or moved between
+    two open or two closed statuses.
+    """
     j = previous.select("run_id", "issue", F.col("status").alias("_p")).join(current.select("run_id", "issue", F.col("status").alias("_c")), ["run_id", "issue"], "full_outer")
-    was, now = F.col("_p").isNotNull() & ~closed(F.col("_p")), F.col("_c").isNotNull() & ~closed(F.col("_c"))
-    delta = F.when(F.col("_p").isNull() & now, "new").when(was & ~now, "resolved").when(F.col("_p").isNotNull() & ~was & now, "regressed").otherwise("unchanged")
+    was, now = F.col("_p").isin(*CLOSED), F.col("_c").isin(*CLOSED)
+    delta = F.when(F.col("_p").isNull(), "new").when(F.col("_c").isNull(), "other").when(~was & now, "resolved").when(was & ~now, "regressed").when(F.col("_p") == F.col("_c"), "unchanged").otherwise("other")
     return j.select("run_id", "issue", F.col("_p").alias("before"), F.col("_c").alias("after"), delta.alias("delta"))
 
 

@@ -90,11 +90,11 @@ def _(spark, d):
 
 
 define_view("face_css", r"""
-SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, p_partkey AS pos, '@font-face ' || chr(123) || ' font-family: "Fam' || CAST(p_size % 3 AS STRING) || '"; ' || CASE WHEN p_size % 2 = 0 THEN 'font-weight: 700; ' ELSE '' END || 'src: url(/f' || CAST(p_size % 5 AS STRING) || '.woff2); ' ||
-  CASE p_partkey % 3 WHEN 0 THEN 'unicode-range: U+0000-00FF' WHEN 1 THEN 'unicode-range: U+0400-04FF' ELSE '' END || ' ' || chr(125) AS css FROM {part}
+SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, p_partkey AS pos, '@font-face ' || chr(123) || ' font-family: "' || CASE WHEN p_size % 6 < 3 THEN 'Fam' ELSE 'FAM' END || CAST(p_size % 3 AS STRING) || '"; ' || CASE WHEN p_size % 2 = 0 THEN 'font-weight: 700; ' ELSE '' END || 'src: url(/f' || CAST(p_size % 5 AS STRING) || '.woff2); ' ||
+  CASE p_partkey % 7 WHEN 0 THEN 'unicode-range: U+0000-00FF' WHEN 1 THEN 'unicode-range: U+0400-04FF' WHEN 2 THEN 'unicode-range: U+0000-0030' ELSE '' END || ' ' || chr(125) AS css FROM {part}
 """)
-DUCK_VIEWS["faces"] = r"""SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, p_partkey AS pos, 'Fam' || p_size % 3 AS family, CASE WHEN p_size % 2 = 0 THEN '700' ELSE '400' END AS weight, 'normal' AS style, CASE p_partkey % 3 WHEN 0 THEN 'U+0000-00FF' WHEN 1 THEN 'U+0400-04FF' ELSE '' END AS unicode_range, '/f' || p_size % 5 || '.woff2' AS url FROM part"""
-DUCK_VIEWS["latin"] = "SELECT * EXCLUDE (r) FROM (SELECT *, bool_or(unicode_range <> '') OVER (PARTITION BY site, page, family, weight, style) AS r FROM {faces}) t WHERE NOT r OR unicode_range LIKE 'U+0000%' QUALIFY row_number() OVER (PARTITION BY site, page, family, weight, style, unicode_range, url ORDER BY pos) = 1"
+DUCK_VIEWS["faces"] = r"""SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, p_partkey AS pos, CASE WHEN p_size % 6 < 3 THEN 'Fam' ELSE 'FAM' END || p_size % 3 AS family, CASE WHEN p_size % 2 = 0 THEN '700' ELSE '400' END AS weight, 'normal' AS style, CASE p_partkey % 7 WHEN 0 THEN 'U+0000-00FF' WHEN 1 THEN 'U+0400-04FF' WHEN 2 THEN 'U+0000-0030' ELSE '' END AS unicode_range, '/f' || p_size % 5 || '.woff2' AS url FROM part"""
+DUCK_VIEWS["latin"] = "SELECT * FROM {faces} WHERE unicode_range IN ('', 'U+0000-00FF') QUALIFY row_number() OVER (PARTITION BY site, page, lower(family), weight, style, unicode_range, url ORDER BY pos) = 1"
 
 
 @query("font_faces", "SELECT * FROM {faces}")
@@ -118,13 +118,13 @@ def _(spark, d):
 
 
 define_view("lib_fonts", "SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, CASE p_size % 4 WHEN 0 THEN 'serif' WHEN 1 THEN 'Inter' ELSE 'Lora ' || CAST(p_size % 5 AS STRING) END AS family, p_partkey AS pos FROM {part} WHERE p_partkey % 3 = 0")
-define_view("css_fonts", "SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, CASE p_size % 4 WHEN 0 THEN 'system-ui' WHEN 1 THEN 'INTER' ELSE 'Mono ' || CAST(p_size % 3 AS STRING) END AS family, p_partkey AS pos FROM {part}")
-define_view("font_files", "SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, CASE p_size % 3 WHEN 0 THEN 'inter' ELSE 'Mono ' || CAST(p_size % 3 AS STRING) END AS family, CASE p_partkey % 4 WHEN 0 THEN 'x-700.woff2' WHEN 1 THEN 'x-SemiBold.woff2' WHEN 2 THEN 'x-Light.woff' ELSE 'x.woff' END AS file FROM {part}")
+define_view("css_fonts", "SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, CASE p_size % 4 WHEN 0 THEN CASE WHEN p_size % 8 = 0 THEN 'system-ui' ELSE '-apple-system' END WHEN 1 THEN 'INTER' ELSE 'Mono ' || CAST(p_size % 3 AS STRING) END AS family, p_partkey AS pos FROM {part}")
+define_view("font_files", "SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, CASE p_size % 3 WHEN 0 THEN 'inter' ELSE 'Mono ' || CAST(p_size % 3 AS STRING) END AS family, CASE p_partkey % 8 WHEN 0 THEN 'x-700.woff2' WHEN 1 THEN 'x-SemiBold.woff2' WHEN 2 THEN 'x-Light.woff' WHEN 3 THEN 'x-Ultralight.woff' WHEN 4 THEN 'x-DemiBold.woff' WHEN 5 THEN 'x-UltraBold.woff' WHEN 6 THEN 'x-Heavy.woff' ELSE 'x.woff' END AS file FROM {part}")
 
 
 @query("font_roster", """
-WITH o AS (SELECT * FROM (SELECT *, 0 AS src FROM {lib_fonts} UNION ALL SELECT *, 1 FROM {css_fonts}) t WHERE family NOT IN ('serif', 'system-ui') QUALIFY row_number() OVER (PARTITION BY site, lower(family) ORDER BY src, pos) = 1),
-w AS (SELECT DISTINCT site, lower(family) AS k, CASE file WHEN 'x-700.woff2' THEN 700 WHEN 'x-SemiBold.woff2' THEN 600 WHEN 'x-Light.woff' THEN 300 ELSE 400 END AS weight FROM {font_files})
+WITH o AS (SELECT * FROM (SELECT *, 0 AS src FROM {lib_fonts} UNION ALL SELECT *, 1 FROM {css_fonts}) t WHERE family NOT IN ('serif', 'system-ui', '-apple-system') QUALIFY row_number() OVER (PARTITION BY site, lower(family) ORDER BY src, pos) = 1),
+w AS (SELECT DISTINCT site, lower(family) AS k, CASE file WHEN 'x-700.woff2' THEN 700 WHEN 'x-SemiBold.woff2' THEN 600 WHEN 'x-Light.woff' THEN 300 WHEN 'x-Ultralight.woff' THEN 200 WHEN 'x-DemiBold.woff' THEN 600 WHEN 'x-UltraBold.woff' THEN 800 WHEN 'x-Heavy.woff' THEN 900 ELSE 400 END AS weight FROM {font_files})
 SELECT o.site, o.family, CASE WHEN src = 0 THEN 'library' ELSE 'css' END AS origin, CAST(w.weight AS BIGINT) AS weight FROM o LEFT JOIN w ON w.site = o.site AND w.k = lower(o.family)""")
 def _(spark, d):
     return E.font_roster(view(spark, d, "lib_fonts"), view(spark, d, "css_fonts"), view(spark, d, "font_files"))

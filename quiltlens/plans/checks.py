@@ -96,12 +96,13 @@ def _(spark, d):
     return digests(spark, d)
 
 
-define_view("agent_findings", "SELECT user_id AS run_id, CASE event_id % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'review' ELSE 'polish' END AS phase, 'k' || CAST(event_id AS STRING) AS key, CASE WHEN event_id % 17 = 0 THEN 'build' ELSE CASE event_id % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'review' ELSE 'polish' END END AS finding_phase, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'high' END AS severity, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'seen' END AS evidence, CAST(floor(value) AS BIGINT) % 20 AS words_seen, event_id % 2 = 0 AS patch_scoped, event_id % 4 AS pick FROM {events}")
+define_view("agent_findings", "SELECT user_id AS run_id, CASE event_id % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'review' ELSE 'polish' END AS phase, 'k' || CAST(event_id AS STRING) AS key, CASE WHEN event_id % 17 = 0 THEN 'build' ELSE CASE event_id % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'review' ELSE 'polish' END END AS finding_phase, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'high' END AS severity, CASE WHEN event_id % 13 = 0 THEN '' ELSE 'page' END AS source, CASE WHEN event_id % 19 = 0 THEN NULL ELSE 'do' END AS suggestion, CASE WHEN event_id % 23 = 0 THEN 'a/b' ELSE 'critic' END AS agent, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'seen' END AS evidence, CAST(floor(value) AS BIGINT) % 20 AS words_seen, event_id % 2 = 0 AS patch_scoped, event_id % 4 AS pick FROM {events}")
 
 
 @query("finding_validity", """
-SELECT f.run_id, f.phase, f.key, unnest(list_filter([CASE WHEN trim(severity) = '' OR evidence IS NULL THEN 'missing field' END, CASE WHEN finding_phase <> f.phase THEN 'wrong phase' END, CASE WHEN pick = 0 THEN 'not from this snapshot' END, CASE WHEN f.run_id % 2 = 0 THEN 'stale' END,
- CASE WHEN f.phase = 'review' AND words_seen < 12 THEN 'thin evidence' END, CASE WHEN f.phase = 'polish' AND NOT patch_scoped THEN 'patch not scoped' END], lambda r: r IS NOT NULL)) AS reason FROM {agent_findings} f""")
+WITH e AS (SELECT *, list_filter([CASE WHEN trim(severity) = '' OR source = '' OR evidence IS NULL OR suggestion IS NULL THEN 'missing field' END, CASE WHEN finding_phase <> phase THEN 'wrong phase' END, CASE WHEN agent = 'a/b' THEN 'bad agent' END, CASE WHEN pick = 0 THEN 'not from this snapshot' END], lambda r: r IS NOT NULL) AS errors FROM {agent_findings})
+SELECT run_id, phase, key, unnest(list_concat(errors, list_filter([CASE WHEN len(errors) = 0 AND run_id % 2 = 0 THEN 'stale' END,
+ CASE WHEN phase = 'review' AND words_seen < 12 THEN 'thin evidence' END, CASE WHEN phase = 'polish' AND NOT patch_scoped THEN 'patch not scoped' END], lambda r: r IS NOT NULL))) AS reason FROM e""")
 def _(spark, d):
     snap = digests(spark, d)
     f = view(spark, d, "agent_findings").join(snap.select("run_id", "phase", "digest"), ["run_id", "phase"], "left")
@@ -147,20 +148,21 @@ def _(spark, d):
 
 
 define_view("measured", r"""
-SELECT l_suppkey AS site, l_orderkey AS band, l_discount * 10 AS source_white, CASE WHEN l_partkey % 9 = 0 THEN CAST(0.99 AS DOUBLE) ELSE l_tax * 10 END AS built_white, l_quantity * 4 - 60 AS shift,
-  l_discount * 8 AS source_sat, l_tax * 8 AS built_sat, l_quantity / 50 AS coverage, l_discount * 5 AS source_coverage, CAST(l_partkey % 256 AS DOUBLE) AS source_r, CAST((l_partkey + l_linenumber * 10) % 256 AS DOUBLE) AS built_r,
-  CAST(100 AS DOUBLE) AS source_g, CAST(100 + l_linenumber AS DOUBLE) AS built_g, CAST(0 AS DOUBLE) AS source_b, CAST(l_suppkey % 60 AS DOUBLE) AS built_b, l_suppkey % 10 = 0 AS system_font, l_quantity * 50 AS source_h, l_quantity * 50 + CAST(l_partkey % 900 AS DOUBLE) AS built_h FROM {lineitem}
+SELECT l_suppkey AS site, l_orderkey AS band, l_discount * 10 AS source_white, CASE WHEN l_partkey % 9 = 0 THEN CAST(0.99 AS DOUBLE) ELSE l_tax * 10 END AS built_white, CASE WHEN l_linenumber = 1 THEN 'board' ELSE 'section' END AS scope, l_partkey % 3 AS children, CAST(1600 AS DOUBLE) AS source_w, CAST(900 + l_suppkey % 40 * 20 AS DOUBLE) AS built_w,
+  CASE WHEN l_partkey % 37 <> 0 THEN l_discount * 8 END AS source_sat, l_tax * 8 AS built_sat, l_quantity / 50 AS coverage, l_discount * 5 AS source_coverage, CAST(l_partkey % 256 AS DOUBLE) AS source_r, CAST((l_partkey + l_linenumber * 10) % 256 AS DOUBLE) AS built_r,
+  CAST(100 AS DOUBLE) AS source_g, CAST(100 + l_linenumber AS DOUBLE) AS built_g, CAST(0 AS DOUBLE) AS source_b, CAST(l_suppkey % 60 AS DOUBLE) AS built_b, l_suppkey % 10 = 0 AS system_font, l_quantity * 50 AS source_h, CASE WHEN l_partkey % 4 = 0 THEN CAST(2000 AS DOUBLE) ELSE l_quantity * 20 + CAST(l_partkey % 900 AS DOUBLE) END AS built_h FROM {lineitem}
 """)
 
 
-@query("shot_verdicts", "SELECT site, band, verdict FROM (SELECT *, CASE WHEN built_white > 0.985 AND source_white < 0.9 THEN 'empty frame' WHEN abs(built_white - source_white) > 0.25 THEN 'white ratio differs' WHEN abs(shift) > 80 THEN 'board displaced' END AS verdict FROM {measured}) t WHERE verdict IS NOT NULL")
+@query("shot_verdicts", "SELECT site, band, verdict FROM (SELECT *, CASE WHEN scope = 'board' THEN CASE WHEN built_white > 0.72 AND source_white < 0.5 THEN 'board displaced' END WHEN children = 0 AND source_white < 0.75 THEN 'empty frame' WHEN built_white > 0.82 AND source_white < 0.55 THEN 'white ratio differs' END AS verdict FROM {measured}) t WHERE verdict IS NOT NULL")
 def _(spark, d):
     return L.shot_verdicts(view(spark, d, "measured")).select("site", "band", "verdict")
 
 
 @query("seed_verdicts", """
-SELECT site, band, verdict FROM (SELECT *, CASE WHEN source_sat >= 0.2 AND built_sat < 0.5 * source_sat THEN 'colour wash' WHEN coverage > 0.5 AND source_coverage < 0.25 THEN 'colour spill' WHEN greatest(abs(built_r - source_r), abs(built_g - source_g), abs(built_b - source_b)) > 48 THEN 'colour shift' WHEN system_font THEN 'system font'
- WHEN source_h < 2000 AND built_h < 2000 AND (built_h / source_h < 0.75 OR built_h / source_h > 1.35) THEN 'layout ratio' END AS verdict FROM {measured}) t WHERE verdict IS NOT NULL""")
+SELECT site, band, verdict FROM (SELECT *, CASE WHEN source_sat IS NULL THEN 'colour shift' WHEN source_sat >= 0.28 AND (built_sat < 0.12 OR built_sat < 0.45::DOUBLE * source_sat) THEN 'colour wash' WHEN source_sat < 0.16 AND built_sat >= 0.28 AND coverage >= 0.18 AND coverage >= source_coverage + 0.12::DOUBLE THEN 'colour spill'
+ WHEN source_sat >= 0.28 AND abs(built_r - source_r) + abs(built_g - source_g) + abs(built_b - source_b) > 90 THEN 'colour shift' WHEN system_font THEN 'system font' WHEN children = 0 AND source_white < 0.75 OR built_white > 0.82 AND source_white < 0.55 THEN 'layout shift'
+ WHEN built_h / source_h NOT BETWEEN 0.5 AND 2.5 AND NOT (built_h = 2000 AND built_w < 1360 AND abs(built_w / 2000 - 1600 / source_h) / (1600 / source_h) < 0.03) THEN 'layout shift' END AS verdict FROM {measured}) t WHERE verdict IS NOT NULL""")
 def _(spark, d):
     return L.seed_verdicts(view(spark, d, "measured"))
 
@@ -170,9 +172,9 @@ SELECT l_suppkey AS run_id, 'site-' || CAST(l_suppkey % 7 AS STRING) AS site, (l
   CASE l_partkey % 4 WHEN 0 THEN 'section' WHEN 1 THEN 'text' WHEN 2 THEN 'spacing' ELSE 'color' END AS check_type, l_quantity AS expected, l_quantity + l_tax * 50 AS actual, l_quantity AS l1, l_quantity + l_tax * 20 AS l2, l_discount AS a1, l_tax AS a2 FROM {lineitem}
 """)
 DUCK_VIEWS["checked"] = """
-SELECT run_id, site, id, viewport, profile, check_type, value, threshold, value <= threshold AS pass FROM (SELECT *, CASE check_type WHEN 'color' THEN sqrt(pow(a1 - a2, 2) + pow(l1 - l2, 2)) WHEN 'spacing' THEN abs(actual - expected) ELSE abs(actual - expected) / expected END AS value,
- CASE check_type WHEN 'section' THEN CASE profile WHEN 'lenient' THEN 0.10 WHEN 'portable' THEN 0.06 WHEN 'strict' THEN 0.03 ELSE 0.01 END WHEN 'text' THEN CASE profile WHEN 'lenient' THEN 0.08 WHEN 'portable' THEN 0.05 WHEN 'strict' THEN 0.03 ELSE 0.01 END
-  WHEN 'spacing' THEN CASE profile WHEN 'lenient' THEN 12 WHEN 'portable' THEN 8 WHEN 'strict' THEN 4 ELSE 2 END ELSE CASE profile WHEN 'lenient' THEN 10 WHEN 'portable' THEN 6 WHEN 'strict' THEN 3 ELSE 1.5 END END::DOUBLE AS threshold FROM {measures}) t"""
+SELECT run_id, site, id, viewport, profile, check_type, value, threshold, value <= threshold AS pass FROM (SELECT *, CASE check_type WHEN 'color' THEN sqrt(pow(a1 - a2, 2) + pow(l1 - l2, 2)) WHEN 'section' THEN 100 * abs(actual - expected) / expected ELSE abs(actual - expected) END AS value,
+ CASE check_type WHEN 'section' THEN CASE profile WHEN 'lenient' THEN 2.5 WHEN 'portable' THEN 1 WHEN 'strict' THEN 0.5 ELSE 0.25 END WHEN 'text' THEN CASE profile WHEN 'lenient' THEN 3 WHEN 'portable' THEN 2 WHEN 'strict' THEN 1 ELSE 0.5 END
+  WHEN 'spacing' THEN CASE profile WHEN 'lenient' THEN 2 WHEN 'ultra' THEN 0.5 ELSE 1 END ELSE CASE profile WHEN 'lenient' THEN 4 WHEN 'portable' THEN 2.5 WHEN 'strict' THEN 1.5 ELSE 1 END END::DOUBLE AS threshold FROM {measures}) t"""
 
 
 def checks(spark, d):
@@ -194,9 +196,9 @@ DUCK_VIEWS["fdelta"] = """
 WITH p AS (SELECT DISTINCT run_id, check_type || '-' || CAST(id % 50 AS VARCHAR) AS id FROM {checked} WHERE NOT pass AND viewport = 'desktop'), c AS (SELECT DISTINCT run_id, check_type || '-' || CAST(id % 50 AS VARCHAR) AS id FROM {checked} WHERE NOT pass AND viewport = 'mobile')
 SELECT *, 'new' AS delta FROM (FROM c EXCEPT FROM p) UNION ALL SELECT *, 'resolved' FROM (FROM p EXCEPT FROM c)"""
 DUCK_VIEWS["idelta"] = """
-WITH i AS (SELECT run_id, id % 40 AS issue, viewport, min(CASE id % 5 WHEN 0 THEN 'fixed' WHEN 1 THEN 'resolved' WHEN 2 THEN 'open' ELSE 'pending' END) AS status FROM {checked} GROUP BY run_id, id % 40, viewport),
+WITH i AS (SELECT run_id, id % 40 AS issue, viewport, min(CASE id % 5 WHEN 0 THEN 'fixed' WHEN 1 THEN 'accepted_by_user' WHEN 2 THEN 'open' WHEN 3 THEN 'renderer_only_drift' ELSE 'pending' END) AS status FROM {checked} GROUP BY run_id, id % 40, viewport),
 j AS (SELECT coalesce(p.run_id, c.run_id) AS run_id, coalesce(p.issue, c.issue) AS issue, p.status AS before, c.status AS after FROM (SELECT * FROM i WHERE viewport = 'desktop') p FULL JOIN (SELECT * FROM i WHERE viewport = 'mobile') c ON c.run_id = p.run_id AND c.issue = p.issue)
-SELECT *, CASE WHEN before IS NULL AND after IN ('open', 'pending') THEN 'new' WHEN before IN ('open', 'pending') AND coalesce(after NOT IN ('open', 'pending'), true) THEN 'resolved' WHEN before NOT IN ('open', 'pending') AND after IN ('open', 'pending') THEN 'regressed' ELSE 'unchanged' END AS delta FROM j"""
+SELECT *, CASE WHEN before IS NULL THEN 'new' WHEN after IS NULL THEN 'other' WHEN before IN ('open', 'pending') AND after NOT IN ('open', 'pending') THEN 'resolved' WHEN before NOT IN ('open', 'pending') AND after IN ('open', 'pending') THEN 'regressed' WHEN before = after THEN 'unchanged' ELSE 'other' END AS delta FROM j"""
 
 
 def fdelta(spark, d):
@@ -205,7 +207,7 @@ def fdelta(spark, d):
 
 
 def idelta(spark, d):
-    status = F.when(F.col("id") % 5 == 0, "fixed").when(F.col("id") % 5 == 1, "resolved").when(F.col("id") % 5 == 2, "open").otherwise("pending")
+    status = F.when(F.col("id") % 5 == 0, "fixed").when(F.col("id") % 5 == 1, "accepted_by_user").when(F.col("id") % 5 == 2, "open").when(F.col("id") % 5 == 3, "renderer_only_drift").otherwise("pending")
     i = checks(spark, d).groupBy("run_id", (F.col("id") % 40).alias("issue"), "viewport").agg(F.min(status).alias("status"))
     return L.issue_delta(i.filter("viewport = 'desktop'"), i.filter("viewport = 'mobile'"))
 

@@ -9,20 +9,20 @@ from quiltlens.plans.registry import DUCK_VIEWS, define_view, query, view
 
 define_view("gnodes", r"""
 SELECT 'site-' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS STRING) AS site, l_orderkey AS board, ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS node_id, -l_orderkey AS parent_id,
-  CAST(l_partkey AS BIGINT) AS ord, CASE l_partkey % 5 WHEN 0 THEN 'Frame' WHEN 1 THEN 'Image' WHEN 2 THEN 'Rectangle' ELSE 'Text' END AS component, CASE l_suppkey % 4 WHEN 0 THEN 'Photo' ELSE 'node ' || CAST(l_suppkey % 10 AS STRING) END AS name,
+  CAST(l_partkey AS BIGINT) AS ord, CASE l_partkey % 5 WHEN 0 THEN 'Frame' WHEN 1 THEN 'Image' WHEN 2 THEN 'Rectangle' ELSE 'Text' END AS component, CASE WHEN l_suppkey % 4 = 0 THEN 'Photo' WHEN l_suppkey % 23 = 1 THEN 'site-chrome' WHEN l_suppkey % 23 = 2 THEN 'Main menu' WHEN l_suppkey % 23 = 3 THEN '01 · hero' ELSE 'node ' || CAST(l_suppkey % 10 AS STRING) END AS name,
   CAST(l_partkey % 300 AS DOUBLE) AS x, CAST(l_suppkey % 40 * 20 AS DOUBLE) AS y, CASE l_partkey % 17 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(2 AS DOUBLE) WHEN 2 THEN CAST(1440 AS DOUBLE) ELSE l_quantity * 9 END AS w,
-  CASE l_partkey % 19 WHEN 0 THEN CAST(900 AS DOUBLE) WHEN 1 THEN CAST(1 AS DOUBLE) WHEN 2 THEN CAST(1200 AS DOUBLE) ELSE l_quantity * 3 END AS h, CASE WHEN l_suppkey % 3 = 0 THEN 'absolute' ELSE 'relative' END AS position,
-  CASE WHEN l_partkey % 2 = 0 THEN 'heading-' || CAST(l_suppkey % 2 AS STRING) ELSE 'body' END AS style_key, l_partkey % 4 = 0 AS filled, CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE 3 END AS children, false AS overflow_visible
+  CASE CASE WHEN l_partkey % 17 = 2 THEN 2 ELSE l_partkey % 19 END WHEN 0 THEN CAST(900 AS DOUBLE) WHEN 1 THEN CAST(1 AS DOUBLE) WHEN 2 THEN CAST(1200 AS DOUBLE) ELSE l_quantity * 3 END AS h, CASE WHEN l_suppkey % 3 = 0 THEN 'absolute' WHEN l_suppkey % 11 = 1 THEN 'fixed' WHEN l_suppkey % 11 <> 2 THEN 'relative' END AS position,
+  CASE WHEN l_partkey % 2 = 0 THEN 'heading-' || CAST(l_suppkey % 2 AS STRING) ELSE 'body' END AS style_key, l_partkey % 4 = 0 AS filled, CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE 3 END AS children, l_orderkey % 4 AS stroke, l_orderkey % 5 AS insets, false AS overflow_visible
 FROM {lineitem}
-UNION ALL SELECT 'site-' || CAST(CAST(floor(o_orderkey / 64) AS BIGINT) AS STRING), o_orderkey, -o_orderkey, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), 'Frame', 'board', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1440 AS DOUBLE), CAST(1200 AS DOUBLE), 'relative', 'none', true, 5, o_orderkey % 7 = 0 FROM {orders}
+UNION ALL SELECT 'site-' || CAST(CAST(floor(o_orderkey / 64) AS BIGINT) AS STRING), o_orderkey, -o_orderkey, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), 'Frame', 'board', CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1440 AS DOUBLE), CAST(1200 AS DOUBLE), 'relative', 'none', true, 5, 0, 0, o_orderkey % 7 = 0 FROM {orders}
 """)
 G = lambda s, d: view(s, d, "gnodes")
 KIDS = lambda s, d: G(s, d).filter("parent_id IS NOT NULL")
 
 
 @query("node_defects", r"""
-SELECT site, board, node_id, unnest(list_filter([CASE WHEN w <= 0 OR h <= 0 THEN 'zero size' END, CASE WHEN w > 0 AND w <= 2 AND h > 800 THEN 'hidden variant' END, CASE WHEN component = 'Frame' AND children = 0 AND NOT filled AND w > 0 AND h > 0 THEN 'empty frame' END,
- CASE WHEN component = 'Rectangle' AND NOT filled AND name = 'Photo' THEN 'empty image slot' END, CASE WHEN position = 'absolute' AND h <= 2 AND h > 0 AND w < 0.5 * CASE WHEN parent_id IS NULL THEN w ELSE 1440 END THEN 'thin decoration' END], lambda k: k IS NOT NULL)) AS kind FROM {gnodes}""")
+SELECT site, board, node_id, unnest(list_filter([CASE WHEN w <= 0 OR h <= 0 THEN 'zero size' END, CASE WHEN w > 0 AND w <= 2 AND h > 800 THEN 'hidden variant' END, CASE WHEN component = 'Frame' AND children = 0 AND NOT filled AND w > 40 AND h > 40 THEN CASE WHEN name = '01 · hero' THEN 'empty named section' ELSE 'empty frame' END END,
+ CASE WHEN component = 'Rectangle' AND NOT filled AND name = 'Photo' THEN 'empty image slot' END, CASE WHEN coalesce(position IN ('absolute', 'fixed'), false) AND children = 0 AND component <> 'Text' AND stroke BETWEEN 1 AND 2 AND w > 8 AND h > 8 AND (insets >= 3 OR w BETWEEN 1436 AND 1444 AND h BETWEEN 1196 AND 1204) THEN 'loose decoration' END], lambda k: k IS NOT NULL)) AS kind FROM {gnodes}""")
 def _(spark, d):
     return K.node_defects(G(spark, d))
 
@@ -35,13 +35,13 @@ def _(spark, d):
 
 @query("sibling_overlap", """
 SELECT a.site, a.board, a.node_id AS a, b.node_id AS b, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS wide, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS tall FROM {gnodes} a JOIN {gnodes} b ON a.parent_id = b.parent_id AND a.node_id < b.node_id
-WHERE a.position <> 'absolute' AND b.position <> 'absolute' AND a.w > 0 AND a.h > 0 AND b.w > 0 AND b.h > 0 AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > 2 AND least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) > 2""")
+WHERE coalesce(a.position, '') NOT IN ('absolute', 'fixed') AND coalesce(b.position, '') NOT IN ('absolute', 'fixed') AND a.w > 0 AND a.h > 0 AND b.w > 0 AND b.h > 0 AND least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > 2 AND least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) > 2""")
 def _(spark, d):
     return K.sibling_overlap(KIDS(spark, d))
 
 
 @query("vertical_gaps", """
-SELECT site, board, parent_id, prev, node_id, y - before AS gap FROM (SELECT *, lag(y + h) OVER w AS before, lag(node_id) OVER w AS prev FROM {gnodes} WHERE position <> 'absolute' AND parent_id IS NOT NULL WINDOW w AS (PARTITION BY parent_id ORDER BY y, node_id)) t WHERE y - before > 120""")
+SELECT site, board, parent_id, prev, node_id, floor(y - before + 0.5::DOUBLE) AS gap FROM (SELECT *, lag(y + h) OVER w AS before, lag(node_id) OVER w AS prev FROM {gnodes} WHERE NOT coalesce(position IN ('absolute', 'fixed'), false) AND parent_id IS NOT NULL WINDOW w AS (PARTITION BY parent_id ORDER BY y, node_id)) t WHERE floor(y - before + 0.5::DOUBLE) > 240""")
 def _(spark, d):
     return K.vertical_gaps(KIDS(spark, d))
 
@@ -55,7 +55,7 @@ def _(spark, d):
 
 @query("overlay_order", """
 SELECT n.site, n.board, n.node_id, n.ord, f.ft AS first_text, CAST(coalesce(f.li + 1, 0) AS BIGINT) AS target FROM {gnodes} n JOIN (SELECT parent_id, min(ord) FILTER (component = 'Text') AS ft, max(ord) FILTER (component = 'Image') AS li FROM {gnodes} GROUP BY 1) f ON f.parent_id = n.parent_id
-WHERE n.position = 'absolute' AND n.component NOT IN ('Text', 'Image') AND n.w >= 0.95 * 1440 AND n.h >= 0.5 * 1200 AND n.ord > f.ft AND n.h >= 0.95 * 1200""")
+WHERE n.position IN ('absolute', 'fixed') AND n.component NOT IN ('Text', 'Image') AND n.filled AND n.children = 0 AND abs(n.w - 1440) <= 4 AND abs(n.h - 1200) <= 4 AND n.ord > f.ft""")
 def _(spark, d):
     return K.overlay_order(G(spark, d))
 
@@ -68,10 +68,11 @@ def _(spark, d):
     return K.split_headings(KIDS(spark, d))
 
 
-DUCK_VIEWS["bars"] = "SELECT site, board, node_id FROM {gnodes} WHERE parent_id IS NOT NULL AND w >= 0.8 * 1440 AND h BETWEEN 24 AND 160 AND y <= 120"
+DUCK_VIEWS["bars"] = "SELECT site, board, node_id FROM {gnodes} WHERE parent_id IS NOT NULL AND w >= 0.8 * 1440 AND h BETWEEN 32 AND 220 AND y <= 160"
+DUCK_VIEWS["with_nav"] = "SELECT board FROM {gnodes} WHERE parent_id IS NOT NULL AND (name = 'site-chrome' OR name = 'Main menu' AND h BETWEEN 1 AND 220)"
 
 
-@query("chrome_bars", "SELECT site, board, node_id, 'bar' AS kind FROM {bars} UNION ALL SELECT site, board, NULL, 'no navbar' FROM {gnodes} WHERE parent_id IS NULL AND board NOT IN (SELECT board FROM {bars})")
+@query("chrome_bars", "SELECT site, board, node_id, 'bar' AS kind FROM {bars} UNION ALL SELECT site, board, NULL, 'no navbar' FROM {gnodes} WHERE parent_id IS NULL AND board NOT IN (SELECT board FROM {with_nav})")
 def _(spark, d):
     return K.chrome_bars(KIDS(spark, d), G(spark, d).filter("parent_id IS NULL"))
 
