@@ -380,26 +380,39 @@ def unbound_fonts(styles: DataFrame, tokens: DataFrame) -> DataFrame:
 
 # ---- stylesheets ------------------------------------------------------------------------------
 
+# Token types by the start of the name, first hit wins; properties whose values form the spacing scale.
+NAME_TYPES = [
+    ("--color", "color"), ("--text-", "fontSize"), ("--spacing", "spacing"), ("--radius", "radius"), ("--font-weight", "fontWeight"),
+    ("--font-style", "fontStyle"), ("--font-", "fontFamily"), ("--shadow", "shadow"),
+]
+SPACING_PROPS = ["padding", "padding-top", "padding-bottom", "padding-left", "padding-right", "margin", "gap", "row-gap", "column-gap"]
+
+
 def css_custom_props(css: DataFrame) -> DataFrame:
-    """``css(site, pos, css)`` → ``--name: value`` pairs with an inferred type."""
+    """``css(site, pos, css)`` → ``--name: value`` pairs; the start of the name gives the type (null for other names)."""
     decl = css.select("site", "pos", F.posexplode(M.all_matches(F.regexp_replace("css", r"(?s)/\*.*?\*/", ""), r"--[A-Za-z0-9_-]+\s*:\s*[^;{}]+")).alias("_i", "d"))
     name, value = F.regexp_extract("d", r"^(--[A-Za-z0-9_-]+)", 1), F.trim(F.regexp_replace("d", r"^--[A-Za-z0-9_-]+\s*:", ""))
-    kind = (
-        F.when(value.rlike(r"(?i)^(#[0-9a-f]{3,8}|rgba?\(.*)$"), "color").when(name.rlike("font|family"), "fontFamily")
-        .when(value.rlike(r"^-?[0-9.]+(px|rem|em)$"), "length").when(value.rlike("^[0-9.]+$"), "number").otherwise("string")
-    )
+    kind = F.lit(None).cast("string")
+    for start, said in reversed(NAME_TYPES):
+        kind = F.when(name.startswith(start), said).otherwise(kind)
     return decl.select("site", "pos", F.col("_i").cast("bigint").alias("i"), name.alias("name"), value.alias("value"), kind.alias("type"))
 
 
 def mine_css_tokens(css: DataFrame) -> DataFrame:
-    """Counts per site of token colours, families, spacings, radii, shadows from stylesheet declarations."""
-    d = css.select("site", F.explode(M.all_matches(F.col("css"), r"[A-Za-z-]+\s*:\s*[^;{}]+")).alias("d"))
-    prop, value = F.lower(F.trim(F.regexp_extract("d", r"^([A-Za-z-]+)\s*:", 1))), F.trim(F.regexp_replace("d", r"^[A-Za-z-]+\s*:", ""))
+    """Counts per site of token colours, families, spacings, radii, shadows from stylesheet declarations.
+
+    Token colours are hex or ``rgb(r, g, b)`` values of ``--token-*`` names, the latter shown as hex. Spacings are single
+    lengths; a bare number is px. Radii leave out ``0`` and ``inherit``.
+    """
+    d = css.select("site", F.explode(M.all_matches(F.col("css"), r"[A-Za-z0-9_-]+\s*:\s*[^;{}]+")).alias("d"))
+    prop, value = F.lower(F.trim(F.regexp_extract("d", r"^([A-Za-z0-9_-]+)\s*:", 1))), F.trim(F.regexp_replace("d", r"^[A-Za-z0-9_-]+\s*:", ""))
+    rgb = r"(?i)^rgb\(\s*(\d+),\s*(\d+),\s*(\d+)\s*\)$"
+    as_hex = F.format_string("#%02x%02x%02x", *[F.regexp_extract(value, rgb, i).try_cast("int") for i in (1, 2, 3)])
     kind = (
-        F.when(prop.startswith("--token-"), "color").when(prop == "font-family", "family").when(prop.rlike("^(margin|padding|gap)"), "spacing")
-        .when(prop == "border-radius", "radius").when(prop == "box-shadow", "shadow")
+        F.when(prop.startswith("--token-") & value.rlike(r"(?i)^(#[0-9a-f]{3,8}|rgb\([^)]+\))$"), "color").when(prop == "font-family", "family").when(prop.isin(*SPACING_PROPS) & value.rlike(r"^[\d.]+(px|rem|em|%)?$"), "spacing")
+        .when((prop == "border-radius") & ~value.isin("0", "inherit"), "radius").when(prop == "box-shadow", "shadow")
     )
-    shown = F.when(kind == "color", F.upper(value)).when(kind == "family", base_family(value)).otherwise(value)
+    shown = F.when((kind == "color") & value.rlike(rgb), as_hex).when((kind == "spacing") & value.rlike(r"^[\d.]+$"), F.concat(value, F.lit("px"))).when(kind == "family", base_family(value)).otherwise(value)
     return d.select("site", kind.alias("kind"), shown.alias("value")).filter("kind IS NOT NULL AND value <> ''").groupBy("site", "kind", "value").agg(F.count("*").alias("uses"))
 
 

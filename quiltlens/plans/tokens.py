@@ -289,14 +289,14 @@ def _(spark, d):
 
 define_view("css_files", r"""
 SELECT 'site-' || CAST(CAST(floor(p_partkey / 32) AS BIGINT) AS STRING) AS site, p_partkey AS pos, replace(replace(
-  '/* c: #000; */ :root« --token-a' || CAST(p_size % 5 AS STRING) || ': ' || printf('#%02x%02x%02x', p_partkey % 6 * 40, p_partkey % 4 * 60, p_partkey % 2 * 200) || '; --gap-x: ' || CAST(p_size AS STRING) || 'px; --font-a: Inter; --n: 2 » .a« color: #ABC; font-family: ' ||
+  '/* c: #000; */ :root« --token-a' || CAST(p_size % 5 AS STRING) || ': ' || printf('#%02x%02x%02x', p_partkey % 6 * 40, p_partkey % 4 * 60, p_partkey % 2 * 200) || '; --gap-x: ' || CAST(p_size AS STRING) || 'px; --font-a: Inter; --n: 2; --token-b2: rgb(1, 2, ' || CAST(p_size % 3 AS STRING) || '); --spacing-1: 4px; --color-x: #fff; --font-weight-b: 700 » .a« color: #ABC; font-family: ' ||
   CASE p_partkey % 3 WHEN 0 THEN 'Inter, sans-serif' WHEN 1 THEN 'Georgia' ELSE 'Lora' END || '; padding: ' || CAST(p_size % 4 AS STRING) || 'px; border-radius: ' || CAST(p_size % 3 AS STRING) || 'px; box-shadow: none »', '«', chr(123)), '»', chr(125)) AS css FROM {part}
 """)
 
 
 @query("css_custom_props", r"""
 SELECT site, pos, CAST(i AS BIGINT) AS i, regexp_extract(x, '^(--[A-Za-z0-9_-]+)', 1) AS name, trim(regexp_replace(x, '^--[A-Za-z0-9_-]+\s*:', '')) AS value,
-  CASE i WHEN 0 THEN 'color' WHEN 1 THEN 'length' WHEN 2 THEN 'fontFamily' ELSE 'number' END AS type FROM (
+  CASE regexp_extract(x, '^(--[A-Za-z0-9_-]+)', 1) WHEN '--font-a' THEN 'fontFamily' WHEN '--spacing-1' THEN 'spacing' WHEN '--color-x' THEN 'color' WHEN '--font-weight-b' THEN 'fontWeight' END AS type FROM (
   SELECT site, pos, unnest(xs) AS x, unnest(range(0, len(xs))) AS i FROM (SELECT site, pos, regexp_extract_all(css, '--[A-Za-z0-9_-]+\s*:\s*[^;{}]+') AS xs FROM {css_files}) a) b""")
 def _(spark, d):
     return H.css_custom_props(view(spark, d, "css_files"))
@@ -305,12 +305,13 @@ def _(spark, d):
 DUCK_VIEWS["css_mined"] = r"""
 SELECT site, kind, value, count(*) AS uses FROM (
   SELECT site, 'radius' AS kind, regexp_extract(css, 'border-radius: ([^;]+);', 1) AS value FROM {css_files} UNION ALL SELECT site, 'spacing', regexp_extract(css, 'padding: ([^;]+);', 1) FROM {css_files} UNION ALL SELECT site, 'shadow', 'none' FROM {css_files}
-  UNION ALL SELECT site, 'family', regexp_extract(css, 'font-family: ([A-Za-z]+)', 1) FROM {css_files}) t GROUP BY ALL"""
+  UNION ALL SELECT site, 'family', regexp_extract(css, 'font-family: ([A-Za-z]+)', 1) FROM {css_files}
+  UNION ALL SELECT site, 'color', regexp_extract(css, '--token-a[0-9]: (#[0-9a-f]+);', 1) FROM {css_files} UNION ALL SELECT site, 'color', '#01020' || regexp_extract(css, 'rgb\(1, 2, ([0-9])\)', 1) FROM {css_files}) t GROUP BY ALL"""
 
 
 @query("mine_css_tokens", "SELECT * FROM {css_mined}")
 def _(spark, d):
-    return H.mine_css_tokens(view(spark, d, "css_files")).filter("kind <> 'color'")
+    return H.mine_css_tokens(view(spark, d, "css_files"))
 
 
 @query("folder_tokens", r"""

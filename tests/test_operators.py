@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quiltlens.functions import colors as C
-from quiltlens.operators import assets, graph, inventory as I, links as L, similarity as S, snapshots as J, tokens as H, validation as V
+from quiltlens.operators import assets, geometry as K, graph, inventory as I, links as L, similarity as S, snapshots as J, tokens as H, validation as V
 from quiltlens.operators.ordered import running
 from quiltlens.sources import receipts as R
 from quiltlens.sources.corpus import page_corpus
@@ -158,7 +158,52 @@ def test_original_images_unwrap_and_strip(spark):
 def test_threshold_colour_distance(spark):
     df = spark.createDataFrame([("r", "s", "i", "strict", "color", 0.0, 0.0, (50.0, 1.0, 1.0), (50.0, 1.0, 5.0))], "run_id string, site string, id string, profile string, check_type string, expected double, actual double, lab1 struct<l:double,a:double,b:double>, lab2 struct<l:double,a:double,b:double>")
     got = V.threshold_checks(df).first()
-    assert got["value"] == 4.0 and got["pass"] is False
+    assert got["value"] == 4.0 and got["threshold"] == 1.5 and got["pass"] is False
+
+
+SHOT = "site string, band int, scope string, source_white double, built_white double, children int"
+
+
+def test_shot_verdicts_by_scope(spark):
+    df = spark.createDataFrame([("s", 1, "section", 0.7, 0.7, 0), ("s", 2, "section", 0.5, 0.9, 3), ("s", 3, "section", 0.6, 0.9, 3), ("s", 4, "board", 0.4, 0.8, 0), ("s", 5, "board", 0.5, 0.9, 9)], SHOT)
+    assert rows(V.shot_verdicts(df), "band", "verdict") == [(1, "empty frame"), (2, "white ratio differs"), (4, "board displaced")]
+
+
+def test_seed_verdicts_order_and_capped_shots(spark):
+    base = dict(site="s", source_white=0.3, built_white=0.3, children=3, source_sat=0.5, built_sat=0.5, coverage=0.1, source_coverage=0.1, system_font=False, source_w=1600.0, built_w=1600.0,
+                source_h=900.0, built_h=900.0, **{f"{a}_{c}": 100.0 for a in ("source", "built") for c in "rgb"})
+    cases = [{}, dict(built_sat=0.2), dict(source_sat=0.1, built_sat=0.3, coverage=0.3), dict(built_r=191.0), dict(built_r=190.0), dict(system_font=True), dict(built_h=400.0),
+             dict(source_h=8000.0, built_h=2000.0, built_w=400.0), dict(source_h=8000.0, built_h=2000.0), dict(source_sat=None)]
+    df = spark.createDataFrame([{**base, **c, "band": i} for i, c in enumerate(cases)], "site string, band int, children int, system_font boolean, " + ", ".join(f"{c} double" for c, v in base.items() if isinstance(v, float)))
+    assert rows(V.seed_verdicts(df), "band", "verdict") == [(1, "colour wash"), (2, "colour spill"), (3, "colour shift"), (5, "system font"), (6, "layout shift"), (8, "layout shift"), (9, "colour shift")]
+
+
+def test_issue_delta_closed_statuses(spark):
+    p = spark.createDataFrame([("r", 1, "open"), ("r", 2, "fixed"), ("r", 3, "open"), ("r", 4, "open")], "run_id string, issue int, status string")
+    c = spark.createDataFrame([("r", 1, "accepted_by_user"), ("r", 2, "open"), ("r", 3, "open"), ("r", 5, "fixed")], "run_id string, issue int, status string")
+    assert rows(V.issue_delta(p, c), "issue", "delta") == [(1, "resolved"), (2, "regressed"), (3, "unchanged"), (4, "other"), (5, "new")]
+
+
+def test_latin_faces_keep_unranged_and_weights_prefer_long_words(spark):
+    faces = spark.createDataFrame([("s", 1, i, 0, f, "400", "normal", r, "u") for i, (f, r) in enumerate([("A", ""), ("a", ""), ("A", "U+0000-00FF"), ("A", "U+0460-052F"), ("A", "U+0000-0030")])],
+                                  "site string, page int, pos int, i int, family string, weight string, style string, unicode_range string, url string")
+    assert rows(assets.latin_faces(faces), "pos", "family", "unicode_range") == [(0, "A", ""), (2, "A", "U+0000-00FF")]
+    lib = spark.createDataFrame([("s", "Inter", 0), ("s", "-apple-system", 1), ("s", "Emoji", 2)], "site string, family string, pos int")
+    files = spark.createDataFrame([("s", "inter", f"x-{w}.woff2") for w in ("Ultralight", "DemiBold", "UltraBold", "Heavy", "Book")], "site string, family string, file string")
+    assert rows(assets.font_roster(lib, lib.limit(0), files), "family", "weight") == [("Inter", w) for w in (200, 400, 600, 800, 900)]
+
+
+def test_gaps_and_overlap_leave_out_loose_nodes_only(spark):
+    cols = "site string, board int, parent_id int, node_id int, x double, y double, w double, h double, position string"
+    df = spark.createDataFrame([("s", 1, 0, 1, 0.0, 0.0, 10.0, 10.0, None), ("s", 1, 0, 2, 0.0, 5.0, 10.0, 10.0, "fixed"), ("s", 1, 0, 3, 0.0, 250.4, 10.0, 10.0, "relative"), ("s", 1, 0, 4, 0.0, 502.0, 10.0, 10.0, "static")], cols)
+    assert rows(K.vertical_gaps(df), "prev", "node_id", "gap") == [(3, 4, 242.0)]
+    assert K.sibling_overlap(df).count() == 0
+
+
+def test_token_colours_with_digits_and_types_by_name(spark):
+    css = spark.createDataFrame([("s", 0, ":root { --token-a1: #00ff00; --token-b: rgb(1, 2, 3); --text-lg: 4px; --font-weight-x: 700; gap: 4 }")], "site string, pos int, css string")
+    assert rows(H.mine_css_tokens(css), "kind", "value") == [("color", "#00ff00"), ("color", "#010203"), ("spacing", "4px")]
+    assert [r["type"] for r in H.css_custom_props(css).orderBy("i").collect()] == [None, None, "fontSize", "fontWeight"]
 
 
 LINES = [
