@@ -209,7 +209,7 @@ def wiring_census(corpus: DataFrame) -> DataFrame:
     el = F.col("el")
     script = M.tag_name(el) == "script"
     rows = els.select(
-        "site", "page_id", "place", (F.col("b") * 100000 + F.col("i")).cast("bigint").alias("pos"), F.when(script, "script").otherwise("style").alias("kind"),
+        "site", "page_id", "place", (F.col("b").cast("bigint") * F.lit(10_000_000_000) + F.col("i")).alias("pos"), F.when(script, "script").otherwise("style").alias("kind"),
         F.when(script, M.attr(el, "src")).otherwise(M.attr(el, "href")).alias("src"), M.has_attr(el, "defer").alias("deferred"), (F.lower(M.attr(el, "type")) == "module").alias("module"),
         F.lower(M.attr(el, "type")).contains("ld+json").alias("_data"),
     ).filter("NOT _data AND src <> ''").drop("_data").withColumn("external", F.col("src").rlike("^(https?:)?//"))

@@ -30,7 +30,7 @@ def page_links(corpus: DataFrame) -> DataFrame:
     el = F.col("element")
     return links.filter(M.open_tag(el).rlike(r"""(?is)\shref\s*=\s*["']""")).select(
         "site", "page_id", "region",
-        (F.col("_b") * 100000 + F.col("_i")).cast("bigint").alias("pos"),
+        (F.col("_b").cast("bigint") * F.lit(10_000_000_000) + F.col("_i")).alias("pos"),
         F.trim(M.attr(el, "href")).alias("href"),
         M.label_of(M.inner(el)).alias("label"),
         M.open_tag(el).alias("tag"),

@@ -163,7 +163,7 @@ def _(spark, d):
 @query("wiring_census", r"""
 WITH b AS (SELECT site, page_id, 0 AS b, 'head' AS place, regexp_extract(lower(h) || '', '(?s)^.*?<body', 0) AS part FROM (SELECT site, page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS h FROM {mk}) z UNION ALL SELECT site, page_id, 1, 'body', substr(h, position('<body' IN lower(h))) FROM (SELECT site, page_id, regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g') AS h FROM {mk}) z),
 e AS (SELECT site, page_id, b, place, unnest(els) AS el, unnest(range(0, len(els))) AS i FROM (SELECT *, regexp_extract_all(part, '(?is)<link\b[^>]*\brel\s*=\s*["'']?stylesheet[^>]*>|<script\b[^>]*>') AS els FROM b) x),
-r AS (SELECT site, page_id, place, CAST(b * 100000 + i AS BIGINT) AS pos, CASE WHEN el LIKE '<script%' THEN 'script' ELSE 'style' END AS kind, regexp_extract(el, '(?:src|href)="([^"]*)"', 1) AS src, contains(el, ' defer') AS deferred, contains(el, 'type="module"') AS module FROM e WHERE NOT contains(el, 'ld+json')),
+r AS (SELECT site, page_id, place, CAST(b AS BIGINT) * 10000000000 + i AS pos, CASE WHEN el LIKE '<script%' THEN 'script' ELSE 'style' END AS kind, regexp_extract(el, '(?:src|href)="([^"]*)"', 1) AS src, contains(el, ' defer') AS deferred, contains(el, 'type="module"') AS module FROM e WHERE NOT contains(el, 'ld+json')),
 o AS (SELECT *, regexp_matches(src, '^(https?:)?//') AS external FROM r WHERE src <> '' QUALIFY row_number() OVER (PARTITION BY page_id, kind, src ORDER BY pos) = 1)
 SELECT o.*, s.shared FROM o JOIN (SELECT kind, src, count(DISTINCT site) AS shared FROM o GROUP BY ALL) s ON s.kind = o.kind AND s.src = o.src""")
 def _(spark, d):

@@ -24,7 +24,7 @@ SELECT p.page_id, p.url,
 FROM {pages} p JOIN {corpus_keys} k ON p.page_id = k.page_id
 """)
 DUCK_VIEWS["links"] = rf"""
-SELECT site, page_id, region, CAST(b * 100000 + i AS BIGINT) AS pos, trim({ATTR('el', 'href')}) AS href,
+SELECT site, page_id, region, CAST(b AS BIGINT) * 10000000000 + i AS pos, trim({ATTR('el', 'href')}) AS href,
   trim(regexp_replace(regexp_replace(lower({TEXT(INNER('el'))}), '&[a-z#0-9]+;', ' ', 'g'), '\s+', ' ', 'g')) AS label,
   regexp_extract(el, '(?s)^<[^>]*>', 0) AS tag
 FROM (
