@@ -6,39 +6,23 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quiltlens.llm.rows import partitions, slices
+from quiltlens.llm.rows import partitions, slices, word_prints
 from quiltlens.session import materialize
 
 WINDOW = 13  # words
 SEED = 8  # words of the stretch that decides the shard of a window
-CACHE = 400_000
+SEARCHED = 2_000_000  # words of pieces that are searched at once, with their padding
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-
-
-def word_codes(text: bytes) -> np.ndarray:
-    """64-bit prints of the words, unchanged; words are split at space and \\t to \\r only."""
-    return np.fromiter(map(_WORDS.__getitem__, text.split()), dtype=np.uint64)
-
-
-def stretches(codes: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(key, first, count)``: runs of windows whose smallest seed is the same one, so that equal windows have equal keys."""
+def stretches(texts: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(key, text, at, count)``: runs of windows of one text whose smallest seed is the same one, so that equal windows have equal keys."""
+    codes, counts = word_prints(texts)
     n = len(codes) - window + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 4
     rolled = np.zeros(len(codes) - seed + 1, dtype=np.uint64)
     for j in range(seed):
         rolled = rolled * _STEP + codes[j:len(codes) - seed + 1 + j]
@@ -47,8 +31,12 @@ def stretches(codes: np.ndarray, window: int = WINDOW, seed: int = SEED) -> tupl
     low = rolled[:n].copy()
     for j in range(1, window - seed + 1):
         np.minimum(low, rolled[j:n + j], out=low)
-    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-    return low[first].view(np.int64), first, np.diff(np.append(first, n))
+    text = np.repeat(np.arange(len(texts)), counts)
+    inside = np.flatnonzero(text[:n] == text[window - 1:])  # windows that don't cross texts
+    low, text = low[inside], text[inside]
+    first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (text[1:] != text[:-1]))) if len(inside) else inside
+    at = inside[first] - (np.cumsum(counts) - counts)[text[first]]
+    return low[first].view(np.int64), text[first], at, np.diff(np.append(first, len(inside)))
 
 
 class WaveletMatrix:
@@ -117,11 +105,22 @@ class FMIndex:
         Words are taken from the right; each one extends the match by a backward step, and a match of 12 words or more
         is first cut back to its leading 12, so a step per word gives the statistics of every window.
         """
+        sizes = np.array([len(p) for p in pieces])
+        order, out, a = np.argsort(sizes, kind="stable"), [None] * len(pieces), 0
+        while a < len(pieces):  # pieces of about the same length together
+            b = a + 1
+            while b < len(pieces) and (b + 1 - a) * sizes[order[b]] <= SEARCHED:
+                b += 1
+            for r, found in zip(order[a:b], self._search([pieces[r] for r in order[a:b]])):
+                out[r] = found
+            a = b
+        return out
+
+    def _search(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
         sizes = np.array([len(p) for p in pieces])
         width = int(sizes.max())
         symbols = np.zeros((len(pieces), width), dtype=np.int64)
-        for r, p in enumerate(pieces):
-            symbols[r, width - len(p):] = np.searchsorted(self.alphabet, p) + 1
+        symbols[np.arange(width) >= width - sizes[:, None]] = np.searchsorted(self.alphabet, np.concatenate(pieces)) + 1
         found = np.full((len(pieces), width), np.iinfo(np.int64).max)
         lo, hi = np.zeros(len(pieces), dtype=np.int64), np.full(len(pieces), self.bwt.n, dtype=np.int64)
         for step in range(1, width + 1):
@@ -161,32 +160,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def keys(batches):
         for batch in batches:
-            for a, b in slices(list(batch["body"])):
-                found = [(i, p, *stretches(word_codes(t))) for i, p, t in zip(batch["id"].iloc[a:b], batch["print"].iloc[a:b], batch["body"].iloc[a:b])]
-                sizes = [len(f[2]) for f in found]
-                if sum(sizes):
-                    yield pd.DataFrame({"key": np.concatenate([f[2] for f in found]), "id": np.repeat([f[0] for f in found], sizes)}).drop_duplicates()
+            ids, bodies = batch["id"].to_numpy(), list(batch["body"])
+            for a, b in slices(bodies):
+                key, text, _, _ = stretches(bodies[a:b])
+                if len(key):
+                    yield pd.DataFrame({"key": key, "id": ids[a:b][text]}).drop_duplicates()
 
     seeds = own.mapInPandas(keys, "key long, id long").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     repeated = materialize(seeds.select("key"), "fm-keys")
 
     def places(batches):
         for batch in batches:
-            for a, b in slices(list(batch["body"])):
-                found = [(i, p, *stretches(word_codes(t))) for i, p, t in zip(batch["id"].iloc[a:b], batch["print"].iloc[a:b], batch["body"].iloc[a:b])]
-                sizes = [len(f[2]) for f in found]
-                if sum(sizes):
-                    yield pd.DataFrame({"key": np.concatenate([f[2] for f in found]), "id": np.repeat([f[0] for f in found], sizes),
-                                        "print": np.repeat([f[1] for f in found], sizes), "at": np.concatenate([f[3] for f in found]), "n": np.concatenate([f[4] for f in found])})
-
-    spots = own.mapInPandas(places, "key long, id long, print string, at int, n int").drop("print").join(repeated, "key", "left_semi")
+            ids, bodies = batch["id"].to_numpy(), list(batch["body"])
+            for a, b in slices(bodies):
+                key, text, at, n = stretches(bodies[a:b])
+                if len(key):
+                    yield pd.DataFrame({"key": key, "id": ids[a:b][text], "at": at, "n": n})
+
+    spots = own.mapInPandas(places, "key long, id long, at int, n int").join(repeated, "key", "left_semi")
     lists = spots.groupBy("id").agg(F.collect_list(F.struct("at", "n", "key")).alias("spots"))  # of one document
     shards = 2 * partitions(spark)
 
     def cut(batches):
         for batch in batches:
             for i, text, spots in zip(batch["id"], batch["body"], batch["spots"]):
-                codes = word_codes(text)
+                codes, _ = word_prints([text])
                 spots = [s for s in spots if s["at"] + s["n"] + WINDOW - 1 <= len(codes)]
                 if spots:
                     blobs = [codes[s["at"]:s["at"] + s["n"] + WINDOW - 1].tobytes() for s in spots]
@@ -199,10 +197,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         stuff = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"]]
         owners = rows["id"].to_numpy()
         index = FMIndex(stuff, owners)
-        out = []
-        for a in range(0, len(stuff), 20_000):
-            out += index.lowest_owners(stuff[a:a + 20_000])
-        return pd.DataFrame({"shard": rows["shard"], "piece": rows["piece"], "owners": out})
+        return pd.DataFrame({"shard": rows["shard"], "piece": rows["piece"], "owners": index.lowest_owners(stuff)})
 
     distinct = pieces.groupBy("shard", "piece", "words").agg(F.min("id").alias("id"))
     answers = distinct.groupBy("shard").applyInPandas(search, "shard long, piece long, owners array<long>")
