@@ -155,7 +155,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spark = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("body")).withColumn("print", F.sha2("body", 256))
     firsts = materialize(base.filter("id IS NOT NULL").groupBy("print").agg(F.min("id").alias("first")), "fm-texts")
-    narrow = base.join(firsts.withColumnRenamed("first", "id"), ["print", "id"], "left_semi").dropDuplicates(["print"]).select("id", "print", "body")
+    narrow = base.join(firsts.withColumnRenamed("first", "id"), ["print", "id"], "left_semi").dropDuplicates(["print"]).select(F.monotonically_increasing_id().alias("uid"), "id", "print", "body")
     own = materialize(narrow, "fm-distinct")
 
     def keys(batches):
@@ -171,27 +171,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def places(batches):
         for batch in batches:
-            ids, bodies = batch["id"].to_numpy(), list(batch["body"])
+            uids, bodies = batch["uid"].to_numpy(), list(batch["body"])
             for a, b in slices(bodies):
                 key, text, at, n = stretches(bodies[a:b])
                 if len(key):
-                    yield pd.DataFrame({"key": key, "id": ids[a:b][text], "at": at, "n": n})
+                    yield pd.DataFrame({"key": key, "uid": uids[a:b][text], "at": at, "n": n})
 
-    spots = own.mapInPandas(places, "key long, id long, at int, n int").join(repeated, "key", "left_semi")
-    lists = spots.groupBy("id").agg(F.collect_list(F.struct("at", "n", "key")).alias("spots"))  # of one document
+    spots = own.mapInPandas(places, "key long, uid long, at int, n int").join(repeated, "key", "left_semi")
+    lists = spots.groupBy("uid").agg(F.collect_list(F.struct("at", "n", "key")).alias("spots"))  # of one text
+    lists = lists.select("uid", "spots.at", "spots.n", "spots.key")
     shards = 2 * partitions(spark)
 
     def cut(batches):
         for batch in batches:
-            for i, text, spots in zip(batch["id"], batch["body"], batch["spots"]):
-                codes, _ = word_prints([text])
-                spots = [s for s in spots if s["at"] + s["n"] + WINDOW - 1 <= len(codes)]
-                if spots:
-                    blobs = [codes[s["at"]:s["at"] + s["n"] + WINDOW - 1].tobytes() for s in spots]
-                    yield pd.DataFrame({"shard": [s["key"] % shards for s in spots], "words": blobs, "id": i, "at": [s["at"] for s in spots],
-                                        "piece": [int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True) for b in blobs]})
-
-    pieces = materialize(own.select("id", "body").join(lists, "id").mapInPandas(cut, "shard long, words binary, id long, at long, piece long"), "fm-pieces")
+            ids, uids, bodies, ats, lengths, keys = (batch[c].to_numpy() for c in ("id", "uid", "body", "at", "n", "key"))
+            for a, b in slices(list(bodies)):
+                codes, counts = word_prints(list(bodies[a:b]))
+                opens, sizes = np.cumsum(counts) - counts, [len(x) for x in ats[a:b]]
+                text, at, n = np.repeat(np.arange(b - a), sizes), np.concatenate(ats[a:b]).astype(np.int64), np.concatenate(lengths[a:b])
+                key, begin = np.concatenate(keys[a:b]), (opens[text] + at) * 8
+                held = memoryview(codes.tobytes())
+                words = [bytes(held[x:y]) for x, y in zip(begin.tolist(), (begin + 8 * (n + WINDOW - 1)).tolist())]
+                digests = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words])
+                yield pd.DataFrame({"shard": key % shards, "words": words, "id": ids[a:b][text], "uid": uids[a:b][text], "at": at, "piece": np.frombuffer(digests, dtype=np.int64)})
+
+    pieces = materialize(own.select("uid", "id", "body").join(lists, "uid").mapInPandas(cut, "shard long, words binary, id long, uid long, at long, piece long"), "fm-pieces")
 
     def search(rows):
         stuff = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"]]
@@ -201,22 +205,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     distinct = pieces.groupBy("shard", "piece", "words").agg(F.min("id").alias("id"))
     answers = distinct.groupBy("shard").applyInPandas(search, "shard long, piece long, owners array<long>")
-    hits = pieces.select("shard", "piece", "id", "at").join(answers, ["shard", "piece"]).select("id", "at", F.expr("transform(owners, o -> o < id)").alias("hit")).filter("array_contains(hit, true)")
-    covers = materialize(hits.groupBy("id").agg(F.collect_list(F.struct("at", "hit")).alias("covers")), "fm-covers")  # of one document
+    hits = pieces.select("shard", "piece", "id", "uid", "at").join(answers, ["shard", "piece"]).select("uid", "at", F.expr("transform(owners, o -> o < id)").alias("hit")).filter("array_contains(hit, true)")
+    covers = materialize(hits.groupBy("uid").agg(F.collect_list(F.struct("at", "hit")).alias("covers")).select("uid", "covers.at", "covers.hit"), "fm-covers")  # of one text
 
     def strip(batches):
         for batch in batches:
             rows = []
-            for i, text, first, covers in zip(batch["id"], batch["body"], batch["first"], batch["covers"]):
+            for i, text, first, ats, hits in zip(batch["id"], batch["body"], batch["first"], batch["at"], batch["hit"]):
                 words = text.split()
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 if first == first and first is not None and i == i and i is not None and first < i and len(words) >= WINDOW:
                     gone[0], gone[-1] = 1, -1
-                for c in covers if covers is not None else []:
-                    if c["at"] + len(c["hit"]) + WINDOW - 1 <= len(words):
-                        at = c["at"] + np.flatnonzero(c["hit"])
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + WINDOW, -1)
+                if ats is not None:
+                    at = np.concatenate([x + np.flatnonzero(h) for x, h in zip(ats, hits)])
+                    np.add.at(gone, at, 1)
+                    np.add.at(gone, at + WINDOW, -1)
                 off = np.cumsum(gone)[:-1] > 0
                 kept = b" ".join([w for w, x in zip(words, off) if not x])
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], off.astype(np.int8), [0]])))
@@ -224,8 +227,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             yield pd.DataFrame(rows, columns=[id_col, "n_words", "n_removed", "kept_sha256", "kept_text", "spans"])
 
     all_rows = base.join(firsts, "print", "left")
-    own_covers = covers.join(own.select("id", "print"), "id").withColumnsRenamed({"id": "cover_id", "print": "cover_print"})
+    own_covers = covers.join(own.select("uid", "id", "print"), "uid").drop("uid").withColumnsRenamed({"id": "cover_id", "print": "cover_print"})
     on = all_rows["id"].eqNullSafe(own_covers["cover_id"]) & (all_rows["print"] == own_covers["cover_print"])
     kind = docs.schema[id_col].dataType.simpleString()
-    return all_rows.join(own_covers, on, "left").select("id", "body", "first", "covers").mapInPandas(
+    return all_rows.join(own_covers, on, "left").select("id", "body", "first", "at", "hit").mapInPandas(
         strip, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<array<long>>")

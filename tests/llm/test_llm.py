@@ -164,6 +164,10 @@ def test_fm_index(spark, odd_docs, no_docs):
     got = [(r.doc_id, r.n_words, r.n_removed) for r in fm_index.remove_repeats(odd_docs).collect()]
     assert len(got) == 11 and (1, 40, 0) in got and got.count((2, 40, 40)) == 2 and (None, 3, 0) in got
     assert fm_index.remove_repeats(no_docs).count() == 0
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    shared = [(1, a), (5, b + " " + a), (5, c + " " + c + " " + b), (6, c)]  # two texts of one id keep their own places
+    got = {(r.doc_id, r.n_words): r.spans for r in fm_index.remove_repeats(spark.createDataFrame(shared, "doc_id long, text string")).collect()}
+    assert got == {(1, 30): [], (5, 60): [[30, 60]], (5, 90): [], (6, 30): [[0, 30]]}
 
 
 def test_warc(spark):
