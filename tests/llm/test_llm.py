@@ -216,3 +216,59 @@ def test_pipeline(spark):
     assert n and sorted(r.place for r in rows) == list(range(n)) and len({r.doc_id for r in rows}) == n
     sets = [_sets(r.text) for r in rows]
     assert not any(s and 100 * len(s & t) >= 80 * len(s | t) for i, s in enumerate(sets) for t in sets[:i])
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage against brute force, and the whole run against all of them: a stage left out or without effect fails."""
+    docs, labels, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    item = bench.orderBy("item_id").first().text
+    kept = docs.filter("length(text) > 2000").orderBy("doc_id").limit(2).collect()
+    near = " ".join(w if i != 50 else "other" for i, w in enumerate(kept[0].text.split()))
+    planted = [(10**6, near, "en", kept[0].source), (10**6 + 1, kept[1].text[:1000] + " " + item, "en", kept[1].source)]
+    docs.unionByName(spark.createDataFrame([(*p, len(p[1])) for p in planted], docs.schema)).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    scores = {r.doc_id: r.score for r in ftrl.score(docs, ftrl.fit_quality(docs, labels)).collect()}
+    good = {d for d, s in scores.items() if s >= 0.3}
+    left = {r.doc_id: r for r in docs.collect() if r.doc_id in good}
+    assert 0 < len(left) < len(scores)
+    ids = sorted(left)
+    sets, low = {d: _sets(left[d].text) for d in ids}, {d: d for d in ids}
+    links = [(a, b) for i, b in enumerate(ids) for a in ids[:i] if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    while any(low[a] != low[b] for a, b in links):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    one = {d for d in ids if low[d] == d}
+    assert 0 < len(one) < len(left)
+    plain = lambda t: [p for w in (t or "").encode().split() if (p := latent.plain_word(w))]
+    items = [plain(r.text) for r in bench.collect()]
+    leaked = set()
+    for d in one:
+        words = plain(left[d].text)
+        for t in filter(None, items):
+            index = latent.Items.__new__(latent.Items)
+            index.whole, index.answer = [latent.masks_of(t)], [latent.masks_of(t[-latent.ANSWER_WORDS:])]
+            if latent.judge(index, 0, words)[0]:
+                leaked.add(d)
+    clean = one - leaked
+    assert 0 < len(clean) < len(one)
+
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} == clean and len(out) == len(clean)
+    n = len(out)
+    order = sorted(out, key=lambda r: (r.mix_slot, r.mix_offset))
+    assert [r.row_no for r in order] == list(range(n)) and [r.doc_id for r in order] != sorted(clean)
+    mixed = corpus_pipeline.mix(spark, docs.filter(docs.doc_id.isin(sorted(clean))), str(tmp_path)).collect()
+    assert {r.doc_id: (r.mix_slot, r.mix_offset) for r in mixed} == {r.doc_id: (r.mix_slot, r.mix_offset) for r in out}
+    slot_source = {}
+    for r in order:
+        assert slot_source.setdefault(r.mix_slot, r.source) == r.source
+    assert sorted(slot_source) == list(range(len(slot_source)))
+    a, b = feistel.sides(n)
+    for r in out:
+        x = feistel.permute(r.row_no, a, b, feistel.KEY)
+        while x >= n:
+            x = feistel.permute(x, a, b, feistel.KEY)
+        assert (r.place, r.shard, r.slot) == (x, x % feistel.SHARDS, x // feistel.SHARDS)
