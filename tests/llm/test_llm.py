@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -142,6 +143,35 @@ def test_pfair(spark, odd_docs, no_docs):
     assert pfair.pfair_mix(odd_docs).count() == 11 and pfair.pfair_mix(no_docs).count() == 0
 
 
+def _lags_under_one(sources, counts, weights):
+    """Whether every source of every slot of the first phase is less than a block from its exact share."""
+    total, done = sum(Fraction(w) for w in weights.values()), dict.fromkeys(weights, 0)
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    for t, s in enumerate(sources, 1):
+        done[s] += 1
+        if any(abs(done[x] - share[x] * t) >= 1 for x in (weights if t % 100 == 0 else (s,))):
+            return False
+        if done[s] == counts[s]:
+            break
+    return True
+
+
+def test_pfair_exact_weights(spark):
+    """Weights that are no multiples of a thousandth, over tens of thousands of slots, and one heavy source among many."""
+    for counts, weights in (({"hot": 9000, "mid": 20_000, "rare": 9}, {"hot": 1 / 3, "mid": 2 / 3 - 1 / 4000, "rare": 1 / 4000}),
+                            ({"hot": 21_000, "mid": 9_001, "rare": 17}, None)):
+        docs = spark.createDataFrame([(i, s) for s, n in counts.items() for i in range(n)], "doc_id long, source string")
+        rows = pfair.pfair_mix(docs, weights, block_rows=1).select("mix_slot", "source", "mix_phase").orderBy("mix_slot").collect()
+        assert [r.mix_slot for r in rows] == list(range(sum(counts.values())))
+        assert _lags_under_one([r.source for r in rows if r.mix_phase == 0], counts, weights or {s: n ** 0.7 for s, n in counts.items()})
+    counts = {"hot": 2000} | {f"t{i}": 3 for i in range(2000)}
+    weights = {"hot": 0.33} | {f"t{i}": 0.67 / 2000 for i in range(2000)}
+    docs = spark.createDataFrame([(i, s) for s, n in counts.items() for i in range(n)], "doc_id long, source string")
+    first = [r.source for r in pfair.pfair_mix(docs, weights, block_rows=1).select("mix_slot", "source").orderBy("mix_slot").limit(1000).collect()]
+    share = Fraction(0.33) / (Fraction(0.33) + 2000 * Fraction(0.67 / 2000))
+    assert all(abs(first[:t].count("hot") - share * t) < 1 for t in range(1, 1001))
+
+
 def test_fm_index(spark, odd_docs, no_docs):
     rng = np.random.default_rng(1)
     texts = [[f"v{x}" for x in rng.integers(0, 50, 200)] for _ in range(12)]
