@@ -117,6 +117,19 @@ def test_latent(spark, odd_docs, no_docs):
     assert latent.lcs(latent.masks_of(a), b) == 3
 
 
+def test_latent_short_paraphrase_and_null_ids(spark):
+    """A short item's half and its answer are a leak, its half alone is none; rows without an id are searched each by itself."""
+    item = [f"item{i}" for i in range(20)]
+    half = " ".join(w if i >= 12 or i % 4 == 0 else f"o{i}" for i, w in enumerate(item))
+    no_answer = " ".join(w if i < 11 else f"o{i}" for i, w in enumerate(item))
+    lead = " ".join(f"lead{i}" for i in range(20))
+    big = 2 ** 60 + 1
+    rows = [(big, f"{lead} {half} tail"), (2, f"{lead} {no_answer} tail"), (None, f"{lead} {' '.join(item)}"), (None, "nothing of it"), (5, "no more")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted((r.doc_id or 0, r.kind) for r in latent.leaks(docs, bench).collect()) == [(0, "verbatim"), (big, "paraphrase")]
+    assert sorted((r.doc_id or 0, r.text) for r in latent.decontaminate(docs, bench).collect()) == [(0, "nothing of it"), rows[1], rows[4]]
+
+
 def test_latent_recall(spark):
     """Every item whose words all stand in a document in order, next to each other, is found (recall against brute force)."""
     d = "/root/testdata/sf0.01"
