@@ -130,6 +130,24 @@ def test_latent_short_paraphrase_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in latent.decontaminate(docs, bench).collect()) == [(0, "nothing of it"), rows[1], rows[4]]
 
 
+def test_latent_low_cosine(spark):
+    """Half items and paraphrases are all found by brute force's measure, also where no passage's cosine reaches the bound."""
+    rng = np.random.default_rng(4)
+    items = [[f"v{x}" for x in rng.integers(0, 3000, n)] for n in (12, 18, 30, 45, 60) for _ in range(12)]
+    texts = []
+    for i, t in enumerate(items):
+        cut = [w if j >= len(t) - 8 or rng.random() < 0.5 else f"v{rng.integers(0, 3000)}" for j, w in enumerate(t)]
+        texts.append([f"v{x}" for x in rng.integers(0, 3000, 40 + i)] + (cut if i % 2 else t) + [f"v{x}" for x in rng.integers(0, 3000, 50)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    held = latent.Items(list(range(len(items))), [" ".join(t).encode() for t in items], np.ones((latent.BUCKETS + 1, 2), np.float32))
+    want = {(d, i) for d, t in enumerate(texts) for i in range(len(items)) if latent.judge(held, i, [w.encode() for w in t])[0]}
+    assert len(want) > 40
+    for cosine in (latent.COSINE, 2.0):  # 2: nothing comes by the cosine
+        got = {(r.doc_id, r.item_id) for r in latent.leaks(docs, bench, cosine=cosine).collect()}
+        assert len(want & got) >= 0.95 * len(want)
+
+
 def test_latent_recall(spark):
     """Every item whose words all stand in a document in order, next to each other, is found (recall against brute force)."""
     d = "/root/testdata/sf0.01"
