@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import NumericType
 
 from quiltlens.llm.rows import partitions
 from quiltlens.llm.token_orc import BYTE_LETTERS, encoder
 from quiltlens.session import shared_dir
 
 PIECE_TOKENS = 16_384
+STRETCH_TURNS = 1_000  # turns of a conversation that one task assembles
 STRETCH = 1_000_000  # characters encoded at once
 _ESCAPE = "\\"
 
@@ -94,10 +96,11 @@ def write_chats(rows: DataFrame, path: str, tokenizer: str, template: Template =
     """Write ``conv, part, at, n_turns, ids, loss`` as Parquet: token ids of whole turns and, per token, whether the loss counts it.
 
     Each turn's escaped text is encoded where its row lies, so a long conversation is encoded by many tasks. Then turns
-    are range-partitioned by conversation and turn and assembled in that order: reserved ids are spliced in between, and
-    the mask is the running sum of +1 at the first and -1 after the last token of each text of a loss role. A conversation
-    is one row, but for those of more than ``piece_tokens`` tokens and those that a partition's end cuts between two
-    turns: their pieces follow each other by ``part`` and ``at``. So memory is bounded, but for the longest text.
+    are range-partitioned by conversation and thousand of turn numbers and assembled in order: reserved ids are spliced
+    in between, and the mask is the running sum of +1 at the first and -1 after the last token of each text of a loss
+    role. A conversation is one row, but for those of more than ``piece_tokens`` tokens and those of more than a thousand
+    turns, which several tasks may assemble: their pieces follow each other by ``part`` and ``at``. So memory is bounded,
+    but for the longest text.
 
     Null text counts as empty, a null role as the role ''. Turns with a null number come first; equal numbers are ordered
     by role and a hash of the text, and repeated rows are turns of their own. Rows with a null conversation form one conversation. No
@@ -130,7 +133,8 @@ def write_chats(rows: DataFrame, path: str, tokenizer: str, template: Template =
     coded = turns.mapInArrow(encode, f"conv {kinds['conv']}, turn {kinds['turn']}, role string, text string, ids binary, first int, last int")
     coded = coded.withColumn("tie", F.xxhash64("role", "text")).withColumn("counts", F.col("role").isin(*template.loss_roles)).drop("text")
     order = ["conv", "turn", "role", "tie"]
-    placed = coded.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("conv", F.spark_partition_id().alias("part"), "ids", "first", "last", "counts")
+    stretch = F.floor(F.col("turn") / STRETCH_TURNS) if isinstance(turns.schema["turn"].dataType, NumericType) else F.col("turn")
+    placed = coded.repartitionByRange(partitions(spark), F.col("conv"), stretch).sortWithinPartitions(*order).select("conv", F.spark_partition_id().alias("part"), "ids", "first", "last", "counts")
 
     def assemble(batches):
         held, key, part, at, tokens, made = [], None, None, 0, 0, []
