@@ -1,8 +1,8 @@
 """Page structure audit.
 
-Page-local checks read one HTML row and emit an array of findings, so the whole audit is a
-single narrow scan: no shuffle before the roll-up. Only card clusters need nesting, which
-is a window inside one document, over structural tags of pages that can hold cards.
+Every check is a filter over the element table of a page (``operators/elements``), inside the page's row, so the whole
+audit is one narrow scan: nothing is shuffled before the roll-up. Only the heading titles (F3, F4), which are ranked per
+section, are rows of their own.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiltlens.functions import markup as M
+from quiltlens.operators import elements as E
 from quiltlens.operators.inventory import dedupe_first
 
 # Word lists of the audit rules.
@@ -21,17 +22,15 @@ TEXT_KINDS = ["email", "text", "search", "tel", "url"]
 SOCIAL = "(?i)twitter|linkedin|facebook|instagram|github"
 SUBMIT_LABELS = ["join", "subscribe", "sign up", "sign-up"]
 CHROME_SLUG = r"(?i)^(header|nav|navbar|navigation|footer|main)(--|-2|-\d+)?$"
+SKIP_LINK = r"(?i)skip(?:\s+|-)?(?:to(?:\s+|-)?(?:content|main)|link)|\bskip(?:-?to)?(?:-?content|-?main|-?link)?\b"
+SAID = ["class", "style", "id", "data-name", "layer-name", "data-paper-name", "data-paper-section", "alt", "src"]  # what an element is called
+CLUSTER_NAMES = ["id", "data-paper-section", "data-name", "layer-name", "data-paper-name", "class"]
 SIZE_PX = {
     "xs": 12, "sm": 14, "base": 16, "lg": 18, "xl": 20, "2xl": 24, "3xl": 30, "4xl": 36,
     "5xl": 48, "6xl": 60, "7xl": 72, "8xl": 96, "9xl": 128, "10xl": 160, "11xl": 192, "12xl": 224,
 }
 SIZE_TOLERANCE_PX = 1.05
-
-FOOTER = r"(?is)<footer\b.*?</footer\s*>"
-HEADER = r"(?is)<header\b.*?</header\s*>"
-MAIN = r"(?is)<main\b.*?</main\s*>"
-NAV_TAG = r"(?is)<nav\b[^>]*>"
-NONE = F.array  # an empty array of findings
+HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
 def finding(check: str, kind: Column | str, detail: Column | str = "") -> Column:
@@ -43,13 +42,8 @@ def _stack(*cases: Column) -> Column:
     return F.array_compact(F.array(*cases))
 
 
-def heading_levels(html: Column) -> Column:
-    """Levels of headings that hold text, in document order."""
-    heads = F.filter(M.all_matches(html, M.HEADING), lambda h: M.text_of(h) != "")
-    return F.transform(heads, lambda h: F.regexp_extract(h, r"(?i)^<h([1-6])", 1).cast("int"))
-
-
-def heading_findings(html: Column) -> Column:
+def heading_findings() -> Column:
+    """No h1, more than one, or a level that is skipped; headings without words don't count."""
     levels = F.col("_levels")
     ones = F.size(F.filter(levels, lambda v: v == 1))
     pairs = F.arrays_zip(levels.alias("a"), F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))).alias("b"))
@@ -61,221 +55,220 @@ def heading_findings(html: Column) -> Column:
     )
 
 
-def landmark_findings(html: Column) -> Column:
-    body, navs = F.col("_body"), F.col("_navs")
-    stray = F.filter(F.col("_outside"), lambda n: ~n.rlike(MOBILE_NAV))
-    has_header, has_main, has_footer = html.rlike(r"(?i)<header\b"), html.rlike(r"(?i)<main\b"), html.rlike(r"(?i)<footer\b")
-    main_id = M.attr(F.regexp_extract(html, r"(?is)<main\b[^>]*>", 0), "id")
-    text = F.lower(M.text_of(body))
+def landmark_findings() -> Column:
+    navs = F.col("_navs")
+    stray = F.exists(navs, lambda n: ~E.under(n, "header", "main") & ~E.blob(n, *SAID).rlike(MOBILE_NAV))
+    has = lambda tag: F.exists("els", lambda e: e["tag"] == tag)
+    main_id = E.attr(F.get(E.of_tag("main"), F.lit(0)), "id")
     return _stack(
-        F.when((F.size(navs) > 0) & ~has_header, finding("landmark", "nav without header")),
-        F.when((F.size(stray) > 0) & has_header, finding("landmark", "nav outside header")),
-        F.when(html.rlike(r"(?i)<section\b") & ~has_main, finding("landmark", "main missing")),
-        F.when(has_main & (main_id != "main-content"), finding("landmark", "main has wrong id", main_id)),
-        F.when(~has_footer & text.rlike("all rights reserved|copyright|©"), finding("landmark", "footer missing")),
-        F.when(
-            F.exists(navs, lambda n: (M.attr(n, "aria-label") == "") & (M.attr(n, "aria-labelledby") == "")),
-            finding("landmark", "unlabeled nav"),
-        ),
+        F.when((F.size(navs) > 0) & ~has("header"), finding("landmark", "nav without header")),
+        F.when(stray & has("header"), finding("landmark", "nav outside header")),
+        F.when(has("section") & ~has("main"), finding("landmark", "main missing")),
+        F.when(has("main") & (main_id != "main-content"), finding("landmark", "main has wrong id", main_id)),
+        F.when(~has("footer") & F.lower("said").rlike("all rights reserved|copyright|©"), finding("landmark", "footer missing")),
+        F.when(F.exists(navs, lambda n: (E.attr(n, "aria-label") == "") & (E.attr(n, "aria-labelledby") == "")), finding("landmark", "unlabeled nav")),
     )
 
 
-def input_findings(html: Column) -> Column:
+def input_findings() -> Column:
     """Text-like inputs with no label element around or for them, no aria label and no title."""
-    fors = F.col("_fors")
-    bare = M.all_matches(F.regexp_replace(html, r"(?is)<label\b.*?</label\s*>", " "), r"(?is)<(?:input|textarea)\b[^>]*>")
-    kind = lambda el: F.when(M.tag_name(el) == "textarea", "text").when(M.attr(el, "type") == "", "text").otherwise(F.lower(M.attr(el, "type")))
-    named = lambda el: (
-        (M.attr(el, "aria-label") != "") | (M.attr(el, "aria-labelledby") != "") | (F.trim(M.attr(el, "title")) != "")
-        | ((M.attr(el, "id") != "") & F.array_contains(fors, M.attr(el, "id")))
+    fors = F.transform(E.of_tag("label"), lambda e: E.attr(e, "for"))
+    kind = lambda e: F.when((e["tag"] == "textarea") | (E.attr(e, "type") == ""), "text").otherwise(F.lower(E.attr(e, "type")))
+    named = lambda e: (
+        (E.attr(e, "aria-label") != "") | (E.attr(e, "aria-labelledby") != "") | (F.trim(E.attr(e, "title")) != "")
+        | E.under(e, "label") | ((E.attr(e, "id") != "") & F.array_contains(fors, E.attr(e, "id")))
     )
-    lost = F.filter(bare, lambda el: kind(el).isin(*TEXT_KINDS) & ~named(el))
-    return F.transform(lost, lambda el: finding("input", "unlabeled input", kind(el)))
+    lost = F.filter(E.of_tag("input", "textarea"), lambda e: kind(e).isin(*TEXT_KINDS) & ~named(e))
+    return F.transform(lost, lambda e: finding("input", "unlabeled input", kind(e)))
 
 
-def alt_findings(html: Column) -> Column:
-    images = M.all_matches(html, r"(?is)<img\b[^>]*>")
-    said = lambda el: F.concat_ws(" ", M.attr(el, "class"), M.attr(el, "id"), M.attr(el, "src"), M.attr(el, "alt"))
-    decor = lambda el: M.attr(el, "data-decorative").isin("true", "1") | said(el).rlike(DECOR_HINT)
-    lost = F.filter(images, lambda el: ~M.has_attr(el, "alt") & ~decor(el))
-    return F.transform(lost, lambda el: finding("image", "missing alt", M.attr(el, "src")))
+def alt_findings() -> Column:
+    """Images without alt that are not decorative: marked so, inside something marked so, or called so."""
+    decor = lambda e: E.attr(e, "data-decorative").isin("true", "1") | E.under(e, "decorative") | E.blob(e, *SAID).rlike(DECOR_HINT)
+    lost = F.filter(E.of_tag("img"), lambda e: ~E.has_attr(e, "alt") & ~decor(e))
+    return F.transform(lost, lambda e: finding("image", "missing alt", E.attr(e, "src")))
 
 
-def section_tag_findings(html: Column, section_attr: str = "data-section") -> Column:
+def section_tag_findings(section_attr: str = "data-section") -> Column:
     """Named content bands that are still plain ``div`` elements."""
-    divs = F.transform(M.all_matches(html, r"(?is)<div\b[^>]*>"), lambda el: F.trim(M.attr(el, section_attr)))
-    bands = F.filter(divs, lambda s: (s != "") & ~s.rlike(CHROME_SLUG))
+    bands = F.filter(F.transform(E.of_tag("div"), lambda e: F.trim(E.attr(e, section_attr))), lambda s: (s != "") & ~s.rlike(CHROME_SLUG))
     return F.transform(bands, lambda s: finding("section", "band is a div", s))
 
 
-def footer_findings(html: Column) -> Column:
-    foot = F.col("_foot")
-    unlinked = M.all_matches(F.regexp_replace(foot, M.LINK, " "), r"(?is)<(?:img|svg)\b[^>]*>")
-    icons = F.filter(unlinked, lambda el: el.rlike(SOCIAL))
-    inputs, buttons = F.col("_inputs"), F.col("_buttons")
-    email = F.exists(inputs, lambda el: (F.lower(M.attr(el, "type")) == "email") | F.lower(M.attr(el, "placeholder")).contains("email"))
-    submit = F.exists(
-        F.concat(inputs, buttons), lambda el: (F.lower(M.attr(el, "type")) == "submit") | F.lower(F.trim(M.attr(el, "value"))).isin(*SUBMIT_LABELS)
-    ) | F.exists(buttons, lambda el: F.lower(M.text_of(el)).isin(*SUBMIT_LABELS))
-    has = html.rlike(r"(?i)<footer\b")
+def footer_findings() -> Column:
+    foot, parts = F.col("_foot"), F.col("_parts")
+    icons = F.filter(parts, lambda e: e["tag"].isin("img", "svg") & ~F.coalesce(e["near"]["a"] > foot["i"], F.lit(False)) & F.concat_ws(" ", F.map_values(e["attrs"])).rlike(SOCIAL))
+    email = F.exists(parts, lambda e: (e["tag"] == "input") & ((F.lower(E.attr(e, "type")) == "email") | F.lower(E.attr(e, "placeholder")).contains("email")))
+    submit = F.exists(parts, lambda e: (e["tag"].isin("input", "button") & ((F.lower(E.attr(e, "type")) == "submit") | F.lower(F.trim(E.attr(e, "value"))).isin(*SUBMIT_LABELS)))
+                      | ((e["tag"] == "button") & F.lower(E.words(e)).isin(*SUBMIT_LABELS)))
+    has = foot.isNotNull()
     return _stack(
         F.when(~has, finding("footer", "no footer")),
-        F.when(has & ~foot.rlike(r"(?is)<a\b[^>]*\shref\s*="), finding("footer", "no links")),
+        F.when(has & ~F.exists(parts, lambda e: (e["tag"] == "a") & E.has_attr(e, "href")), finding("footer", "no links")),
         F.when(has & (F.size(icons) > 0), finding("footer", "social icon not linked", F.size(icons).cast("string"))),
         F.when(has & email & ~submit, finding("footer", "email without submit")),
     )
 
 
+def card_findings() -> Column:
+    """Containers in sections whose two or more cards are not articles.
+
+    Children count as cards when all carry the same card word, or when the nearest section is named like a card cluster
+    and every child looks like a card: an article, one called so, or one with a heading and words or a picture. A list
+    item that holds nothing but an article is one.
+    """
+    hint = lambda e: F.lower(F.regexp_extract(E.blob(e, "class", "id"), CARD_HINT, 0))
+    holds = lambda e, *tags: F.exists(E.inside(e), lambda d: d["tag"].isin(*tags))
+    looks = lambda e: (e["tag"] == "article") | (hint(e) != "") | (holds(e, "h2", "h3", "h4") & holds(e, "p", "img"))
+    only = lambda e: F.transform(E.children(e), lambda d: d["tag"])
+    article = lambda e: (e["tag"] == "article") | E.under(e, "article") | ((e["tag"] == "li") & (only(e) == F.array(F.lit("article"))))
+    held = F.filter("els", lambda e: (e["tag"] == "section") | (e["tag"].isin("div", "ul", "ol") & E.under(e, "section")))
+    groups = F.transform(held, lambda e: F.struct(
+        E.at(F.when(e["tag"] == "section", e["i"]).otherwise(e["near"]["section"])).alias("section"),
+        F.filter(E.children(e), lambda d: d["tag"].isin("div", "article", "li", "a")).alias("kids")))
+    groups = F.transform(F.filter(groups, lambda g: F.size(g["kids"]) >= 2), lambda g: F.struct(
+        F.array_distinct(F.transform(g["kids"], hint)).alias("hints"), F.size(F.filter(g["kids"], lambda k: ~article(k))).alias("bare"),
+        (E.blob(g["section"], *CLUSTER_NAMES).rlike(CLUSTER_WORDS) & F.forall(g["kids"], looks)).alias("structured"),
+        F.coalesce(F.nullif(E.attr(g["section"], "id"), F.lit("")), F.nullif(E.attr(g["section"], "data-paper-section"), F.lit("")), F.lit("cluster")).alias("label")))
+    same = lambda g: (F.size(g["hints"]) == 1) & (F.get(g["hints"], F.lit(0)) != "")
+    lost = F.filter(groups, lambda g: (same(g) | g["structured"]) & (g["bare"] > 0))
+    return F.transform(lost, lambda g: finding("card", "cards not articles", F.concat(F.lit("#"), g["label"], F.lit(" "), g["bare"].cast("string"))))
+
+
 PAGE_CHECKS = {
     "heading": heading_findings, "landmark": landmark_findings, "input": input_findings,
-    "image": alt_findings, "section": section_tag_findings, "footer": footer_findings,
+    "image": alt_findings, "section": section_tag_findings, "footer": footer_findings, "card": card_findings,
 }
 
 
-def page_findings(corpus: DataFrame, checks: list[str] | None = None) -> DataFrame:
-    """Findings of the chosen page-local checks: ``(site, page_id, check, kind, detail)``."""
-    # staged so that the visible markup and the shared parts of the checks are computed once per row
-    html = F.col("html")
-    seen = corpus.select("site", "page_id", M.visible(html).alias("html")).select(
-        "*", F.transform(M.all_matches(html, r"(?is)<label\b[^>]*>"), lambda el: M.attr(el, "for")).alias("_fors"),
-        heading_levels(html).alias("_levels"), F.regexp_extract(html, FOOTER, 0).alias("_foot"), F.regexp_replace(html, FOOTER, " ").alias("_body"),
-    ).select(
-        "*", M.all_matches(F.col("_body"), NAV_TAG).alias("_navs"),
-        M.all_matches(F.regexp_replace(F.regexp_replace("_body", HEADER, " "), MAIN, " "), NAV_TAG).alias("_outside"),
-        M.all_matches(F.col("_foot"), r"(?is)<input\b[^>]*>").alias("_inputs"), M.all_matches(F.col("_foot"), r"(?is)<button\b[^>]*>.*?</button\s*>").alias("_buttons"),
-    )
-    picked = [PAGE_CHECKS[c](F.col("html")) for c in (checks or PAGE_CHECKS)]
-    return (
-        seen.select("site", "page_id", F.concat(*picked).alias("fs"))
-        .select("site", "page_id", F.explode("fs").alias("f"))
-        .select("site", "page_id", "f.check", "f.kind", "f.detail")
-    )
+AUDIT_CHECKS = [*PAGE_CHECKS, "title"]
+
 
+def page_findings(pages: DataFrame, checks: list[str] | None = None) -> DataFrame:
+    """Findings of the chosen page-local checks over ``page_elements``: ``(site, page_id, check, kind, detail)``."""
+    # staged so that the shared parts of the checks are computed once per row
+    heads = F.filter(E.of_tag(*HEADING_TAGS), lambda e: E.words(e) != "")
+    staged = pages.select(
+        "site", "page_id", "said", "els", F.transform(heads, lambda e: F.substring(e["tag"], 2, 1).cast("int")).alias("_levels"),
+        F.filter(E.of_tag("nav"), lambda e: ~E.under(e, "footer")).alias("_navs"), F.get(E.of_tag("footer"), F.lit(0)).alias("_foot"),
+    ).withColumn("_parts", F.coalesce(E.inside(F.col("_foot")), F.slice("els", 1, 0)))
+    picked = [PAGE_CHECKS[c]() for c in (checks or PAGE_CHECKS)]
+    return staged.select("site", "page_id", F.explode(F.concat(*picked)).alias("f")).select("site", "page_id", "f.check", "f.kind", "f.detail")
 
-STRUCTURAL = ["section", "div", "ul", "ol", "li", "article", "a", "main", "header", "footer", "nav", "aside", "form"]
-CONTENT = ["h2", "h3", "h4", "p", "img"]
 
+def card_cluster_defects(pages: DataFrame) -> DataFrame:
+    return page_findings(pages, ["card"])
 
-def card_cluster_defects(corpus: DataFrame) -> DataFrame:
-    """Groups of two or more sibling cards that are not articles.
 
-    Children of one container count as cards when all carry the same card word, or when the
-    section is named like a card cluster and every child looks like a card.
+def title_findings(pages: DataFrame) -> DataFrame:
+    """Sections of the pages whose top visual title is no heading (F4), as findings."""
+    found = section_title_defects(title_nodes(pages))
+    return found.select("site", F.col("page").alias("page_id"), F.lit("title").alias("check"), F.lit("section title is not a heading").alias("kind"), F.concat_ws(" ", "tag", "text").alias("detail"))
+
+
+def audit_findings(pages: DataFrame) -> DataFrame:
+    """All checks of all pages of ``page_elements``, as they are found; write them once before rolling them up."""
+    return page_findings(pages).unionByName(title_findings(pages))
+
+
+def audit_rollup(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """Per site and check, per site, and overall: pages, failing pages, findings, pass rate.
+
+    Counts per page come first, as partial sums, and with them a row for every page without findings. Then one pass over
+    grouping sets gives all levels; sums per site are partial, too, so a large site meets in no task.
     """
-    able = corpus.filter(F.col("html").rlike(r"(?i)<section\b"))
-    tokens = able.select("site", "page_id", F.posexplode(M.all_matches(M.visible(F.col("html")), r"(?s)</?[a-zA-Z][^>]*>")).alias("ord", "token"))
-    name = F.lower(F.regexp_extract("token", "^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-    tagged = tokens.withColumn("tag", name).filter(F.col("tag").isin(*STRUCTURAL, *CONTENT))
-    struct = F.col("tag").isin(*STRUCTURAL)
-    closes = F.col("token").startswith("</")
-    page = W.partitionBy("page_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    has = lambda *tags: F.sum((F.col("tag").isin(*tags) & ~closes).cast("int")).over(page)
-    opened = lambda tag: F.sum(F.when(F.col("tag") == tag, F.when(closes, -1).otherwise(1)).otherwise(0)).over(page)
-    walked = tagged.select(
-        "site", "page_id", "ord", "token", "tag", struct.alias("struct"), closes.alias("closes"),
-        F.sum(F.when(struct, F.when(closes, -1).otherwise(1)).otherwise(0)).over(page).alias("after"),
-        has("h2", "h3", "h4").alias("heads"), has("p", "img").alias("copy"),
-        opened("section").alias("in_section"), opened("article").alias("in_article"),
-        F.last(F.when((F.col("tag") == "section") & ~closes, F.col("token")), ignorenulls=True).over(page).alias("section_tag"),
-    ).filter("struct")
-    level = F.when(F.col("closes"), F.col("after") + 1).otherwise(F.col("after"))
-    # an element's opening and closing tag are neighbours among the tags of its level
-    at_level = W.partitionBy("page_id", "level").orderBy("ord")
-    elements = (
-        walked.withColumn("level", level)
-        .withColumn("end", F.lead(F.struct("ord", "heads", "copy")).over(at_level))
-        .filter("NOT closes")
-    )
-    # one list of possible parents and of children per level: the parent is the latest opener above
-    none = F.lit(None)
-    as_parent = elements.select("page_id", F.col("level").alias("slot"), "ord", F.col("ord").alias("po"), F.col("tag").alias("pt"), none.cast("int").alias("child"))
-    as_child = elements.select("page_id", (F.col("level") - 1).alias("slot"), "ord", none.cast("int").alias("po"), none.cast("string").alias("pt"), F.col("ord").alias("child"))
-    slot = W.partitionBy("page_id", "slot").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    parents = (
-        as_parent.unionByName(as_child)
-        .select("page_id", "child", F.last("po", ignorenulls=True).over(slot).alias("parent"), F.last("pt", ignorenulls=True).over(slot).alias("parent_tag"))
-        .filter("child IS NOT NULL AND parent IS NOT NULL").withColumnRenamed("child", "ord")
-    )
-    linked = elements.join(parents, ["page_id", "ord"], "left")
-    only_article = linked.groupBy("page_id", F.col("parent").alias("ord")).agg(
-        (F.count_if(F.col("tag") == "article") == F.count("*")).alias("holds_article"), F.count("*").alias("child_count")
-    ).filter("child_count = 1 AND holds_article").select("page_id", "ord", "holds_article")
-    said = F.concat_ws(" ", M.attr(F.col("token"), "class"), M.attr(F.col("token"), "id"))
-    inside_heads = F.col("end.heads") > F.col("heads")
-    inside_copy = F.col("end.copy") > F.col("copy")
-    kids = (
-        linked.join(only_article, ["page_id", "ord"], "left")
-        .filter(F.col("tag").isin("div", "article", "li", "a") & F.col("parent_tag").isin("section", "div", "ul", "ol"))
-        .filter("in_section > 0")
-        .select(
-            "site", "page_id", "parent",
-            F.lower(F.regexp_extract(said, CARD_HINT, 1)).alias("hint"),
-            (F.col("tag") == "article").alias("_is_article"),
-            F.coalesce(inside_heads & inside_copy, F.lit(False)).alias("_full"),
-            ((F.col("tag") == "article") | (F.col("in_article") > 0) | F.coalesce("holds_article", F.lit(False))).alias("article"),
-            M.attr(F.col("section_tag"), "id").alias("section_id"),
-            F.concat_ws(" ", M.attr(F.col("section_tag"), "id"), M.attr(F.col("section_tag"), "class")).rlike(CLUSTER_WORDS).alias("clustered"),
-        )
-    )
-    card = F.col("_is_article") | (F.col("hint") != "") | F.col("_full")
-    groups = kids.groupBy("site", "page_id", "parent").agg(
-        F.count("*").alias("n"), F.min("hint").alias("lo"), F.max("hint").alias("hi"), F.bool_and(card).alias("cards"),
-        F.bool_and("clustered").alias("clustered"), F.count_if(~F.col("article")).alias("bare"), F.min("section_id").alias("section_id"),
-    )
-    same = (F.col("lo") != "") & (F.col("lo") == F.col("hi"))
-    return groups.filter((F.col("n") >= 2) & (same | (F.col("clustered") & F.col("cards"))) & (F.col("bare") > 0)).select(
-        "site", "page_id", F.lit("card").alias("check"), F.lit("cards not articles").alias("kind"),
-        F.concat_ws(" ", F.concat(F.lit("#"), F.when(F.col("section_id") == "", "cluster").otherwise(F.col("section_id"))), F.col("bare").cast("string")).alias("detail"),
-    )
+    page = page_counts(pages, findings)
+    per_check = F.transform("checks", lambda c: F.struct(c["check"].alias("check"), c["n"].alias("n")))
+    rows = page.select("site", F.explode(F.concat(F.array(F.struct(F.lit("all").alias("check"), F.col("findings").alias("n"))), per_check)).alias("c")).select("site", "c.check", "c.n")
+    sums = rows.groupingSets([["site", "check"], ["check"]], "site", "check").agg(
+        F.grouping("site").alias("_all"), F.count("*").alias("pages"), F.count_if(F.col("n") > 0).alias("failing_pages"), F.sum("n").alias("findings"))
+    wanted = F.when(F.col("check") == "all", True).otherwise((F.col("_all") == 0) & (F.col("findings") > 0))
+    return sums.filter(wanted).select(F.when(F.col("_all") == 1, "all").otherwise(F.col("site")).alias("site"), "check", "pages", "failing_pages", "findings",
+                                      F.round((F.col("pages") - F.col("failing_pages")) / F.col("pages"), 4).alias("pass_rate"))
 
 
-def audit_findings(corpus: DataFrame) -> DataFrame:
-    return page_findings(corpus).unionByName(card_cluster_defects(corpus))
+def page_counts(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """``site, page_id, findings, checks``: how many findings each page has, in all and for each check."""
+    every = findings.select("site", "page_id", "check").unionByName(pages.select("site", "page_id", F.lit(None).cast("string").alias("check")))
+    counts = [F.struct(F.lit(c).alias("check"), F.col(f"_{c}").alias("n")) for c in AUDIT_CHECKS]
+    return every.groupBy("site", "page_id").agg(F.count("check").alias("findings"), *[F.count_if(F.col("check") == c).alias(f"_{c}") for c in AUDIT_CHECKS]).select(
+        "site", "page_id", "findings", F.array(*counts).alias("checks"))
 
 
-def audit_rollup(corpus: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per site and check, per site, and overall: pages, failing pages, findings, pass rate."""
-    failing = findings.groupBy("site", "page_id", "check").agg(F.count("*").alias("found"))
-    pages = corpus.groupBy("site").agg(F.count("*").alias("pages"))
-    per_check = failing.groupBy("site", "check").agg(F.count("*").alias("failing_pages"), F.sum("found").alias("findings"))
-    any_fail = failing.groupBy("site", "page_id").agg(F.sum("found").alias("found")).groupBy("site").agg(
-        F.count("*").alias("failing_pages"), F.sum("found").alias("findings")
-    )
-    site_rows = pages.join(any_fail, "site", "left").select(
-        "site", F.lit("all").alias("check"), "pages",
-        F.coalesce("failing_pages", F.lit(0)).alias("failing_pages"), F.coalesce("findings", F.lit(0)).alias("findings"),
-    )
-    total = site_rows.agg(F.sum("pages").alias("pages"), F.sum("failing_pages").alias("failing_pages"), F.sum("findings").alias("findings")).select(
-        F.lit("all").alias("site"), F.lit("all").alias("check"), "pages", "failing_pages", "findings"
-    )
-    rows = per_check.join(pages, "site").select("site", "check", "pages", "failing_pages", "findings").unionByName(site_rows).unionByName(total)
-    return rows.withColumn("pass_rate", F.round((F.col("pages") - F.col("failing_pages")) / F.col("pages"), 4))
+def landmark_counts(pages: DataFrame) -> DataFrame:
+    """Landmarks, articles and first headings of each page, the id of its first main, and whether it has a skip link."""
+    count = lambda tag: F.size(E.of_tag(tag)).cast("bigint")
+    skips = F.exists(E.of_tag("a"), lambda e: E.has_attr(e, "href") & F.concat_ws(" ", E.attr(e, "class"), E.attr(e, "id"), E.words(e)).rlike(SKIP_LINK))
+    return pages.select("site", "page_id", *[count(t).alias(t) for t in ("header", "nav", "main", "footer", "article", "h1")],
+                        E.attr(F.get(E.of_tag("main"), F.lit(0)), "id").alias("main_id"), skips.alias("skip_link"))
 
 
-def landmark_counts(corpus: DataFrame) -> DataFrame:
-    html = M.visible(F.col("html"))
-    count = lambda tag: F.regexp_count(html, F.lit(rf"(?i)<{tag}\b")).cast("bigint")
-    return corpus.select("site", "page_id", *[count(t).alias(t) for t in ("header", "nav", "main", "footer", "article", "h1")])
+def page_reports(pages: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row per page: whether it passes, its findings in all and per check (``check:n``), and its landmarks."""
+    failed = F.transform(F.filter("checks", lambda c: c["n"] > 0), lambda c: F.concat_ws(":", c["check"], c["n"].cast("string")))
+    counts = page_counts(pages, findings).select("site", "page_id", (F.col("findings") == 0).alias("ok"), "findings", F.array_join(failed, ";").alias("failed"))
+    return counts.join(landmark_counts(pages), ["site", "page_id"])
 
 
 # ---- visual headings -------------------------------------------------------------------------
 
+# Size names in rising order, and the patterns of visual titles.
+TITLE_SIZES = ["xl", "2xl", "3xl", "4xl", "5xl", "6xl", "7xl", "8xl", "9xl", "10xl", "11xl", "12xl"]
+TITLE_TAGS = ["div", "p", "span", *HEADING_TAGS]
+BOLD_CLASS, BOLD_STYLE = r"\bfont-(bold|extrabold)\b", r"(?i)font-weight:\s*(bold|700|800|900|var\(--font-weight-bold\))"
+PRETTY_STYLE = r"(?i)text-wrap:\s*pretty"
+STAT_TEXT = r"(?i)^(?:0?\d{1,2}|\d+x|[\d,]{1,3}(?:\.\d+)?%)$"
+HEADING_NAME = r"(?i)(?:^|[\s_-])heading(?:$|[\s_-])|heading$"
+TITLE_MAX, LABEL_MAX = 80, 40
+
+
+def title_nodes(pages: DataFrame) -> DataFrame:
+    """Visual title candidates of ``page_elements``: ``site, page, section, pos, size, pretty, named, tag, text, first_section``.
+
+    A candidate is a text leaf of at most 80 characters that is set large, pretty, named as a heading or, in a section,
+    bold; not in chrome, controls or decoration, no figure and no bold label. ``section`` is the place of the nearest
+    section, else of the first one; ``first_section`` the first top one of main, or of the page without main (null: none).
+    """
+    first_main = F.get(E.of_tag("main"), F.lit(0))["i"]
+    tops = F.filter(E.of_tag("section"), lambda e: ~E.under(e, "section") & (F.col("_main").isNull() | ((e["i"] > F.col("_main")) & (e["i"] <= E.at(F.col("_main"))["last"]))))
+    leaf = lambda e: (E.words(e) != "") & (F.char_length(E.words(e)) <= TITLE_MAX) & ~F.exists(E.inside(e), lambda d: d["own"])
+    plain = lambda e: ~E.under(e, "a", "button", "input", "textarea", "select", "nav", "header", "footer", "decorative") & ~E.attr(e, "data-decorative").isin("true", "1")
+    able = pages.withColumn("_main", first_main).withColumn("_first", F.get(tops, F.lit(0))["i"]).select(
+        "site", F.col("page_id").alias("page"), "_first", F.explode(F.transform(F.filter(E.of_tag(*TITLE_TAGS), lambda e: plain(e) & leaf(e)), lambda e: F.struct(e.alias("e"), E.words(e).alias("text")))).alias("c"))
+    e, style, classes = F.col("c.e"), E.attr(F.col("c.e"), "style"), E.attr(F.col("c.e"), "class")
+    name = F.coalesce(*[F.nullif(E.attr(e, n), F.lit("")) for n in ("data-name", "layer-name", "data-paper-name")], F.lit(""))
+    scale = F.array(*[F.lit(n) for n in TITLE_SIZES])
+    told = F.concat(M.all_matches(classes, r"\btext-([0-9]*xl)\b", 1), M.all_matches(F.concat_ws(" ", classes, style), r"--text-([0-9]*xl)\b", 1))
+    rows = able.select("site", "page", F.coalesce(e["near"]["section"], "_first", F.lit(-1)).alias("section"), e["i"].alias("pos"),
+                       F.coalesce(F.array_max(F.transform(told, lambda n: F.array_position(scale, n))), F.lit(0)).cast("bigint").alias("size"),
+                       style.rlike(PRETTY_STYLE).alias("pretty"), name.rlike(HEADING_NAME).alias("named"), e["tag"].alias("tag"), F.col("c.text").alias("text"),
+                       F.col("_first").alias("first_section"), (classes.rlike(BOLD_CLASS) | style.rlike(BOLD_STYLE)).alias("_bold"), E.under(e, "section").alias("_held"))
+    large = F.col("pretty") | (F.col("size") >= 1)
+    label = ~large & F.col("_bold") & (F.char_length("text") <= LABEL_MAX)
+    shown = F.col("named") | ((large | (F.col("_bold") & F.col("_held"))) & ~F.col("text").rlike(STAT_TEXT) & ~label)
+    return rows.filter(shown).drop("_bold", "_held")
+
+
 def accepted_titles(nodes: DataFrame) -> DataFrame:
     """Title candidates after leads and wordmarks are dropped.
 
-    ``nodes(site, page, section, pos, size, pretty, named, tag, text)``. Facts per section come
-    from partial aggregates, so one huge page or section never lands in one task's sort.
+    ``nodes(site, page, section, pos, size, pretty, named, tag, text)``, perhaps with ``first_section``; without it the
+    first section is the one with the smallest number. Facts per section come from partial aggregates, so one huge page
+    or section never lands in one task's sort.
     """
     tops = nodes.groupBy("site", "page", "section").agg(F.max("size").alias("_max"))
-    first = nodes.groupBy("site", "page").agg(F.min("section").alias("_first"))
-    rows = nodes.join(tops, ["site", "page", "section"]).join(first, ["site", "page"])
+    rows = nodes.join(tops, ["site", "page", "section"])
+    if "first_section" in nodes.columns:
+        rows = rows.withColumnRenamed("first_section", "_first")
+    else:
+        rows = rows.join(nodes.groupBy("site", "page").agg(F.min("section").alias("_first")), ["site", "page"])
     plain = ~F.col("pretty") & ~F.col("named")
     lead = plain & ~((F.col("size") >= F.col("_max")) & (F.col("size") >= 5))
     wordmark = (
         plain & (F.col("size") < 5) & ~F.trim("text").rlike(r"\s") & ~F.col("text").rlike("[.!?:]")
         & (F.col("_max") >= 5) & (F.col("size") < F.col("_max")) & (F.col("size") <= 3)
     )
-    in_first = F.col("section") == F.col("_first")
+    in_first = F.coalesce(F.col("section") == F.col("_first"), F.lit(False))
     return rows.filter(~F.when(in_first, lead).otherwise(wordmark)).withColumn("in_first", in_first).drop("_max", "_first")
 
 
@@ -296,13 +289,10 @@ def heading_ranks(nodes: DataFrame) -> DataFrame:
     return rows.join(lead, ["site", "page", "section"]).select("site", "page", "section", "pos", "tag", "text", rank.alias("rank"))
 
 
-HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
-
-
 def section_title_defects(nodes: DataFrame) -> DataFrame:
     """Sections whose top visual title is not a heading element."""
     top = accepted_titles(nodes).groupBy("site", "page", "section").agg(F.min_by(F.struct("tag", "text"), _order()).alias("t"))
-    return top.filter(~F.col("t.tag").isin(*HEADING_TAGS)).select("site", "page", "section", F.col("t.tag").alias("tag"), F.substring("t.text", 1, 80).alias("text"))
+    return top.filter(~F.col("t.tag").isin(*HEADING_TAGS)).select("site", "page", "section", F.col("t.tag").alias("tag"), F.col("t.text").alias("text"))
 
 
 def heading_coverage(nodes: DataFrame) -> DataFrame:
@@ -314,25 +304,48 @@ def heading_coverage(nodes: DataFrame) -> DataFrame:
 
 # ---- type census -----------------------------------------------------------------------------
 
-def type_census(corpus: DataFrame) -> DataFrame:
-    """Headings and paragraphs of at most 200 characters with their alignment and size token."""
-    els = corpus.select("site", "page_id", F.posexplode(M.all_matches(M.visible(F.col("html")), r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>|<p\b[^>]*>.*?</p\s*>")).alias("pos", "el"))
-    el = F.col("el")
-    said = F.concat_ws(" ", M.attr(el, "class"), M.attr(el, "style"))
-    align = F.lower(F.coalesce(
-        F.nullif(F.regexp_extract(said, r"(?i)text-align\s*:\s*(center|left|right|start|end|justify)", 1), F.lit("")),
-        F.nullif(F.regexp_extract(said, r"(?i)\btext-(center|left|right|start|end)\b", 1), F.lit("")),
-    ))
-    family = F.when(align == "left", "start").when(align == "right", "end").otherwise(align)
+def _own_align(e: Column) -> Column:
+    """Alignment that an element's style or else its classes name: start, end, center, justify, or null."""
+    told = F.coalesce(
+        F.nullif(F.regexp_extract(E.attr(e, "style"), r"(?i)text-align\s*:\s*(center|left|right|start|end|justify)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(E.attr(e, "class"), r"(?i)\btext-(center|left|right|start|end)\b", 1), F.lit("")),
+    )
+    told = F.lower(told)
+    return F.when(told == "left", "start").when(told == "right", "end").otherwise(told)
+
+
+def _own_size(e: Column) -> Column:
+    """The largest size token that an element's classes or style name, or null."""
+    said = E.blob(e, "class", "style")
     found = F.concat(M.all_matches(said, r"\btext-(xs|sm|base|lg|[0-9]*xl)\b", 1), M.all_matches(said, r"--text-(xs|sm|base|lg|[0-9]*xl)\b", 1))
     scale = F.array(*[F.lit(n) for n in SIZE_PX])
     biggest = F.array_max(F.transform(found, lambda n: F.array_position(scale, n)))
-    size = F.when(biggest > 0, F.concat(F.lit("text-"), F.element_at(scale, biggest.cast("int"))))
-    text = M.text_of(el)
-    return els.withColumn("text", text).filter((F.col("text") != "") & (F.length("text") <= 200)).select(
-        "site", "page_id", F.col("pos").cast("bigint").alias("pos"), M.tag_name(el).alias("tag"), M.attr(el, "id").alias("element_id"),
-        family.alias("align"), size.alias("size"), "text",
-    )
+    return F.when(biggest > 0, F.concat(F.lit("text-"), F.element_at(scale, biggest.cast("int"))))
+
+
+ROOTS = ["body", "html"]
+WRAPPERS = 4  # ancestors that may set the alignment; two may set the size
+
+
+def type_census(pages: DataFrame) -> DataFrame:
+    """Headings and paragraphs of at most 200 characters with their alignment and size token.
+
+    What the element itself doesn't say is read from its wrappers: the alignment from up to four below body, where
+    centred flex content counts as centred text, the size from its parent or the one above.
+    """
+    rows = pages.select("site", "page_id", "els", F.posexplode(F.transform(E.of_tag(*HEADING_TAGS, "p"), lambda e: F.struct(e.alias("e"), E.words(e).alias("text")))).alias("pos", "c"))
+    rows = rows.select("site", "page_id", "els", "pos", F.col("c.e").alias("e0"), F.col("c.text").alias("text")).filter((F.col("text") != "") & (F.char_length("text") <= 200))
+    # the element and what it lies in, innermost first, up to the body
+    rows = rows.withColumn("chain", F.array(F.col("e0")))
+    for _ in range(WRAPPERS):
+        top = F.element_at("chain", -1)
+        rows = rows.withColumn("chain", F.concat("chain", F.filter(F.slice("els", F.greatest(top["parent"], F.lit(0)) + 1, F.when(top["parent"] < 0, 0).otherwise(1)), lambda e: ~e["tag"].isin(*ROOTS))))
+    told = F.transform("chain", lambda e, k: F.coalesce(_own_align(e), F.when((k > 0) & E.blob(e, "class", "style").rlike(r"(?i)\bjustify-center\b"), "center")))
+    align = F.get(F.array_compact(told), F.lit(0))
+    size = F.get(F.array_compact(F.transform(F.slice("chain", 1, 3), _own_size)), F.lit(0))
+    own = F.col("e0")
+    return rows.select("site", "page_id", F.col("pos").cast("bigint").alias("pos"), own["tag"].alias("tag"), E.attr(own, "id").alias("element_id"),
+                       align.alias("align"), size.alias("size"), "text")
 
 
 def type_compare(expected: DataFrame, actual: DataFrame) -> DataFrame:

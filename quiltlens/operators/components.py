@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quiltlens.functions import colors as C, markup as M, text as T
+from quiltlens.functions import colors as C, markup as M
+from quiltlens.operators import elements as E
 from quiltlens.operators.inventory import dedupe_first
 from quiltlens.operators.ordered import running
 from quiltlens.operators.similarity import pieces
@@ -46,19 +47,68 @@ def shared_vs_local(comps: DataFrame, n: int = 20) -> DataFrame:
     return comps.withColumn("scope", scope).filter("scope IS NOT NULL").withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
 
 
-def component_census(corpus: DataFrame, nominated: DataFrame, backed: DataFrame) -> DataFrame:
-    """Named blocks and controls of a site: uses, pages, and why each is (not) extracted."""
-    html = M.visible(F.col("html"))
-    el = r"(?is)<(?:header|footer|nav|button|article|section|div)\b[^>]*>"
-    found = corpus.select("site", "page_id", F.explode(M.all_matches(html, el)).alias("el"))
-    tag = M.tag_name(F.col("el"))
-    told = F.coalesce(F.nullif(M.attr(F.col("el"), "data-component"), F.lit("")), F.nullif(F.regexp_extract(M.attr(F.col("el"), "class"), r"^(\S+)", 1), F.lit("")), F.when(tag.isin("header", "footer", "nav", "button"), tag))
-    named = found.select("site", "page_id", tag.alias("tag"), T.pascal(told).alias("name")).filter("name <> ''")
-    uses = named.groupBy("site", "name").agg(F.count("*").alias("uses"), F.count_distinct("page_id").alias("pages"), F.min("tag").alias("tag"))
-    j = uses.join(nominated.select("site", "name").distinct().withColumn("_n", F.lit(True)), ["site", "name"], "left").join(backed.select("site", "name").distinct().withColumn("_b", F.lit(True)), ["site", "name"], "left")
+# Class tokens of library controls, those that only stand in chrome, and the comment that names a block.
+CONTROL_TOKENS = ["btn-primary", "btn-secondary", "btn-accent", "pill", "text-link", "navbar-link", "navbar-dropdown"]
+CHROME_TOKENS = ["navbar-link", "navbar-dropdown"]
+NAMED_BLOCK = r"(?is)^\s*@?(?:component|reusable|extract)\s*:?\s+([A-Za-z][A-Za-z0-9_-]*)\s*$"
+
+
+def component_name(raw: Column) -> Column:
+    """Runs of letters and digits put together, each with a capital first letter."""
+    parts = F.filter(F.split(F.trim(raw), "[^A-Za-z0-9]+"), lambda p: p != "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "")
+
+
+def component_hits(pages: DataFrame) -> DataFrame:
+    """Blocks and controls of ``page_elements`` that may be components: ``site, page_id, pos, kind, tag, told, token, classes, id``.
+
+    A block is the element after a comment that names it; a control is a link or button. Both must be closed and lie
+    outside header and footer, which are hits of their own. ``told`` is the name of the block or the control's
+    ``data-component``; ``token`` the longest library token among its classes. Controls that belong to chrome are left out.
+    """
+    out = lambda e: e["shut"] & ~E.under(e, "header", "footer")
+    hit = lambda e, kind, told: F.struct(e["i"].alias("pos"), F.lit(kind).alias("kind"), e["tag"].alias("tag"), told.alias("told"), E.attr(e, "class").alias("class"), E.attr(e, "id").alias("id"))
+    notes = F.transform(F.filter("els", lambda e: (e["tag"] == E.COMMENT) & E.attr(e, "").rlike(NAMED_BLOCK)), lambda e: F.struct(
+        F.regexp_extract(E.attr(e, ""), NAMED_BLOCK, 1).alias("told"),
+        F.get(F.filter(F.slice("els", e["i"] + 2, F.size("els")), lambda d: d["tag"] != E.COMMENT), F.lit(0)).alias("e")))
+    notes = F.filter(notes, lambda n: n["e"].isNotNull() & out(n["e"]) & ~n["e"]["tag"].isin("header", "footer"))
+    chrome = F.transform(E.of_tag("header", "footer"), lambda e: hit(e, "chrome", e["tag"]))
+    blocks = F.transform(notes, lambda n: hit(n["e"], "comment", n["told"]))
+    controls = F.transform(F.filter(E.of_tag("a", "button"), out), lambda e: hit(e, "control", F.trim(E.attr(e, "data-component"))))
+    rows = pages.select("site", "page_id", F.explode(F.concat(chrome, blocks, controls)).alias("h")).select("site", "page_id", "h.*")
+    classes = F.filter(F.split(F.trim("class"), r"\s+"), lambda c: c != "")
+    longest = sorted(CONTROL_TOKENS, key=lambda t: -len(t))
+    rows = rows.withColumn("classes", classes).withColumn("token", F.when(F.col("kind") == "control", F.coalesce(*[F.when(F.array_contains("classes", t), F.lit(t)) for t in longest])))
+    return rows.filter(~F.coalesce(F.col("token").isin(*CHROME_TOKENS), F.lit(False))).drop("class")
+
+
+def component_census(pages: DataFrame, nominated: DataFrame, backed: DataFrame) -> DataFrame:
+    """Named blocks and controls of a site: uses, pages, and why each is (not) extracted.
+
+    A control is named by its ``data-component``, else by its library token, else by a name ``nominated(site, name)`` or
+    ``backed(site, name)`` that is one of its classes or its id. Chrome comes first among the reasons, then a naming
+    comment, a nomination or library name, a name of the markup's own, and being used twice.
+    """
+    hits = component_hits(pages)
+    known = nominated.select("site", "name").unionByName(backed.select("site", "name"))
+    keys = known.select("site", F.lower(F.replace("name", F.lit(" "), F.lit("-"))).alias("key"), F.lower("name").alias("called")).groupBy("site", "key").agg(F.min("called").alias("called"))
+    open_ = (F.col("kind") == "control") & (F.col("told") == "") & F.col("token").isNull()
+    asked = hits.filter(open_).withColumn("key", F.explode(F.array_distinct(F.transform(F.array_append("classes", F.col("id")), F.lower))))
+    matched = asked.join(keys, ["site", "key"]).groupBy("site", "page_id", "pos").agg(F.min("called").alias("told"), F.first("tag").alias("tag"))
+    columns = ["site", "page_id", "pos", "tag", "kind", "named", "marked"]
+    own = hits.filter(~open_).select("site", "page_id", "pos", "tag", "kind", component_name(F.coalesce(F.nullif("told", F.lit("")), "token")).alias("named"),
+                                     ((F.col("kind") == "control") & (F.col("told") != "")).alias("marked"))
+    loose = matched.select("site", "page_id", "pos", "tag", F.lit("control").alias("kind"), component_name(F.col("told")).alias("named"), F.lit(False).alias("marked"))
+    rows = own.select(columns).unionByName(loose.select(columns)).filter("named <> ''")
+    uses = rows.groupBy("site", F.col("named").alias("name")).agg(
+        F.count("*").alias("uses"), F.count_distinct("page_id").alias("pages"), F.min_by("tag", F.struct("page_id", "pos", "kind")).alias("tag"),
+        F.bool_or(F.col("kind") == "chrome").alias("_chrome"), F.bool_or(F.col("kind") == "comment").alias("_comment"), F.bool_or("marked").alias("_marked"))
+    library = F.array(*[F.lit(t.replace("-", "")) for t in CONTROL_TOKENS])
+    names = known.select("site", F.explode(F.array(F.lower("name"), F.lower(component_name(F.col("name"))))).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    j = uses.withColumn("_key", F.lower("name")).join(names, ["site", "_key"], "left")
     reason = (
-        F.when(F.col("tag").isin("header", "footer"), "chrome").when(F.col("_n"), "nominated").when(F.col("_b"), "backed")
-        .when(F.col("uses") >= 2, "repeated").otherwise("one-off")
+        F.when(F.col("_chrome"), "chrome").when(F.col("_comment"), "comment").when(F.col("_known") | F.array_contains(library, F.col("_key")), "nominated")
+        .when(F.col("_marked"), "backed").when(F.col("uses") >= 2, "repeated").otherwise("one-off")
     )
     return j.select("site", "name", "tag", "uses", "pages", reason.alias("reason"), (reason != "one-off").alias("extract"))
 

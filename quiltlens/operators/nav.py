@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quiltlens.functions import markup as M
+from quiltlens.operators import elements as E
 from quiltlens.operators.inventory import dedupe_first
 
-INLINE = "span|b|i|em|strong|small|svg|path|img"
-MENU = rf"(?is)<li\b[^>]*>\s*<(?:a|button)\b[^>]*>(?:[^<]|</?(?:{INLINE})\b[^>]*>)*</(?:a|button)\s*>\s*<ul\b[^>]*>.*?</ul\s*>"
-TRIGGER = rf"(?is)<(?:a|button)\b[^>]*>(?:[^<]|</?(?:{INLINE})\b[^>]*>)*</(?:a|button)\s*>"
-PANEL = r"(?is)<ul\b[^>]*>.*</ul\s*>"
+# Class words of menus and logos, and the longest labels of builder menus.
+DROPDOWN_CLASS = r"(?i)\b(dropdown|has-submenu|nav-dropdown|menu-item-has-children|submenu)\b"
+LOGO = r"(?i)\b(logo|brand|wordmark|site-logo)\b"
+TRIGGER_MAX, ITEM_MAX = 40, 60
 
 
 def label_key(text: Column) -> Column:
@@ -19,19 +20,73 @@ def label_key(text: Column) -> Column:
     return F.regexp_replace(F.lower(bare), "[^a-z0-9]+", "")
 
 
-def nav_menus(corpus: DataFrame) -> DataFrame:
-    """Triggers with a nested list of at least two items, first per normalised label on a page."""
-    html = M.visible(F.col("html"))
-    navs = corpus.select("site", "page_id", F.posexplode(M.all_matches(html, M.NAV)).alias("_n", "nav"))
-    menus = navs.select("site", "page_id", "_n", F.posexplode(M.all_matches(F.col("nav"), MENU)).alias("_m", "menu"))
-    label = M.text_of(F.regexp_extract("menu", TRIGGER, 0))
-    items = F.transform(M.all_matches(F.regexp_extract("menu", PANEL, 0), M.LINK), lambda a: M.text_of(M.inner(a)))
-    rows = menus.select("site", "page_id", "_n", "_m", label.alias("label"), items.alias("_items")).withColumn(
-        "key", label_key(F.col("label"))
-    )
-    kept = F.filter("_items", lambda i: (i != "") & (label_key(i) != F.col("key")))
+def _first(found: Column) -> Column:
+    return F.get(found, F.lit(0))
+
+
+def _links(panel: Column) -> Column:
+    """Words of the links in a panel, in order."""
+    return F.filter(F.transform(F.filter(E.inside(panel), lambda d: d["tag"] == "a"), lambda d: E.words(d)), lambda t: t != "")
+
+
+def _controls(found: Column) -> Column:
+    return F.filter(found, lambda d: d["tag"].isin("a", "button"))
+
+
+def _is_logo(e: Column) -> Column:
+    return F.concat_ws(" ", E.attr(e, "class"), E.attr(e, "aria-label"), E.words(e)).rlike(LOGO)
+
+
+def _is_panel(e: Column) -> Column:
+    """What follows a trigger holds its items: two links or more, or one where it is marked as a panel."""
+    links, called = F.size(_links(e)), E.attr(e, "class").rlike(DROPDOWN_CLASS) | (e["tag"] == "ul")
+    drawer = E.under(e, E.NAV_PANEL) | (E.attr(e, "id") == E.NAV_PANEL)
+    return F.coalesce(~drawer & F.when(called, links >= 2).when(E.has_attr(e, "data-nav-dropdown-panel"), links >= 1).otherwise(e["tag"].isin("div", "nav") & (links >= 2)), F.lit(False))
+
+
+def _panel_of(t: Column) -> Column:
+    """The panel of a trigger: the list in its list item, what follows it, or what its dropdown holds elsewhere."""
+    parent = E.at(t["parent"])
+    listed = F.when(parent["tag"] == "li", _first(F.filter(E.inside(parent), lambda d: d["tag"] == "ul")))
+    after = _first(F.filter(E.children(parent), lambda d: d["i"] > t["last"]))
+    host = E.at(F.coalesce(t["near"]["dropdown"], t["parent"]))
+    marked = F.coalesce(_first(F.filter(E.inside(host), lambda d: E.has_attr(d, "data-nav-dropdown-panel"))), _first(F.filter(E.inside(host), lambda d: d["tag"] == "ul")))
+    calls = (E.attr(t, "aria-haspopup") != "") | E.attr(t, "class").rlike(DROPDOWN_CLASS)
+    return F.coalesce(listed, F.when(_is_panel(after), after), F.when(calls & ~host["tag"].isin("header", "nav", "body"), marked))
+
+
+def _menu(label: Column, items: Column) -> Column:
+    return F.struct(label.alias("label"), items.alias("items"))
+
+
+def nav_menus(pages: DataFrame) -> DataFrame:
+    """Menus of ``page_elements``: triggers with two items or more, the first per normalised label on a page.
+
+    Read from the page's header, else its nav, else what stands for one. List items that hold a trigger and a list come
+    first, then triggers whose panel follows them or is marked in the same dropdown. Pages without navigation can have
+    builder menus: named panels, whose trigger is the nearest control without a target before them.
+    """
+    scope = F.coalesce(
+        _first(E.of_tag("header")), _first(E.of_tag("nav")), _first(F.filter("els", lambda e: E.attr(e, "role") == "navigation")),
+        _first(F.filter("els", lambda e: E.attr(e, "id").rlike("(?i)nav"))))
+    able = pages.withColumn("_scope", scope).withColumn("_in", F.coalesce(E.inside(F.col("_scope")), F.slice("els", 1, 0)))
+    lists = F.transform(F.filter("_in", lambda e: e["tag"] == "li"), lambda e: F.struct(
+        F.coalesce(_first(_controls(E.children(e))), _first(_controls(E.inside(e)))).alias("t"), _first(F.filter(E.inside(e), lambda d: d["tag"] == "ul")).alias("panel")))
+    lists = F.transform(F.filter(lists, lambda m: m["t"].isNotNull() & m["panel"].isNotNull()), lambda m: _menu(E.words(m["t"]), _links(m["panel"])))
+    asked = F.filter(_controls(F.col("_in")), lambda t: ~E.under(t, E.NAV_PANEL) & ~_is_logo(t) & (E.words(t) != ""))
+    asked = F.filter(F.transform(asked, lambda t: F.struct(t.alias("t"), _panel_of(t).alias("panel"))), lambda m: m["panel"].isNotNull())
+    asked = F.transform(asked, lambda m: _menu(E.words(m["t"]), F.transform(
+        F.filter(E.inside(m["panel"]), lambda d: (d["tag"] == "a") & (d["i"] != m["t"]["i"]) & (E.words(d) != "")), lambda d: E.words(d))))
+    named = lambda e: F.exists(F.array(*[E.attr(e, n) for n in E.BUILDER_NAMES]), lambda v: v.rlike(f"(?i){E.PANEL_NAME.pattern}"))
+    panels = F.filter("els", lambda e: named(e) & ~E.under(e, "panel", "footer"))
+    built = F.transform(panels, lambda p: F.struct(p.alias("p"), F.element_at(F.filter(
+        _controls(F.slice("els", 1, p["i"])), lambda t: (E.attr(t, "href") == "") & ~E.under(t, "panel") & ~_is_logo(t) & F.char_length(E.words(t)).between(1, TRIGGER_MAX)), -1).alias("t")))
+    built = F.transform(F.filter(built, lambda m: m["t"].isNotNull()), lambda m: _menu(E.words(m["t"]), F.filter(_links(m["p"]), lambda i: (F.char_length(i) <= ITEM_MAX) & (label_key(i) != ""))))
+    found = F.when(F.col("_scope").isNull(), built).otherwise(F.concat(lists, asked))
+    rows = able.select("site", "page_id", F.posexplode(found).alias("_m", "menu")).select("site", "page_id", "_m", "menu.*").withColumn("key", label_key(F.col("label")))
+    kept = F.filter("items", lambda i: label_key(i) != F.col("key"))
     rows = rows.withColumn("items", kept).filter((F.col("key") != "") & (F.size("items") >= 2))
-    return dedupe_first(rows, ["page_id", "key"], ["_n", "_m"]).select("site", "page_id", "label", "key", "items")
+    return dedupe_first(rows, ["page_id", "key"], ["_m"]).select("site", "page_id", "label", "key", "items")
 
 
 def nav_inventory(evidence: DataFrame, pages: DataFrame) -> DataFrame:

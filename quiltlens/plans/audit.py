@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltlens.operators import audit as A
+from quiltlens.operators.elements import page_elements
 from quiltlens.plans.links import ATTR, TEXT, VISIBLE
 from quiltlens.plans.registry import DUCK_VIEWS, define_view, query, view
+from quiltlens.session import materialize
 from quiltlens.sources.corpus import page_corpus
 
 # the same pages with headings, landmarks, forms, images, bands, cards and footers set by page number
@@ -22,8 +24,12 @@ SELECT page_id, url, replace(replace(replace(replace(html,
          WHEN page_id % 5 = 3 THEN '<a class="tile">t</a><a class="quote">q</a>' ELSE '<div class="card">only</div>' END || '</div>' ||
     CASE WHEN page_id % 6 = 0 THEN '<label for="m">Mail</label><input id="m" type="email"><textarea></textarea>' WHEN page_id % 6 = 1 THEN '<label>Q <input type="search"></label><input name="q"><input type="hidden">' ELSE '' END ||
     CASE WHEN page_id % 7 = 0 THEN '<img src="/i/a.png"><img src="/i/b.png" alt="b">' ELSE '' END ||
+    CASE page_id % 10 WHEN 0 THEN '<p class="text-5xl">Large line</p>' WHEN 1 THEN '<span style="text-wrap: pretty">Pretty line</span><h3 class="text-6xl"><b>Head</b></h3>' WHEN 2 THEN '<div data-name="hero heading">Named</div><p class="text-3xl font-bold">Lead</p>'
+      WHEN 3 THEN '<div class="text-xl"><div><p>wrapped words</p></div></div>' WHEN 4 THEN '<div class="flex justify-center"><div><p class="text-lg">centred</p><a class="text-7xl">not a title</a></div></div>' WHEN 5 THEN '<div class="text-left text-6xl">99%</div><p class="font-bold">Bold label</p>' ELSE '' END ||
     '<div data-section="' || CASE WHEN page_id % 2 = 0 THEN 'hero' ELSE 'navbar-2' END || '">band</div></section><article>'),
   '</article>', CASE WHEN page_id % 9 = 0 THEN '<h1>Again</h1><h5>deep</h5>' ELSE '' END || '</article>' || CASE WHEN page_id % 3 < 2 THEN '</main>' ELSE '' END ||
+    CASE WHEN page_id % 6 = 2 THEN '<div data-decorative="true"><p><img src="/i/c.png"></p></div><img src="/i/d.png"' || CASE WHEN page_id % 4 = 0 THEN ' data-decorative="1">' ELSE ' class="confetti">' END ELSE '' END ||
+    CASE WHEN page_id % 7 = 1 THEN '<a href="#main-content">Skip to content</a>' ELSE '' END ||
     CASE WHEN page_id % 8 = 0 THEN '<footer><svg class="icon-github"></svg><input type="email"></footer>' WHEN page_id % 8 = 1 THEN '<footer><a href="/x"><img src="/twitter.svg" alt=""></a><input placeholder="Your Email"><button>Join</button></footer>' ELSE '' END) AS html
 FROM {pages}
 """)
@@ -34,7 +40,31 @@ DUCK_VIEWS["av"] = f"SELECT k.site, page_id, {VISIBLE} AS html FROM {{audit_html
 
 
 def pages(spark, d):
-    return page_corpus(view(spark, d, "audit_html"))
+    return page_elements(page_corpus(view(spark, d, "audit_html")))
+
+
+# the same elements by walking the tags of all pages in step, one tag a round, with the open elements as a list
+VOID = "('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'source', 'track', 'wbr')"
+DUCK_VIEWS["tag_tokens"] = rf"""
+SELECT site, page_id, j, tok LIKE '</%' AS closes, lower(regexp_extract(tok, '^</?([a-zA-Z][a-zA-Z0-9-]*)', 1)) AS tag, regexp_extract(tok, '(?s)^<[^>]*>', 0) AS el,
+  trim(regexp_replace(regexp_replace(tok, '(?s)^<[^>]*>', ''), '\s+', ' ', 'g')) AS piece
+FROM (SELECT site, page_id, unnest(toks) AS tok, unnest(range(1, len(toks) + 1)) AS j FROM (SELECT site, page_id, regexp_extract_all(html, '(?s)<[/a-zA-Z][^>]*>[^<]*') AS toks FROM {{av}}) a) b"""
+DUCK_VIEWS["tag_walk"] = f"""
+WITH RECURSIVE w AS (
+  SELECT page_id, 0::BIGINT AS j, []::BIGINT[] AS ids, []::VARCHAR[] AS tags FROM {{av}}
+  UNION ALL
+  SELECT page_id, j, CASE WHEN void THEN ids WHEN NOT closes THEN list_append(ids, j) WHEN back IS NULL THEN ids ELSE ids[:len(ids) - back] END,
+    CASE WHEN void THEN tags WHEN NOT closes THEN list_append(tags, tag) WHEN back IS NULL THEN tags ELSE tags[:len(tags) - back] END
+  FROM (SELECT w.page_id, t.j, ids, tags, t.tag, closes, NOT closes AND t.tag IN {VOID} AS void, list_position(list_reverse(tags), t.tag) AS back FROM w JOIN {{tag_tokens}} t ON t.page_id = w.page_id AND t.j = w.j + 1) s)
+SELECT * FROM w"""
+DUCK_VIEWS["tag_words"] = """
+SELECT page_id, id, string_agg(piece, ' ' ORDER BY j) AS said, bool_or(last = id) AS own FROM (
+  SELECT t.page_id, t.j, piece, unnest(ids) AS id, ids[-1] AS last FROM {tag_tokens} t JOIN {tag_walk} w ON w.page_id = t.page_id AND w.j = t.j WHERE piece <> '') a GROUP BY page_id, id"""
+DUCK_VIEWS["tag_els"] = """
+SELECT t.site, t.page_id, t.j, t.tag, t.el, w.ids AS above, coalesce(s.said, '') AS said, coalesce(s.own, false) AS own
+FROM {tag_tokens} t JOIN {tag_walk} w ON w.page_id = t.page_id AND w.j = t.j - 1 LEFT JOIN {tag_words} s ON s.page_id = t.page_id AND s.id = t.j WHERE NOT closes"""
+DUCK_VIEWS["tag_above"] = """
+SELECT e.page_id, e.j, a.j AS aj, a.tag AS atag, a.el AS ael, e.k FROM (SELECT page_id, j, unnest(above) AS a, unnest(range(len(above), 0, -1)) AS k FROM {tag_els}) e JOIN {tag_tokens} a ON a.page_id = e.page_id AND a.j = e.a"""
 
 
 def _f(check):
@@ -61,8 +91,9 @@ SELECT site, page_id, 'input' AS "check", 'unlabeled input' AS kind, {KIND} AS d
   SELECT site, page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<label\b.*?</label\s*>', ' ', 'g'), '(?is)<(?:input|textarea)\b[^>]*>')) AS el, regexp_extract_all(html, '(?is)<label\b[^>]*>') AS labs FROM {{av}}) a
 WHERE {KIND} IN ('email', 'text', 'search', 'tel', 'url') AND {ATTR('el', 'aria-label')} = '' AND {ATTR('el', 'title')} = '' AND NOT ({ATTR('el', 'id')} <> '' AND list_contains(list_transform(labs, lambda l: {ATTR('l', 'for')}), {ATTR('el', 'id')}))"""
 DUCK_VIEWS["image_f"] = rf"""
-SELECT site, page_id, 'image' AS "check", 'missing alt' AS kind, {ATTR('el', 'src')} AS detail FROM (SELECT site, page_id, unnest(regexp_extract_all(html, '(?is)<img\b[^>]*>')) AS el FROM {{av}}) a
-WHERE NOT regexp_matches(el, '(?is)\salt(\s|=|>|/)') AND NOT regexp_matches({ATTR('el', 'src')}, '(?i)check(?:mark)?|tick|scribble|swirl|blob|decor|divider|ornament|paint|confetti')"""
+SELECT site, page_id, 'image' AS "check", 'missing alt' AS kind, {ATTR('el', 'src')} AS detail FROM {{tag_els}} e
+WHERE tag = 'img' AND NOT regexp_matches(el, '(?is)\salt(\s|=|>|/)') AND NOT regexp_matches({ATTR('el', 'src')} || ' ' || {ATTR('el', 'class')}, '(?i)check(?:mark)?|tick|scribble|swirl|blob|decor|divider|ornament|paint|confetti')
+  AND {ATTR('el', 'data-decorative')} NOT IN ('true', '1') AND NOT EXISTS (SELECT 1 FROM {{tag_above}} a WHERE a.page_id = e.page_id AND a.j = e.j AND regexp_matches(ael, '(?i)\sdata-decorative'))"""
 DUCK_VIEWS["section_f"] = rf"""
 SELECT site, page_id, 'section' AS "check", 'band is a div' AS kind, s AS detail FROM (SELECT site, page_id, {ATTR('el', 'data-section')} AS s FROM (SELECT site, page_id, unnest(regexp_extract_all(html, '(?is)<div\b[^>]*>')) AS el FROM {{av}}) a) b
 WHERE s <> '' AND NOT regexp_matches(s, '(?i)^(header|nav|navbar|navigation|footer|main)(--|-2|-\d+)?$')"""
@@ -88,7 +119,26 @@ def _(spark, d):
     return A.card_cluster_defects(pages(spark, d))
 
 
-DUCK_VIEWS["audit_f"] = " UNION ALL ".join(f"SELECT * FROM {{{c}_f}}" for c in ("heading", "landmark", "input", "image", "section", "footer", "card"))
+NAMES = "['xl','2xl','3xl','4xl','5xl','6xl','7xl','8xl','9xl','10xl','11xl','12xl']"
+DUCK_VIEWS["title_f"] = rf"""
+WITH cand AS (
+  SELECT e.site, e.page_id, e.j, e.tag, e.said, e.el, {ATTR('e.el', 'class')} AS cls, {ATTR('e.el', 'style')} AS style, {ATTR('e.el', 'data-name')} AS name,
+    (SELECT max(aj) FROM {{tag_above}} a WHERE a.page_id = e.page_id AND a.j = e.j AND atag = 'section') AS near,
+    (SELECT min(s.j) FROM {{tag_els}} s WHERE s.page_id = e.page_id AND s.tag = 'section' AND NOT EXISTS (SELECT 1 FROM {{tag_above}} a WHERE a.page_id = s.page_id AND a.j = s.j AND atag = 'section')
+       AND (NOT EXISTS (SELECT 1 FROM {{tag_tokens}} m WHERE m.page_id = s.page_id AND m.tag = 'main') OR EXISTS (SELECT 1 FROM {{tag_above}} a WHERE a.page_id = s.page_id AND a.j = s.j AND atag = 'main'))) AS first_s
+  FROM {{tag_els}} e WHERE e.tag IN ('div', 'p', 'span', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6') AND e.said <> '' AND length(e.said) <= 80
+    AND NOT EXISTS (SELECT 1 FROM {{tag_els}} d WHERE d.page_id = e.page_id AND d.own AND list_contains(d.above, e.j))
+    AND NOT EXISTS (SELECT 1 FROM {{tag_above}} a WHERE a.page_id = e.page_id AND a.j = e.j AND (atag IN ('a', 'button', 'textarea', 'select', 'nav', 'header', 'footer') OR regexp_matches(ael, '(?i)\sdata-decorative')))),
+sized AS (
+  SELECT *, coalesce(near, first_s, -1) AS sec, contains(style, 'text-wrap: pretty') AS pretty, contains(name, 'heading') AS named, contains(cls, 'font-bold') AS bold,
+    coalesce(list_max(list_transform(regexp_extract_all(cls, '\btext-([0-9]*xl)\b', 1), lambda n: list_position({NAMES}, n))), 0) AS size FROM cand),
+raw AS (SELECT *, max(size) OVER (PARTITION BY page_id, sec) AS top FROM sized WHERE named OR ((pretty OR size > 0) AND NOT regexp_matches(said, '^[0-9]+%?$'))
+  OR (bold AND near IS NOT NULL AND length(said) > 40 AND NOT regexp_matches(said, '^[0-9]+%?$'))),
+ok AS (SELECT * FROM raw WHERE pretty OR named OR CASE WHEN sec = first_s THEN size >= top AND size >= 5
+  ELSE NOT (size < 5 AND NOT contains(said, ' ') AND NOT regexp_matches(said, '[.!?:]') AND top >= 5 AND size < top AND size <= 3) END)
+SELECT site, page_id, 'title' AS "check", 'section title is not a heading' AS kind, tag || ' ' || said AS detail
+FROM (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY page_id, sec ORDER BY size DESC, pretty DESC, j) = 1) t WHERE tag NOT LIKE 'h_'"""
+DUCK_VIEWS["audit_f"] = " UNION ALL ".join(f"SELECT * FROM {{{c}_f}}" for c in ("heading", "landmark", "input", "image", "section", "footer", "card", "title"))
 
 
 @query("audit_findings", "SELECT * FROM {audit_f}")
@@ -104,13 +154,31 @@ u AS (SELECT c.site, "check", pages, failing_pages, findings FROM c JOIN p USING
   UNION ALL SELECT 'all', 'all', CAST(sum(pages) AS BIGINT), CAST(sum(failing_pages) AS BIGINT), CAST(sum(findings) AS BIGINT) FROM s)
 SELECT *, round((pages - failing_pages) / pages, 4) AS pass_rate FROM u""")
 def _(spark, d):
-    p = pages(spark, d)
-    return A.audit_rollup(p, A.audit_findings(p))
+    p = materialize(pages(spark, d), "audit-pages")
+    return A.audit_rollup(p, materialize(A.audit_findings(p), "audit-findings"))
 
 
-@query("landmark_counts", r"""
+MARKS = rf"""
 SELECT site, page_id, len(regexp_extract_all(html, '(?i)<header\b')) AS header, len(regexp_extract_all(html, '(?i)<nav\b')) AS nav, len(regexp_extract_all(html, '(?i)<main\b')) AS main,
- len(regexp_extract_all(html, '(?i)<footer\b')) AS footer, len(regexp_extract_all(html, '(?i)<article\b')) AS article, len(regexp_extract_all(html, '(?i)<h1\b')) AS h1 FROM {av}""")
+ len(regexp_extract_all(html, '(?i)<footer\b')) AS footer, len(regexp_extract_all(html, '(?i)<article\b')) AS article, len(regexp_extract_all(html, '(?i)<h1\b')) AS h1,
+ {ATTR("regexp_extract(html, '(?is)<main[^>]*>', 0)", 'id')} AS main_id, contains(html, '>Skip to content<') AS skip_link FROM {{av}}"""
+
+
+@query("page_reports", f"""
+SELECT m.*, n IS NULL AS ok, coalesce(n, 0) AS findings, coalesce(failed, '') AS failed FROM ({MARKS}) m LEFT JOIN (
+  SELECT page_id, sum(n)::BIGINT AS n, string_agg("check" || ':' || n, ';' ORDER BY list_position(['heading', 'landmark', 'input', 'image', 'section', 'footer', 'card', 'title'], "check")) AS failed
+  FROM (SELECT page_id, "check", count(*) AS n FROM {{audit_f}} GROUP BY ALL) a GROUP BY page_id) f USING (page_id)""")
+def _(spark, d):
+    p = materialize(pages(spark, d), "audit-pages")
+    return A.page_reports(p, materialize(A.audit_findings(p), "audit-findings"))
+
+
+@query("title_findings", "SELECT * FROM {title_f}")
+def _(spark, d):
+    return A.title_findings(pages(spark, d))
+
+
+@query("landmark_counts", MARKS)
 def _(spark, d):
     return A.landmark_counts(pages(spark, d))
 
@@ -145,7 +213,7 @@ def _(spark, d):
 
 
 @query("section_title_defects", """
-SELECT site, page, section, tag, left(text, 80) AS text FROM (SELECT * FROM {titles} QUALIFY row_number() OVER (PARTITION BY page, section ORDER BY size DESC, pretty DESC, pos) = 1) t WHERE tag NOT IN ('h1','h2','h3','h4','h5','h6')""")
+SELECT site, page, section, tag, text FROM (SELECT * FROM {titles} QUALIFY row_number() OVER (PARTITION BY page, section ORDER BY size DESC, pretty DESC, pos) = 1) t WHERE tag NOT IN ('h1','h2','h3','h4','h5','h6')""")
 def _(spark, d):
     return A.section_title_defects(text_nodes(spark, d))
 
@@ -156,15 +224,17 @@ def _(spark, d):
     return A.heading_coverage(text_nodes(spark, d))
 
 
+SIZES = "['xs','sm','base','lg','xl','2xl','3xl','4xl','5xl','6xl','7xl','8xl','9xl','10xl','11xl','12xl']"
+SAID_ALIGN = lambda x: rf"coalesce(nullif(regexp_extract({ATTR(x, 'style')}, '(?i)text-align\s*:\s*(center|left|right|start|end|justify)', 1), ''), nullif(regexp_extract({ATTR(x, 'class')}, '(?i)\btext-(center|left|right|start|end)\b', 1), ''))"
+SAID_SIZE = lambda x: rf"list_max(list_transform(regexp_extract_all({ATTR(x, 'class')} || ' ' || {ATTR(x, 'style')}, '\btext-(xs|sm|base|lg|[0-9]*xl)\b', 1), lambda n: list_position({SIZES}, n)))"
 DUCK_VIEWS["census"] = rf"""
-SELECT site, page_id, CAST(pos AS BIGINT) AS pos, tag, element_id, CASE WHEN al IN ('left') THEN 'start' WHEN al = 'right' THEN 'end' ELSE nullif(al, '') END AS align,
-  CASE WHEN len(ix) > 0 THEN 'text-' || names[list_max(ix)] END AS size, text FROM (
-  SELECT *, lower(coalesce(nullif(regexp_extract(said, '(?i)text-align\s*:\s*(center|left|right|start|end|justify)', 1), ''), regexp_extract(said, '(?i)\btext-(center|left|right|start|end)\b', 1))) AS al,
-   list_filter(list_transform(regexp_extract_all(said, '\btext-(xs|sm|base|lg|[0-9]*xl)\b', 1), lambda n: list_position(names, n)), lambda i: i IS NOT NULL) AS ix FROM (
-   SELECT site, page_id, pos, lower(regexp_extract(el, '^<([a-zA-Z0-9]+)', 1)) AS tag, {ATTR('el', 'id')} AS element_id, {ATTR('el', 'class')} || ' ' || {ATTR('el', 'style')} AS said, {TEXT('el')} AS text,
-     ['xs','sm','base','lg','xl','2xl','3xl','4xl','5xl','6xl','7xl','8xl','9xl','10xl','11xl','12xl'] AS names FROM (
-     SELECT site, page_id, unnest(els) AS el, unnest(range(0, len(els))) AS pos FROM (SELECT site, page_id, regexp_extract_all(html, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>|<p\b[^>]*>.*?</p\s*>') AS els FROM {{av}}) a) b) c) e
-WHERE text <> '' AND length(text) <= 200"""
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY j) - 1 AS pos FROM {{tag_els}} WHERE tag IN ('h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'p')),
+w AS (
+  SELECT page_id, j, arg_min(al, k) AS al, arg_min(sz, k) FILTER (k <= 2) AS sz FROM (
+    SELECT a.page_id, a.j, k, coalesce({SAID_ALIGN('ael')}, CASE WHEN regexp_matches({ATTR('ael', 'class')}, '\bjustify-center\b') THEN 'center' END) AS al, {SAID_SIZE('ael')} AS sz
+    FROM {{tag_above}} a JOIN c ON c.page_id = a.page_id AND c.j = a.j WHERE k <= 4 AND atag NOT IN ('body', 'html')) x GROUP BY page_id, j),
+f AS (SELECT site, c.page_id, pos, tag, {ATTR('el', 'id')} AS element_id, lower(coalesce({SAID_ALIGN('el')}, al)) AS al, coalesce({SAID_SIZE('el')}, sz) AS sz, said AS text FROM c LEFT JOIN w ON w.page_id = c.page_id AND w.j = c.j)
+SELECT site, page_id, pos, tag, element_id, CASE al WHEN 'left' THEN 'start' WHEN 'right' THEN 'end' ELSE al END AS align, 'text-' || {SIZES}[sz] AS size, text FROM f WHERE text <> '' AND length(text) <= 200"""
 
 
 @query("type_census", "SELECT * FROM {census}")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltlens.operators import components as I
-from quiltlens.plans.audit import pages
+from quiltlens.operators.elements import page_elements
 from quiltlens.plans.registry import DUCK_VIEWS, define_view, query, view
+from quiltlens.sources.corpus import page_corpus
 
 # a node of ordinal n hangs under the node of ordinal 1 of its own board, or under the board
 define_view("cnodes", "SELECT site, l_board AS board, node_id, CASE WHEN par = 0 THEN -l_board ELSE NULL END AS parent_id, ord, component, name, w, h, style_key FROM (SELECT site, board AS l_board, node_id, CASE WHEN parent_id IS NULL THEN 1 ELSE 0 END AS par, ord, component, name, CASE WHEN parent_id IS NULL THEN 1440 + 0 * w ELSE floor(w / 40) * 40 + 20 END AS w, floor(h / 60) * 60 + 8 AS h, style_key FROM {gnodes}) t")
@@ -45,26 +46,44 @@ def _(spark, d):
     return I.shared_vs_local(I.components(signed(spark, d)), 5).select("site", "signature", "level", "instances", "scope", "rank")
 
 
-_PC = "array_to_string(list_transform(list_filter(regexp_split_to_array(told, '[^A-Za-z0-9]+'), lambda p: p <> '' AND NOT regexp_matches(p, '^[0-9]+$')), lambda p: upper(p[1]) || lower(p[2:])), '')"
-
-
-@query("component_census", rf"""
-WITH e AS (SELECT site, page_id, lower(regexp_extract(el, '^<([a-zA-Z]+)', 1)) AS tag, regexp_extract(regexp_extract(el, '(?is)\sclass\s*=\s*["'']([^"'']*)["'']', 1), '^(\S+)', 1) AS cls FROM (SELECT site, page_id, unnest(regexp_extract_all(html, '(?is)<(?:header|footer|nav|button|article|section|div)\b[^>]*>')) AS el FROM {{av}}) a),
-n AS (SELECT site, page_id, tag, {_PC} AS name FROM (SELECT *, CASE WHEN cls <> '' THEN cls WHEN tag IN ('header', 'footer', 'nav', 'button') THEN tag ELSE '' END AS told FROM e) x),
-u AS (SELECT site, name, count(*) AS uses, count(DISTINCT page_id) AS pages, min(tag) AS tag FROM n WHERE name <> '' GROUP BY site, name),
-r AS (SELECT *, CASE WHEN tag IN ('header', 'footer') THEN 'chrome' WHEN name = 'Grid' AND length(site) % 2 = 0 THEN 'nominated' WHEN name = 'Card' THEN 'backed' WHEN uses >= 2 THEN 'repeated' ELSE 'one-off' END AS reason FROM u)
-SELECT site, name, tag, uses, pages, reason, reason <> 'one-off' AS extract FROM r""")
+# blocks and controls set by page number: named by a comment, by their markup, by a library token, by a nomination, or not at all
+define_view("control_pages", r"""
+SELECT page_id, url, replace(html, '<article>', CASE WHEN page_id % 3 = 0 THEN '<header><a class="pill" href="/">In chrome</a><!-- component: lost --><div>x</div></header>' ELSE '' END ||
+  CASE page_id % 8 WHEN 0 THEN '<!-- component: promo-box --><div class="a"><a class="btn-primary pill" href="#">Go</a></div>' WHEN 1 THEN '<button class="x" data-component="Play button">Play</button><a class="navbar-link" href="#">n</a>'
+    WHEN 2 THEN '<!-- @reusable Hero --> <!-- aside --><img src="/i/x.png">' WHEN 3 THEN '<a class="hero card-link" href="#">Link</a><button id="hero">b</button>' WHEN 4 THEN '<a class="unknown" href="#">none</a><a class="text-link">t</a>'
+    WHEN 5 THEN '<!-- extract: Quote --><section><button class="btn-accent">q</button></section><button class="pill text-link btn-accent">w</button>' WHEN 6 THEN '<button data-component="once">open' ELSE '<!-- component lone words here --><p>z</p>' END || '<article>') AS html
+FROM {pages}
+""")
+DUCK_VIEWS["control_hits"] = """
+WITH k AS (SELECT k.site, p.page_id, p.page_id % 8 AS m, p.page_id % 3 AS h, length(k.site) % 2 = 0 AS nom, len(regexp_extract_all(p.html, '<article>')) AS n, unnest(range(len(regexp_extract_all(p.html, '<article>')))) AS o FROM {pages} p JOIN {corpus_keys} k USING (page_id)),
+f AS (SELECT k.site, p.page_id, unnest(range(len(regexp_extract_all(p.html, '(?i)<footer\\b')))) AS o FROM {pages} p JOIN {corpus_keys} k USING (page_id))
+SELECT site, page_id, 'Header' AS name, 'header' AS tag, 'chrome' AS why FROM k WHERE h = 0
+UNION ALL SELECT site, page_id, 'Footer', 'footer', 'chrome' FROM f
+UNION ALL SELECT site, page_id, 'PromoBox', 'div', 'comment' FROM k WHERE m = 0
+UNION ALL SELECT site, page_id, 'BtnPrimary', 'a', 'nominated' FROM k WHERE m = 0
+UNION ALL SELECT site, page_id, 'PlayButton', 'button', 'backed' FROM k WHERE m = 1
+UNION ALL SELECT site, page_id, 'Hero', 'button', 'nominated' FROM k WHERE m = 3 AND nom
+UNION ALL SELECT site, page_id, 'CardLink', 'a', 'nominated' FROM k WHERE m = 3
+UNION ALL SELECT site, page_id, 'TextLink', 'a', 'nominated' FROM k WHERE m = 4
+UNION ALL SELECT site, page_id, 'Quote', 'section', 'comment' FROM k WHERE m = 5
+UNION ALL SELECT site, page_id, 'BtnAccent', 'button', 'nominated' FROM k WHERE m = 5
+UNION ALL SELECT site, page_id, 'BtnAccent', 'button', 'nominated' FROM k WHERE m = 5"""
+
+
+@query("component_census", """
+SELECT site, name, min(tag) FILTER (first) AS tag, count(*) AS uses, count(DISTINCT page_id) AS pages, min(why) AS reason, true AS extract
+FROM (SELECT *, page_id = min(page_id) OVER (PARTITION BY site, name) AS first FROM {control_hits}) t GROUP BY site, name""")
 def _(spark, d):
-    p = pages(spark, d)
+    p = page_elements(page_corpus(view(spark, d, "control_pages")))
     sites = p.select("site").distinct()
-    return I.component_census(p, sites.filter(F.length("site") % 2 == 0).withColumn("name", F.lit("Grid")), sites.withColumn("name", F.lit("Card")))
+    return I.component_census(p, sites.filter(F.length("site") % 2 == 0).withColumn("name", F.lit("Hero")), sites.withColumn("name", F.lit("Card Link")))
 
 
 @query("class_coverage", r"""
 WITH c AS (SELECT site, unnest(string_split_regex(trim(cl), '\s+')) AS class FROM (SELECT site, unnest(regexp_extract_all(html, '(?is)\sclass\s*=\s*["'']([^"'']*)["'']', 1)) AS cl FROM {cov_pages}) a), h AS (SELECT site, class, count(*) AS hits FROM c GROUP BY ALL)
 SELECT s.site, l.class, l.minimum, coalesce(hits, 0) AS hits, coalesce(hits, 0) >= minimum AS ok FROM (SELECT DISTINCT site FROM {cov_pages}) s, (VALUES ('card', CAST(1 AS BIGINT)), ('grid', 2), ('tile', 1)) l(class, minimum) LEFT JOIN h ON h.site = s.site AND h.class = l.class""")
 def _(spark, d):
-    return I.class_coverage(pages(spark, d), {"card": 1, "grid": 2, "tile": 1})
+    return I.class_coverage(page_corpus(view(spark, d, "audit_html")), {"card": 1, "grid": 2, "tile": 1})
 
 
 # rules, controls and buttons of a site, from its suppliers' lines

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quiltlens.operators import inventory as I, links as L, meta as D, nav as N
+from quiltlens.operators.elements import page_elements
 from quiltlens.plans.inventory import corpus, deduped
 from quiltlens.plans.registry import DUCK_VIEWS, define_view, query, view
 from quiltlens.sources.corpus import page_corpus
@@ -164,8 +165,9 @@ SELECT page_id, url, replace(replace(html, '<nav><ul><li>', '<nav><ul><li><a hre
 define_view("built_menus", r"""
 SELECT page_id, url, replace(CASE WHEN page_id % 4 = 0 THEN replace(html, 'Area', 'Zone') WHEN page_id % 4 = 1 THEN replace(html, 'href="/', 'href="/x') ELSE html END, '">a', '">q') AS html FROM {menu_pages}
 """)
-_MENU = N.MENU.replace("'", "''")
-_TRIG = N.TRIGGER.replace("'", "''")
+_INLINE = "span|b|i|em|strong|small|svg|path|img"
+_TRIG = rf"(?is)<(?:a|button)\b[^>]*>(?:[^<]|</?(?:{_INLINE})\b[^>]*>)*</(?:a|button)\s*>"
+_MENU = rf"(?is)<li\b[^>]*>\s*{_TRIG[5:]}\s*<ul\b[^>]*>.*?</ul\s*>"
 KEY = lambda x: rf"regexp_replace(lower(regexp_replace({x}, '(?i)^(nav|menu|link)\s*[-–—:]\s*', '')), '[^a-z0-9]+', '', 'g')"
 
 
@@ -198,7 +200,7 @@ SELECT site, page_id, kind, key, trigger, evidence,
 
 
 def menus(spark, d, name="menu_pages"):
-    return N.nav_menus(page_corpus(view(spark, d, name)))
+    return N.nav_menus(page_elements(page_corpus(view(spark, d, name))))
 
 
 def expected(spark, d):

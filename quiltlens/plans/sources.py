@@ -35,10 +35,10 @@ def _(spark, d):
     return R.read_receipts(spark, path, R.EVENT_SCHEMA, multiline=False).filter("seq IS NOT NULL").select("seq", "id", "type")
 
 
-@query("write_findings", 'SELECT "check", count(*) AS findings FROM {audit_f} WHERE "check" <> \'card\' GROUP BY 1')
+@query("write_findings", 'SELECT "check", count(*) AS findings FROM {audit_f} GROUP BY 1')
 def _(spark, d):
     import uuid
 
     path = f"{shared_dir(spark)}/quiltlens/findings-{uuid.uuid4().hex}"
-    R.write_findings(A.page_findings(pages(spark, d)), path)
+    R.write_findings(A.audit_findings(pages(spark, d)), path)
     return spark.read.parquet(path).groupBy("check").agg(F.count("*").alias("findings"))
