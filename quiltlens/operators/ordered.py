@@ -9,6 +9,9 @@ chunks before it. A chunk continues at most one group from the chunk before
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiltlens.session import materialize
@@ -92,5 +95,8 @@ def running(
     )
     with_local = chunked.select("*", *own)
     # at most two group edges per chunk: bounded by the partition count, not by the data
-    joined = with_local.join(F.broadcast(carries.select(*keys, _CHUNK, *brought_cols)), [*keys, _CHUNK], "left")
+    own_keys = {c: f"_key{i}" for i, c in enumerate([*keys, _CHUNK])}
+    brought = carries.select(*[F.col(c).alias(k) for c, k in own_keys.items()], *brought_cols)
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in own_keys.items()])  # null is a key like any other
+    joined = with_local.join(F.broadcast(brought), same, "left")
     return joined.select(*df.columns, *[final[n].alias(n) for n in outputs])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quiltlens.operators import telemetry as M
 from quiltlens.plans.registry import DUCK_VIEWS, define_view, query, table, view
-from quiltlens.streaming import journal as N
+from quiltlens.session import materialize, shared_dir
+from quiltlens.streaming import journal as N, state as S
 
 define_view("steps", r"""
 SELECT user_id AS run_id, event_id AS step, event_id % 6 AS phase, event_id % 13 = 0 AS human,
@@ -135,6 +138,55 @@ def _(spark, d):
     return N.spend_stream(view(spark, d, "spend"))
 
 
+define_view("spend_log", r"""
+SELECT user_id AS owner, event_id AS seq, CASE event_type WHEN 'view' THEN 'shoot' WHEN 'click' THEN 'record' WHEN 'signup' THEN 'reference' WHEN 'error' THEN 'mark' ELSE 'other' END AS kind, event_id % 3 AS n, CAST(floor(value * 10) AS BIGINT) AS bytes FROM {events}
+""")
+_PCT = lambda c: f"floor(({c} + 40000) * 1000.0::DOUBLE / 200000 + 0.5) / 10"
+DUCK_VIEWS["crossings"] = f"""
+SELECT owner, seq, state, spend, {_PCT('spend')} AS pct FROM (SELECT *, unnest(['armed', 'force']) AS state, unnest([50, 75]) AS floor_at FROM (
+  SELECT owner, seq, cost, CAST(sum(cost) OVER (PARTITION BY owner ORDER BY seq) AS BIGINT) AS spend FROM (SELECT owner, seq, {_COST} AS cost FROM {{spend_log}}) a) b) c
+WHERE {_PCT('(spend - cost)')} < floor_at AND {_PCT('spend')} >= floor_at"""
+
+
+@query("spend_crossings", "SELECT * FROM {crossings}")
+def _(spark, d):
+    return N.spend_crossings(view(spark, d, "spend_log"))
+
+
+def _streamed(spark, rows, part, start):
+    """Run a stream over ``rows`` in four batches, stopped and started again between any two; ``start(frame, folder)`` gives a writer.
+
+    ``part`` deals the rows to the batches.
+    """
+    base = f"{shared_dir(spark)}/quiltlens/stream-{uuid.uuid4().hex}"
+    dealt = materialize(rows.withColumn("_part", part), "stream-in")
+    for i in range(4):
+        dealt.filter(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{base}/in")
+        frame = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
+        start(frame, base).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return base
+
+
+def _any_order(column):
+    return F.pmod(F.xxhash64(column), F.lit(4))
+
+
+@query("crossing_stream", "SELECT * FROM {crossings}")
+def _(spark, d):
+    rows = view(spark, d, "spend_log")
+    quarters = rows.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75])).first()[0] or []  # batches come in seq order, as a log does
+    part = sum([(F.col("seq") > q).cast("int") for q in quarters], F.lit(0))
+    start = lambda f, base: S.crossing_stream(f).writeStream.outputMode("append").format("parquet").option("path", f"{base}/out")
+    return spark.read.schema("owner bigint, seq bigint, state string, spend bigint, pct double").parquet(f"{_streamed(spark, rows, part, start)}/out")
+
+
+@query("comment_stream", """
+SELECT t.run_id, thread, text, CASE WHEN status = 'open' AND last_seen < newest THEN 'resolved' ELSE status END AS status, first_seen, last_seen FROM (
+ SELECT run_id, thread, arg_min(text, snapshot) AS text, arg_max(status, snapshot) AS status, min(snapshot) AS first_seen, max(snapshot) AS last_seen FROM {comments} GROUP BY ALL) t JOIN (SELECT run_id, max(snapshot) AS newest FROM {comments} GROUP BY run_id) n ON n.run_id = t.run_id""")
+def _(spark, d):
+    return N.read_comments(spark, f"{_streamed(spark, view(spark, d, 'comments'), _any_order('thread'), lambda f, base: N.comment_stream(f, f'{base}/out'))}/out")
+
+
 @query("last_usage", """
 SELECT conv_id AS session, max(turn) AS pos, arg_max(length(text) + turn + 7, turn) AS tokens FROM conversations WHERE role = 'assistant' AND length(text) % 5 <> 0 GROUP BY conv_id""")
 def _(spark, d):
@@ -166,6 +218,17 @@ def _(spark, d):
     return N.session_state(view(spark, d, "journal"))
 
 
+@query("session_stream", "SELECT *, 0::BIGINT AS late FROM {snaps}")
+def _(spark, d):
+    def start(frame, base):
+        keep = lambda batch, i: batch.write.mode("overwrite").parquet(f"{base}/out/batch={i}")
+        return S.session_stream(frame, idle_ms=None).writeStream.outputMode("update").foreachBatch(keep)
+
+    told = spark.read.parquet(f"{_streamed(spark, view(spark, d, 'journal'), _any_order('seq'), start)}/out")
+    newest = told.groupBy("session").agg(F.max_by(F.struct(*[c for c in told.columns if c not in ("session", "closed", "batch")]), "batch").alias("s"))
+    return newest.select("session", "s.*")
+
+
 @query("stale_checkpoints", "SELECT session, seq, revision FROM {marked} WHERE stale")
 def _(spark, d):
     return N.stale_checkpoints(view(spark, d, "journal"))

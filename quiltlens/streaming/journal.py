@@ -1,27 +1,16 @@
-"""Session journal: batch fold, stale checkpoints, and the streaming forms.
+"""Session journal, spend and comment threads: batch folds and what streams keep of them.
 
 Journal rows: ``(session, seq, type, page_url, count, file, revision, phase, owner, variant, arrived)``.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quiltlens.operators.inventory import dedupe_first
 from quiltlens.operators.ordered import running
 from quiltlens.operators.telemetry import BASE_TOKENS, WINDOW_TOKENS, spend_of
-
-# Event types and the phase each sets.
-PHASES = {
-    "generate": "generate_requested", "variants_ready": "variants_ready", "agent_done": "variants_ready", "accept": "accept_requested",
-    "accept_intent": "accept_requested", "discard": "discard_requested", "discarded": "discarded", "complete": "completed", "agent_error": "agent_error",
-}
-WAITS = ["generate", "accept", "accept_intent", "discard"]
-ENDS = ["variants_ready", "agent_done", "discarded", "complete", "agent_error"]
-FINAL = ["completed", "discarded"]
-
+from quiltlens.streaming.state import ENDS, FINAL, PHASES, WAITS
 
 def mark_stale(events: DataFrame) -> DataFrame:
     """Flag checkpoints whose revision is below the highest one seen before in the session."""
@@ -70,63 +59,6 @@ def active_sessions(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter(~F.col("phase").isin(*FINAL))
 
 
-SNAPSHOT = (
-    "session bigint, phase string, page_url string, expected bigint, arrived bigint, pending_seq bigint, revision bigint, "
-    "owner string, variant bigint, file string, diagnostics bigint, last_seq bigint"
-)
-_FIELDS = ["phase", "page_url", "expected", "arrived", "pending_seq", "revision", "owner", "variant", "file", "diagnostics", "last_seq"]
-_STATE = SNAPSHOT.replace("session bigint, ", "")
-
-
-def _value(v):
-    return None if v is None or pd.isna(v) else (int(v) if isinstance(v, float) else v)
-
-
-def _fold(key, frames, state):
-    """Apply one micro-batch of a session's events, in seq order, to its small snapshot."""
-    snap = dict(zip(_FIELDS, state.get if state.exists else ("new",) + (None,) * 8 + (0, -1)))
-    for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-        if row.seq <= snap["last_seq"]:
-            continue  # a repeat of an event already applied
-        snap["last_seq"] = int(row.seq)
-        if row.type == "checkpoint":
-            revision = _value(row.revision) or 0
-            if revision < (snap["revision"] or 0):
-                snap["diagnostics"] += 1
-                continue
-            for field in ("phase", "owner", "arrived", "variant", "revision"):
-                got = _value(getattr(row, field))
-                snap[field] = got if got is not None else snap[field]
-            continue
-        if row.type not in PHASES:
-            snap["diagnostics"] += 1
-            continue
-        snap["phase"] = PHASES[row.type]
-        snap["pending_seq"] = int(row.seq) if row.type in WAITS else None
-        if row.type == "generate":
-            snap["page_url"] = _value(row.page_url) or snap["page_url"]
-            snap["expected"] = _value(row.count_) if _value(row.count_) is not None else snap["expected"]
-        elif row.type in ("variants_ready", "agent_done"):
-            snap["file"] = _value(row.file) or snap["file"]
-            got = _value(row.arrived)
-            snap["arrived"] = got if got is not None else (snap["arrived"] if snap["arrived"] is not None else snap["expected"])
-        elif row.type in ("accept", "accept_intent"):
-            got = _value(row.variant)
-            snap["variant"] = got if got is not None else snap["variant"]
-        elif row.type == "agent_error":
-            snap["diagnostics"] += 1
-    values = tuple(snap[f] for f in _FIELDS)
-    state.update(values)
-    yield pd.DataFrame([(key[0], *values)], columns=["session", *_FIELDS]).astype(object)
-
-
-def session_stream(events: DataFrame) -> DataFrame:
-    """Streaming ``session_state``: updated snapshots per session; state is one snapshot, not a history."""
-    return events.withColumnRenamed("count", "count_").groupBy("session").applyInPandasWithState(
-        _fold, SNAPSHOT, _STATE, "update", GroupStateTimeout.NoTimeout
-    )
-
-
 def spend_stream(spend: DataFrame, window: int = WINDOW_TOKENS, arm: float = 50, force: float = 75) -> DataFrame:
     """Running spend per owner with its threshold state, for update mode."""
     sums = spend.groupBy("owner").agg(F.sum(spend_of(F.col("kind"), F.col("n"), F.col("bytes"))).cast("bigint").alias("spend"))
@@ -134,13 +66,32 @@ def spend_stream(spend: DataFrame, window: int = WINDOW_TOKENS, arm: float = 50,
     return sums.withColumn("pct", pct).withColumn("state", F.when(F.col("pct") >= force, "force").when(F.col("pct") >= arm, "armed").otherwise("ok"))
 
 
+def spend_crossings(spend: DataFrame, window: int = WINDOW_TOKENS, arm: float = 50, force: float = 75) -> DataFrame:
+    """``spend(owner, seq, kind, n, bytes)`` → one row per owner and threshold, at the row whose running spend reaches it."""
+    cost = F.coalesce(spend_of(F.col("kind"), F.col("n"), F.col("bytes")), F.lit(0)).cast("bigint")
+    rows = running(spend.select("owner", "seq", cost.alias("cost")), ["owner"], ["seq"], {"spend": ("sum", F.col("cost"))}, "crossings")
+    pct = lambda c: F.floor((c + BASE_TOKENS) * 1000.0 / window + 0.5) / 10
+    after, before = pct(F.col("spend")), pct(F.col("spend") - F.col("cost"))
+    met = F.array_compact(F.array(*[F.when((before < limit) & (after >= limit), F.lit(state)) for state, limit in (("armed", arm), ("force", force))]))
+    return rows.select("owner", "seq", F.explode(met).alias("state"), "spend", after.alias("pct"))
+
+
 def merge_comments(state: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Fold new ``snapshots(run_id, snapshot, thread, status, text)`` into the thread state; order of arrival does not matter."""
-    new = snapshots.groupBy("run_id", "thread").agg(
-        F.min(F.struct("snapshot", "text")).alias("first"), F.max(F.struct("snapshot", "status")).alias("last")
-    )
-    both = state.select("run_id", "thread", "first", "last").unionByName(new)
-    return both.groupBy("run_id", "thread").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return latest_comments(state.select("run_id", "thread", "first", "last").unionByName(thread_updates(snapshots)))
+
+
+def thread_updates(snapshots: DataFrame) -> DataFrame:
+    """``run_id, thread, first, last``: first sighting with its text and last one with its status; on a stream, in update mode.
+
+    A built-in aggregation with one row of state per thread: a batch reads and writes the threads it mentions, no others.
+    """
+    return snapshots.groupBy("run_id", "thread").agg(F.min(F.struct("snapshot", "text")).alias("first"), F.max(F.struct("snapshot", "status")).alias("last"))
+
+
+def latest_comments(updates: DataFrame) -> DataFrame:
+    """One row per thread from any number of its updates: they only ever widen, so minima and maxima are the newest."""
+    return updates.groupBy("run_id", "thread").agg(F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def comments_now(state: DataFrame) -> DataFrame:
@@ -152,16 +103,24 @@ def comments_now(state: DataFrame) -> DataFrame:
     )
 
 
-def comment_stream(snapshots: DataFrame, path: str, checkpoint: str):
-    """Keep the thread state of an appended snapshot stream as versioned tables under ``path``.
+def comment_stream(snapshots: DataFrame, path: str):
+    """A writer (to be given a checkpoint folder) that keeps the threads of an appended snapshot stream under ``path``, for ``read_comments``.
 
-    Version ``n`` is written from version ``n - 1``, so a repeated batch writes the same table again.
+    Each batch adds a folder with the threads it touched, named by the batch, so that a repeated batch writes the same
+    folder again; what is written grows with the batch and not with what came before.
     """
-    spark = snapshots.sparkSession
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        empty = batch.limit(0).groupBy("run_id", "thread").agg(F.min(F.struct("snapshot", "text")).alias("first"), F.max(F.struct("snapshot", "status")).alias("last"))
-        before = empty if batch_id == 0 else spark.read.parquet(f"{path}/v{batch_id - 1}")
-        merge_comments(before, batch).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return thread_updates(snapshots).writeStream.outputMode("update").foreachBatch(add)
+
+
+def read_comments(spark: SparkSession, path: str) -> DataFrame:
+    """The threads as of the last batch, in the form of ``comment_status``."""
+    return comments_now(latest_comments(spark.read.parquet(path)))
+
 
-    return snapshots.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+def compact_comments(spark: SparkSession, path: str, target: str) -> None:
+    """Write one row per thread of all batches so far; a stream that goes on elsewhere can be read together with it."""
+    latest_comments(spark.read.parquet(path)).write.mode("error").parquet(f"{target}/batch=-1")

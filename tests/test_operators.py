@@ -219,22 +219,3 @@ def test_journal_fold_stale_checkpoint_and_bad_line(spark):
     assert (snap["phase"], snap["expected"], snap["arrived"], snap["revision"], snap["variant"], snap["pending_seq"], snap["diagnostics"]) == ("completed", 3, 3, 2, 2, None, 1)
     assert [r["text"] for r in bad.collect()] == ["not json"]
     assert N.active_sessions(N.session_state(events)).count() == 0
-
-
-def test_streamed_sessions_equal_the_batch_fold(spark, tmp_path):
-    src = tmp_path / "in"
-    src.mkdir()
-    (src / "a.txt").write_text("\n".join(LINES[:4]))
-    events, _ = R.stream_journal(spark, str(src))
-    shaped = events.withColumn("session", F.lit(7).cast("bigint"))
-    q = N.session_stream(shaped).writeStream.outputMode("update").format("memory").queryName("sess").option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-        (src / "b.txt").write_text("\n".join(LINES[3:]))
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    last = spark.table("sess").orderBy(F.desc("last_seq")).first()
-    batch = N.session_state(R.parse_journal(spark.createDataFrame([(x,) for x in LINES], "value string"))[0]).first()
-    for field in ("phase", "expected", "arrived", "revision", "variant", "pending_seq", "file", "diagnostics"):
-        assert last[field] == batch[field], field
