@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiltlens.functions import colors as C, markup as M
 from quiltlens.operators import elements as E
+from quiltlens.operators.intervals import overlapping_spans
 from quiltlens.operators.inventory import dedupe_first
 from quiltlens.operators.ordered import running
 from quiltlens.operators.similarity import pieces
@@ -215,15 +216,14 @@ def representative_states(states: DataFrame) -> DataFrame:
 def section_of_rect(rects: DataFrame, sections: DataFrame, cell: int = 512) -> DataFrame:
     """Section with the largest vertical overlap, first in order on a tie.
 
-    Intervals meet in the cells they share and are compared once, in the cell where they begin to overlap.
+    Intervals meet in a grid of several levels (``operators/intervals``), so one of any height costs a few rows.
     """
-    cells = lambda at, h: F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(h)) / cell)))
-    r = rects.select("site", "page", "rect", F.col("y").alias("ry"), F.col("h").alias("rh"), cells("y", "h").alias("cell"))
-    s = sections.select("site", "page", "pos", "section", F.col("y").alias("sy"), F.col("h").alias("sh"), cells("y", "h").alias("cell"))
-    top = F.greatest("ry", "sy")
-    overlap = F.least(F.col("ry") + F.col("rh"), F.col("sy") + F.col("sh")) - top
-    j = r.join(s, ["site", "page", "cell"]).filter((overlap > 0) & (F.col("cell") == F.floor(top / cell)))
-    best = j.groupBy("site", "page", "rect").agg(F.max_by(F.struct("section", overlap.alias("overlap")), F.struct(overlap, -F.col("pos"))).alias("b"))
+    r = rects.select("site", "page", "rect", F.col("y").cast("double").alias("at"), F.col("h").cast("double").alias("size"))
+    s = sections.select("site", "page", "pos", "section", F.col("y").cast("double").alias("at"), F.col("h").cast("double").alias("size"))
+    met = overlapping_spans(r, s, ["site", "page"], cell)
+    overlap = F.least(F.col("a.at") + F.col("a.size"), F.col("b.at") + F.col("b.size")) - F.greatest("a.at", "b.at")
+    j = met.select("site", "page", F.col("a.rect").alias("rect"), F.col("b.pos").alias("pos"), F.col("b.section").alias("section"), overlap.alias("overlap")).filter("overlap > 0")
+    best = j.groupBy("site", "page", "rect").agg(F.max_by(F.struct("section", "overlap"), F.struct("overlap", -F.col("pos"))).alias("b"))
     return rects.select("site", "page", "rect").join(best, ["site", "page", "rect"], "left").select("site", "page", "rect", "b.section", "b.overlap")
 
 

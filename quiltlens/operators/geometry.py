@@ -10,8 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quiltlens.operators.intervals import overlapping_boxes
 from quiltlens.operators.inventory import dedupe_first
 from quiltlens.operators.ordered import running
+from quiltlens.session import materialize
 
 SLACK = 2.0
 CELL = 256
@@ -60,20 +62,14 @@ def overflow(nodes: DataFrame) -> DataFrame:
 def sibling_overlap(nodes: DataFrame, cell: int = CELL) -> DataFrame:
     """In-flow siblings that intersect by more than 2px both ways.
 
-    Nodes meet only in the grid cells they share, and a pair counts only in the cell that
-    holds the corner where the two begin to overlap.
+    Boxes meet in a grid of several levels (``operators/intervals``): each lies in at most four cells of the level of its
+    size, so a box of any size costs a few rows.
     """
-    flow = nodes.filter(~_loose() & (F.col("w") > 0) & (F.col("h") > 0))
-    cells = lambda at, size: F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size)) / cell))
-    placed = flow.select("site", "board", "parent_id", "node_id", *"xywh", F.explode(cells("x", "w")).alias("cx")).withColumn("cy", F.explode(cells("y", "h")))
-    a, b = placed.alias("a"), placed.alias("b")
-    left, top = F.greatest("a.x", "b.x"), F.greatest("a.y", "b.y")
-    wide = F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w")) - left
-    tall = F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h")) - top
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("site", "parent_id", "cx", "cy")]
-    cond = on[0] & on[1] & on[2] & on[3] & (F.col("a.node_id") < F.col("b.node_id")) & (wide > SLACK) & (tall > SLACK)
-    first = (F.col("a.cx") == F.floor(left / cell)) & (F.col("a.cy") == F.floor(top / cell))
-    return a.join(b, cond & first).select("a.site", "a.board", F.col("a.node_id").alias("a"), F.col("b.node_id").alias("b"), wide.alias("wide"), tall.alias("tall"))
+    flow = nodes.filter(~_loose() & (F.col("w") > 0) & (F.col("h") > 0)).select("site", "board", "parent_id", "node_id", *"xywh")
+    met = overlapping_boxes(flow, ["site", "parent_id"], "node_id", cell)
+    wide = F.least(F.col("a.x") + F.col("a.w"), F.col("b.x") + F.col("b.w")) - F.greatest("a.x", "b.x")
+    tall = F.least(F.col("a.y") + F.col("a.h"), F.col("b.y") + F.col("b.h")) - F.greatest("a.y", "b.y")
+    return met.filter((wide > SLACK) & (tall > SLACK)).select("site", "a.board", F.col("a.node_id").alias("a"), F.col("b.node_id").alias("b"), wide.alias("wide"), tall.alias("tall"))
 
 
 def vertical_gaps(nodes: DataFrame, limit: float = 240) -> DataFrame:
@@ -111,17 +107,114 @@ def overlay_order(nodes: DataFrame) -> DataFrame:
     )
 
 
-def split_headings(nodes: DataFrame, reach: float = 1.6) -> DataFrame:
-    """Runs of consecutive, stacked text siblings of one heading style: one merge group each."""
-    rows = running(
-        nodes.select("site", "board", "parent_id", "ord", "node_id", "component", "style_key", "y", "h"), ["site", "parent_id"], ["ord", "node_id"],
-        {"ps": ("lag", F.when(F.col("component") == "Text", F.col("style_key"))), "pb": ("lag", F.col("y") + F.col("h"))}, "heading-runs",
-    ).filter("component = 'Text' AND style_key LIKE 'heading%'")
-    joins = F.coalesce((F.col("ps") == F.col("style_key")) & (F.col("y") >= F.col("pb") - SLACK) & (F.col("y") - F.col("pb") <= reach * F.col("h")), F.lit(False))
-    islands = running(rows.withColumn("_new", (~joins).cast("bigint")), ["site", "parent_id"], ["ord", "node_id"], {"island": ("sum", F.col("_new"))}, "heading-islands")
-    return islands.groupBy("site", "board", "parent_id", "island").agg(
-        F.count("*").alias("parts"), F.min_by("node_id", F.struct("ord", "node_id")).alias("first"), F.max_by("node_id", F.struct("ord", "node_id")).alias("last"), F.min("style_key").alias("style_key")
-    ).filter("parts >= 2").drop("island")
+# Names and components of headings, their decoration and what is no text or frame; limits in px.
+HEADING_CONTEXT = r"(?i)\b(heading|headline|title|display|h1)\b"
+HEADING_DECOR = "(?i)scribble|underline|oval|highlight|decoration|swirl|stroke|squiggle"
+SVG_PART = "(?i)^(svg|path|svgvisualelement|circle|rect|ellipse|line|polygon|polyline|g|use)$"
+CONTROL_NAME = r"(?i)\b(button|cta|navlink|footerlink)\b"
+DISPLAY_PX, SIZE_SLACK, LINE_GAP, SIDE_OVERLAP, SIDE_RISE, WRAP_SHARE, WRAP_SLACK, NAMED_ABOVE = 28, 4, 48, 8, 0.4, 0.7, 4, 6
+
+
+def ancestors(nodes: DataFrame, items: DataFrame, most: int | None = None) -> DataFrame:
+    """``site, node_id, above, steps``: what lies above each of ``items(site, node_id)``, by pointer jumping.
+
+    Each round doubles the jump every node knows and the distance the items have covered, so rounds grow with the
+    logarithm of the depth. ``most`` bounds the steps that are wanted. A parent that is no node ends a chain.
+    """
+    known = nodes.select("site", F.col("node_id").alias("_n"))
+    jump = materialize(nodes.filter("parent_id IS NOT NULL").select("site", F.col("node_id").alias("from"), F.col("parent_id").alias("to")).join(
+        known, (F.col("to") == F.col("_n")) & nodes["site"].eqNullSafe(known["site"]), "left_semi"), "jumps")
+    reached = materialize(items.select("site", "node_id").join(jump.withColumnRenamed("from", "node_id"), ["site", "node_id"]).select("site", "node_id", F.col("to").alias("above"), F.lit(1).alias("steps")), "above")
+    length = 1
+    while most is None or length < most:
+        further = reached.join(jump.withColumnRenamed("from", "above"), ["site", "above"]).select("site", "node_id", F.col("to").alias("above"), (F.col("steps") + length).alias("steps"))
+        further = materialize(further if most is None else further.filter(F.col("steps") <= most), "above")
+        if further.isEmpty():
+            break
+        reached = reached.unionByName(further)
+        second = jump.select("site", F.col("from").alias("to"), F.col("to").alias("next"))
+        jump = materialize(jump.join(second, ["site", "to"]).select("site", "from", F.col("next").alias("to")), "jumps")
+        length *= 2
+    return reached
+
+
+def _kinds(nodes: DataFrame) -> DataFrame:
+    """Marks text, heading decoration, frames and other content."""
+    component, name, said = F.lower(F.coalesce("component", F.lit(""))), F.coalesce("name", F.lit("")), F.trim(F.coalesce("text", F.lit("")))
+    part = component.rlike(SVG_PART) | name.rlike(SVG_PART)
+    control = name.rlike(CONTROL_NAME)
+    text = ~component.isin("svg", "image", "artboard") & ~part & ~component.rlike("button|link|nav|input") & ~control & (
+        component.isin("text", "p") | component.rlike("^h[1-6]$") | ((said != "") & (F.col("_kids") == 0)))
+    decor = (component == "svg") | (~part & (F.col("_kids") == 0) & name.rlike(HEADING_DECOR))
+    frame = ~text & ~decor & component.isin("frame", "div", "group", "") & ~control
+    return nodes.withColumns({"_text": text, "_decor": decor, "_frame": frame, "_extra": ~text & ~decor & ~frame & ~part & ((F.col("component") == "Image") | (said != ""))})
+
+
+def _alike(a, b) -> Column:
+    """Same type style as far as both say it: size within 4 px, family, weight."""
+    size = (a["size"] > 0) & (b["size"] > 0) & (F.abs(a["size"] - b["size"]) > SIZE_SLACK)
+    other = lambda f: (a[f] != "") & (b[f] != "") & (a[f] != b[f])
+    return ~(size | other("family") | other("weight"))
+
+
+def split_headings(nodes: DataFrame) -> DataFrame:
+    """Headings whose lines stand as stacked text siblings, or as rows that hold one text each: one merge group a run.
+
+    ``nodes(site, board, node_id, parent_id, ord, component, name, text, x, y, w, h, font_size, font_family, font_weight,
+    max_width)``. A run is made of consecutive children of one parent, with decoration between texts allowed. It merges if
+    its texts have one type style, say different things, and are stacked: at most 48 px apart, none beside another. The
+    parent or one of the five above it is named like a heading, or the type is 28 px or larger; and no text is held to
+    less than 0.7 of the parent's width. Rows are cut where the style changes from one to the next.
+
+    Gives ``site, board, parent_id, kind, parts, first, last, text``. Runs are cut and judged by running values and
+    partial sums; only the lines of a group that merges are put together.
+    """
+    parent_of = nodes.filter("parent_id IS NOT NULL").groupBy("site", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_kids"))
+    n = materialize(_kinds(nodes.join(parent_of, ["site", "node_id"], "left").fillna(0, ["_kids"])), "heading-nodes")
+    content = n.filter("_text OR _extra")
+    held = ancestors(n, content).join(content.select("site", "node_id", "_text", "_extra"), ["site", "node_id"]).groupBy("site", F.col("above").alias("node_id")).agg(
+        F.count_if("_text").alias("texts"), F.count_if("_extra").alias("extras"), F.min(F.when(F.col("_text"), F.col("node_id"))).alias("line"))
+    rows = n.filter("_frame").join(held.filter("texts = 1 AND extras = 0"), ["site", "node_id"]).select("site", "node_id", "line")
+    style = F.struct(F.coalesce(F.col("font_size").cast("double"), F.lit(0.0)).alias("size"), F.lower(F.trim(F.split_part(F.coalesce("font_family", F.lit("")), F.lit(","), F.lit(1)))).alias("family"),
+                     F.trim(F.coalesce(F.col("font_weight").cast("string"), F.lit(""))).alias("weight"))
+    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    texts = n.filter("_text").select("site", F.col("node_id").alias("line"), style.alias("style"), said.alias("said"), F.col("max_width").alias("_mw"), F.col("w").alias("_tw"))
+    box = ["x", "y", "w", "h", "max_width"]
+    kids = n.filter("parent_id IS NOT NULL").select("site", "board", "parent_id", "ord", "node_id", "_text", "_decor", *box)
+    kids = kids.join(rows.withColumnRenamed("line", "_row"), ["site", "node_id"], "left")
+    lines = kids.withColumn("line", F.when(F.col("_text"), F.col("node_id")).otherwise(F.col("_row"))).join(texts, ["site", "line"], "left")
+    lines = running(lines, ["site", "parent_id"], ["ord", "node_id"], {
+        "_cut": ("sum", (~(F.col("_text") | F.col("_decor"))).cast("bigint")), "_gap": ("sum", F.col("_row").isNull().cast("bigint")),
+        "_before": ("lag", F.when(F.col("_row").isNotNull(), F.col("style")))}, "heading-kids")
+    rowed = lines.filter("_row IS NOT NULL").withColumn("_new", (~F.coalesce(_alike(F.col("style"), F.col("_before")), F.lit(False))).cast("bigint"))
+    rowed = running(rowed, ["site", "parent_id"], ["ord", "node_id"], {"_style": ("sum", F.col("_new"))}, "heading-styles")
+    keep = ["site", "board", "parent_id", "ord", "node_id", "line", "style", "said", *box, "_mw", "_tw"]
+    every = lines.filter("_text").select(*keep, F.lit("texts").alias("kind"), F.col("_cut").alias("run")).unionByName(
+        rowed.select(*keep, F.lit("rows").alias("kind"), F.concat_ws("/", F.col("_gap").cast("string"), F.col("_style").cast("string")).alias("run")).withColumn("run", F.xxhash64("run")))
+    group = ["site", "board", "parent_id", "kind", "run"]
+    spot = F.struct("ord", "node_id")
+    facts = every.groupBy(*group).agg(F.count("*").alias("parts"), F.min_by("style", spot).alias("lead")).filter("parts >= 2")
+    every = every.join(facts, group)
+    parent = n.select("site", F.col("node_id").alias("parent_id"), F.col("w").alias("_pw"))
+    every = running(every.join(parent, ["site", "parent_id"], "left"), ["site", "parent_id", "kind", "run"], ["y", "ord", "node_id"], {"_above": ("lag", F.struct(*box[:4]))}, "heading-stack")
+    up = F.col("_above")
+    beside = (F.least(up["x"] + up["w"], F.col("x") + F.col("w")) - F.greatest(up["x"], F.col("x")) > SIDE_OVERLAP) & (F.abs(F.col("y") - up["y"]) < F.least(up["h"], F.col("h")) * SIDE_RISE)
+    apart = F.coalesce(beside | (F.col("y") - up["y"] - up["h"] > LINE_GAP), F.lit(False))
+    narrow = lambda limit, width: F.coalesce((limit > 0) & (limit < F.col("_pw") * WRAP_SHARE) & (width >= limit - WRAP_SLACK), F.lit(False))
+    runs = every.groupBy(*group).agg(
+        F.min("parts").alias("parts"), F.bool_and(_alike(F.col("style"), F.col("lead"))).alias("_one"), F.bool_or(apart).alias("_apart"), F.max("style.size").alias("_size"),
+        F.bool_or(narrow(F.col("max_width"), F.col("w")) | narrow(F.col("_mw"), F.col("_tw"))).alias("_narrow"),
+        F.min(F.when(F.col("said") != "", F.lower("said"))).alias("_lo"), F.max(F.when(F.col("said") != "", F.lower("said"))).alias("_hi"), F.count_if(F.col("said") != "").alias("_said"))
+    able = materialize(runs.filter("_one AND NOT _apart AND NOT _narrow AND NOT (_said >= 2 AND _lo = _hi)"), "heading-runs")
+    places = able.select("site", F.col("parent_id").alias("node_id")).distinct()
+    chain = ancestors(n, places, NAMED_ABOVE - 1).select("site", "node_id", "above").unionByName(places.select("site", "node_id", F.col("node_id").alias("above")))
+    named = n.filter(F.col("name").rlike(HEADING_CONTEXT)).select("site", F.col("node_id").alias("above"))
+    titled = chain.join(named, ["site", "above"]).select("site", F.col("node_id").alias("parent_id")).distinct().withColumn("_titled", F.lit(True))
+    merged = able.join(titled, ["site", "parent_id"], "left").filter(F.coalesce("_titled", F.col("_size") >= DISPLAY_PX)).select(*group)
+    glued = F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "said"))), lambda p: F.when(p["said"].rlike(r"^[,.;:!?)]") | (p["said"] == ""), p["said"]).otherwise(F.concat(F.lit(" "), p["said"])))
+    return every.join(merged, group).groupBy(*group).agg(
+        F.count("*").alias("parts"), F.min_by("line", spot).alias("first"), F.max_by("line", spot).alias("last"), F.trim(F.array_join(glued, "")).alias("text")
+    ).drop("run")
 
 
 def chrome_bars(nodes: DataFrame, boards: DataFrame, viewport_height: int = VIEWPORT_HEIGHT) -> DataFrame:

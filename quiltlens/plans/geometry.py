@@ -60,12 +60,35 @@ def _(spark, d):
     return K.overlay_order(G(spark, d))
 
 
-@query("split_headings", """
-WITH r AS (SELECT *, lag(CASE WHEN component = 'Text' THEN style_key END) OVER w AS ps, lag(y + h) OVER w AS pb FROM {gnodes} WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY parent_id ORDER BY ord, node_id)),
-i AS (SELECT *, sum(CASE WHEN coalesce(ps = style_key AND y >= pb - 2 AND y - pb <= 1.6 * h, false) THEN 0 ELSE 1 END) OVER (PARTITION BY parent_id ORDER BY ord, node_id) AS isl FROM r WHERE component = 'Text' AND style_key LIKE 'heading%')
-SELECT site, board, parent_id, count(*) AS parts, arg_min(node_id, (ord, node_id)) AS first, arg_max(node_id, (ord, node_id)) AS last, min(style_key) AS style_key FROM i GROUP BY site, board, parent_id, isl HAVING count(*) >= 2""")
+# stacks of lines three levels below a board: texts, rows that hold one, and what stands between them, by line and order number
+define_view("hlines", "SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS n, min(l_partkey) AS p, min(l_suppkey) AS s FROM {lineitem} GROUP BY l_orderkey, l_linenumber")
+define_view("hkids", r"""
+SELECT o, n, o * 100 + n * 10 AS base, CASE WHEN o % 5 < 2 THEN 'row' WHEN s % 9 = 0 THEN 'image' WHEN s % 9 = 1 THEN 'decor' ELSE 'text' END AS kind, s % 13 = 0 AS extra, CASE WHEN o % 17 = 0 THEN 'Same' WHEN p % 6 = 0 THEN ', then ' || CAST(n AS STRING) ELSE 'Line  ' || CAST(n AS STRING) END AS said,
+  CAST(p % 4 * 50 AS DOUBLE) AS x, CAST(CASE WHEN o % 19 = 0 THEN n * 10 WHEN o % 23 = 0 THEN n * 200 ELSE n * 80 END AS DOUBLE) AS y, CASE o % 3 WHEN 0 THEN 72.0 WHEN 1 THEN 20.0 ELSE 70.0 + s % 3 * 2 END AS size, CASE WHEN p % 11 = 0 THEN '400' ELSE '700' END AS weight, CASE WHEN o % 29 = 0 THEN 240.0 END AS mw
+FROM {hlines}
+""")
+define_view("hnodes", r"""
+SELECT 's' AS site, o AS board, node_id, parent_id, ord, component, name, text, x, y, w, h, size AS font_size, 'Face, serif' AS font_family, weight AS font_weight, mw AS max_width FROM (
+ SELECT o, base + 1 AS node_id, -o * 10 - 3 AS parent_id, n AS ord, CASE kind WHEN 'row' THEN 'Frame' WHEN 'image' THEN 'Image' WHEN 'decor' THEN 'SVG' ELSE 'Text' END AS component, CASE kind WHEN 'decor' THEN 'swirl' ELSE 'copy' END AS name, CASE kind WHEN 'text' THEN said END AS text, x, y, 300.0 AS w, 72.0 AS h, CASE kind WHEN 'text' THEN size END AS size, CASE kind WHEN 'text' THEN weight END AS weight, mw FROM {hkids}
+ UNION ALL SELECT o, base + 2, base + 1, CAST(0 AS BIGINT), 'Text', 'inner', said, x, y, 300.0, 72.0, size, weight, NULL FROM {hkids} WHERE kind = 'row'
+ UNION ALL SELECT o, base + 3, base + 1, CAST(1 AS BIGINT), 'Image', 'extra', NULL, x, y, 10.0, 10.0, NULL, NULL, NULL FROM {hkids} WHERE kind = 'row' AND extra
+ UNION ALL SELECT DISTINCT o, -o * 10 - 3, -o * 10 - 2, CAST(0 AS BIGINT), 'Frame', 'stack', NULL, 0.0, 0.0, 800.0, 900.0, NULL, NULL, NULL FROM {hkids}
+ UNION ALL SELECT DISTINCT o, -o * 10 - 2, -o * 10 - 1, CAST(0 AS BIGINT), 'Frame', 'wrap', NULL, 0.0, 0.0, 800.0, 900.0, NULL, NULL, NULL FROM {hkids}
+ UNION ALL SELECT DISTINCT o, -o * 10 - 1, CAST(NULL AS BIGINT), CAST(0 AS BIGINT), 'Frame', CASE WHEN o % 4 = 0 THEN 'Hero headline' ELSE 'band' END, NULL, 0.0, 0.0, 1440.0, 900.0, NULL, NULL, NULL FROM {hkids}) t
+""")
+
+
+@query("split_headings", r"""
+WITH k AS (SELECT *, kind = 'text' AS t, kind = 'row' AND NOT extra AS r FROM {hkids}),
+c AS (SELECT *, sum(CASE WHEN kind IN ('text', 'decor') THEN 0 ELSE 1 END) OVER w AS cut, sum(CASE WHEN r THEN 0 ELSE 1 END) OVER w AS gap, coalesce(lag(CASE WHEN r THEN size END) OVER w BETWEEN size - 4 AND size + 4 AND lag(CASE WHEN r THEN weight END) OVER w = weight, false) AS like_before FROM k WINDOW w AS (PARTITION BY o ORDER BY n)),
+d AS (SELECT *, sum(CASE WHEN r AND like_before THEN 0 ELSE 1 END) OVER (PARTITION BY o ORDER BY n) AS st FROM c),
+e AS (SELECT o, 'texts' AS kind, cut AS run, base + 1 AS line, n, y, size, weight, said, mw FROM d WHERE t UNION ALL SELECT o, 'rows', gap * 1000 + st, base + 2, n, y, size, weight, said, mw FROM d WHERE r),
+f AS (SELECT o, kind, run, count(*) AS parts, list({'size': size, 'weight': weight, 'y': y, 'line': line, 'said': trim(regexp_replace(said, '\s+', ' ', 'g'))} ORDER BY n) AS l, max(size) AS top, max(mw) AS mw FROM e GROUP BY ALL HAVING count(*) >= 2)
+SELECT 's' AS site, o AS board, -o * 10 - 3 AS parent_id, kind, parts, l[1].line AS first, l[-1].line AS last, trim(array_to_string(list_transform(l, lambda p: CASE WHEN p.said LIKE ',%' THEN p.said ELSE ' ' || p.said END), '')) AS text FROM f
+WHERE len(list_filter(l, lambda p: abs(p.size - l[1].size) > 4 OR p.weight <> l[1].weight)) = 0 AND len(list_distinct(list_transform(l, lambda p: p.said))) > 1 AND mw IS NULL AND (o % 4 = 0 OR top >= 28)
+  AND len(list_filter(list_zip(l[:-2], l[2:]), lambda z: z[2].y - z[1].y - 72 > 48 OR z[2].y - z[1].y < 28.8)) = 0""")
 def _(spark, d):
-    return K.split_headings(KIDS(spark, d))
+    return K.split_headings(view(spark, d, "hnodes"))
 
 
 DUCK_VIEWS["bars"] = "SELECT site, board, node_id FROM {gnodes} WHERE parent_id IS NOT NULL AND w >= 0.8 * 1440 AND h BETWEEN 32 AND 220 AND y <= 160"
