@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quiltlens.functions import colors as C, markup as M
 from quiltlens.operators import elements as E
+from quiltlens.operators.containment import around, within
 from quiltlens.operators.intervals import overlapping_spans
 from quiltlens.operators.inventory import dedupe_first
 from quiltlens.operators.ordered import running
-from quiltlens.operators.similarity import pieces
 
 
 def role_signatures(nodes: DataFrame) -> DataFrame:
@@ -153,9 +153,9 @@ def hover_recipes(rules: DataFrame, controls: DataFrame, buttons: DataFrame) ->
     b = buttons.withColumn("key", _label_key(F.col("label"))).filter("key <> ''")
     exact = b.join(k, ["site", "key"]).groupBy("site", "button").agg(F.min("control").alias("exact"))
     open_b = b.join(exact, ["site", "button"], "left_anti")
-    inside = open_b.join(k.select("site", "control", F.explode(pieces(F.col("key"), 1)).alias("key")), ["site", "key"]).select("site", "button", "control")
-    around = open_b.select("site", "button", F.explode(pieces(F.col("key"), 1)).alias("key")).join(k, ["site", "key"]).select("site", "button", "control")
-    loose = inside.unionByName(around).groupBy("site", "button").agg(F.min("control").alias("loose"))
+    labels, named = open_b.select("site", F.col("key").alias("text")), k.select("site", F.col("key").alias("text"), "control")
+    found = around(labels, named, ["site"], "control").unionByName(within(labels, named, ["site"], "control"))
+    loose = open_b.join(found.select("site", F.col("text").alias("key"), "lo"), ["site", "key"]).groupBy("site", "button").agg(F.min("lo").alias("loose"))
     matched = buttons.join(exact, ["site", "button"], "left").join(loose, ["site", "button"], "left").withColumn("control", F.coalesce("exact", "loose"))
     done = matched.join(paint.withColumn("_p", F.lit(True)), ["site", "control"], "left")
     status = F.when(F.col("control").isNull(), "no control").when(F.col("_p").isNull(), "no hover paint").otherwise("applied")

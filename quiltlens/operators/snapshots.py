@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quiltlens.functions import markup as M
+from quiltlens.session import materialize
 
 # Attributes a rewrite may change without changing the content.
 FREE_ATTRS = ["alt", "role", "lang", "title", "tabindex", "for"]
@@ -85,19 +86,32 @@ def geometry_diff(before: DataFrame, after: DataFrame, ignored: DataFrame, toler
     return j.withColumn("kind", kind).filter("kind IS NOT NULL").select("site", "board", "node_id", "prop", "before", "after", "kind")
 
 
-def manifest_digest(files: DataFrame) -> DataFrame:
-    """One digest per (run, phase) of ``files(run_id, phase, path, sha256)``.
+MANIFEST_LEAF = 256  # lines hashed together, on average; then 16 digests at a time
 
-    Built as a two-level tree: file lines are hashed per bucket of path hashes, then the at
-    most 4,096 bucket digests, so no task holds the file list of a huge phase.
+
+def manifest_digest(files: DataFrame, leaf: int = MANIFEST_LEAF) -> DataFrame:
+    """One digest per (run, phase) of ``files(run_id, phase, path, sha256, bytes)``, whatever the order of the rows.
+
+    A tree of hashes: lines are dealt by the first hex digits of their own hash, as many digits as the phase's number of
+    different lines asks for so that about ``leaf`` lines meet; sixteen digests at a time are hashed until one is left.
+    A line that repeats is one line with its count. So the tree's depth grows with the logarithm of the largest phase,
+    and no task holds more than a bounded number of lines of it.
     """
-    line = F.concat_ws(" ", "path", "sha256")
-    buckets = files.groupBy("run_id", "phase", F.substring(F.sha2("path", 256), 1, 3).alias("bucket")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("files"), F.sum("bytes").alias("bytes")
-    )
-    return buckets.groupBy("run_id", "phase").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", "digest"))), "\n"), 256).alias("digest"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes")
-    )
+    counted = files.groupBy("run_id", "phase", F.concat_ws(" ", "path", "sha256").alias("line")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    totals = counted.groupBy("run_id", "phase").agg(F.count("*").alias("lines"), F.sum("n").alias("files"), F.sum("bytes").alias("bytes"))
+    digits = F.greatest(F.lit(0), F.ceil(F.log(F.col("lines") / leaf) / F.log(F.lit(16.0)))).cast("int")
+    totals = materialize(totals.withColumn("digits", digits), "manifest-totals")
+    rows = counted.join(totals.select(F.col("run_id").alias("_r"), F.col("phase").alias("_p"), "digits"), F.col("run_id").eqNullSafe(F.col("_r")) & F.col("phase").eqNullSafe(F.col("_p")))
+    told = F.concat_ws(" ", "line", F.col("n").cast("string"))
+    level = rows.select("run_id", "phase", F.expr("substring(sha2(line, 256), 1, digits)").alias("key"), told.alias("told"))
+    for depth in range(totals.agg(F.max("digits")).first()[0] or 0, -1, -1):
+        # groups of the deepest level left become one digest each; shallower phases wait
+        here = level.filter(F.length("key") == depth).groupBy("run_id", "phase", "key").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("told")), "\n"), 256).alias("digest"))
+        up = here.select("run_id", "phase", F.expr(f"substring(key, 1, {max(0, depth - 1)})").alias("key"), F.concat_ws(" ", "key", "digest").alias("told"))
+        if not depth:
+            done = here.select(F.col("run_id").alias("_r"), F.col("phase").alias("_p"), "digest")
+            return totals.join(done, F.col("run_id").eqNullSafe(F.col("_r")) & F.col("phase").eqNullSafe(F.col("_p"))).select("run_id", "phase", "digest", "files", "bytes")
+        level = level.filter(F.length("key") < depth).unionByName(up)
 
 
 def finding_validity(findings: DataFrame, snapshot: DataFrame, current: DataFrame) -> DataFrame:

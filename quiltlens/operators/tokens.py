@@ -6,7 +6,12 @@ site. Top-k lists are ranked under a limit that Spark applies before the shuffle
 
 from __future__ import annotations
 
+import itertools
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quiltlens.functions import colors as C, markup as M
 from quiltlens.operators.inventory import dedupe_first
@@ -77,23 +82,106 @@ def top_k(rows: DataFrame, keys: list[str], order: list, k: int, name: str = "ra
     return rows.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("bigint")).filter(F.col(name) <= k)
 
 
-def merge_near_colors(counts: DataFrame, threshold: int = NEAR) -> DataFrame:
+GIANT = 20_000  # colours of one component that are folded in one piece; larger ones are settled in rounds
+
+
+def _rows(batches, *columns):
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in columns))
+
+
+def _batches(rows, schema: pa.Schema, size: int = 20_000):
+    while held := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+_STEPS = list(itertools.product((-1, 0, 1), repeat=4))
+
+
+def _cell_components(rows):
+    """``(site, r, g, b, al, part)`` for occupied cells ``(site, r, g, b, al)`` in the order of their sites.
+
+    Cells that touch, corners included, are one part. A site has at most as many cells as the colour cube.
+    """
+    for site, own in itertools.groupby(rows, key=itemgetter(0)):
+        spots = dict.fromkeys((c[1:] for c in own), -1)
+        number = 0
+        for spot in spots:
+            if spots[spot] >= 0:
+                continue
+            spots[spot], stack = number, [spot]
+            while stack:
+                r, g, b, al = stack.pop()
+                for dr, dg, db, da in _STEPS:
+                    near = (r + dr, g + dg, b + db, al + da)
+                    if spots.get(near, 0) < 0:
+                        spots[near] = number
+                        stack.append(near)
+            number += 1
+        for spot, part in spots.items():
+            yield site, *spot, part
+
+
+def _greedy(rows, threshold: int):
+    """``(site, value, into)`` for colours ``(site, part, value, r, g, b, al)`` that come part by part in rank order.
+
+    Each colour joins the first kept one that is near, or is kept. Only the kept colours of one part are held.
+    """
+    for (site, _), own in itertools.groupby(rows, key=itemgetter(0, 1)):
+        kept: dict[tuple, list[tuple]] = {}
+        for rank, (_, _, value, *c) in enumerate(own):
+            r, g, b, al = (x // threshold for x in c)
+            near = kept and [k for dr, dg, db, da in _STEPS for k in kept.get((r + dr, g + dg, b + db, al + da), ()) if sum(abs(x - y) for x, y in zip(c, k[2])) <= threshold]
+            if near:
+                yield site, value, min(near)[1]
+            else:
+                kept.setdefault((r, g, b, al), []).append((rank, value, c))
+                yield site, value, None
+
+
+def merge_near_colors(counts: DataFrame, threshold: int = NEAR, giant: int = GIANT) -> DataFrame:
     """Greedy merge by rank: a colour joins the first kept colour within ``threshold``.
 
-    The greedy result is found in parallel: a colour is kept once every near colour ranked
-    before it was absorbed, and absorbed once one of them is kept. Near colours come from a
-    grid join, and distinct colours per grid cell are bounded by the colour cube.
+    Colours can only meet within a component of touching grid cells. The cells of a site, no more than the colour cube
+    has, are labelled in one piece; then each component of up to ``giant`` colours is folded in rank order, all in one
+    job. Larger ones are settled in rounds: a colour is kept once every near colour ranked before it was absorbed, and
+    absorbed once one of them is kept.
     """
-    colours = materialize(
-        counts.withColumn("c", _once(C.parse(F.col("value")))).filter("c IS NOT NULL").select("site", "value", "uses", "c"), "colours"
+    parsed = counts.withColumn("c", _once(C.parse(F.col("value")))).filter("c IS NOT NULL")
+    colours = materialize(parsed.select("site", "value", "uses", *[F.col(f"c.{ch}").cast("int").alias(ch) for ch in ("r", "g", "b", "al")]), "colours")
+    channels = ["r", "g", "b", "al"]
+    site, kind = colours.schema["site"].dataType.simpleString(), to_arrow_type(colours.schema["site"].dataType)
+    told = pa.schema([("site", kind), *[(ch, pa.int32()) for ch in channels], ("part", pa.int32())])
+    cells = colours.select("site", *[F.floor(F.col(ch) / threshold).cast("int").alias(ch) for ch in channels]).distinct().repartition("site").sortWithinPartitions("site")
+    cells = cells.mapInArrow(lambda batches: _batches(_cell_components(_rows(batches, "site", *channels)), told), f"site {site}, r int, g int, b int, al int, part int")
+    spots = cells.select(F.col("site").alias("_site"), "part", *[F.col(ch).alias(f"_{ch}") for ch in ("r", "g", "b", "al")])
+    on = colours["site"].eqNullSafe(spots["_site"])
+    for ch in ("r", "g", "b", "al"):
+        on = on & (F.floor(colours[ch] / threshold) == spots[f"_{ch}"])
+    placed = materialize(colours.join(spots, on).select("site", "part", "value", "uses", "r", "g", "b", "al"), "colour-parts")
+    large = materialize(placed.groupBy("site", "part").agg(F.count("*").alias("n")).filter(F.col("n") > giant).select("site", "part"), "colour-giants")
+    ranked = placed.join(large, ["site", "part"], "left_anti").repartition("site", "part").sortWithinPartitions("site", "part", F.desc("uses"), "value")
+    joined = pa.schema([("site", kind), ("value", pa.string()), ("into", pa.string())])
+    into = ranked.select("site", "part", "value", *channels).mapInArrow(
+        lambda batches: _batches(_greedy(_rows(batches, "site", "part", "value", *channels), threshold), joined), f"site {site}, value string, into string")
+    if not large.isEmpty():
+        into = into.unionByName(_settled(placed.join(large, ["site", "part"], "left_semi"), threshold))
+    return (
+        colours.join(into, ["site", "value"]).groupBy("site", F.coalesce("into", "value").alias("value"))
+        .agg(F.sum("uses").alias("uses"), F.count_if(F.col("into").isNotNull()).alias("merged"))
     )
-    cell = lambda ch: F.floor(F.col(f"c.{ch}") / threshold).cast("int")
-    spread = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    own = colours.select("site", F.col("value").alias("v1"), F.col("uses").alias("u1"), F.col("c").alias("c1"), cell("r").alias("r"), cell("g").alias("g"), cell("b").alias("b"))
-    seen = colours.select("site", F.col("value").alias("v2"), F.col("uses").alias("u2"), F.col("c").alias("c2"), *[cell(ch).alias(f"_{ch}") for ch in "rgb"])
-    for ch in "rgb":
-        seen = seen.withColumn("_d", F.explode(spread)).withColumn(ch, F.col(f"_{ch}") + F.col("_d")).drop("_d", f"_{ch}")
-    near = own.join(seen, ["site", "r", "g", "b"]).filter(
+
+
+def _settled(colours: DataFrame, threshold: int) -> DataFrame:
+    """``site, value, into`` by rounds over the near pairs, which come from a grid join."""
+    cell = lambda ch: F.floor(F.col(ch) / threshold).cast("int")
+    spread, rgb = F.array(*[F.lit(i) for i in (-1, 0, 1)]), ("r", "g", "b")
+    packed = F.struct("r", "g", "b", "al")
+    own = colours.select("site", F.col("value").alias("v1"), F.col("uses").alias("u1"), packed.alias("c1"), *[cell(ch).alias(f"_{ch}") for ch in rgb])
+    seen = colours.select("site", F.col("value").alias("v2"), F.col("uses").alias("u2"), packed.alias("c2"), *[cell(ch).alias(f"_{ch}") for ch in rgb])
+    for ch in rgb:
+        seen = seen.withColumn("_d", F.explode(spread)).withColumn(f"_{ch}", F.col(f"_{ch}") + F.col("_d")).drop("_d")
+    near = own.join(seen, ["site", *[f"_{ch}" for ch in rgb]]).filter(
         ((F.col("u2") > F.col("u1")) | ((F.col("u2") == F.col("u1")) & (F.col("v2") < F.col("v1")))) & (C.distance(F.col("c1"), F.col("c2")) <= threshold)
     )
     near = materialize(near.select("site", F.col("v1").alias("value"), F.col("v2").alias("before"), F.col("u2").alias("before_uses")), "near-colours")
@@ -108,10 +196,7 @@ def merge_near_colors(counts: DataFrame, threshold: int = NEAR) -> DataFrame:
     into = near.join(kept, ["site", "before"]).join(state.filter("state = 'absorbed'").select("site", "value"), ["site", "value"]).groupBy("site", "value").agg(
         F.min_by("before", F.struct(-F.col("before_uses"), F.col("before"))).alias("into")
     )
-    return (
-        colours.join(into, ["site", "value"], "left").groupBy("site", F.coalesce("into", "value").alias("value"))
-        .agg(F.sum("uses").alias("uses"), F.count_if(F.col("into").isNotNull()).alias("merged"))
-    )
+    return colours.select("site", "value").join(into, ["site", "value"], "left")
 
 
 def _role(kind: str, c) -> Column:
@@ -273,29 +358,69 @@ def propose_tokens(parts: list[DataFrame], sites: DataFrame, required: list[str]
     return rows, wanted.join(rows.select("site", "name").distinct(), ["site", "name"], "left_anti")
 
 
+def _doubled(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Follow ``steps(site, name, to, n)`` by pointer doubling until no name newly reaches an end (a ``to`` that leads nowhere).
+
+    Gives the names that reach one, with the end and the number of steps, and the names that go round for ever.
+    """
+    ended = None
+    while True:
+        nxt = steps.select("site", F.col("name").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+        met = materialize(steps.join(nxt, ["site", "to"], "left").select("site", "name", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.col("_to").isNull().alias("_end")), "vars-step")
+        new = met.filter("_end").drop("_end")
+        if ended is not None:
+            nxt_end = ended.select("site", F.col("name").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
+            more = met.filter("_end").join(nxt_end, ["site", "to"], "left")
+            new = more.select("site", "name", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        new = materialize(new, "vars-ended")
+        if new.isEmpty():
+            return (ended if ended is not None else new), met.filter("NOT _end").drop("_end")
+        ended = new if ended is None else ended.unionByName(new)
+        steps = met.filter("NOT _end").drop("_end")
+        if steps.isEmpty():
+            return ended, steps
+
+
 def resolve_vars(tokens: DataFrame) -> DataFrame:
     """Follow ``var(--x)`` chains within a site; a cycle or an unknown name leaves the reference as it stands.
 
-    One equality join per chain step; only open rows take part.
+    Pointer doubling: every round a name learns what its target knows, so rounds grow with the logarithm of the longest
+    chain. Names that never end go round: after as many doublings as their number has bits each points into its cycle,
+    which marks the cycles; their smallest name and length come from one more doubling. A name on a cycle goes round it
+    once; one that leads into a cycle stops before it would enter it again.
     """
-    ref = lambda c: F.regexp_extract(c, r"(?i)^\s*var\((--[^)]+)\)\s*$", 1)
-    base = materialize(dedupe_first(tokens.select("site", "name", "value"), ["site", "name"], ["value"]), "vars")
-    lookup = base.select("site", F.col("name").alias("_ref"), F.col("value").alias("_next"))
-    openrows = materialize(base.select("site", "name", "value", F.array().cast("array<string>").alias("seen")), "vars-open")
-    done = None
-    while True:
-        stepped = openrows.withColumn("_ref", ref(F.col("value")))
-        joined = stepped.join(lookup, ["site", "_ref"], "left")
-        stop = (F.col("_ref") == "") | F.col("_next").isNull() | F.array_contains("seen", F.col("_ref"))
-        moved = materialize(
-            joined.select("site", "name", F.when(stop, F.col("value")).otherwise(F.col("_next")).alias("value"), F.when(stop, F.col("seen")).otherwise(F.array_append("seen", F.col("_ref"))).alias("seen"), stop.alias("_stop")),
-            "vars-step",
-        )
-        settled = moved.filter("_stop").select("site", "name", F.trim("value").alias("value"), F.size("seen").cast("bigint").alias("hops"))
-        done = settled if done is None else done.unionByName(settled)
-        openrows = moved.filter("NOT _stop").drop("_stop")
-        if openrows.isEmpty():
-            return done
+    ref = F.regexp_extract("value", r"(?i)^\s*var\((--[^)]+)\)\s*$", 1)
+    base = materialize(dedupe_first(tokens.select("site", "name", "value"), ["site", "name"], ["value"]).withColumn("_ref", ref), "vars")
+    known = base.select("site", F.col("name").alias("to"))
+    steps = materialize(base.filter("_ref <> ''").select("site", "name", F.col("_ref").alias("to"), F.lit(1).cast("bigint").alias("n")).join(known, ["site", "to"], "left_semi"), "vars-steps")
+    still = base.join(steps.select("site", "name"), ["site", "name"], "left_anti").select("site", "name", F.trim("value").alias("value"), F.lit(0).cast("bigint").alias("hops"))
+    if steps.isEmpty():
+        return still
+    said = base.select("site", F.col("name").alias("to"), F.trim("value").alias("value"))
+    ended, round_ = _doubled(steps)
+    out = still.unionByName(ended.join(said, ["site", "to"]).select("site", "name", "value", F.col("n").alias("hops")))
+    looping = materialize(steps.join(round_.select("site", "name"), ["site", "name"], "left_semi"), "vars-looping")
+    total = looping.count()
+    if not total:
+        return out
+    # who lies on a cycle, and each cycle's smallest name
+    far = looping.select("site", "name", "to", F.least("name", "to").alias("low"))
+    for _ in range(max(1, total.bit_length())):
+        nxt = far.select("site", F.col("name").alias("to"), F.col("to").alias("_to"), F.col("low").alias("_low"))
+        far = materialize(far.join(nxt, ["site", "to"]).select("site", "name", F.col("_to").alias("to"), F.least("low", "_low").alias("low")), "vars-far")
+    on = materialize(far.select("site", F.col("to").alias("name")).distinct(), "vars-cycles")
+    cycles = far.join(on, ["site", "name"], "left_semi").select("site", "name", "low")
+    length = cycles.groupBy("site", "low").agg(F.count("*").alias("around"))
+    cycles = materialize(cycles.join(length, ["site", "low"]).select("site", "name", "around"), "vars-cycles")
+    own = base.select("site", "name", F.trim("value").alias("value"))
+    out = out.unionByName(cycles.join(own, ["site", "name"]).select("site", "name", "value", F.col("around").alias("hops")))
+    tails = looping.join(on, ["site", "name"], "left_anti")
+    if tails.isEmpty():
+        return out
+    led, _ = _doubled(tails)
+    before = looping.join(on, ["site", "name"], "left_semi").join(own, ["site", "name"]).select("site", "to", F.col("value"))  # what leads on to an entry, inside its cycle
+    entry = led.join(cycles.withColumnRenamed("name", "to"), ["site", "to"]).join(before, ["site", "to"])
+    return out.unionByName(entry.select("site", "name", "value", (F.col("n") + F.col("around") - 1).alias("hops")))
 
 
 def normal_value(type_: Column, value: Column) -> Column:

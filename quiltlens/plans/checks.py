@@ -83,8 +83,8 @@ def _(spark, d):
 
 define_view("manifests", "SELECT user_id AS run_id, CASE event_id % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'review' ELSE 'polish' END AS phase, 'f/' || CAST(event_id AS STRING) || '.html' AS path, 'h' || CAST(event_id % 97 AS STRING) AS sha256, event_id * 3 AS bytes FROM {events}")
 DUCK_VIEWS["digests"] = """
-SELECT run_id, phase, sha256(string_agg(bucket || ' ' || digest, chr(10) ORDER BY bucket || ' ' || digest)) AS digest, CAST(sum(files) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes FROM (
- SELECT run_id, phase, substr(sha256(path), 1, 3) AS bucket, sha256(string_agg(path || ' ' || sha256, chr(10) ORDER BY path || ' ' || sha256)) AS digest, count(*) AS files, sum(bytes) AS bytes FROM {manifests} GROUP BY run_id, phase, substr(sha256(path), 1, 3)) t GROUP BY run_id, phase"""
+SELECT run_id, phase, sha256(string_agg(line || ' ' || n, chr(10) ORDER BY line || ' ' || n)) AS digest, CAST(sum(n) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes
+FROM (SELECT run_id, phase, path || ' ' || sha256 AS line, count(*) AS n, sum(bytes) AS bytes FROM {manifests} GROUP BY ALL) t GROUP BY run_id, phase"""
 
 
 def digests(spark, d):

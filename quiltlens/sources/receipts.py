@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from quiltlens.session import materialize
+
 CORRUPT = "_corrupt_record"
+ERROR_TEXT = 60  # characters of a bad text that a quarantine row shows
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("id", T.StringType()), T.StructField("type", T.StringType()), T.StructField("ts", T.TimestampType()),
@@ -29,6 +32,23 @@ def read_receipts(spark: SparkSession, path: str, schema: T.StructType, multilin
     return raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 
 
+def read_receipt_files(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Whole JSON files below ``path``, one receipt or a list of them each → (rows with their ``file``, quarantined files).
+
+    A file that does not parse as a whole, or in which any receipt does not fit the schema, gives no rows: it is
+    quarantined as ``(file, bytes, error)`` with the first bad text's beginning as its error. Empty files give nothing.
+    Every file is parsed once, by one task; a folder of good and bad files never fails a read.
+    """
+    raw = (
+        spark.read.schema(_with_corrupt(schema)).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        .option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+    )
+    rows = materialize(raw.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")), "receipt-files")
+    bad = rows.filter(F.col(CORRUPT).isNotNull()).groupBy("file").agg(F.max("bytes").alias("bytes"), F.min(F.substring(F.trim(CORRUPT), 1, ERROR_TEXT)).alias("error"))
+    good = rows.join(bad.select("file"), "file", "left_anti").drop(CORRUPT, "bytes")
+    return good, bad
+
+
 def parse_journal(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines of an append-only journal → (events, diagnostics with the bad text). Works on batch and streaming input."""
     parsed = lines.filter(F.trim("value") != "").select(
