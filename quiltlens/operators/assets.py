@@ -110,21 +110,24 @@ def missing_assets(source: DataFrame, built: DataFrame) -> DataFrame:
     return source.select("site", "kind", "key").distinct().join(built.select("site", "kind", "key").distinct(), ["site", "kind", "key"], "left_anti")
 
 
+FONT_FILE = r"(?i)^[^?#]*\.(?:woff2?|ttf|otf)(?:$|[?#])"  # fixed value: endings of font files
+
+
 def font_faces(css: DataFrame) -> DataFrame:
-    """``css(site, page, pos, css)`` → one row per ``@font-face``."""
+    """``css(site, page, pos, css)`` → one row per ``@font-face`` that has a family and a font file."""
     faces = css.select("site", "page", "pos", F.posexplode(M.all_matches(F.col("css"), r"(?is)@font-face\s*\x7B([^\x7D]*)\x7D", 1)).alias("i", "f"))
     got = lambda prop: F.trim(F.regexp_replace(F.regexp_extract("f", rf"(?i)(?:^|[;\s]){prop}\s*:\s*([^;]+)", 1), "[\"']", ""))
     some = lambda c, d: F.when(c == "", d).otherwise(c)
     return faces.select(
         "site", "page", "pos", "i", got("font-family").alias("family"), some(got("font-weight"), "400").alias("weight"), some(got("font-style"), "normal").alias("style"),
-        got("unicode-range").alias("unicode_range"), F.regexp_extract("f", r"""(?i)url\(\s*["']?([^"')]+)""", 1).alias("url"),
-    )
+        got("unicode-range").alias("unicode_range"), F.regexp_extract("f", r"""(?i)url\(\s*["']?([^"')\s]+)""", 1).alias("url"),
+    ).filter((F.col("family") != "") & F.col("url").rlike(FONT_FILE))
 
 
 def latin_faces(faces: DataFrame) -> DataFrame:
-    """Faces with a Latin range or none, first of each full identity; families are the same without case."""
-    kept = faces.filter((F.trim("unicode_range") == "") | F.col("unicode_range").rlike(LATIN_RANGE)).withColumn("_family", F.lower("family"))
-    return dedupe_first(kept, ["site", "page", "_family", "weight", "style", "unicode_range", "url"], ["pos", "i"]).drop("_family")
+    """Faces with a Latin range or none, first of each full identity; families that differ in case only are two."""
+    kept = faces.filter((F.trim("unicode_range") == "") | F.col("unicode_range").rlike(LATIN_RANGE))
+    return dedupe_first(kept, ["site", "page", "family", "weight", "style", "unicode_range", "url"], ["pos", "i"])
 
 
 def collect_plan_summary(pages: DataFrame, faces: DataFrame, kept: DataFrame, images: DataFrame) -> DataFrame:

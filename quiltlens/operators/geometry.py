@@ -96,15 +96,20 @@ def placement(sections: DataFrame, top: float = 80) -> DataFrame:
 
 
 def overlay_order(nodes: DataFrame) -> DataFrame:
-    """Filled, childless full-bleed siblings outside the flow placed after the first text sibling, with the place after the last image they should take."""
-    facts = nodes.groupBy("site", "parent_id").agg(
-        F.min(F.when(F.col("component") == "Text", F.col("ord"))).alias("first_text"), F.max(F.when(F.col("component") == "Image", F.col("ord"))).alias("last_image")
-    )
+    """Filled, childless full-bleed siblings outside the flow, where one of them comes after the first text sibling.
+
+    Then all of a parent's overlays move, in their order, to the place after the last image; ``target`` counts the
+    siblings before it that are no overlays.
+    """
     p = nodes.select("site", F.col("node_id").alias("parent_id"), F.col("w").alias("pw"), F.col("h").alias("ph"))
-    over = nodes.filter(_loose() & ~F.col("component").isin("Text", "Image") & F.col("filled") & (F.col("children") == 0)).join(p, ["site", "parent_id"]).filter(_covers())
-    return over.join(facts, ["site", "parent_id"]).filter("ord > first_text").select(
-        "site", "board", "node_id", "ord", "first_text", F.coalesce(F.col("last_image") + 1, F.lit(0)).cast("bigint").alias("target")
-    )
+    able = _loose() & ~F.col("component").isin("Text", "Image") & F.col("filled") & (F.col("children") == 0)
+    kids = nodes.join(p, ["site", "parent_id"]).withColumn("_over", F.coalesce(able & _covers(), F.lit(False))).select("site", "board", "parent_id", "node_id", "ord", "component", "_over")
+    facts = kids.groupBy("site", "parent_id").agg(
+        F.min(F.when(F.col("component") == "Text", F.col("ord"))).alias("first_text"), F.max(F.when(F.col("_over"), F.col("ord"))).alias("_last_over"),
+        F.max(F.when(F.col("component") == "Image", F.struct("ord", "node_id"))).alias("_image")).filter("_last_over > first_text")
+    moved = kids.join(facts, ["site", "parent_id"])
+    before = moved.groupBy("site", "parent_id").agg(F.count_if(~F.col("_over") & (F.struct("ord", "node_id") <= F.col("_image"))).alias("target"))
+    return moved.filter("_over").join(before, ["site", "parent_id"]).select("site", "board", "node_id", "ord", "first_text", "target")
 
 
 # Names and components of headings, their decoration and what is no text or frame; limits in px.
@@ -243,8 +248,8 @@ def missing_elements(capture: DataFrame, canvas: DataFrame) -> DataFrame:
 
 
 # Severity per finding kind.
-SEVERITY = {"zero size": "low", "hidden variant": "high", "empty frame": "low", "empty named section": "high", "empty image slot": "high", "loose decoration": "high",
-            "missing chrome": "high", "missing section": "high", "empty section": "high", "hidden stack": "medium", "dead text": "medium", "hollow section": "high", "blank source": "low"}
+SEVERITY = {"zero size": "high", "hidden variant": "high", "empty frame": "low", "empty named section": "high", "empty image slot": "high", "loose decoration": "high",
+            "missing chrome": "high", "missing section": "high", "empty section": "high", "hidden stack": "medium", "dead text": "high", "hollow section": "high", "blank source": "low"}
 
 
 def rank_findings(findings: DataFrame, applied: DataFrame) -> DataFrame:

@@ -90,11 +90,11 @@ def _(spark, d):
 
 
 define_view("face_css", r"""
-SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, p_partkey AS pos, '@font-face ' || chr(123) || ' font-family: "' || CASE WHEN p_size % 6 < 3 THEN 'Fam' ELSE 'FAM' END || CAST(p_size % 3 AS STRING) || '"; ' || CASE WHEN p_size % 2 = 0 THEN 'font-weight: 700; ' ELSE '' END || 'src: url(/f' || CAST(p_size % 5 AS STRING) || '.woff2); ' ||
+SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, p_partkey AS pos, '@font-face ' || chr(123) || ' font-family: "' || CASE WHEN p_size % 6 < 3 THEN 'Fam' ELSE 'FAM' END || CAST(p_size % 3 AS STRING) || '"; ' || CASE WHEN p_size % 2 = 0 THEN 'font-weight: 700; ' ELSE '' END || CASE p_partkey % 11 WHEN 3 THEN '' WHEN 5 THEN 'src: url(/f.woff2.svg); ' WHEN 7 THEN 'src: url("/f.TTF?v=1"); ' ELSE 'src: url(/f' || CAST(p_size % 5 AS STRING) || '.woff2); ' END ||
   CASE p_partkey % 7 WHEN 0 THEN 'unicode-range: U+0000-00FF' WHEN 1 THEN 'unicode-range: U+0400-04FF' WHEN 2 THEN 'unicode-range: U+0000-0030' ELSE '' END || ' ' || chr(125) AS css FROM {part}
 """)
-DUCK_VIEWS["faces"] = r"""SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, p_partkey AS pos, CASE WHEN p_size % 6 < 3 THEN 'Fam' ELSE 'FAM' END || p_size % 3 AS family, CASE WHEN p_size % 2 = 0 THEN '700' ELSE '400' END AS weight, 'normal' AS style, CASE p_partkey % 7 WHEN 0 THEN 'U+0000-00FF' WHEN 1 THEN 'U+0400-04FF' WHEN 2 THEN 'U+0000-0030' ELSE '' END AS unicode_range, '/f' || p_size % 5 || '.woff2' AS url FROM part"""
-DUCK_VIEWS["latin"] = "SELECT * FROM {faces} WHERE unicode_range IN ('', 'U+0000-00FF') QUALIFY row_number() OVER (PARTITION BY site, page, lower(family), weight, style, unicode_range, url ORDER BY pos) = 1"
+DUCK_VIEWS["faces"] = r"""SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, p_partkey AS pos, CASE WHEN p_size % 6 < 3 THEN 'Fam' ELSE 'FAM' END || p_size % 3 AS family, CASE WHEN p_size % 2 = 0 THEN '700' ELSE '400' END AS weight, 'normal' AS style, CASE p_partkey % 7 WHEN 0 THEN 'U+0000-00FF' WHEN 1 THEN 'U+0400-04FF' WHEN 2 THEN 'U+0000-0030' ELSE '' END AS unicode_range, CASE WHEN p_partkey % 11 = 7 THEN '/f.TTF?v=1' ELSE '/f' || p_size % 5 || '.woff2' END AS url FROM part WHERE p_partkey % 11 NOT IN (3, 5)"""
+DUCK_VIEWS["latin"] = "SELECT * FROM {faces} WHERE unicode_range IN ('', 'U+0000-00FF') QUALIFY row_number() OVER (PARTITION BY site, page, family, weight, style, unicode_range, url ORDER BY pos) = 1"
 
 
 @query("font_faces", "SELECT * FROM {faces}")
@@ -108,8 +108,10 @@ def _(spark, d):
 
 
 @query("collect_plan_summary", """
-WITH f AS (SELECT site, page, count(*) AS n FROM {faces} GROUP BY ALL), l AS (SELECT site, page, count(*) AS n FROM {latin} GROUP BY ALL)
-SELECT f.site, f.page, 'Page ' || CAST(f.page AS VARCHAR) AS title, f.n AS faces, coalesce(l.n, 0) AS fonts, f.n AS images, greatest(0, f.n - coalesce(l.n, 0)) AS skipped FROM f LEFT JOIN l ON l.site = f.site AND l.page = f.page""")
+WITH f AS (SELECT site, page, count(*) AS n FROM {faces} GROUP BY ALL), l AS (SELECT site, page, count(*) AS n FROM {latin} GROUP BY ALL),
+p AS (SELECT CAST(floor(p_partkey / 32) AS BIGINT) AS site, p_partkey % 4 AS page, count(*) AS n FROM part GROUP BY ALL)
+SELECT p.site, p.page, 'Page ' || CAST(p.page AS VARCHAR) AS title, coalesce(f.n, 0) AS faces, coalesce(l.n, 0) AS fonts, p.n AS images, greatest(0, coalesce(f.n, 0) - coalesce(l.n, 0)) AS skipped
+FROM p LEFT JOIN f ON f.site = p.site AND f.page = p.page LEFT JOIN l ON l.site = p.site AND l.page = p.page""")
 def _(spark, d):
     css = view(spark, d, "face_css")
     faces = E.font_faces(css)

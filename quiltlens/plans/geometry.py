@@ -54,8 +54,10 @@ def _(spark, d):
 
 
 @query("overlay_order", """
-SELECT n.site, n.board, n.node_id, n.ord, f.ft AS first_text, CAST(coalesce(f.li + 1, 0) AS BIGINT) AS target FROM {gnodes} n JOIN (SELECT parent_id, min(ord) FILTER (component = 'Text') AS ft, max(ord) FILTER (component = 'Image') AS li FROM {gnodes} GROUP BY 1) f ON f.parent_id = n.parent_id
-WHERE n.position IN ('absolute', 'fixed') AND n.component NOT IN ('Text', 'Image') AND n.filled AND n.children = 0 AND abs(n.w - 1440) <= 4 AND abs(n.h - 1200) <= 4 AND n.ord > f.ft""")
+WITH k AS (SELECT n.*, n.position IN ('absolute', 'fixed') AND n.component NOT IN ('Text', 'Image') AND n.filled AND n.children = 0 AND abs(n.w - 1440) <= 4 AND abs(n.h - 1200) <= 4 IS TRUE AS over FROM {gnodes} n WHERE parent_id IS NOT NULL),
+s AS (SELECT *, min(ord) FILTER (component = 'Text') OVER w AS ft, max(ord) FILTER (over) OVER w AS lo, max((ord, node_id)) FILTER (component = 'Image') OVER w AS im FROM k WINDOW w AS (PARTITION BY parent_id)),
+t AS (SELECT *, count(*) FILTER (NOT coalesce(over, false) AND (ord, node_id) <= im) OVER (PARTITION BY parent_id) AS target FROM s WHERE lo > ft)
+SELECT site, board, node_id, ord, ft AS first_text, target FROM t WHERE over""")
 def _(spark, d):
     return K.overlay_order(G(spark, d))
 
@@ -119,8 +121,8 @@ def _(spark, d):
 
 
 DUCK_VIEWS["ranked"] = """
-SELECT site, row_number() OVER (PARTITION BY site ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, pos, kind) AS id, kind, section, symptom, severity, CASE WHEN kind = 'dead text' AND section = 'faq' THEN 'applied' ELSE 'open' END AS status FROM (
- SELECT *, CASE WHEN kind IN ('missing chrome', 'missing section', 'empty section', 'hollow section') THEN 'high' WHEN kind = 'blank source' THEN 'low' ELSE 'medium' END AS severity FROM (
+SELECT site, row_number() OVER (PARTITION BY site ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, pos, kind, section, symptom) AS id, kind, section, symptom, severity, CASE WHEN kind = 'dead text' AND section = 'faq' THEN 'applied' ELSE 'open' END AS status FROM (
+ SELECT *, CASE WHEN kind IN ('missing chrome', 'missing section', 'empty section', 'hollow section', 'dead text') THEN 'high' WHEN kind = 'blank source' THEN 'low' ELSE 'medium' END AS severity FROM (
   SELECT site, page AS pos, kind, slug AS section, 'p' || CAST(page % 4 AS VARCHAR) AS symptom FROM {lost} QUALIFY row_number() OVER (PARTITION BY site, kind, slug, page % 4 ORDER BY page) = 1) a) b"""
 
 
@@ -130,9 +132,9 @@ def ranked(spark, d):
     return K.rank_findings(f.withColumn("pos", F.col("pos")), f.filter("kind = 'dead text' AND section = 'faq'"))
 
 
-@query("rank_findings", "SELECT site, kind, section, symptom, severity, status FROM {ranked}")
+@query("rank_findings", "SELECT * FROM {ranked}")
 def _(spark, d):
-    return ranked(spark, d).drop("id")
+    return ranked(spark, d)
 
 
 @query("severity_counts", "SELECT site, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (status = 'applied') AS applied FROM {ranked} GROUP BY site")

@@ -187,7 +187,10 @@ def test_issue_delta_closed_statuses(spark):
 def test_latin_faces_keep_unranged_and_weights_prefer_long_words(spark):
     faces = spark.createDataFrame([("s", 1, i, 0, f, "400", "normal", r, "u") for i, (f, r) in enumerate([("A", ""), ("a", ""), ("A", "U+0000-00FF"), ("A", "U+0460-052F"), ("A", "U+0000-0030")])],
                                   "site string, page int, pos int, i int, family string, weight string, style string, unicode_range string, url string")
-    assert rows(assets.latin_faces(faces), "pos", "family", "unicode_range") == [(0, "A", ""), (2, "A", "U+0000-00FF")]
+    assert rows(assets.latin_faces(faces), "pos", "family", "unicode_range") == [(0, "A", ""), (1, "a", ""), (2, "A", "U+0000-00FF")]  # families that differ in case are two
+    css = spark.createDataFrame([("s", 1, 0, "@font-face{font-family:A;src:url(a.woff2?x)} @font-face{font-family:B;src:local(B)} @font-face{src:url(c.woff)} @font-face{font-family:D;src:url(d.svg)} @font-face{font-family:'E';src:url('e.otf')}")],
+                                "site string, page int, pos int, css string")
+    assert rows(assets.font_faces(css), "family", "url") == [("A", "a.woff2?x"), ("E", "e.otf")]
     lib = spark.createDataFrame([("s", "Inter", 0), ("s", "-apple-system", 1), ("s", "Emoji", 2)], "site string, family string, pos int")
     files = spark.createDataFrame([("s", "inter", f"x-{w}.woff2") for w in ("Ultralight", "DemiBold", "UltraBold", "Heavy", "Book")], "site string, family string, file string")
     assert rows(assets.font_roster(lib, lib.limit(0), files), "family", "weight") == [("Inter", w) for w in (200, 400, 600, 800, 900)]
@@ -219,3 +222,13 @@ def test_journal_fold_stale_checkpoint_and_bad_line(spark):
     assert (snap["phase"], snap["expected"], snap["arrived"], snap["revision"], snap["variant"], snap["pending_seq"], snap["diagnostics"]) == ("completed", 3, 3, 2, 2, None, 1)
     assert [r["text"] for r in bad.collect()] == ["not json"]
     assert N.active_sessions(N.session_state(events)).count() == 0
+
+
+def test_all_overlays_of_a_parent_move_when_one_covers_text(spark):
+    kind = "site string, board int, node_id int, parent_id int, ord int, component string, x double, y double, w double, h double, position string, filled boolean, children int"
+    node = lambda i, ord_, component, loose=False: ("s", 1, i, 0, ord_, component, 0.0, 0.0, 100.0, 100.0, "absolute" if loose else None, True, 0)
+    parent = ("s", 1, 0, None, 0, "Frame", 0.0, 0.0, 100.0, 100.0, None, True, 9)
+    df = spark.createDataFrame([parent, node(1, 0, "Rectangle", True), node(2, 1, "Image"), node(3, 2, "Text"), node(4, 3, "Rectangle", True), node(5, 4, "Image"), node(6, 5, "Text")], kind)
+    # without the two overlays the last image is third from the front, so its place counts images and texts only
+    assert rows(K.overlay_order(df), "node_id", "ord", "first_text", "target") == [(1, 0, 2, 3), (4, 3, 2, 3)]
+    assert K.overlay_order(df.filter("node_id <> 4")).count() == 0
