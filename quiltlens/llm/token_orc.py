@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,16 @@ from quiltlens.llm.rows import partitions
 from quiltlens.session import materialize, shared_dir
 
 END_ID = 2
-CACHE = 900_000
+CACHE = 450_000  # pieces a generation remembers; two are kept
 STRIDE = 1000
 _AROUND = re.compile(r"\s \s|  ")
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
+_ASCII_SPACES = [c for c in _SPACES if c.isascii()]
+
+
+def _spaced(text: str) -> bool:
+    """``_AROUND`` matches: white space on both sides of a space. Looked for piecewise, which is faster than the pattern."""
+    return "  " in text or (any(" " + c in text for c in (_ASCII_SPACES if text.isascii() else _SPACES)) and _AROUND.search(text) is not None)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -37,13 +45,15 @@ class ChunkEncoder(dict):
     Such a tokenizer never merges across the start of " word", so a text may be cut there; every distinct piece is
     encoded once by the library and remembered. A piece of letters is one pre-token, which the library's model takes
     directly. Texts with runs of white space around a space, or with a special token's spelling, go to the library
-    whole. Memory is bounded: the pieces are forgotten when there are too many.
+    whole. Memory is bounded: when there are too many pieces, those that were not asked for since the last time are
+    forgotten, so frequent ones stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
@@ -66,12 +76,15 @@ class ChunkEncoder(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
-        before, line_end, after = word.partition("\n")
-        if line_end and before and after and not any(c.isspace() for c in before + after):
-            ids = self[before] + self.marks["\n"] + self._piece(after, "")
-        else:
-            ids = self._piece(word, " ")
+        ids = self.older.get(word)
+        if ids is None:
+            before, line_end, after = word.partition("\n")
+            if line_end and before and after and not any(c.isspace() for c in before + after):
+                ids = self[before] + self.marks["\n"] + self._piece(after, "")
+            else:
+                ids = self._piece(word, " ")
         self[word] = ids
         return ids
 
@@ -79,10 +92,10 @@ class ChunkEncoder(dict):
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if _AROUND.search(text) or (self.special and self.special.search(text)):
+        if _spaced(text) or (self.special and self.special.search(text)):
             return self._whole(text)
-        first, *rest = text.split(" ")
-        return (self._whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        words = text.split(" ")
+        return (self._whole(words[0]) if words[0] else b"") + b"".join(map(self.__getitem__, islice(words, 1, None)))
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}

@@ -285,3 +285,29 @@ def test_codes_are_read_back(spark):
     near = vector_codes.reconstruct([r.code for r in coded], books)
     x = np.array([r.x + [0, 0] for r in cells.orderBy("id").collect()])
     assert ((x - near) ** 2).sum(axis=1).tolist() == [r.error for r in coded]
+
+
+# ---- the encoder that chats and token files share -----------------------------------------------
+
+ODD = ["a", "word", "Don't", "  ", " ", "\n", "\t", " ", " ", "　", "\x1c", "é", "漢", "<|endoftext|>", "1,", ".", "x\ny", " \n", "\n "]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(ODD), max_size=14).map("".join))
+def test_pieces_encode_like_whole_texts(text):
+    from quiltlens.llm import token_orc
+
+    enc = token_orc.encoder(TOKENIZER)
+    assert token_orc._spaced(text) == bool(token_orc._AROUND.search(text))
+    assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_forgotten_pieces_are_encoded_again(monkeypatch):
+    from quiltlens.llm import token_orc
+
+    monkeypatch.setattr(token_orc, "CACHE", 20)
+    enc = token_orc.ChunkEncoder(TOKENIZER)
+    for i in range(60):
+        text = " ".join(f"w{j} common, line{j}\nnext" for j in range(i, i + 9))
+        assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(enc) <= 22 and len(enc.older) <= 22
