@@ -16,7 +16,7 @@ from quiltlens.llm.rows import partitions
 from quiltlens.session import materialize, shared_dir
 
 END_ID = 2
-CACHE = 450_000  # pieces a generation remembers; two are kept
+CACHE = 700_000  # pieces a generation remembers; two are kept
 STRIDE = 1000
 _AROUND = re.compile(r"\s \s|  ")
 _SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     coded = rows.mapInArrow(encode, f"doc_id {id_type}, part int, at long, ids array<int>")
-    (coded.write.option("orc.compress", "ZSTD").option("orc.create.index", "true").option("orc.row.index.stride", str(STRIDE))
+    (coded.write.option("orc.compress", "ZSTD").option("orc.compression.zstd.level", "1").option("orc.create.index", "true").option("orc.row.index.stride", str(STRIDE))
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").mode("error").orc(path))
 
 

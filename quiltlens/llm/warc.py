@@ -7,6 +7,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -19,6 +20,7 @@ _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|pre|blockquote|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[!/a-zA-Z?][^>]*>")
 _SPACES, _LINES = re.compile(r"[ \t\r\f\v\xa0]+"), re.compile(r" ?\n[ \n]*")
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -36,26 +38,98 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return head.encode() + LINE + block + LINE + LINE
 
 
-def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+class Fields(dict):
+    """Named fields that are found by their names in any case."""
+
+    def __init__(self, pairs):
+        super().__init__((k.lower(), v) for k, v in pairs)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def __contains__(self, name) -> bool:
+        return super().__contains__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
+def _fields(lines: list[str]) -> list[tuple[str, str]]:
+    """Named fields; a line that begins with white space goes on with the one before it."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def _head(data: bytes, at: int) -> tuple[list[str], int]:
+    """The lines of a header and where what follows it begins; lines may end without a carriage return."""
+    ends = [(e, len(m)) for m in (LINE + LINE, b"\n\n") if (e := data.find(m, at)) >= 0]
+    end, mark = min(ends, default=(len(data), 0))
+    return data[at:end].decode("utf-8", "replace").replace("\r\n", "\n").split("\n"), end + mark
+
+
+def parse_records(data: bytes) -> list[tuple[Fields, bytes]]:
     """Headers and block of each record of uncompressed WARC bytes."""
     out, at = [], 0
     while at < len(data):
-        end = data.find(LINE + LINE, at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["Content-Length"])
-        out.append((headers, data[end + 4:end + 4 + size]))
-        at = end + 4 + size + 4
+        lines, start = _head(data, at)
+        headers = Fields(_fields(lines[1:]))
+        size = headers.get("Content-Length", "")
+        if not lines[0].startswith("WARC/") or not size.isdigit() or start + int(size) > len(data):
+            raise ValueError(f"no whole record at byte {at}")
+        at = start + int(size)
+        out.append((headers, data[start:at]))
+        while data[at:at + 1] in (b"\r", b"\n"):
+            at += 1
     return out
 
 
 def parse_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and payload of an HTTP response block."""
-    head, _, body = block.partition(LINE + LINE)
-    status, *lines = head.decode("utf-8", "replace").split("\r\n")
-    return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], body
+    lines, start = _head(block, 0)
+    return lines[0], _fields(lines[1:]), block[start:]
+
+
+def dechunked(body: bytes) -> bytes:
+    """The payload of a chunked body."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\n", at)
+        size = int(body[at:end if end >= 0 else len(body)].split(b";")[0].strip() or b"0", 16)
+        if not size:
+            return b"".join(out)
+        if end < 0 or end + 1 + size > len(body):
+            raise ValueError("a chunk is cut off")
+        out.append(body[end + 1:end + 1 + size])
+        at = end + 1 + size
+        at += 2 if body[at:at + 2] == LINE else 1
+
+
+def page_text(http: list[tuple[str, str]], body: bytes) -> tuple[bytes, str]:
+    """The payload without transfer coding, and its text: unpacked, in the charset that the header or the page names.
+
+    An unknown charset reads as UTF-8; what doesn't fit a charset becomes U+FFFD.
+    """
+    fields = Fields(http)
+    payload = dechunked(body) if "chunked" in fields.get("Transfer-Encoding", "").lower() else body
+    packed = fields.get("Content-Encoding", "").lower()
+    raw = payload
+    if payload and ("gzip" in packed or "deflate" in packed):
+        try:
+            raw = zlib.decompressobj(47).decompress(payload)  # gzip or zlib, by its head
+        except zlib.error:
+            raw = zlib.decompressobj(-15).decompress(payload)  # deflate without a head
+    named = _CHARSET.search(fields.get("Content-Type", "")) or _CHARSET.search(raw[:1024].decode("latin-1"))
+    name = named[1].lower() if named else "utf-8"
+    try:
+        return payload, raw.decode("cp1252" if name in ("iso-8859-1", "latin-1", "latin1", "us-ascii", "ascii") else name, "replace")
+    except LookupError:
+        return payload, raw.decode("utf-8", "replace")
 
 
 def plain_text(markup: str) -> str:
@@ -87,39 +161,55 @@ def response_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
 
 def derive_one(data: bytes) -> list[dict]:
-    """The metadata and the conversion record of each response record in ``data``."""
+    """The metadata and the conversion record of each response record in ``data``; an error row instead of what can't be read."""
     out = []
-    for head, block in parse_records(data):
-        if head.get("WARC-Type") != "response":
+    try:
+        records = parse_records(data)
+    except ValueError as e:
+        return [_error("", "", str(e))]
+    for head, block in records:
+        if head.get("WARC-Type", "").lower() != "response":
+            continue
+        uri, date = head.get("WARC-Target-URI", "").strip("<>"), head.get("WARC-Date", DATE)
+        source = head.get("WARC-Record-ID") or record_id("response", uri, date, sha1(block))
+        try:
+            status, http, body = parse_http(block)
+            payload, markup = page_text(http, body)
+        except (ValueError, zlib.error) as e:
+            out.append(_error(source, uri, str(e)))
             continue
-        status, http, body = parse_http(block)
-        markup = body.decode("utf-8", "replace")
         text = plain_text(markup)
         title = _TITLE.search(markup)
         links = [_one_line(html.unescape(a or b or c)) for a, b, c in _LINK.findall(markup)]
-        source, uri, date = head["WARC-Record-ID"], head.get("WARC-Target-URI", ""), head.get("WARC-Date", DATE)
-        digest = sha1(body)
+        digest = sha1(payload)
+        told = head.get("WARC-Payload-Digest", digest)
         fields = [("source-status", status), *((f"source-header-{k.lower()}", v) for k, v in http), ("source-payload-digest", digest),
-                  ("digest-verified", str(head.get("WARC-Payload-Digest", digest) == digest).lower()),
+                  ("digest-verified", str(told in (digest, sha1(body))).lower()),
                   ("title", _one_line(html.unescape(title[1])) if title else ""), *(("outlink", x) for x in links)]
         for kind, mime, made in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode()), ("conversion", "text/plain; charset=utf-8", text.encode())):
             own = record_id(kind, source, sha1(made))
             bytes_ = record([("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source),
                              ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", digest), ("WARC-Block-Digest", sha1(made)), ("Content-Type", mime)], made)
             out.append({"kind": kind, "record_id": own, "refers_to": source, "target_uri": uri, "source_digest": digest, "block_digest": sha1(made),
-                        "block_bytes": len(made), "n_links": len(links), "record": bytes_})
+                        "block_bytes": len(made), "n_links": len(links), "record": bytes_, "error": None})
     return out
 
 
+def _error(source: str, uri: str, why: str) -> dict:
+    return {"kind": "error", "record_id": None, "refers_to": source, "target_uri": uri, "source_digest": None, "block_digest": None, "block_bytes": 0, "n_links": 0, "record": None, "error": why}
+
+
 def derive(responses: DataFrame, id_col: str = "page_id", record_col: str = "response") -> DataFrame:
-    """Two rows per response record: ``page_id, kind, record_id, refers_to, target_uri, source_digest, block_digest, block_bytes, n_links, record``.
+    """Two rows per response record: ``page_id, kind, record_id, refers_to, target_uri, source_digest, block_digest, block_bytes, n_links, record, error``.
 
     ``record`` is a whole WARC record; the records of a file, one after the other, are a WARC file. Every response
-    gives both records, also with an empty page; other record types and null records give none. Bytes that are no WARC
-    record are an error. Pages are independent, so no row is shuffled.
+    gives both records, also with an empty page; other record types and null records give none. Field names are alike in
+    any case, folded lines go on, a record without an id gets one from its content; chunked and packed payloads are
+    unpacked and read in their own charset. Bytes that are no whole WARC record, or a payload that can't be unpacked,
+    give one row of kind ``error`` and no failure. Pages are independent, so no row is shuffled.
     """
     r = responses.select(responses[id_col].alias("page_id"), responses[record_col].alias("response"))
-    names = ["kind", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "block_bytes", "n_links", "record"]
+    names = ["kind", "record_id", "refers_to", "target_uri", "source_digest", "block_digest", "block_bytes", "n_links", "record", "error"]
 
     def build(batches):
         for batch in batches:
@@ -130,4 +220,4 @@ def derive(responses: DataFrame, id_col: str = "page_id", record_col: str = "res
                     yield pd.DataFrame(rows, columns=["page_id", *names])
 
     kind = r.schema["page_id"].dataType.simpleString()
-    return r.mapInPandas(build, f"page_id {kind}, kind string, record_id string, refers_to string, target_uri string, source_digest string, block_digest string, block_bytes long, n_links long, record binary")
+    return r.mapInPandas(build, f"page_id {kind}, kind string, record_id string, refers_to string, target_uri string, source_digest string, block_digest string, block_bytes long, n_links long, record binary, error string")
