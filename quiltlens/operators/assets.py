@@ -99,7 +99,7 @@ def asset_census(corpus: DataFrame) -> DataFrame:
     """Inline drawings, images and backgrounds of a page, with a fingerprint and the words after each."""
     html = F.col("html")
     svg = F.transform(M.all_matches(html, r"(?is)<svg\b[^>]*>.*?</svg\s*>[^<]*"), lambda s: F.struct(
-        F.lit("svg").alias("kind"), F.substring(F.sha1(_squeezed(F.regexp_replace(s, r"(?is)(</svg\s*>)[^<]*$", "$1"))), 1, 12).alias("key"), M.squeeze(F.regexp_extract(s, r"(?is)</svg\s*>([^<]*)$", 1)).alias("near")))
+        F.lit("svg").alias("kind"), F.sha1(_squeezed(F.regexp_replace(s, r"(?is)(</svg\s*>)[^<]*$", "$1"))).alias("key"), M.squeeze(F.regexp_extract(s, r"(?is)</svg\s*>([^<]*)$", 1)).alias("near")))
     img = F.transform(M.all_matches(html, r"(?is)<img\b[^>]*>[^<]*"), lambda s: F.struct(F.lit("img").alias("kind"), M.basename(M.attr(s, "src")).alias("key"), M.squeeze(F.regexp_replace(s, r"(?s)^<[^>]*>", "")).alias("near")))
     back = F.transform(M.all_matches(html, r"""(?i)background(?:-image)?\s*:[^;"'}]*url\(\s*["']?([^"')]+)""", 1), lambda u: F.struct(F.lit("background").alias("kind"), M.basename(u).alias("key"), F.lit("").alias("near")))
     return corpus.select("site", "page_id", F.explode(F.concat(svg, img, back)).alias("a")).select("site", "page_id", "a.*").filter("key <> ''")

@@ -20,10 +20,11 @@ def role_signatures(nodes: DataFrame) -> DataFrame:
     """
     bucket = lambda c: (F.floor(F.col(c) / 8 + 0.5) * 8).cast("bigint")
     kids = running(nodes.filter("parent_id IS NOT NULL").select("site", "parent_id", "ord", "node_id", F.concat_ws(":h", "component", bucket("h").cast("string")).alias("shape")), ["site", "parent_id"], ["ord", "node_id"], {"place": ("row_number", None)}, "child-places")
-    print_ = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("place").cast("string"), "shape")), 1, 12), 16, 10).cast("decimal(38,0)")
-    shapes = kids.groupBy("site", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids"), F.sum(print_).cast("decimal(38,0)").alias("kid_print"))
+    digest = F.md5(F.concat_ws("/", F.col("place").cast("string"), "shape"))
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")).cast("decimal(38,0)").cast("string")  # noqa: E731  120 bits in all
+    shapes = kids.groupBy("site", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("kids"), F.concat_ws(":", part(1), part(16)).alias("kid_print"))
     rows = nodes.filter("w >= 24 AND h >= 12").join(shapes, ["site", "node_id"], "left")
-    sig = F.concat_ws("|", "component", F.concat(F.lit("h"), bucket("h").cast("string")), F.concat(F.lit("k"), F.coalesce("kids", F.lit(0)).cast("string")), "style_key", F.coalesce(F.col("kid_print").cast("string"), F.lit("")))
+    sig = F.concat_ws("|", "component", F.concat(F.lit("h"), bucket("h").cast("string")), F.concat(F.lit("k"), F.coalesce("kids", F.lit(0)).cast("string")), "style_key", F.coalesce("kid_print", F.lit("")))
     return rows.select("site", "board", "node_id", "name", "w", "h", F.coalesce("kids", F.lit(0).cast("bigint")).alias("kids"), sig.alias("signature"))
 
 

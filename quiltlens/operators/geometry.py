@@ -33,19 +33,45 @@ def _covers() -> Column:
     return (F.abs(F.col("w") - F.col("pw")) <= COVER) & (F.abs(F.col("h") - F.col("ph")) <= COVER)
 
 
+# Sizes in px and names of image slots that can stand empty.
+SLOT_LEAST, HOLE_LEAST, CIRCLE_LEAST, CIRCLE_MOST, CIRCLE_SLACK = 80, 8, 40, 120, 16
+DEFERRED_NAME, FILE_NAME = "(?i)deferred-image", "(?i)^file$"
+
+
+def _small_circle(w: str, h: str) -> Column:
+    return F.coalesce(F.col(w).between(CIRCLE_LEAST, CIRCLE_MOST) & F.col(h).between(CIRCLE_LEAST, CIRCLE_MOST) & (F.abs(F.col(w) - F.col(h)) <= CIRCLE_SLACK), F.lit(False))
+
+
+def _empty_image(nodes: DataFrame) -> Column:
+    """Which kind of empty image slot a node is, the first that fits; nothing painted, and no text but in drawings.
+
+    A picture without its image or a childless rectangle of 80 px or more; a deferred image without content; a drawing or
+    file layer over a small circle, which is its parent's if that is one, else its own. ``image_fill`` says whether a
+    node has an image; without that column no picture lacks one.
+    """
+    fill = F.col("image_fill") if "image_fill" in nodes.columns else F.lit(None).cast("boolean")
+    text = (F.coalesce(F.col("text"), F.lit("")) != "") if "text" in nodes.columns else F.lit(False)
+    lacks, bare, childless = F.coalesce(~fill, F.lit(False)), ~F.col("filled"), F.col("children") == 0
+    slot = (F.col("w") >= SLOT_LEAST) & (F.col("h") >= SLOT_LEAST) & ~text & bare & (((F.col("component") == "Image") & lacks) | ((F.col("component") == "Rectangle") & childless))
+    hole = F.col("name").rlike(DEFERRED_NAME) & ~text & bare & (F.col("w") >= HOLE_LEAST) & (F.col("h") >= HOLE_LEAST) & ~((F.col("component") == "Image") & ~lacks) & (childless | lacks)
+    drawing, file = F.col("component") == "SVG", F.col("name").rlike(FILE_NAME) & F.col("component").isin("Rectangle", "Frame", "")
+    avatar = (drawing | (file & ~text)) & bare & ~F.coalesce(fill, F.lit(False)) & (_small_circle("pw", "ph") | _small_circle("w", "h"))
+    return F.when(slot, "empty image slot").when(hole, "deferred image").when(avatar, "avatar overlay")
+
+
 def node_defects(nodes: DataFrame) -> DataFrame:
-    """Zero size, hidden variant, empty frame or named section over 40 px, empty image slot, loose empty stroke of 1 to 2 px."""
+    """Zero size, and of the others: hidden variant, empty frame or named section over 40 px, empty image slot, loose empty stroke of 1 to 2 px."""
     p = nodes.select("site", F.col("node_id").alias("parent_id"), F.col("w").alias("pw"), F.col("h").alias("ph"))
     n = nodes.join(p, ["site", "parent_id"], "left")
-    kinds = F.array_compact(F.array(
-        F.when((F.col("w") <= 0) | (F.col("h") <= 0), "zero size"),
-        F.when((F.col("w") > 0) & (F.col("w") <= 2) & (F.col("h") > 800), "hidden variant"),
+    others = F.array_compact(F.array(
+        F.when((F.col("w") <= 2) & (F.col("h") > 800), "hidden variant"),
         F.when((F.col("component") == "Frame") & (F.col("children") == 0) & ~F.col("filled") & (F.col("w") > 40) & (F.col("h") > 40),
                F.when(F.col("name").rlike(r"^\d{2}\s*·"), "empty named section").otherwise("empty frame")),
-        F.when((F.col("component") == "Rectangle") & ~F.col("filled") & F.lower("name").rlike("image|photo|img"), "empty image slot"),
+        _empty_image(nodes),
         F.when(_loose() & (F.col("children") == 0) & (F.col("component") != "Text") & (F.col("stroke") > 0) & (F.col("stroke") <= 2) & (F.col("w") > 8) & (F.col("h") > 8)
                & ((F.col("insets") >= 3) | F.coalesce(_covers(), F.lit(False))), "loose decoration"),
     ))
+    kinds = F.when((F.col("w") <= 0) | (F.col("h") <= 0), F.array(F.lit("zero size"))).otherwise(others)
     return n.select("site", "board", "node_id", F.explode(kinds).alias("kind"))
 
 
@@ -248,7 +274,7 @@ def missing_elements(capture: DataFrame, canvas: DataFrame) -> DataFrame:
 
 
 # Severity per finding kind.
-SEVERITY = {"zero size": "high", "hidden variant": "high", "empty frame": "low", "empty named section": "high", "empty image slot": "high", "loose decoration": "high",
+SEVERITY = {"zero size": "high", "hidden variant": "high", "empty frame": "low", "empty named section": "high", "empty image slot": "high", "deferred image": "high", "avatar overlay": "high", "loose decoration": "high",
             "missing chrome": "high", "missing section": "high", "empty section": "high", "hidden stack": "medium", "dead text": "high", "hollow section": "high", "blank source": "low"}
 
 

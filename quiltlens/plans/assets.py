@@ -71,7 +71,7 @@ def _(spark, d):
 def _census(src: str) -> str:
     return rf"""
 SELECT site, page_id, kind, key, near FROM (
- SELECT site, page_id, 'svg' AS kind, substr(sha1(regexp_replace(regexp_replace(regexp_extract(s, '(?is)^(.*</svg\s*>)', 1), '\s+', ' ', 'g'), '>\s+<', '><', 'g')), 1, 12) AS key, trim(regexp_replace(regexp_extract(s, '(?is)</svg\s*>([^<]*)$', 1), '\s+', ' ', 'g')) AS near FROM (SELECT k.site, page_id, unnest(regexp_extract_all(html, '(?is)<svg\b[^>]*>.*?</svg\s*>[^<]*')) AS s FROM {src} p JOIN {{corpus_keys}} k USING (page_id)) a
+ SELECT site, page_id, 'svg' AS kind, sha1(regexp_replace(regexp_replace(regexp_extract(s, '(?is)^(.*</svg\s*>)', 1), '\s+', ' ', 'g'), '>\s+<', '><', 'g')) AS key, trim(regexp_replace(regexp_extract(s, '(?is)</svg\s*>([^<]*)$', 1), '\s+', ' ', 'g')) AS near FROM (SELECT k.site, page_id, unnest(regexp_extract_all(html, '(?is)<svg\b[^>]*>.*?</svg\s*>[^<]*')) AS s FROM {src} p JOIN {{corpus_keys}} k USING (page_id)) a
  UNION ALL SELECT site, page_id, 'img', lower(regexp_extract(regexp_replace(regexp_extract(s, '(?is)\ssrc\s*=\s*["'']([^"'']*)["'']', 1), '(?s)[?#].*$', ''), '([^/]+)/*$', 1)), trim(regexp_replace(regexp_replace(s, '(?s)^<[^>]*>', ''), '\s+', ' ', 'g')) FROM (SELECT k.site, page_id, unnest(regexp_extract_all(html, '(?is)<img\b[^>]*>[^<]*')) AS s FROM {src} p JOIN {{corpus_keys}} k USING (page_id)) b
  UNION ALL SELECT k.site, page_id, 'background', 'bg' || CAST(page_id % 5 AS VARCHAR) || '.webp', '' FROM (SELECT page_id, unnest(regexp_extract_all(html, 'background-image: url')) FROM {src}) p JOIN {{corpus_keys}} k USING (page_id)) u WHERE key <> ''"""
 

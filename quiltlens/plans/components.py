@@ -14,9 +14,9 @@ define_view("cnodes", "SELECT site, l_board AS board, node_id, CASE WHEN par = 0
 define_view("cboards", "SELECT site, board, node_id, parent_id, ord, component, name, CAST(w AS DOUBLE) AS w, CAST(h AS DOUBLE) AS h, style_key FROM {cnodes}")
 _B = "(CAST(floor({h} / 8 + 0.5) AS BIGINT) * 8)"
 DUCK_VIEWS["signed"] = f"""
-WITH k AS (SELECT site, parent_id AS node_id, count(*) AS kids, sum(CAST('0x' || substr(md5(CAST(place AS VARCHAR) || '/' || shape), 1, 12) AS BIGINT)) AS kp FROM (
+WITH k AS (SELECT site, parent_id AS node_id, count(*) AS kids, sum(CAST('0x' || substr(md5(CAST(place AS VARCHAR) || '/' || shape), 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substr(md5(CAST(place AS VARCHAR) || '/' || shape), 16, 15) AS BIGINT)) AS kp FROM (
   SELECT *, component || ':h' || CAST({_B.replace('{h}', 'h')} AS VARCHAR) AS shape, row_number() OVER (PARTITION BY parent_id ORDER BY ord, node_id) AS place FROM {{cboards}} WHERE parent_id IS NOT NULL) t GROUP BY ALL)
-SELECT n.site, n.board, n.node_id, n.name, n.w, n.h, coalesce(kids, 0) AS kids, n.component || '|h' || CAST({_B.replace('{h}', 'n.h')} AS VARCHAR) || '|k' || CAST(coalesce(kids, 0) AS VARCHAR) || '|' || style_key || '|' || coalesce(CAST(kp AS VARCHAR), '') AS signature
+SELECT n.site, n.board, n.node_id, n.name, n.w, n.h, coalesce(kids, 0) AS kids, n.component || '|h' || CAST({_B.replace('{h}', 'n.h')} AS VARCHAR) || '|k' || CAST(coalesce(kids, 0) AS VARCHAR) || '|' || style_key || '|' || coalesce(kp, '') AS signature
 FROM {{cboards}} n LEFT JOIN k ON k.node_id = n.node_id WHERE n.w >= 24 AND n.h >= 12"""
 DUCK_VIEWS["comps"] = """
 SELECT site, signature, CASE WHEN w >= 1400 AND pages >= 2 THEN 'organism' WHEN kids = 0 THEN 'atom' WHEN kids <= 4 AND h < 400 THEN 'molecule' ELSE 'organism' END AS level, instances, pages, width_variants, round(w) AS width, round(h) AS height, node_id AS example FROM (

@@ -9,7 +9,7 @@ from quiltlens.plans.registry import DUCK_VIEWS, define_view, query, view
 
 define_view("gnodes", r"""
 SELECT 'site-' || CAST(CAST(floor(l_orderkey / 64) AS BIGINT) AS STRING) AS site, l_orderkey AS board, ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 1000 + l_suppkey % 1000 AS node_id, -l_orderkey AS parent_id,
-  CAST(l_partkey AS BIGINT) AS ord, CASE l_partkey % 5 WHEN 0 THEN 'Frame' WHEN 1 THEN 'Image' WHEN 2 THEN 'Rectangle' ELSE 'Text' END AS component, CASE WHEN l_suppkey % 4 = 0 THEN 'Photo' WHEN l_suppkey % 23 = 1 THEN 'site-chrome' WHEN l_suppkey % 23 = 2 THEN 'Main menu' WHEN l_suppkey % 23 = 3 THEN '01 · hero' ELSE 'node ' || CAST(l_suppkey % 10 AS STRING) END AS name,
+  CAST(l_partkey AS BIGINT) AS ord, CASE l_partkey % 5 WHEN 0 THEN 'Frame' WHEN 1 THEN 'Image' WHEN 2 THEN 'Rectangle' ELSE 'Text' END AS component, CASE WHEN l_suppkey % 4 = 0 THEN 'Photo' WHEN l_suppkey % 23 = 1 THEN 'site-chrome' WHEN l_suppkey % 23 = 2 THEN 'Main menu' WHEN l_suppkey % 23 = 3 THEN '01 · hero' WHEN l_suppkey % 23 = 4 THEN 'Deferred-Image 2' ELSE 'node ' || CAST(l_suppkey % 10 AS STRING) END AS name,
   CAST(l_partkey % 300 AS DOUBLE) AS x, CAST(l_suppkey % 40 * 20 AS DOUBLE) AS y, CASE l_partkey % 17 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN CAST(2 AS DOUBLE) WHEN 2 THEN CAST(1440 AS DOUBLE) ELSE l_quantity * 9 END AS w,
   CASE CASE WHEN l_partkey % 17 = 2 THEN 2 ELSE l_partkey % 19 END WHEN 0 THEN CAST(900 AS DOUBLE) WHEN 1 THEN CAST(1 AS DOUBLE) WHEN 2 THEN CAST(1200 AS DOUBLE) ELSE l_quantity * 3 END AS h, CASE WHEN l_suppkey % 3 = 0 THEN 'absolute' WHEN l_suppkey % 11 = 1 THEN 'fixed' WHEN l_suppkey % 11 <> 2 THEN 'relative' END AS position,
   CASE WHEN l_partkey % 2 = 0 THEN 'heading-' || CAST(l_suppkey % 2 AS STRING) ELSE 'body' END AS style_key, l_partkey % 4 = 0 AS filled, CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE 3 END AS children, l_orderkey % 4 AS stroke, l_orderkey % 5 AS insets, false AS overflow_visible
@@ -21,8 +21,9 @@ KIDS = lambda s, d: G(s, d).filter("parent_id IS NOT NULL")
 
 
 @query("node_defects", r"""
-SELECT site, board, node_id, unnest(list_filter([CASE WHEN w <= 0 OR h <= 0 THEN 'zero size' END, CASE WHEN w > 0 AND w <= 2 AND h > 800 THEN 'hidden variant' END, CASE WHEN component = 'Frame' AND children = 0 AND NOT filled AND w > 40 AND h > 40 THEN CASE WHEN name = '01 · hero' THEN 'empty named section' ELSE 'empty frame' END END,
- CASE WHEN component = 'Rectangle' AND NOT filled AND name = 'Photo' THEN 'empty image slot' END, CASE WHEN coalesce(position IN ('absolute', 'fixed'), false) AND children = 0 AND component <> 'Text' AND stroke BETWEEN 1 AND 2 AND w > 8 AND h > 8 AND (insets >= 3 OR w BETWEEN 1436 AND 1444 AND h BETWEEN 1196 AND 1204) THEN 'loose decoration' END], lambda k: k IS NOT NULL)) AS kind FROM {gnodes}""")
+SELECT site, board, node_id, unnest(CASE WHEN w <= 0 OR h <= 0 THEN ['zero size'] ELSE list_filter([CASE WHEN w <= 2 AND h > 800 THEN 'hidden variant' END, CASE WHEN component = 'Frame' AND children = 0 AND NOT filled AND w > 40 AND h > 40 THEN CASE WHEN name = '01 · hero' THEN 'empty named section' ELSE 'empty frame' END END,
+ CASE WHEN component = 'Rectangle' AND children = 0 AND NOT filled AND w >= 80 AND h >= 80 THEN 'empty image slot' WHEN name = 'Deferred-Image 2' AND component <> 'Image' AND children = 0 AND NOT filled AND w >= 8 AND h >= 8 THEN 'deferred image' END,
+ CASE WHEN coalesce(position IN ('absolute', 'fixed'), false) AND children = 0 AND component <> 'Text' AND stroke BETWEEN 1 AND 2 AND w > 8 AND h > 8 AND (insets >= 3 OR w BETWEEN 1436 AND 1444 AND h BETWEEN 1196 AND 1204) THEN 'loose decoration' END], lambda k: k IS NOT NULL) END) AS kind FROM {gnodes}""")
 def _(spark, d):
     return K.node_defects(G(spark, d))
 

@@ -155,7 +155,7 @@ def _(spark, d):
 
 
 DUCK_VIEWS["sizes"] = """
-WITH sc AS (SELECT * FROM (VALUES ('xs',12),('sm',14),('base',16),('lg',18),('xl',20),('2xl',24),('3xl',30),('4xl',36),('5xl',48),('6xl',60),('7xl',72),('8xl',96),('9xl',128)) t(step, px)),
+WITH sc AS (SELECT * FROM (VALUES ('xs',12),('sm',14),('base',16),('lg',18),('xl',20),('2xl',24),('3xl',30),('4xl',36),('5xl',48),('6xl',60),('7xl',72),('8xl',96),('9xl',128),('10xl',160),('11xl',192),('12xl',224)) t(step, px)),
 c AS (SELECT site, TRY_CAST(rtrim(value, 'px') AS BIGINT) AS px, uses FROM {counts} WHERE kind = 'size')
 SELECT site, 'fontSize' AS type, '--text-' || step AS name, CAST(px AS VARCHAR) || 'px' AS value, CAST(0 AS BIGINT) AS uses, 'default' AS source FROM (SELECT DISTINCT site FROM c) s, sc
 UNION ALL SELECT site, 'fontSize', '--text-' || px, px || 'px', uses, 'mined' FROM c WHERE px BETWEEN 10 AND 240 AND px NOT IN (SELECT px FROM sc)"""

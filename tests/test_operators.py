@@ -232,3 +232,14 @@ def test_all_overlays_of_a_parent_move_when_one_covers_text(spark):
     # without the two overlays the last image is third from the front, so its place counts images and texts only
     assert rows(K.overlay_order(df), "node_id", "ord", "first_text", "target") == [(1, 0, 2, 3), (4, 3, 2, 3)]
     assert K.overlay_order(df.filter("node_id <> 4")).count() == 0
+
+
+def test_node_defects_and_empty_image_slots(spark):
+    kind = "site string, node_id int, parent_id int, board int, component string, name string, w double, h double, position string, filled boolean, children int, stroke int, insets int, text string, image_fill boolean"
+    def node(i, component="Rectangle", name="n", w=100.0, h=100.0, parent=0, filled=False, children=0, text=None, fill=None):  # noqa: E306
+        return ("s", i, parent, 1, component, name, w, h, None, filled, children, 0, 0, text, fill)
+    rows_ = [node(1, "Frame", w=0.0, h=900.0), node(2, w=2.0, h=900.0), node(3), node(4, w=79.0), node(5, text="x"), node(6, children=1), node(7, "Image", fill=False), node(8, "Image"), node(9, filled=True),
+             node(10, "Group", "my deferred-image", 8.0, 8.0), node(11, "Image", "deferred-image", 20.0, 20.0, fill=True), node(12, "SVG", w=50.0, h=60.0), node(13, "SVG", w=10.0, h=10.0, parent=20), node(14, "SVG", w=10.0, h=10.0),
+             node(15, "Frame", "File", 39.0, 39.0, parent=20), node(16, "Frame", "file", 40.0, 40.0, text="t"), node(20, "Ellipse", w=64.0, h=64.0)]
+    got = rows(K.node_defects(spark.createDataFrame(rows_, kind)), "node_id", "kind")
+    assert got == [(1, "zero size"), (2, "hidden variant"), (3, "empty image slot"), (7, "empty image slot"), (10, "deferred image"), (12, "avatar overlay"), (13, "avatar overlay"), (15, "avatar overlay")]
