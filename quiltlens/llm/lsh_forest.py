@@ -130,10 +130,10 @@ def _leaves(sig: np.ndarray, tree: np.ndarray, lo: int, hi: int, depth: int):
         stack += [(a, b, depth + 1) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def _region_pairs(sig: np.ndarray, tree: np.ndarray, size: np.ndarray, comp: np.ndarray, threshold: float, hubs: bool):
-    """Pairs of rows in one leaf region that are in different components so far and whose signatures agree well enough.
+def _region_pairs(sig: np.ndarray, tree: np.ndarray, size: np.ndarray, comp: np.ndarray, threshold: float):
+    """Pairs with the row of a leaf region that is most like all others, and of rows next to each other: few for each row.
 
-    With ``hubs`` only those with the row most like all others, and those next to each other: few for each row.
+    Only pairs in different components so far, whose signatures agree well enough.
     A leaf of more than ``LEAF`` equal signatures is walked in blocks that meet the block after them.
     """
     if len(sig) < 2:
@@ -151,16 +151,14 @@ def _region_pairs(sig: np.ndarray, tree: np.ndarray, size: np.ndarray, comp: np.
                     same += sig[first, j, None] == sig[None, both, j]
                 ok = (same >= HASHES * (threshold - SLACK)) & (comp[first, None] != comp[None, both])
                 ok &= np.minimum(size[first, None], size[None, both]) >= threshold * np.maximum(size[first, None], size[None, both])
-                if hubs:
-                    hub = int(same.sum(axis=1, dtype=np.int64).argmax())
-                    few = np.eye(*ok.shape, k=1, dtype=bool)
-                    few[hub] = few[:, hub] = True
-                    ok &= few
-                i, j = np.nonzero(np.triu(ok, 1))
+                hub = int(same.sum(axis=1, dtype=np.int64).argmax())
+                few = np.eye(*ok.shape, k=1, dtype=bool)
+                few[hub] = few[:, hub] = True
+                i, j = np.nonzero(np.triu(ok & few, 1))
                 yield i + s, j + s
 
 
-def _candidates(crowded: DataFrame, comp: DataFrame | None, threshold: float, trees: int, hubs: bool = False) -> DataFrame:
+def _candidates(crowded: DataFrame, comp: DataFrame | None, threshold: float, trees: int) -> DataFrame:
     """Pairs ``u < v`` of rows near each other in the first ``trees`` orders; with ``comp``, only across its components."""
     rows = crowded.filter(F.col("tree") < trees)
     rows = rows.join(comp, "uid", "left").withColumn("comp", F.coalesce("comp", "uid")) if comp is not None else rows.withColumn("comp", F.col("uid"))
@@ -175,13 +173,46 @@ def _candidates(crowded: DataFrame, comp: DataFrame | None, threshold: float, tr
         rows = pd.concat(frames)
         uid, tree, size, own = (rows[c].to_numpy() for c in ("uid", "tree", "n", "comp"))
         sig = np.frombuffer(b"".join(rows["key"]), dtype=">u4").astype(np.uint32).reshape(-1, HASHES)
-        for i, j in _region_pairs(sig, tree, size, own, threshold, hubs) if regions else _neighbours(sig, tree, size, threshold):
+        for i, j in _region_pairs(sig, tree, size, own, threshold) if regions else _neighbours(sig, tree, size, threshold):
             if len(i):
                 yield pd.DataFrame({"u": np.minimum(uid[i], uid[j]), "v": np.maximum(uid[i], uid[j])})
 
     return keyed.select("uid", "tree", "n", "comp", "key").mapInPandas(scan, "u long, v long").filter("u <> v").distinct()
 
 
+def _rest(sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Every pair ``u, v`` of classes in different components whose sets may have 100 * intersection >= percent * union.
+
+    The shingles of a set are ordered rarest first. Two sets that alike share one of their first n - ceil(percent * n / 100) + 1,
+    and after the first one they share, enough must be left in both for the whole intersection. Shingles that only one
+    set has, or whose sets are in one component, lead to no pair; so members of a large group that differ from each other
+    by shingles of their own meet nobody.
+    """
+
+    def unpack(batches):
+        for batch in batches:
+            held = [np.frombuffer(b, dtype=np.int64) for b in batch["body"]]
+            sizes = np.array([len(h) for h in held], dtype=np.int64)
+            for a, b in slices(batch["body"].tolist(), 4_000_000):
+                yield pd.DataFrame({"uid": np.repeat(batch["uid"].to_numpy()[a:b], sizes[a:b]), "n": np.repeat(sizes[a:b], sizes[a:b]), "item": np.concatenate(held[a:b])})
+
+    items = sets.mapInPandas(unpack, "uid long, n long, item long")
+    common = items.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = items.join(common, "item").groupBy("uid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items"))  # of one set
+    own = F.col("n") - F.size("items")  # shingles of this set alone come first
+    length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - own
+    heads = shared.filter(length > 0).select("uid", "n", own.alias("own"), F.posexplode(F.slice("items", F.lit(1), length.cast("int"))).alias("at", "head"))
+    heads = heads.join(comp, "uid", "left").select(
+        F.col("head.item").alias("item"), "uid", F.coalesce("comp", "uid").alias("comp"), "n", (F.col("n") - F.col("own") - F.col("at")).alias("left"))
+    heads = materialize(heads, "heads")
+    several = heads.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("item")
+    heads = heads.join(several, "item", "left_semi")
+    x, y = heads.select("item", *[F.col(c).alias(f"{c}_x") for c in ("uid", "comp", "n", "left")]), heads.select("item", *[F.col(c).alias(f"{c}_y") for c in ("uid", "comp", "n", "left")])
+    enough = (F.least("left_x", "left_y") * (100 + percent) >= percent * (F.col("n_x") + F.col("n_y")))
+    met = x.join(y, (x["item"] == y["item"]) & (F.col("comp_x") < F.col("comp_y")) & enough)
+    return met.select(F.least("uid_x", "uid_y").alias("u"), F.greatest("uid_x", "uid_y").alias("v")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -205,10 +236,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, id_col:
     Documents with equal shingle sets are one class and linked. Classes meet as longest-common-prefix neighbours in 16
     sorted orders of their 48 minima; a region of one order that holds more than 256 classes goes one hash deeper, as
     often as it needs. First, neighbours in two orders are confirmed on the full sets and joined to components; then
-    all 16 orders give neighbours and the pairs with each region's most central class, and last every pair of a region
-    that is still in different components. So a large group of near copies
-    costs a few pairs a member. A pair at the threshold of 0.85 shares no region of three hashes with probability
-    (1 - 0.85^3)^16 < 1e-6, at depth 8 0.6 percent. Links are exact: 100 * intersection >= percent * union.
+    all 16 orders give neighbours and the pairs with each region's most central class. Both leave out pairs: those that a
+    deeper cut parts, and most of a region. So last the classes that share any region are closed across components by
+    their rarest shingles, with no limit on a region. A large group of near copies costs a few pairs a member. What is
+    lost is a pair one of whose classes shares no region of three hashes with any class; at the threshold of 0.85 that
+    has probability (1 - 0.85^3)^16 < 1e-6, at 0.8 1e-5. Links are exact: 100 * intersection >= percent * union.
 
     ``component_id`` is the smallest id reachable; null ids never name a component that has another; kept says
     that the id is the component's. Empty or null texts have no shingles and stay alone. Other columns are ignored.
@@ -225,9 +257,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = WORDS, id_col:
         sets = _sets(base, classes.join(crowded.select("uid").distinct(), "uid", "left_semi"), k)
         links = _confirmed(_candidates(crowded, None, percent / 100, 2), sets, percent)
         comp = _components(links)
-        for hubs in (True, False):
-            more = _confirmed(_candidates(crowded, comp, percent / 100, TREES, hubs), sets, percent)
-            comp = _components(comp.select(F.col("comp").alias("u"), F.col("uid").alias("v")).unionByName(more))
+        for last in (False, True):
+            more = _rest(sets, comp, percent) if last else _candidates(crowded, comp, percent / 100, TREES)
+            comp = _components(comp.select(F.col("comp").alias("u"), F.col("uid").alias("v")).unionByName(_confirmed(more, sets, percent)))
     lowest = classes.join(comp, "uid", "inner")
     lowest = lowest.join(lowest.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("print", "component_id")
     own = described.filter("n > 0").groupBy("print").agg(F.min("id").alias("own_id"))
