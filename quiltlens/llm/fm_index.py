@@ -13,6 +13,8 @@ from quiltlens.session import materialize
 
 WINDOW = 13  # words
 SEED = 8  # words of the stretch that decides the shard of a window
+KEY_BITS = 48  # keys that meet by chance only bring needless stretches, never other results
+SHARD_WORDS = 1_000_000  # of distinct stretches that an index should hold
 SEARCHED = 2_000_000  # words of pieces that are searched at once, with their padding
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -28,6 +30,7 @@ def stretches(texts: list[bytes], window: int = WINDOW, seed: int = SEED) -> tup
         rolled = rolled * _STEP + codes[j:len(codes) - seed + 1 + j]
     rolled = (rolled ^ (rolled >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     rolled ^= rolled >> np.uint64(29)
+    rolled >>= np.uint64(64 - KEY_BITS)
     low = rolled[:n].copy()
     for j in range(1, window - seed + 1):
         np.minimum(low, rolled[j:n + j], out=low)
@@ -137,12 +140,37 @@ class FMIndex:
         return [found[r, width - s:width - self.window + 1] for r, s in enumerate(sizes)]
 
 
+def _shards(pieces: DataFrame) -> tuple[int, DataFrame]:
+    """The number of shards, from the words of distinct stretches, and the keys with more than a quarter of a shard's words.
+
+    These keys are fewer than four a shard; a shard holds about a million words whatever the input.
+    """
+    held = materialize(pieces.groupBy("key", "piece").agg(F.first(F.octet_length("words") / 8).alias("n")).groupBy("key").agg(F.sum("n").alias("n")), "fm-sizes")
+    total = held.agg(F.sum("n")).first()[0] or 0
+    shards = max(2 * partitions(pieces.sparkSession), int(total / SHARD_WORDS) + 1)
+    return shards, held.filter(F.col("n") > max(total / shards, SHARD_WORDS / 16) / 4).select("key")
+
+
+def _in_shards(pieces: DataFrame, shards: int, hot: DataFrame) -> DataFrame:
+    """``shard, words, id, uid, at, piece``: stretches by their key; those of a hot key window by window, each by its own words.
+
+    Equal windows have equal words, so they meet in one shard either way: a seed in any number of contexts is spread.
+    """
+    marked = pieces.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    whole = marked.filter("hot IS NULL").select(F.pmod("key", F.lit(shards)).alias("shard"), "words", "id", "uid", "at", "piece")
+    windows = marked.filter("hot").select("words", "id", "uid", "at", F.explode(F.expr(f"sequence(0, octet_length(words) div 8 - {WINDOW})")).alias("by"))
+    windows = windows.select(F.expr(f"substring(words, 8 * by + 1, {8 * WINDOW})").alias("words"), "id", "uid", (F.col("at") + F.col("by")).alias("at"))
+    windows = windows.withColumn("piece", F.xxhash64("words")).select(F.pmod("piece", F.lit(shards)).alias("shard"), "words", "id", "uid", "at", "piece")
+    return whole.unionByName(windows)
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col, n_words, n_removed, kept_sha256, kept_text, spans`` (removed word ranges, end exclusive).
 
     Every word in a window of 13 words that also starts in a document with a smaller id goes; windows are judged on the
     input. Equal windows have the same smallest 8-word seed, which is their key: keys that only one document has are
     dropped; the stretches of the others go to the shard of their key, each distinct one once with its smallest id.
+    The number of shards follows the words of stretches; a key with a large share of them is dealt window by window.
     A shard builds a compressed FM-index of its stretches and streams them through it by backward search. A passage
     with any number of copies is one stretch in its shard, so copies cost partial sums. Of equal texts only the one
     with the smallest id is indexed; the others are removed whole if they have 13 words.
@@ -155,7 +183,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spark = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("body")).withColumn("print", F.sha2("body", 256))
     firsts = materialize(base.filter("id IS NOT NULL").groupBy("print").agg(F.min("id").alias("first")), "fm-texts")
-    narrow = base.join(firsts.withColumnRenamed("first", "id"), ["print", "id"], "left_semi").dropDuplicates(["print"]).select(F.monotonically_increasing_id().alias("uid"), "id", "print", "body")
+    narrow = base.join(firsts.withColumnRenamed("first", "id"), ["print", "id"], "left_semi").dropDuplicates(["print", "id"]).select(F.monotonically_increasing_id().alias("uid"), "id", "print", "body")
     own = materialize(narrow, "fm-distinct")
 
     def keys(batches):
@@ -180,7 +208,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spots = own.mapInPandas(places, "key long, uid long, at int, n int").join(repeated, "key", "left_semi")
     lists = spots.groupBy("uid").agg(F.collect_list(F.struct("at", "n", "key")).alias("spots"))  # of one text
     lists = lists.select("uid", "spots.at", "spots.n", "spots.key")
-    shards = 2 * partitions(spark)
 
     def cut(batches):
         for batch in batches:
@@ -193,9 +220,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 held = memoryview(codes.tobytes())
                 words = [bytes(held[x:y]) for x, y in zip(begin.tolist(), (begin + 8 * (n + WINDOW - 1)).tolist())]
                 digests = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words])
-                yield pd.DataFrame({"shard": key % shards, "words": words, "id": ids[a:b][text], "uid": uids[a:b][text], "at": at, "piece": np.frombuffer(digests, dtype=np.int64)})
+                yield pd.DataFrame({"key": key, "words": words, "id": ids[a:b][text], "uid": uids[a:b][text], "at": at, "piece": np.frombuffer(digests, dtype=np.int64)})
 
-    pieces = materialize(own.select("uid", "id", "body").join(lists, "uid").mapInPandas(cut, "shard long, words binary, id long, uid long, at long, piece long"), "fm-pieces")
+    pieces = materialize(own.select("uid", "id", "body").join(lists, "uid").mapInPandas(cut, "key long, words binary, id long, uid long, at long, piece long"), "fm-pieces")
+    shards, hot = _shards(pieces)
+    pieces = _in_shards(pieces, shards, hot)
 
     def search(rows):
         stuff = [np.frombuffer(w, dtype=np.uint64) for w in rows["words"]]
