@@ -203,6 +203,67 @@ def test_pfair_exact_weights(spark):
     assert all(abs(first[:t].count("hot") - share * t) < 1 for t in range(1, 1001))
 
 
+def _family(size, rng, words=120, own=24):
+    """Texts that share most of their words with one base and differ in places of their own; every tenth has a closer partner."""
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(size):
+        text = list(base)
+        for j in rng.choice(words // 6, own // 6, replace=False) * 6:
+            text[j] = f"x{i}-{j}"
+        out.append(text)
+        if i % 10 == 0:
+            near = list(text)
+            for j in rng.choice(words - 10, 2, replace=False) + 5:
+                near[j] = f"y{i}-{j}"
+            out.append(near)
+    return [" ".join(t) for t in out]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates_large_family(spark, percent, monkeypatch):
+    """A family of thousands in different components: regions are cut, and no link is lost."""
+    monkeypatch.setattr(lsh_forest, "LEAF", 32)
+    texts = _family(1500, np.random.default_rng(3))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    number = {s: i for i, s in enumerate(set().union(*sets))}
+    held = np.zeros((len(texts), len(number)), dtype=np.float32)
+    for r, s in enumerate(sets):
+        held[r, [number[x] for x in s]] = 1
+    both = held @ held.T
+    size = held.sum(axis=1)
+    linked = 100 * both >= percent * (size[:, None] + size[None] - both)
+    lowest = np.arange(len(texts))
+    while (new := np.array([lowest[row].min() for row in linked])).tolist() != lowest.tolist():
+        lowest = new
+    assert 100 < len(set(lowest.tolist())) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(df, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == lowest.tolist()
+
+
+def test_fm_index_hot_seed(spark, monkeypatch):
+    """One passage in many contexts: its stretches are dealt window by window, with the same result."""
+    rng = np.random.default_rng(8)
+    seed = [f"s{i}" for i in range(8)]
+    texts = []
+    for i in range(120):
+        around = rng.integers(0, 6, 24)
+        texts.append(" ".join([f"w{x}" for x in around[:12]] + seed + [f"w{x}" for x in around[12:]] + (["tail", *map(str, range(14))] if i % 7 == 0 else [])))
+    first, want = {}, []
+    for i, t in enumerate(texts):
+        w = t.split()
+        gone = set()
+        for a in range(len(w) - 12):
+            if first.setdefault(tuple(w[a:a + 13]), i) < i:
+                gone.update(range(a, a + 13))
+        want.append((i, len(w), len(gone)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for words in (fm_index.SHARD_WORDS, 200):
+        monkeypatch.setattr(fm_index, "SHARD_WORDS", words)
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in fm_index.remove_repeats(df).collect()) == want
+
+
 def test_fm_index(spark, odd_docs, no_docs):
     rng = np.random.default_rng(1)
     texts = [[f"v{x}" for x in rng.integers(0, 50, 200)] for _ in range(12)]
