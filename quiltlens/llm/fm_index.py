@@ -141,14 +141,18 @@ class FMIndex:
 
 
 def _shards(pieces: DataFrame) -> tuple[int, DataFrame]:
-    """The number of shards, from the words of distinct stretches, and the keys with more than a quarter of a shard's words.
+    """The number of shards, from the words of all stretches, and the keys whose distinct stretches have more than a quarter of a shard's words.
 
     These keys are fewer than four a shard; a shard holds about a million words whatever the input.
     """
-    held = materialize(pieces.groupBy("key", "piece").agg(F.first(F.octet_length("words") / 8).alias("n")).groupBy("key").agg(F.sum("n").alias("n")), "fm-sizes")
+    words = F.octet_length("words") / 8
+    held = materialize(pieces.groupBy("key").agg(F.sum(words).alias("n")), "fm-sizes")
     total = held.agg(F.sum("n")).first()[0] or 0
     shards = max(2 * partitions(pieces.sparkSession), int(total / SHARD_WORDS) + 1)
-    return shards, held.filter(F.col("n") > max(total / shards, SHARD_WORDS / 16) / 4).select("key")
+    bound = max(total / shards, SHARD_WORDS / 16) / 4
+    often = pieces.join(F.broadcast(held.filter(F.col("n") > bound).select("key")), "key")  # fewer than four a shard
+    distinct = often.groupBy("key", "piece").agg(F.first(words).alias("n")).groupBy("key").agg(F.sum("n").alias("n"))
+    return shards, materialize(distinct.filter(F.col("n") > bound).select("key"), "fm-hot")
 
 
 def _in_shards(pieces: DataFrame, shards: int, hot: DataFrame) -> DataFrame:
@@ -255,9 +259,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 rows.append((i, len(words), int(off.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"), edges.reshape(-1, 2).tolist()))
             yield pd.DataFrame(rows, columns=[id_col, "n_words", "n_removed", "kept_sha256", "kept_text", "spans"])
 
-    all_rows = base.join(firsts, "print", "left")
-    own_covers = covers.join(own.select("uid", "id", "print"), "uid").drop("uid").withColumnsRenamed({"id": "cover_id", "print": "cover_print"})
-    on = all_rows["id"].eqNullSafe(own_covers["cover_id"]) & (all_rows["print"] == own_covers["cover_print"])
+    by_text = own.select("uid", "print", F.col("id").alias("first")).join(covers, "uid", "left").drop("uid")
+    indexed = F.col("id") == F.col("first")  # rows of the text's smallest id; the others are copies
+    all_rows = base.join(by_text, "print", "left").select("id", "body", "first", *[F.when(indexed, F.col(c)).alias(c) for c in ("at", "hit")])
     kind = docs.schema[id_col].dataType.simpleString()
-    return all_rows.join(own_covers, on, "left").select("id", "body", "first", "at", "hit").mapInPandas(
+    return all_rows.mapInPandas(
         strip, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<array<long>>")
