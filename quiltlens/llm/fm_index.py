@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     if window != WINDOW:
         raise ValueError("the index is built for 13 words")
     spark = docs.sparkSession
-    base = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("body")).withColumn("print", F.sha2("body", 256))
+    base = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).cast("binary").alias("body")).withColumn("print", F.unhex(F.sha2("body", 256)))
     firsts = materialize(base.filter("id IS NOT NULL").groupBy("print").agg(F.min("id").alias("first")), "fm-texts")
     narrow = base.join(firsts.withColumnRenamed("first", "id"), ["print", "id"], "left_semi").dropDuplicates(["print", "id"]).select(F.monotonically_increasing_id().alias("uid"), "id", "print", "body")
     own = materialize(narrow, "fm-distinct")
