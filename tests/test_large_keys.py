@@ -24,3 +24,8 @@ def differing(spark, folder, name, **tables):
 def test_positions_beyond_the_whole_numbers_of_a_double(spark, tmp_path, name):
     lines = "SELECT * REPLACE (l_partkey + 1180000 AS l_partkey) FROM '/root/testdata/sf0.001/lineitem.parquet'"
     assert differing(spark, tmp_path, name, lineitem=lines) == ([], [], 0)
+
+
+def test_bands_past_the_ninety_ninth(spark, tmp_path):
+    pages = "SELECT CAST(1 AS BIGINT) AS page_id, 'http://a.example/x' AS url, repeat('<p>7</p>', 1003) AS html"
+    assert differing(spark, tmp_path, "section_bands", pages=pages) == ([], [], 0)
