@@ -70,7 +70,7 @@ def asset_refs(corpus: DataFrame) -> DataFrame:
     """Every raster reference of a page in order: ``src``/``href`` attributes and ``url()`` values."""
     attr = M.all_matches(F.col("html"), r"""(?i)(?:src|href)\s*=\s*["']([^"']+)["']""", 1)
     css = M.all_matches(F.col("html"), r"""(?i)url\(\s*["']?([^"')]+)["']?\s*\)""", 1)
-    refs = corpus.select("site", "page_id", F.posexplode(F.transform(F.concat(attr, css), F.trim)).alias("pos", "ref"))
+    refs = corpus.select("site", "page_id", F.posexplode(F.transform(F.concat(attr, css), lambda r: F.trim(r))).alias("pos", "ref"))  # F.trim itself would take the place as the characters to trim
     raster = F.regexp_replace("ref", r"[?#].*$", "").rlike(RASTER_END) | F.col("ref").rlike("^data:image/")
     return refs.filter(raster).withColumn("pos", F.col("pos").cast("bigint"))
 

@@ -29,3 +29,8 @@ def test_positions_beyond_the_whole_numbers_of_a_double(spark, tmp_path, name):
 def test_bands_past_the_ninety_ninth(spark, tmp_path):
     pages = "SELECT CAST(1 AS BIGINT) AS page_id, 'http://a.example/x' AS url, repeat('<p>7</p>', 1003) AS html"
     assert differing(spark, tmp_path, "section_bands", pages=pages) == ([], [], 0)
+
+
+def test_references_keep_their_last_digits(spark, tmp_path):
+    pages = "SELECT i AS page_id, 'http://a.example/' || i AS url, '<head></head><body>' || repeat('<a href=\"/x\">x</a>', CAST(i AS INTEGER)) || '<article>' || i || '</article></body>' AS html FROM range(60) t(i)"
+    assert differing(spark, tmp_path, "check_asset_refs", pages=pages) == ([], [], 0)
