@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, functions as F
 from quiltlens.llm.rows import slices
 
 BITS = 18
-FIT_ROWS = 24_000
 SHARD_ROWS = 3_000
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
@@ -101,17 +100,13 @@ def ftrl_fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits:
     return weights(np.arange(len(z)))
 
 
-def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS) -> np.ndarray:
-    """Weights from ``labelled(id, text, label)``: of at most about ``fit_rows`` rows, chosen by a hash of the id.
+def fit(labelled: DataFrame, bits: int = BITS) -> np.ndarray:
+    """Weights from all rows of ``labelled(id, text, label)``.
 
-    Shards of about 3,000 rows train on their own and their weights are averaged.
+    Shards of about 3,000 rows train on their own and their weights are averaged, so more rows make more tasks.
     Without rows every weight is 0 and every score 0.5.
     """
-    total = labelled.count()
-    share = min(1.0, fit_rows / total) if total else 1.0
-    sample = labelled.filter(F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000))
-
-    shards = max(1, -(-min(total, fit_rows) // SHARD_ROWS))
+    shards = max(1, -(-labelled.count() // SHARD_ROWS))
 
     def train(batches):
         kept = pd.concat([b for b in batches] or [pd.DataFrame({"id": [], "text": [], "label": []})])
@@ -126,7 +121,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, bits: int = BITS) -> np.n
         yield pd.DataFrame({"at": at, "w": w[at]})
         yield pd.DataFrame({"at": [-1], "w": [1.0]})  # shards that had rows
 
-    parts = sample.select("id", F.col("text").cast("binary").alias("text"), "label").repartition(shards).mapInPandas(train, "at long, w double")
+    parts = labelled.select("id", F.col("text").cast("binary").alias("text"), "label").repartition(shards).mapInPandas(train, "at long, w double")
     summed = parts.groupBy("at").agg(F.sum("w").alias("w")).toPandas()  # at most 2**bits + 3 rows, whatever the input
     out = np.zeros((1 << bits) + 2)
     if len(summed):
@@ -170,8 +165,8 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
+def fit_quality(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """Weights for ``labels(doc_id, quality)`` from documents that are not held out; repeated labels count once, the lower one."""
     known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
     texts = docs.filter(~held_out("doc_id")).select(F.col("doc_id").alias("id"), "text")
-    return fit(texts.join(known, "id"), fit_rows)
+    return fit(texts.join(known, "id"))
