@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quiltlens.llm.rows import slices
 
@@ -100,13 +100,17 @@ def ftrl_fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits:
     return weights(np.arange(len(z)))
 
 
-def fit(labelled: DataFrame, bits: int = BITS) -> np.ndarray:
+def shards_of(rows: int) -> int:
+    return max(1, -(-rows // SHARD_ROWS))
+
+
+def fit(labelled: DataFrame, bits: int = BITS, dealt: bool = False) -> np.ndarray:
     """Weights from all rows of ``labelled(id, text, label)``.
 
-    Shards of about 3,000 rows train on their own and their weights are averaged, so more rows make more tasks.
+    Shards of about 3,000 rows train on their own and their weights are averaged, so more rows make more tasks; with
+    ``dealt`` the partitions of ``labelled`` are the shards.
     Without rows every weight is 0 and every score 0.5.
     """
-    shards = max(1, -(-labelled.count() // SHARD_ROWS))
 
     def train(batches):
         kept = pd.concat([b for b in batches] or [pd.DataFrame({"id": [], "text": [], "label": []})])
@@ -121,7 +125,8 @@ def fit(labelled: DataFrame, bits: int = BITS) -> np.ndarray:
         yield pd.DataFrame({"at": at, "w": w[at]})
         yield pd.DataFrame({"at": [-1], "w": [1.0]})  # shards that had rows
 
-    parts = labelled.select("id", F.col("text").cast("binary").alias("text"), "label").repartition(shards).mapInPandas(train, "at long, w double")
+    shaped = labelled.select("id", F.col("text").cast("binary").alias("text"), "label")
+    parts = (shaped if dealt else shaped.repartition(shards_of(labelled.count()))).mapInPandas(train, "at long, w double")
     summed = parts.groupBy("at").agg(F.sum("w").alias("w")).toPandas()  # at most 2**bits + 3 rows, whatever the input
     out = np.zeros((1 << bits) + 2)
     if len(summed):
@@ -165,8 +170,20 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights for ``labels(doc_id, quality)`` from documents that are not held out; repeated labels count once, the lower one."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, text, label`` of the labelled documents that are not held out, dealt to shards by id.
+
+    Repeated labels count once, the lower one. Texts move once, straight to their shard, whatever the size of ``labels``;
+    how many shards there are comes from the ids alone.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).dropna()
     texts = docs.filter(~held_out("doc_id")).select(F.col("doc_id").alias("id"), "text")
-    return fit(texts.join(known, "id"))
+    shards = shards_of(texts.select("id").join(known, "id", "left_semi").count())
+    met = texts.select("*", F.lit(None).cast("int").alias("label"), F.lit(True).alias("_doc")).unionByName(known.select("id", F.lit(None).cast("string").alias("text"), "label", F.lit(False).alias("_doc")))
+    told = met.repartition(shards, "id").withColumn("label", F.min("label").over(Window.partitionBy("id")))
+    return told.filter(F.col("_doc") & F.col("label").isNotNull()).drop("_doc")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame) -> np.ndarray:
+    """Weights for ``labels(doc_id, quality)`` from documents that are not held out."""
+    return fit(training_rows(docs, labels), dealt=True)
