@@ -121,3 +121,35 @@ def test_a_broken_file_among_good_ones(spark, tmp_path):
     rows, bad = R.read_receipt_files(spark, str(tmp_path), R.EVENT_SCHEMA)
     assert sorted((r.file.rsplit("/", 1)[1], r.seq, r.event["count"]) for r in rows.collect()) == [("a.json", 1, 7), ("b.json", 2, 8), ("b.json", 3, 9)]
     assert sorted(r.file.rsplit("/", 1)[1] for r in bad.collect()) == ["cut.json", "kind.json", "text.json"] and all(r.bytes and r.error for r in bad.collect())
+
+
+def test_colours_of_usual_sites_move_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(H, "materialize", lambda df, label, f=H.materialize: written.append(label) or f(df, label))
+    rows = [(f"s{i % 7}", "#%02X%02X%02X" % (i % 50, i % 41 * 5, i % 13), i % 9 + 1) for i in range(600)]
+    merged = H.merge_near_colors(spark.createDataFrame(list({(s, v): (s, v, u) for s, v, u in rows}.values()), "site string, value string, uses long"))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert written == ["colours", "colour-sites"]
+    assert merged.agg(F.sum("uses")).first()[0] == sum(u for _, _, u in {(s, v): (s, v, u) for s, v, u in rows}.values())
+
+
+def test_dense_and_gridded_folds_agree():
+    r = random.Random(8)
+    rows = [("s", "#%03d" % i, 700 - i, r.randrange(60), r.randrange(60), r.randrange(60), 255) for i in range(H.DENSE)]
+    dense = list(H._folded(iter(rows), 12))
+    kept = {v: into for _, v, into in H._greedy(((s, 0, v, *c) for s, v, _, *c in rows), 12)}
+    want = {v: [u, 0] for _, v, u, *_ in rows if kept[v] is None}
+    for _, v, u, *_ in rows:
+        if kept[v]:
+            want[kept[v]][0] += u
+            want[kept[v]][1] += 1
+    assert dense == [("s", v, *x) for v, x in want.items()]
+
+
+def test_semantic_roles_meet_the_brand_once(spark):
+    pool = spark.createDataFrame([("s", "fill", "#FBFBFB", 3), ("s", "fill", "#F2F2F2", 2), ("s", "text", "#333333", 5), ("s", "text", "#111", 4), ("s", "fill", "#E11D2E", 9), ("s", "fill", "#0A0B70", 7)], "site string, kind string, value string, uses long")
+    brand = spark.createDataFrame([("s", "--color-surface", "#FAFAFA"), ("s", "--color-accent", "#E11D2E")], "site string, name string, value string")
+    out = H.semantic_roles(pool, brand)
+    assert "brand" not in out._jdf.queryExecution().optimizedPlan().toString()  # the joined colours are read, not worked out again
+    assert {(r.name, r.value) for r in out.collect()} == {("--color-surface-muted", "#F2F2F2"), ("--color-ink-soft", "#333333"), ("--color-ink-strong", "#111")}
