@@ -19,21 +19,24 @@ HOME = "/"
 
 def page_links(corpus: DataFrame) -> DataFrame:
     """Every ``<a href>`` with its region (header, footer, nav or body), label and opening tag."""
-    html = M.visible(F.col("html"))
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  a one-row generator: what follows reads the finished column
+    html = F.col("html")
+    corpus = corpus.select("site", "page_id", once(M.visible(html)).alias("html"))
     outside = F.struct(F.lit("body").alias("region"), F.regexp_replace(html, REGIONS, " ").alias("markup"))
     inside = F.transform(M.all_matches(html, REGIONS), lambda m: F.struct(M.tag_name(m).alias("region"), m.alias("markup")))
-    blocks = corpus.select("site", "page_id", "url", F.posexplode(F.concat(inside, F.array(outside))).alias("_b", "block"))
+    blocks = corpus.select("site", "page_id", F.posexplode(F.concat(inside, F.array(outside))).alias("_b", "block"))
     links = blocks.select(
-        "site", "page_id", "url", "_b", F.col("block.region").alias("region"),
+        "site", "page_id", "_b", F.col("block.region").alias("region"),
         F.posexplode(M.all_matches(F.col("block.markup"), M.LINK)).alias("_i", "element"),
     )
-    el = F.col("element")
-    return links.filter(M.open_tag(el).rlike(r"""(?is)\shref\s*=\s*["']""")).select(
+    el, tag = F.col("element"), F.col("tag")
+    links = links.select("site", "page_id", "region", "_b", "_i", "element", once(M.open_tag(el)).alias("tag"))
+    return links.filter(tag.rlike(r"""(?is)\shref\s*=\s*["']""")).select(
         "site", "page_id", "region",
         (F.col("_b").cast("bigint") * F.lit(10_000_000_000) + F.col("_i")).alias("pos"),
-        F.trim(M.attr(el, "href")).alias("href"),
+        F.trim(F.regexp_extract(tag, M.attr_pattern("href"), 1)).alias("href"),
         M.label_of(M.inner(el)).alias("label"),
-        M.open_tag(el).alias("tag"),
+        "tag",
     )
 
 
@@ -159,9 +162,8 @@ def with_dest(links: DataFrame, resolved: DataFrame) -> DataFrame:
 
 def label_routes(links: DataFrame, resolved: DataFrame) -> DataFrame:
     """Labels of at most 60 characters that lead to exactly one internal route."""
-    told = with_dest(links, resolved).filter(
-        (F.col("label") != "") & (F.length("label") <= LABEL_LIMIT) & F.col("dest").isNotNull() & (F.col("dest") != "#")
-    )
+    said = links.filter((F.col("label") != "") & (F.length("label") <= LABEL_LIMIT)).select("site", "label", "href").distinct()
+    told = said.join(resolved.filter(F.col("dest").isNotNull() & (F.col("dest") != "#")), ["site", "href"])
     return (
         told.groupBy("site", "label").agg(F.min("dest").alias("route"), F.max("dest").alias("_other"))
         .filter(F.col("route") == F.col("_other")).drop("_other")

@@ -8,6 +8,7 @@ from quiltlens.operators import inventory as I, links as L, meta as D, nav as N
 from quiltlens.operators.elements import page_elements
 from quiltlens.plans.inventory import corpus, deduped
 from quiltlens.plans.registry import DUCK_VIEWS, define_view, query, view
+from quiltlens.session import materialize
 from quiltlens.sources.corpus import page_corpus
 
 VISIBLE = r"""regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->', ' ', 'g')"""
@@ -83,12 +84,22 @@ def routes(spark, d):
     return L.route_map(I.collapse_templates(deduped(spark, d)))
 
 
-def resolved(spark, d):
-    return L.resolve_hrefs(links(spark, d), routes(spark, d))
+def held_links(spark, d):
+    """The links, taken from the pages once for queries that read them several times."""
+    return materialize(links(spark, d), "links")
 
 
-def labels(spark, d):
-    return L.label_routes(links(spark, d), resolved(spark, d))
+def held_routes(spark, d):
+    return materialize(routes(spark, d), "routes")
+
+
+def resolved(spark, d, held=None, paths=None):
+    return L.resolve_hrefs(links(spark, d) if held is None else held, held_routes(spark, d) if paths is None else paths)
+
+
+def labels(spark, d, held=None, paths=None):
+    held = held_links(spark, d) if held is None else held
+    return L.label_routes(held, resolved(spark, d, held, paths))
 
 
 @query("page_links", "SELECT * FROM {links}")
@@ -122,7 +133,9 @@ SELECT site, page_id, region, pos, href, new_href, rule FROM (
   LEFT JOIN {route_map} n ON n.kind = 'exact' AND n.site = l.site AND n.alias = l.label AND n.alias <> '') t
 WHERE new_href IS NOT NULL AND new_href <> href""")
 def _(spark, d):
-    return L.href_rewrites(links(spark, d), resolved(spark, d), routes(spark, d), labels(spark, d))
+    held, paths = held_links(spark, d), held_routes(spark, d)
+    dests = materialize(resolved(spark, d, held, paths), "resolved")
+    return L.href_rewrites(held, dests, paths, L.label_routes(held, dests))
 
 
 @query("link_audit", r"""
@@ -132,8 +145,9 @@ UNION ALL
 SELECT * FROM (SELECT DISTINCT site, 'unreachable', route AS subject, route FROM {route_map} WHERE kind = 'exact' AND route <> '/') w
 WHERE NOT EXISTS (SELECT 1 FROM {links} l WHERE l.site = w.site AND l.region IN ('header', 'footer', 'nav') AND l.href LIKE '/%' AND CASE WHEN l.href LIKE '%/' THEN l.href ELSE l.href || '/' END = w.route)""")
 def _(spark, d):
-    wanted = routes(spark, d).filter("kind = 'exact' AND route <> '/'").select("site", "route")
-    return L.link_audit(links(spark, d), labels(spark, d), wanted)
+    held, paths = held_links(spark, d), held_routes(spark, d)
+    wanted = paths.filter("kind = 'exact' AND route <> '/'").select("site", "route")
+    return L.link_audit(held, labels(spark, d, held, paths), wanted)
 
 
 @query("chrome_link_score", r"""
@@ -144,7 +158,8 @@ FROM (SELECT *, href = '' OR href LIKE '#%' AS held, CASE WHEN rtrim(regexp_repl
 LEFT JOIN (SELECT DISTINCT site, path FROM {corpus_keys}) k ON k.site = l.site AND k.path = l.path
 LEFT JOIN {label_routes} lr ON lr.site = l.site AND lr.label = l.label GROUP BY ALL""")
 def _(spark, d):
-    return L.chrome_link_score(links(spark, d), labels(spark, d), view(spark, d, "corpus_keys"))
+    held = held_links(spark, d)
+    return L.chrome_link_score(held, labels(spark, d, held), view(spark, d, "corpus_keys"))
 
 
 @query("leftover_file_hrefs", r"""
