@@ -23,6 +23,7 @@ PHASES = {
 WAITS = ["generate", "accept", "accept_intent", "discard"]
 ENDS = ["variants_ready", "agent_done", "discarded", "complete", "agent_error"]
 FINAL = ["completed", "discarded"]
+READY, ACCEPTS, TURNS = {"variants_ready", "agent_done"}, {"accept", "accept_intent"}, {*WAITS, *ENDS}
 
 BUFFER = 4_096  # newest events of a session that later arrivals can still come between
 IDLE_MS = 6 * 3_600_000
@@ -34,57 +35,71 @@ SNAPSHOT = (
 )
 SNAPSHOT_FIELDS = [f.split()[0] for f in SNAPSHOT.split(", ")]
 # what the fold has to remember beside the snapshot: the highest revision seen, the first count that stood for arrivals, late events left out
-KEPT = f"{SNAPSHOT}, top bigint, implied bigint, late bigint"
 KEPT_FIELDS = [*SNAPSHOT_FIELDS, "top", "implied", "late"]
 NEW = {"phase": None, "diagnostics": 0, "last_seq": -1, "top": 0, "late": 0}
 
 
-def _plain(v):
-    return None if v is None or v is pd.NA or (isinstance(v, float) and np.isnan(v)) else v.item() if isinstance(v, np.generic) else v
+INTS = {f.split()[0] for f in EVENT.split(", ") if f.endswith(" bigint")}
+
+
+def _values(frame: pd.DataFrame, name: str) -> list:
+    """A column as plain values: None for whatever stands for null, whole numbers as int."""
+    name = name if name in frame else f"{name}_"
+    got = [None if v is None or v is pd.NA or v != v else v for v in frame[name].tolist()]
+    return [v if v is None else int(v) for v in got] if name.rstrip("_") in INTS else got
+
+
+def _events(frame: pd.DataFrame) -> list[tuple[int, list]]:
+    """``(seq, fields)`` of a frame's events."""
+    return list(zip(map(int, frame["seq"].tolist()), map(list, zip(*(_values(frame, f) for f in EVENT_FIELDS)))))
 
 
 def fold_events(kept: dict, events: pd.DataFrame) -> dict:
-    """``kept`` after ``events`` (one session's, in seq order, all after ``last_seq``): the batch fold, column by column.
+    """``kept`` after ``events`` (one session's, in seq order, all after ``last_seq``): the batch fold."""
+    return _fold(kept, _events(events))
+
+
+def _fold(kept: dict, events: list[tuple[int, list]]) -> dict:
+    """``kept`` after ``(seq, fields)`` in seq order, in one pass over plain values: a session has few events in a batch.
 
     A checkpoint below the highest revision before it is stale: it counts as a diagnostic and sets nothing. Every other
     field is the value of the last event that sets it.
     """
-    if not len(events):
+    if not events:
         return kept
-    out, t = dict(kept), events["type"]
-    ints = {c: events[c].astype("Int64") for c in ("count", "revision", "variant", "arrived")}
-    checkpoint = t.eq("checkpoint")
-    revision = ints["revision"].fillna(0).where(checkpoint)
-    before = revision.fillna(0).cummax().shift(1, fill_value=0).clip(lower=kept["top"])
-    stale = checkpoint & revision.lt(before).fillna(False)
-    live, ready = checkpoint & ~stale, t.isin(["variants_ready", "agent_done"])
-
-    def last(values: pd.Series, where: pd.Series, old):
-        got = values[where & values.notna()]
-        return _plain(got.iloc[-1]) if len(got) else old
-
-    starts = t.eq("generate")
-    expected = ints["count"].where(starts)
-    asked = expected.ffill().shift(1).fillna(pd.NA if kept.get("expected") is None else kept["expected"])
-    if kept.get("implied") is None:
-        first = asked[ready & asked.notna()]
-        out["implied"] = _plain(first.iloc[0]) if len(first) else None
-    out["phase"] = last(t.map(PHASES).where(~checkpoint, events["phase"].where(live)), pd.Series(True, index=t.index), kept.get("phase"))
-    out["page_url"] = last(events["page_url"], starts, kept.get("page_url"))
-    out["expected"] = last(expected, starts, kept.get("expected"))
-    out["arrived"] = last(ints["arrived"], ready | live, kept.get("arrived"))
-    turns = events["seq"][t.isin([*WAITS, *ENDS])]
-    if len(turns):
-        out["pending_seq"] = int(turns.iloc[-1]) if t[turns.index[-1]] in WAITS else None
-    known = ints["revision"][live].dropna()
-    if len(known):
-        out["revision"] = int(max(known.max(), known.max() if kept.get("revision") is None else kept["revision"]))
-    out["owner"] = last(events["owner"], live, kept.get("owner"))
-    out["variant"] = last(ints["variant"], live | t.isin(["accept", "accept_intent"]), kept.get("variant"))
-    out["file"] = last(events["file"], ready, kept.get("file"))
-    out["diagnostics"] = kept["diagnostics"] + int((stale | t.eq("agent_error") | ~t.isin([*PHASES, "checkpoint"])).sum())
-    out["top"] = int(max(kept["top"], revision.max(skipna=True) if checkpoint.any() else 0))
-    out["last_seq"] = int(events["seq"].iloc[-1])
+    out = dict(kept)
+    for seq, (type_, page_url, count, file, revision, phase, owner, variant, arrived) in events:
+        live = False
+        if type_ == "checkpoint":
+            live, said = (revision or 0) >= out["top"], phase
+            out["top"] = max(out["top"], revision or 0)
+        else:
+            said = PHASES.get(type_)
+        ready = type_ in READY
+        if said is not None and (live or type_ != "checkpoint"):
+            out["phase"] = said
+        if ready:
+            if out.get("implied") is None:
+                out["implied"] = out.get("expected")
+            if file is not None:
+                out["file"] = file
+        if type_ == "generate":
+            out["page_url"] = out.get("page_url") if page_url is None else page_url
+            out["expected"] = out.get("expected") if count is None else count
+        if (ready or live) and arrived is not None:
+            out["arrived"] = arrived
+        if type_ in TURNS:
+            out["pending_seq"] = seq if type_ in WAITS else None
+        if live:
+            if revision is not None and (out.get("revision") is None or revision > out["revision"]):
+                out["revision"] = revision
+            if owner is not None:
+                out["owner"] = owner
+        if variant is not None and (live or type_ in ACCEPTS):
+            out["variant"] = variant
+        if type_ == "agent_error" or (not live if type_ == "checkpoint" else type_ not in PHASES):
+            out["diagnostics"] += 1
+    out["last_seq"] = events[-1][0]
     return out
 
 
@@ -93,12 +108,12 @@ def _shown(kept: dict) -> dict:
     return {**{f: kept.get(f) for f in SNAPSHOT_FIELDS}, "phase": kept.get("phase") or "new", "arrived": arrived}
 
 
-def _frame(events: dict[int, list]) -> pd.DataFrame:
-    frame = pd.DataFrame([(s, *events[s]) for s in sorted(events)], columns=["seq", *EVENT_FIELDS])
-    return frame.astype({"type": object})
+def keep_session(state: tuple | None, frames: list[pd.DataFrame], buffer: int) -> tuple[tuple, dict]:
+    """``_keep`` for frames of events."""
+    return _keep(state, [_events(f) for f in frames], buffer)
 
 
-def keep_session(state: tuple | None, frames: list[pd.DataFrame], buffer: int) -> tuple[tuple, dict]:
+def _keep(state: tuple | None, parts: list[list[tuple[int, list]]], buffer: int) -> tuple[tuple, dict]:
     """The state after a batch, and the session as it shows: ``(kept fields, newer events as JSON)``, and all events folded.
 
     ``kept`` is the snapshot up to a settled event; the newer events stay by seq, so that late ones still find their place.
@@ -106,17 +121,17 @@ def keep_session(state: tuple | None, frames: list[pd.DataFrame], buffer: int) -
     kept = dict(zip(KEPT_FIELDS, state)) if state else dict(NEW)
     held = {int(k): v for k, v in json.loads(state[-1]).items()} if state else {}
     late = kept["late"]
-    for frame in frames:
-        frame = frame.sort_values(["seq", "type"], kind="stable").drop_duplicates("seq")
-        late += int((frame["seq"] < kept["last_seq"]).sum())
-        frame = frame[frame["seq"] > kept["last_seq"]]
-        fresh = frame[EVENT_FIELDS].astype(object).where(frame[EVENT_FIELDS].notna(), None).map(_plain).to_numpy().tolist()
-        held = dict(zip(map(int, frame["seq"]), fresh)) | held  # an event that comes again changes nothing
+    for part in parts:
+        fresh: dict[int, list] = {}
+        for seq, event in sorted(part, key=lambda e: (e[0], e[1][0] is None, e[1][0] or "")):
+            fresh.setdefault(seq, event)
+        late += sum(seq < kept["last_seq"] for seq in fresh)
+        held = {seq: e for seq, e in fresh.items() if seq > kept["last_seq"]} | held  # an event that comes again changes nothing
     if len(held) > buffer:  # settle the older ones; what comes before them from now on is late
         settled = sorted(held)[:len(held) - buffer // 2]
-        kept = fold_events(kept, _frame({s: held.pop(s) for s in settled}))
+        kept = _fold(kept, [(s, held.pop(s)) for s in settled])
     kept["late"] = late
-    return (*(kept.get(f) for f in KEPT_FIELDS), json.dumps(held)), {**fold_events(kept, _frame(held)), "late": late}
+    return (*(kept.get(f) for f in KEPT_FIELDS), json.dumps(held)), {**_fold(kept, sorted(held.items())), "late": late}
 
 
 def session_stream(events: DataFrame, buffer: int = BUFFER, idle_ms: int | None = IDLE_MS) -> DataFrame:
@@ -130,21 +145,25 @@ def session_stream(events: DataFrame, buffer: int = BUFFER, idle_ms: int | None
     keep a query going. For update mode.
     """
     kind = events.schema["session"].dataType.simpleString()
-    shaped = events.select("session", F.col("seq").cast("bigint").alias("seq"), *[F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in EVENT.split(", ")])
+    fields = [F.col(f.split()[0]).cast(f.split()[1]).alias(f.split()[0]) for f in EVENT.split(", ")]
+    # a group costs as much as it has columns, so events, state and snapshots travel as one text each
+    packed = events.select("session", F.col("seq").cast("bigint").alias("seq"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("event"))
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        before, closed = state.get if state.exists else None, state.hasTimedOut
-        after, whole = keep_session(before, [] if closed else [f.rename(columns={"count_": "count"}) for f in frames], buffer)
+        before, closed = tuple(json.loads(state.get[0])) if state.exists else None, state.hasTimedOut
+        parts = [] if closed else [[(int(s), list(json.loads(e).values())) for s, e in zip(f["seq"].tolist(), f["event"].tolist())] for f in frames]
+        after, whole = _keep(before, parts, buffer)
         if closed:
             state.remove()
         else:
-            state.update(after)
+            state.update((json.dumps(after),))
             if idle_ms:
                 state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame([(key[0], *_shown(whole).values(), whole["late"], closed)], columns=["session", *SNAPSHOT_FIELDS, "late", "closed"]).astype(object)
+        yield pd.DataFrame({"session": [key[0]], "told": [json.dumps({**_shown(whole), "late": whole["late"], "closed": closed})]}, dtype=object)
 
-    return shaped.filter("seq IS NOT NULL").withColumnRenamed("count", "count_").groupBy("session").applyInPandasWithState(
-        fold, f"session {kind}, {SNAPSHOT}, late bigint, closed boolean", f"{KEPT}, newer string", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    told = packed.filter("seq IS NOT NULL").groupBy("session").applyInPandasWithState(
+        fold, f"session {kind}, told string", "kept string", "update", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    return told.select("session", F.from_json("told", f"{SNAPSHOT}, late bigint, closed boolean").alias("s")).select("session", "s.*")
 
 
 def _pct(spend, window: int):

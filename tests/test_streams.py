@@ -122,3 +122,12 @@ def test_running_values_of_null_keys_over_several_chunks(spark):
         assert got.filter("n <> o + 1 OR s <> o * (o + 1) / 2 OR coalesce(p, -1) <> o - 1").count() == 0 and got.count() == 4000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_a_fold_of_a_few_events_makes_no_frames(monkeypatch):
+    events = [(i, ["checkpoint", None, None, None, i, "editing", f"o{i}", i, None]) for i in (3, 1, 2)] + [(4, ["variants_ready", None, None, "f", None, None, None, None, 2])]
+    monkeypatch.setattr(S.pd, "DataFrame", None)
+    state, shown = S._keep(None, [events[:2], events[2:]], 100)
+    again = S._keep(state, [events[:1]], 100)[1]
+    assert S._shown(shown) == S._shown(again)
+    assert (shown["revision"], shown["owner"], shown["phase"], shown["arrived"], shown["file"], shown["last_seq"], shown["late"]) == (3, "o3", "variants_ready", 2, "f", 4, 0)
