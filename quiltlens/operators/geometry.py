@@ -144,6 +144,7 @@ HEADING_DECOR = "(?i)scribble|underline|oval|highlight|decoration|swirl|stroke|s
 SVG_PART = "(?i)^(svg|path|svgvisualelement|circle|rect|ellipse|line|polygon|polyline|g|use)$"
 CONTROL_NAME = r"(?i)\b(button|cta|navlink|footerlink)\b"
 DISPLAY_PX, SIZE_SLACK, LINE_GAP, SIDE_OVERLAP, SIDE_RISE, WRAP_SHARE, WRAP_SLACK, NAMED_ABOVE = 28, 4, 48, 8, 0.4, 0.7, 4, 6
+LARGE, BUCKETS, DEEPEST = 200_000, 16_384, 40  # children that one task sorts; hash buckets of parents; rounds, each twice as deep as the last
 
 
 def ancestors(nodes: DataFrame, items: DataFrame, most: int | None = None) -> DataFrame:
@@ -188,7 +189,132 @@ def _alike(a, b) -> Column:
     return ~(size | other("family") | other("weight"))
 
 
-def split_headings(nodes: DataFrame) -> DataFrame:
+def _large_parents(kids: DataFrame, most: int) -> DataFrame:
+    """``site, parent_id`` of more than ``most`` rows; only rows of hash buckets that hold so many are counted one by one."""
+    bucket = F.pmod(F.xxhash64("site", "parent_id"), F.lit(BUCKETS))
+    full = kids.groupBy(bucket.alias("_b")).agg(F.count("*").alias("c")).filter(F.col("c") > most).select("_b")
+    return kids.select("site", "parent_id", bucket.alias("_b")).join(F.broadcast(full), "_b").groupBy("site", "parent_id").agg(F.count("*").alias("c")).filter(F.col("c") > most).select("site", "parent_id")
+
+
+def _held(n: DataFrame) -> DataFrame:
+    """``site, node_id, texts, extras, line``: what stands below each node, counted to two; ``line`` is the text where it is one.
+
+    Each round adds to every node what its descendants twice as far below hold, so rounds grow with the logarithm of the
+    depth and a round has a row a node at most.
+    """
+    known = n.select("site", F.col("node_id").alias("to")).distinct()
+    jump = materialize(n.select("site", F.col("node_id").alias("from"), F.col("parent_id").alias("to")).join(known, ["site", "to"], "left_semi"), "jumps")
+    text = F.col("_kind") == "text"
+    own = n.filter("_kind IN ('text', 'extra')").select("site", "node_id", text.cast("int").alias("texts"), (~text).cast("int").alias("extras"), F.when(text, F.col("node_id")).alias("line"))
+    total = lambda df: df.groupBy("site", "node_id").agg(F.least(F.sum("texts"), F.lit(2)).cast("int").alias("texts"), F.least(F.sum("extras"), F.lit(2)).cast("int").alias("extras"), F.min("line").alias("line"))
+    below = None
+    for _ in range(DEEPEST):
+        all_of = own if below is None else own.unionByName(below)
+        moved = materialize(total(all_of.join(jump.withColumnRenamed("from", "node_id"), ["site", "node_id"]).select("site", F.col("to").alias("node_id"), "texts", "extras", "line")), "moved")
+        if moved.isEmpty():
+            break
+        below = moved if below is None else materialize(total(below.unionByName(moved)), "held")
+        second = jump.select("site", F.col("from").alias("to"), F.col("to").alias("next"))
+        jump = materialize(jump.join(second, ["site", "to"]).select("site", "from", F.col("next").alias("to")), "jumps")
+    return below if below is not None else total(own).limit(0)
+
+
+def _heading_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes with their kinds, the style of texts and what they say; only nodes whose kind depends on it ask whether they have children."""
+    one = F.when(F.col("_text"), "text").when(F.col("_decor"), "decor").when(F.col("_frame"), "frame").when(F.col("_extra"), "extra").otherwise("other")
+    flags = ["_text", "_decor", "_frame", "_extra"]
+    as_leaf = _kinds(nodes.withColumn("_kids", F.lit(0))).withColumn("_leaf", one).drop(*flags)
+    both = _kinds(as_leaf.withColumn("_kids", F.lit(1))).withColumn("_stem", one)
+    style = F.struct(F.coalesce(F.col("font_size").cast("double"), F.lit(0.0)).alias("size"), F.lower(F.trim(F.split_part(F.coalesce("font_family", F.lit("")), F.lit(","), F.lit(1)))).alias("family"),
+                     F.trim(F.coalesce(F.col("font_weight").cast("string"), F.lit(""))).alias("weight"))
+    text = ((F.col("_leaf") == "text") | (F.col("_stem") == "text")) & F.col("node_id").isNotNull()
+    n = both.select("site", "board", "parent_id", "ord", "node_id", "x", "y", "w", "h", "max_width", "_leaf", "_stem", F.when(text, style).alias("style"),
+                    F.when(text, F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))).alias("said"), F.coalesce(F.col("name").rlike(HEADING_CONTEXT), F.lit(False)).alias("_named"))
+    n = materialize(n, "heading-nodes", "zstd")
+    plain = [c for c in n.columns if c not in ("_leaf", "_stem")]
+    unsure = n.filter("_leaf <> _stem")
+    sure = n.filter("_leaf = _stem").select(*plain, F.col("_leaf").alias("_kind"))
+    if unsure.isEmpty():
+        return sure
+    parents = n.select("site", F.col("parent_id").alias("node_id")).distinct().withColumn("_has", F.lit(True))
+    told = unsure.join(parents, ["site", "node_id"], "left").withColumn("_kind", F.when(F.col("_has"), F.col("_stem")).otherwise(F.col("_leaf")))
+    return materialize(sure.unionByName(told.select(*plain, "_kind")), "heading-nodes")
+
+
+def _stacks(lines: DataFrame, small: bool) -> DataFrame:
+    """The runs of ``lines`` that have one style, say different things and are stacked, with what the parent has yet to decide.
+
+    A style is like the run's first where the extremes are: no row is joined to it.
+    """
+    box = ["x", "y", "w", "h"]
+    lines = running(lines, ["site", "parent_id", "kind", "run"], ["y", "ord", "node_id"], {"_above": ("lag", F.struct(*box))}, "heading-stack", small)
+    up, spot = F.col("_above"), F.struct("ord", "node_id")
+    beside = (F.least(up["x"] + up["w"], F.col("x") + F.col("w")) - F.greatest(up["x"], F.col("x")) > SIDE_OVERLAP) & (F.abs(F.col("y") - up["y"]) < F.least(up["h"], F.col("h")) * SIDE_RISE)
+    apart = F.coalesce(beside | (F.col("y") - up["y"] - up["h"] > LINE_GAP), F.lit(False))
+    limit = lambda most, width: F.when((most > 0) & (width >= most - WRAP_SLACK), most)
+    group = ["site", "board", "parent_id", "kind", "run"]
+    size, lower = F.col("style.size"), F.when(F.col("said") != "", F.lower("said"))
+    named = lambda f: F.when(F.col(f"style.{f}") != "", F.col(f"style.{f}"))
+    told = [F.collect_list(F.struct("ord", "node_id", "said")).alias("_told")]
+    runs = lines.groupBy(*group).agg(
+        F.count("*").alias("parts"), F.min_by("style", spot).alias("_lead"), F.min(F.when(size > 0, size)).alias("_least"), F.max(F.when(size > 0, size)).alias("_most"),
+        *[g(named(f)).alias(f"_{k}_{f}") for f in ("family", "weight") for k, g in (("lo", F.min), ("hi", F.max))], F.bool_or(apart).alias("_apart"), F.max(size).alias("_size"),
+        F.min(F.least(limit(F.col("max_width"), F.col("w")), limit(F.col("_mw"), F.col("_tw")))).alias("_limit"), F.min(lower).alias("_lo"), F.max(lower).alias("_hi"), F.count(lower).alias("_said"),
+        F.min_by("line", spot).alias("first"), F.max_by("line", spot).alias("last"), *(told if small else []))
+    lead = F.col("_lead")
+    unlike = (lead["size"] > 0) & ((F.abs(F.col("_least") - lead["size"]) > SIZE_SLACK) | (F.abs(F.col("_most") - lead["size"]) > SIZE_SLACK))
+    for f in ("family", "weight"):
+        unlike = unlike | ((lead[f] != "") & ((F.col(f"_lo_{f}") != lead[f]) | (F.col(f"_hi_{f}") != lead[f])))
+    runs = runs.filter("parts >= 2 AND NOT _apart AND NOT (_said >= 2 AND _lo = _hi)").filter(~F.coalesce(unlike, F.lit(True)))
+    if not small:
+        runs = materialize(runs, "heading-runs")
+        runs = runs.join(lines.join(runs.select(*group), group, "left_semi").groupBy(*group).agg(*told), group)
+    return runs.select("site", "board", "parent_id", "kind", "parts", "first", "last", "_size", "_limit", "_told")
+
+
+def _row_runs(rows: DataFrame, small: bool) -> DataFrame:
+    """Rows that hold one text each, numbered by runs: next to each other and of one style from one to the next."""
+    rows = running(rows, ["site", "parent_id"], ["ord", "node_id"], {"_before": ("lag", F.struct("_pos", "style"))}, "heading-rows", small)
+    goes_on = (F.col("_pos") == F.col("_before._pos") + 1) & _alike(F.col("style"), F.col("_before.style"))
+    rows = rows.withColumn("_new", (~F.coalesce(goes_on, F.lit(False))).cast("bigint"))
+    return running(rows, ["site", "parent_id"], ["ord", "node_id"], {"run": ("sum", F.col("_new"))}, "heading-styles", small).withColumn("kind", F.lit("rows"))
+
+
+def _judged(n: DataFrame, kids: DataFrame, small: bool) -> DataFrame:
+    """Runs that may merge among the children ``kids`` of some parents."""
+    key, box = ["site", "parent_id"], ["x", "y", "w", "h", "max_width"]
+    is_ = lambda kind: F.col("_kind") == kind
+    at = running(kids, key, ["ord", "node_id"], {
+        "_cut": ("sum", (~F.col("_kind").isin("text", "decor")).cast("bigint")), "_pos": ("row_number", None), "_up": ("lag", is_("frame")), "_down": ("lead", is_("frame"))}, "heading-kids", small)
+    keep = ["site", "board", "parent_id", "ord", "node_id", *box, "style", "said"]
+    texts = at.filter(is_("text")).select(*keep, F.col("node_id").alias("line"), F.lit(None).cast("double").alias("_mw"), F.lit(None).cast("double").alias("_tw"),
+                                          F.lit("texts").alias("kind"), F.col("_cut").alias("run"))
+    frames = at.filter(is_("frame") & (F.coalesce("_up", F.lit(False)) | F.coalesce("_down", F.lit(False)))).select(*keep, "_pos")
+    parts = _stacks(texts, small).select(F.struct("*").alias("run")).unionByName(frames.select(F.struct("*").alias("frame")), allowMissingColumns=True)
+    parts = materialize(parts, "heading-parts")  # one plan, so that both read one shuffle
+    rows = _row_runs(_rows(n, parts.filter("frame IS NOT NULL").select("frame.*").drop("style", "said")), small)
+    return parts.filter("run IS NOT NULL").select("run.*").unionByName(_stacks(rows.select(*texts.columns), small))
+
+
+def _rows(n: DataFrame, frames: DataFrame) -> DataFrame:
+    """The ``frames`` below which one text stands and nothing else that counts, with this text as ``line``."""
+    is_ = lambda kind: F.col("_kind") == kind
+    told = [F.col("node_id").alias("line"), "style", "said", F.col("max_width").alias("_mw"), F.col("w").alias("_tw")]
+    content = n.filter("_kind IN ('text', 'extra') AND parent_id IS NOT NULL")
+    only = content.groupBy("site", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_n"), F.min(F.when(is_("text"), F.struct(*told))).alias("_line")).filter("_n = 1 AND _line IS NOT NULL")
+    stems = n.select("site", "node_id", "parent_id").join(n.select("site", F.col("parent_id").alias("node_id")).distinct(), ["site", "node_id"], "left_semi")
+    deep = stems.select("site", F.col("parent_id").alias("node_id")).distinct().withColumn("_deep", F.lit(True))
+    rows = frames.join(only, ["site", "node_id"], "left").join(deep, ["site", "node_id"], "left").filter("_n = 1 OR _deep").select(*frames.columns, "_line.*", "_deep")
+    rows = materialize(rows, "heading-rows")
+    unclear = rows.filter("_deep").select(*frames.columns)
+    if unclear.isEmpty():
+        return rows.drop("_deep")
+    one = _held(n).filter("texts = 1 AND extras = 0").select("site", "node_id", "line")  # something in the row has children of its own: all that is below it counts
+    found = unclear.join(one, ["site", "node_id"]).join(n.filter(is_("text")).select("site", *told), ["site", "line"], "left")
+    return rows.filter("_deep IS NULL").drop("_deep").unionByName(found)
+
+
+def split_headings(nodes: DataFrame, large: int = LARGE) -> DataFrame:
     """Headings whose lines stand as stacked text siblings, or as rows that hold one text each: one merge group a run.
 
     ``nodes(site, board, node_id, parent_id, ord, component, name, text, x, y, w, h, font_size, font_family, font_weight,
@@ -197,55 +323,28 @@ def split_headings(nodes: DataFrame) -> DataFrame:
     parent or one of the five above it is named like a heading, or the type is 28 px or larger; and no text is held to
     less than 0.7 of the parent's width. Rows are cut where the style changes from one to the next.
 
-    Gives ``site, board, parent_id, kind, parts, first, last, text``. Runs are cut and judged by running values and
-    partial sums; only the lines of a group that merges are put together.
+    Gives ``site, board, parent_id, kind, parts, first, last, text``. Nodes are shuffled once by their parent; runs are cut
+    and judged where they lie. Children of a parent that has more than ``large`` go by chunked running values instead.
     """
-    parent_of = nodes.filter("parent_id IS NOT NULL").groupBy("site", F.col("parent_id").alias("node_id")).agg(F.count("*").alias("_kids"))
-    n = materialize(_kinds(nodes.join(parent_of, ["site", "node_id"], "left").fillna(0, ["_kids"])), "heading-nodes")
-    content = n.filter("_text OR _extra")
-    held = ancestors(n, content).join(content.select("site", "node_id", "_text", "_extra"), ["site", "node_id"]).groupBy("site", F.col("above").alias("node_id")).agg(
-        F.count_if("_text").alias("texts"), F.count_if("_extra").alias("extras"), F.min(F.when(F.col("_text"), F.col("node_id"))).alias("line"))
-    rows = n.filter("_frame").join(held.filter("texts = 1 AND extras = 0"), ["site", "node_id"]).select("site", "node_id", "line")
-    style = F.struct(F.coalesce(F.col("font_size").cast("double"), F.lit(0.0)).alias("size"), F.lower(F.trim(F.split_part(F.coalesce("font_family", F.lit("")), F.lit(","), F.lit(1)))).alias("family"),
-                     F.trim(F.coalesce(F.col("font_weight").cast("string"), F.lit(""))).alias("weight"))
-    said = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
-    texts = n.filter("_text").select("site", F.col("node_id").alias("line"), style.alias("style"), said.alias("said"), F.col("max_width").alias("_mw"), F.col("w").alias("_tw"))
-    box = ["x", "y", "w", "h", "max_width"]
-    kids = n.filter("parent_id IS NOT NULL").select("site", "board", "parent_id", "ord", "node_id", "_text", "_decor", *box)
-    kids = kids.join(rows.withColumnRenamed("line", "_row"), ["site", "node_id"], "left")
-    lines = kids.withColumn("line", F.when(F.col("_text"), F.col("node_id")).otherwise(F.col("_row"))).join(texts, ["site", "line"], "left")
-    lines = running(lines, ["site", "parent_id"], ["ord", "node_id"], {
-        "_cut": ("sum", (~(F.col("_text") | F.col("_decor"))).cast("bigint")), "_gap": ("sum", F.col("_row").isNull().cast("bigint")),
-        "_before": ("lag", F.when(F.col("_row").isNotNull(), F.col("style")))}, "heading-kids")
-    rowed = lines.filter("_row IS NOT NULL").withColumn("_new", (~F.coalesce(_alike(F.col("style"), F.col("_before")), F.lit(False))).cast("bigint"))
-    rowed = running(rowed, ["site", "parent_id"], ["ord", "node_id"], {"_style": ("sum", F.col("_new"))}, "heading-styles")
-    keep = ["site", "board", "parent_id", "ord", "node_id", "line", "style", "said", *box, "_mw", "_tw"]
-    every = lines.filter("_text").select(*keep, F.lit("texts").alias("kind"), F.col("_cut").alias("run")).unionByName(
-        rowed.select(*keep, F.lit("rows").alias("kind"), F.concat_ws("/", F.col("_gap").cast("string"), F.col("_style").cast("string")).alias("run")).withColumn("run", F.xxhash64("run")))
-    group = ["site", "board", "parent_id", "kind", "run"]
-    spot = F.struct("ord", "node_id")
-    facts = every.groupBy(*group).agg(F.count("*").alias("parts"), F.min_by("style", spot).alias("lead")).filter("parts >= 2")
-    every = every.join(facts, group)
-    parent = n.select("site", F.col("node_id").alias("parent_id"), F.col("w").alias("_pw"))
-    every = running(every.join(parent, ["site", "parent_id"], "left"), ["site", "parent_id", "kind", "run"], ["y", "ord", "node_id"], {"_above": ("lag", F.struct(*box[:4]))}, "heading-stack")
-    up = F.col("_above")
-    beside = (F.least(up["x"] + up["w"], F.col("x") + F.col("w")) - F.greatest(up["x"], F.col("x")) > SIDE_OVERLAP) & (F.abs(F.col("y") - up["y"]) < F.least(up["h"], F.col("h")) * SIDE_RISE)
-    apart = F.coalesce(beside | (F.col("y") - up["y"] - up["h"] > LINE_GAP), F.lit(False))
-    narrow = lambda limit, width: F.coalesce((limit > 0) & (limit < F.col("_pw") * WRAP_SHARE) & (width >= limit - WRAP_SLACK), F.lit(False))
-    runs = every.groupBy(*group).agg(
-        F.min("parts").alias("parts"), F.bool_and(_alike(F.col("style"), F.col("lead"))).alias("_one"), F.bool_or(apart).alias("_apart"), F.max("style.size").alias("_size"),
-        F.bool_or(narrow(F.col("max_width"), F.col("w")) | narrow(F.col("_mw"), F.col("_tw"))).alias("_narrow"),
-        F.min(F.when(F.col("said") != "", F.lower("said"))).alias("_lo"), F.max(F.when(F.col("said") != "", F.lower("said"))).alias("_hi"), F.count_if(F.col("said") != "").alias("_said"))
-    able = materialize(runs.filter("_one AND NOT _apart AND NOT _narrow AND NOT (_said >= 2 AND _lo = _hi)"), "heading-runs")
-    places = able.select("site", F.col("parent_id").alias("node_id")).distinct()
-    chain = ancestors(n, places, NAMED_ABOVE - 1).select("site", "node_id", "above").unionByName(places.select("site", "node_id", F.col("node_id").alias("above")))
-    named = n.filter(F.col("name").rlike(HEADING_CONTEXT)).select("site", F.col("node_id").alias("above"))
-    titled = chain.join(named, ["site", "above"]).select("site", F.col("node_id").alias("parent_id")).distinct().withColumn("_titled", F.lit(True))
-    merged = able.join(titled, ["site", "parent_id"], "left").filter(F.coalesce("_titled", F.col("_size") >= DISPLAY_PX)).select(*group)
-    glued = F.transform(F.array_sort(F.collect_list(F.struct("ord", "node_id", "said"))), lambda p: F.when(p["said"].rlike(r"^[,.;:!?)]") | (p["said"] == ""), p["said"]).otherwise(F.concat(F.lit(" "), p["said"])))
-    return every.join(merged, group).groupBy(*group).agg(
-        F.count("*").alias("parts"), F.min_by("line", spot).alias("first"), F.max_by("line", spot).alias("last"), F.trim(F.array_join(glued, "")).alias("text")
-    ).drop("run")
+    n = _heading_nodes(nodes)
+    kids = n.filter("parent_id IS NOT NULL AND site IS NOT NULL").drop("_named")
+    heavy = materialize(_large_parents(kids, large), "heading-large")
+    key = ["site", "parent_id"]
+    if heavy.isEmpty():
+        able = _judged(n, kids.repartition(*key), True)
+    else:
+        able = _judged(n, kids.join(F.broadcast(heavy), key, "left_anti").repartition(*key), True).unionByName(_judged(n, kids.join(F.broadcast(heavy), key, "left_semi"), False))
+    able = materialize(able, "heading-runs")
+    free = F.coalesce(F.col("_limit").isNull() & (F.col("_size") >= DISPLAY_PX), F.lit(False))
+    above = n.select("site", F.col("node_id").alias("_at"), F.col("parent_id").alias("_next"), F.col("_named").alias("_is"), F.col("w").alias("_pw"))
+    places = able.filter(~free).select(*key, F.col("parent_id").alias("_next"), F.lit(False).alias("_titled"), F.lit(None).cast("double").alias("_width")).distinct()
+    for step in range(NAMED_ABOVE):  # one plan: the nodes are shuffled once for all steps
+        places = places.withColumnRenamed("_next", "_at").join(above, ["site", "_at"], "left").select(
+            *key, F.when(~F.coalesce("_is", F.lit(False)), F.col("_next")).alias("_next"), (F.col("_titled") | F.coalesce("_is", F.lit(False))).alias("_titled"),
+            (F.col("_width") if step else F.col("_pw")).alias("_width"))
+    asked = able.filter(~free).join(places.drop("_next"), key).filter(((F.col("_size") >= DISPLAY_PX) | F.col("_titled")) & ~F.coalesce(F.col("_limit") < F.col("_width") * WRAP_SHARE, F.lit(False)))
+    glued = F.transform(F.array_sort("_told"), lambda p: F.when(p["said"].rlike(r"^[,.;:!?)]") | (p["said"] == ""), p["said"]).otherwise(F.concat(F.lit(" "), p["said"])))
+    return able.filter(free).unionByName(asked.drop("_titled", "_width")).select("site", "board", "parent_id", "kind", "parts", "first", "last", F.trim(F.array_join(glued, "")).alias("text"))
 
 
 def chrome_bars(nodes: DataFrame, boards: DataFrame, viewport_height: int = VIEWPORT_HEIGHT) -> DataFrame:

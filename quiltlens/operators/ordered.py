@@ -25,9 +25,12 @@ def running(
     order: list[str],
     outputs: dict[str, tuple[str, Column | None]],
     label: str = "running",
+    small: bool = False,
 ) -> DataFrame:
     """Add running columns to ``df``.
 
+    With ``small`` the caller knows that every group fits a task: plain windows, no chunks, no table is written.
+
     ``order`` must make rows unique inside a group. ``outputs`` maps a new column to
     ``(kind, expr)``; kinds: ``lag``, ``lead``, ``sum`` (up to this row), ``max``
     (up to this row), ``max_before`` (rows before this one), ``last`` (last non-null
@@ -36,11 +39,11 @@ def running(
     prepared = df
     for name, (kind, expr) in outputs.items():
         prepared = prepared.withColumn(f"_in_{name}", F.lit(1) if kind == "row_number" else expr)
-    chunked = materialize(
+    chunked = prepared.withColumn(_CHUNK, F.lit(0)) if small else materialize(
         prepared.repartitionByRange(*[F.col(c) for c in [*keys, *order]]).withColumn(_CHUNK, F.spark_partition_id()),
         label,
     )
-    local = W.partitionBy(_CHUNK, *keys).orderBy(*order)
+    local = W.partitionBy(*([] if small else [_CHUNK]), *keys).orderBy(*order)
     upto = local.rowsBetween(W.unboundedPreceding, 0)
     before = local.rowsBetween(W.unboundedPreceding, -1)
     after = local.rowsBetween(1, W.unboundedFollowing)
@@ -86,6 +89,11 @@ def running(
         else:
             raise ValueError(f"unknown running kind: {kind}")
 
+    if small:
+        boxes = ("lag", "lead")
+        return chunked.select("*", *own).select(*df.columns, *[
+            (F.col(f"_loc_{n}")["v"] if kind in boxes else F.coalesce(f"_loc_{n}", F.lit(0)) if kind in ("sum", "row_number") else F.col(f"_loc_{n}")).alias(n)
+            for n, (kind, _) in outputs.items()])
     brought_cols = [f"_car_{n}" for n in outputs]
     carries = (
         chunked.groupBy(*keys, _CHUNK).agg(*edge, F.lit(1).alias("_one"))

@@ -58,6 +58,33 @@ def test_split_headings(spark):
     }
 
 
+def test_split_headings_of_large_parents_and_deep_rows(spark):
+    hero = frame("h", None, 0, "hero heading")
+    lines = lambda n: [text(f"t{i:03}", "h", i, f"line {i}", 0, 80 * i, 300) for i in range(n)]
+    chain = lambda k, n: [frame(f"{k}0", "h", ord(k), "row", 0, 80 * ord(k), 800, 72), *[frame(f"{k}{i}", f"{k}{i - 1}", 0, "box") for i in range(1, n)], text(f"{k}t", f"{k}{n - 1}", 0, f"say {k}", 0, 80 * ord(k), 300)]
+    worded = lambda i, parent, said: ("s", "b", i, parent, 0, "Card", said, said, 0.0, 0.0, 9.0, 9.0, None, None, None, None)
+    rows = lambda nodes: spark.createDataFrame(nodes, NODE)
+    told = lambda nodes, **kw: sorted((r.kind, r.parts, r.first, r.last, r.text) for r in K.split_headings(rows(nodes), **kw).collect())
+    broken = [hero, *lines(5), frame("x", "h", 5, "pic", component="Image"), *[r[:3] + ("h", r[4] + 6) + r[5:] for r in [text(f"u{i}", "h", i, f"more {i}", 0, 600 + 80 * i, 300) for i in range(4)]]]
+    want = [("texts", 4, "u0", "u3", "more 0 more 1 more 2 more 3"), ("texts", 5, "t000", "t004", "line 0 line 1 line 2 line 3 line 4")]
+    assert told(broken) == want and told(broken, large=3) == want  # small parents in one task, larger ones by running values
+    deep = [hero, *chain("A", 6), *chain("B", 3), *chain("C", 1)]
+    assert told(deep) == told(deep, large=2) == [("rows", 3, "At", "Ct", "say A say B say C")]
+    assert told([*deep, text("Bx", "B1", 1, "second", 0, 0, 9)]) == []  # two texts at different depths: no row, and none beside it
+    assert told([*deep, worded("Aw", "A5", "card"), text("Awt", "Aw", 0, "held by a card", 0, 0, 9)]) == [("rows", 2, "Bt", "Ct", "say B say C")]  # words with children are no text
+
+
+def test_split_headings_shuffles_nodes_once(spark):
+    nodes = [r for b in range(40) for r in [("s", str(b), f"{b}p", None, *frame("p", None, 0, "title")[4:]), *[("s", str(b), f"{b}l{i}", f"{b}p", *text("l", "p", i, f"line {i}", 0, 80 * i, 300)[4:]) for i in range(3)]]]
+    seen, old = [], K.materialize
+    K.materialize = lambda df, label, *codec: (seen.append(label), old(df, label, *codec))[1]
+    try:
+        assert K.split_headings(spark.createDataFrame(nodes, NODE)).count() == 40
+    finally:
+        K.materialize = old
+    assert len(seen) <= 5 and "above" not in seen  # was 20: ancestors of all texts and a chunked table for each running value
+
+
 def test_ancestors_by_pointer_jumping(spark):
     n = 37
     nodes = spark.createDataFrame([("s", i, i - 1 if i else None) for i in range(n)] + [("s", 100, 99)], "site string, node_id long, parent_id long")
