@@ -153,3 +153,16 @@ def test_semantic_roles_meet_the_brand_once(spark):
     out = H.semantic_roles(pool, brand)
     assert "brand" not in out._jdf.queryExecution().optimizedPlan().toString()  # the joined colours are read, not worked out again
     assert {(r.name, r.value) for r in out.collect()} == {("--color-surface-muted", "#F2F2F2"), ("--color-ink-soft", "#333333"), ("--color-ink-strong", "#111")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from quiltlens.session import _CLEANUP, materialize
+
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before, setting = tracker.shuffleStatuses().size(), spark.conf.get(_CLEANUP, None)
+    kept = [materialize(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "kept") for _ in range(3)]
+    assert all(k.count() == 7 for k in kept) and spark.conf.get(_CLEANUP, None) == setting
+    held = lambda: tracker.shuffleStatuses().size() - before
+    assert held() <= 3  # a shuffle for each count; was one more for each write
