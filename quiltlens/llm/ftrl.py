@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quiltlens.llm.rows import slices
+from quiltlens.llm.rows import only, slices, word_cache
 
 BITS = 18
 SHARD_ROWS = 3_000
@@ -35,7 +35,7 @@ class _Codes(dict):
         return code
 
 
-_CODES = _Codes()
+_CODES = word_cache(_Codes())
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -51,6 +51,7 @@ def features(texts: list[bytes], bits: int = BITS) -> tuple[np.ndarray, np.ndarr
     Kinds: word, word pair, the shapes of two and of three words, and whether a word repeats one of the two before it.
     An n-gram that would cross the end of its document has slot ``2**bits``, which has no weight.
     """
+    only(_CODES)
     words = [t.split() for t in texts]
     n_words = np.array([len(w) for w in words], dtype=np.int64)
     total = int(n_words.sum())

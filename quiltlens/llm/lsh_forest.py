@@ -9,7 +9,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quiltlens.llm.rows import partitions, slices
+from quiltlens.llm.rows import only, partitions, slices, word_cache
 from quiltlens.operators.graph import components
 from quiltlens.session import materialize
 
@@ -34,7 +34,7 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
+_WORDS = word_cache(_Words())
 
 
 def _stir(h: np.ndarray) -> np.ndarray:
@@ -48,6 +48,7 @@ def shingle_sets(texts: list[bytes], k: int = WORDS) -> list[np.ndarray]:
     Words are runs of bytes other than space and \\t to \\r. A text of 1 to k - 1 words has one shingle, all its words;
     a text without words has none.
     """
+    only(_WORDS)
     words = [t.lower().split() for t in texts]  # bytes: only A-Z change, only ASCII white space splits
     counts = np.array([len(w) for w in words], dtype=np.int64)
     total = int(counts.sum())
