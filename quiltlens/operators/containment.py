@@ -57,26 +57,35 @@ def _ends(met: DataFrame, keys: list[str], text: str) -> DataFrame:
     return met.groupBy(*keys, F.col(text).alias("text")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
+def _around(asked: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """By the index: a text of up to three characters is a gram itself, so least and greatest are taken per gram before the join;
+    a longer one meets only the texts that have its rarest gram."""
+    index = _index(held, keys)
+    small = asked.filter(F.length("text") <= GRAM)
+    per_gram = index.join(held.hint("merge"), [*keys, "text"]).groupBy(*keys, "gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    direct = small.join(per_gram.withColumnRenamed("gram", "text").hint("merge"), [*keys, "text"])
+    rare = _rarest(asked.filter(F.length("text") > GRAM), index, keys)
+    met = rare.join(index.hint("merge"), [*keys, "gram"]).filter(F.col("text").contains(F.col("short"))).select(*keys, "short", "text")
+    longer = _ends(met.join(held.hint("merge"), [*keys, "text"]), keys, "short")
+    return direct.select(*keys, "text", "lo", "hi").unionByName(longer)
+
+
+def _within(asked: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    index = _index(asked, keys)
+    met = _rarest(held, index, keys).join(index.hint("merge"), [*keys, "gram"]).filter(F.col("text").contains(F.col("short"))).select(*keys, "short", "text")
+    return _ends(met.join(held.withColumnRenamed("text", "short").hint("merge"), [*keys, "short"]), keys, "text")
+
+
 def around(texts: DataFrame, rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, text, lo, hi``: for each of ``texts(keys, text)`` the least and greatest ``value`` of ``rows(keys, text, value)`` whose text contains it.
 
-    Rows are reduced to their texts first. With the index, a text of up to three characters is a gram itself, so least
-    and greatest are taken per gram before the join; a longer one meets only the texts that have its rarest gram.
+    Rows are reduced to their texts first.
     """
     held, asked = _prepared(texts, rows, keys, value)
     pairs, asked, held = _split(asked, held, keys)
     near = _ends(pairs.filter(F.col("text").contains(F.col("_asked"))), keys, "_asked")
     held = materialize(held, "containment-large")
-    if held.isEmpty():
-        return near
-    index = _index(held, keys)
-    small = asked.filter(F.length("text") <= GRAM)
-    per_gram = index.join(held.hint("merge"), [*keys, "text"]).groupBy(*keys, "gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    direct = small.join(per_gram.withColumnRenamed("gram", "text").hint("merge"), [*keys, "text"])
-    rare = _rarest(asked.filter(F.length("text") > GRAM), index, keys)
-    met = rare.join(index.hint("merge"), [*keys, "gram"]).filter(F.col("text").contains(F.col("short"))).select(*keys, "short", "text")
-    longer = _ends(met.join(held.hint("merge"), [*keys, "text"]), keys, "short")
-    return near.unionByName(direct.select(*keys, "text", "lo", "hi")).unionByName(longer)
+    return near if held.isEmpty() else near.unionByName(_around(asked, held, keys))
 
 
 def within(texts: DataFrame, rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -85,8 +94,16 @@ def within(texts: DataFrame, rows: DataFrame, keys: list[str], value: str) -> Da
     pairs, asked, held = _split(asked, held, keys)
     near = _ends(pairs.filter(F.col("_asked").contains(F.col("text"))), keys, "_asked")
     asked = materialize(asked, "containment-large")
-    if asked.isEmpty():
+    return near if asked.isEmpty() else near.unionByName(_within(asked, held, keys))
+
+
+def either(texts: DataFrame, rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, text, lo, hi`` over ``around`` and ``within``: texts are prepared and pairs are looked at once for both."""
+    held, asked = _prepared(texts, rows, keys, value)
+    pairs, asked, held = _split(asked, held, keys)
+    near = _ends(pairs.filter(F.col("text").contains(F.col("_asked")) | F.col("_asked").contains(F.col("text"))), keys, "_asked")
+    held, asked = materialize(held, "containment-large"), materialize(asked, "containment-asked-large")
+    if held.isEmpty() or asked.isEmpty():
         return near
-    index = _index(asked, keys)
-    met = _rarest(held, index, keys).join(index.hint("merge"), [*keys, "gram"]).filter(F.col("text").contains(F.col("short"))).select(*keys, "short", "text")
-    return near.unionByName(_ends(met.join(held.withColumnRenamed("text", "short").hint("merge"), [*keys, "short"]), keys, "text"))
+    both = _around(asked, held, keys).unionByName(_within(asked, held, keys))
+    return near.unionByName(both.groupBy(*keys, "text").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
