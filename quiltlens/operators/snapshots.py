@@ -155,9 +155,15 @@ def band_review_state(bands: DataFrame, reviews: DataFrame, max_reopen: int = 1)
 
 
 def band_coverage(assigned: DataFrame, clips: DataFrame) -> DataFrame:
-    """Clips no band uses and bands without a clip, from ``assign_clips`` output."""
-    unused = clips.select("site", "page", "clip").distinct().join(assigned.filter("clip IS NOT NULL").select("site", "page", "clip"), ["site", "page", "clip"], "left_anti")
-    bare = assigned.filter("clip IS NULL")
-    return unused.select("site", "page", F.lit("clip without band").alias("kind"), F.col("clip").alias("subject")).unionByName(
-        bare.select("site", "page", F.lit("band without clip").alias("kind"), F.col("pos").alias("subject"))
-    )
+    """Clips no band uses and bands without a clip, from ``assign_clips`` output.
+
+    Bands and clips meet in one grouping by page and subject, so that ``assigned`` is worked out and shuffled once.
+    """
+    bare = F.col("clip").isNull()
+    bands = assigned.select("site", "page", bare.alias("bare"), F.coalesce("clip", "pos").alias("subject"), F.lit(True).alias("band"))
+    known = clips.select("site", "page", F.lit(False).alias("bare"), F.col("clip").alias("subject"), F.lit(False).alias("band"))
+    met = bands.unionByName(known).groupBy("site", "page", "bare", "subject").agg(F.max("band").alias("band"), F.count("*").alias("_n"))
+    once = F.when(F.col("bare"), F.col("_n")).otherwise(1).cast("int")  # bands that share a position are told one by one
+    return met.filter("bare OR NOT band").select(
+        "site", "page", F.when(F.col("bare"), "band without clip").otherwise("clip without band").alias("kind"), "subject", F.explode(F.array_repeat(F.lit(0), once))
+    ).drop("col")

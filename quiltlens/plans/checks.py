@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quiltlens.operators import similarity as S, snapshots as J, validation as L
 from quiltlens.plans.inventory import corpus
 from quiltlens.plans.registry import DUCK_VIEWS, define_view, query, view
+from quiltlens.session import materialize
 from quiltlens.sources.corpus import page_corpus
 
 define_view("edited_pages", r"""
@@ -126,12 +127,10 @@ def _(spark, d):
 SELECT DISTINCT site, page, 'clip without band' AS kind, clip AS subject FROM {source_clips} c WHERE NOT EXISTS (SELECT 1 FROM {clips_named} n WHERE n.page = c.page AND n.clip = c.clip)
 UNION ALL SELECT site, page, 'band without clip', pos FROM {ship_sections} s WHERE home AND NOT EXISTS (SELECT 1 FROM {clips_named} n WHERE n.page = s.page AND n.pos = s.pos)""")
 def _(spark, d):
-    # strict names only, as on a home page; bands of other pages are left to the ordinal rule
-    secs, clips = view(spark, d, "ship_sections"), view(spark, d, "source_clips")
-    strict = S.assign_clips(secs.withColumn("home", F.lit(True)), clips)
-    home = secs.filter("home").select("site", "page", "pos")
-    kept = strict.filter("clip IS NOT NULL").unionByName(strict.filter("clip IS NULL").join(home, ["site", "page", "pos"], "left_semi"))
-    return J.band_coverage(kept, clips)
+    # strict names only; bands of other pages are left to the ordinal rule
+    clips = materialize(view(spark, d, "source_clips"), "source-clips")
+    named = S.named_clips(view(spark, d, "ship_sections"), clips)
+    return J.band_coverage(named.filter("clip IS NOT NULL OR home"), clips)
 
 
 # ---- validation ------------------------------------------------------------------------------
